@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 _BASE = 0xE000
 # Printable ASCII outside [0-9A-Za-z_], with tab.
-_HIDDEN = "\t " + "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"
-_COVER = "".join(chr(_BASE + ord(c)) for c in _HIDDEN)
+HIDDEN = "\t " + "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"
+COVER = "".join(chr(_BASE + ord(c)) for c in HIDDEN)
 
 # A literal over several rows acts as a bracket pair, so the rows stay together.
 TEXT_OPEN = chr(_BASE + 0x100)
@@ -31,7 +31,7 @@ def split_lines(content: Column) -> Column:
 
 def _hide(token: Column, comment: str, shows_first: bool) -> Column:
     size = F.length(token)
-    inner = F.translate(F.substring(token, F.lit(2), size - 2), _HIDDEN, _COVER)
+    inner = F.translate(F.substring(token, F.lit(2), size - 2), HIDDEN, COVER)
     many = F.instr(token, "\n") > 0
     first = F.when(many, F.lit(TEXT_OPEN)).otherwise(F.left(token, F.lit(1)))
     last = F.when(many, F.lit(TEXT_CLOSE)).otherwise(F.right(token, F.lit(1)))
@@ -54,7 +54,7 @@ def mask(content: Column, token: str, comment: str, shows_first: bool = False) -
 
 
 def unmask(name: Column) -> Column:
-    return F.translate(name, _COVER, _HIDDEN)
+    return F.translate(name, COVER, HIDDEN)
 
 
 def count_of(text: Column, pattern: str) -> Column:

@@ -8,88 +8,102 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.sql import literal
 from ..rules.model import Context, Lexis, Rule
 from . import structure as S
 
-UNICODE = "(?U)"
+def letters(pattern: str) -> str:
+    """The pattern with ``\\w`` taking letters beyond ASCII, but none of the masking marks.
+
+    Cheaper than the Unicode flag, which also makes blanks and digits slow to test.
+    """
+    out, inside, at = [], False, 0
+    while at < len(pattern):
+        two = pattern[at : at + 2]
+        if two == r"\w":
+            out.append(r"\w\u0080-\uDFFF" if inside else r"[\w\u0080-\uDFFF]")
+        elif two[0] == "\\":
+            out.append(two)
+        else:
+            inside = two[0] == "[" or (inside and two[0] != "]")
+            out.append(two[0])
+            at -= 1
+        at += 2
+    return "".join(out)
+
+
+ITEM = r"""\[\s*["']([^"']*)["']\s*\]$"""
+PROPERTY = r"""^\s*(?:["']?[$\w]+["']?\s*:\s*)?([$\w]+)\s*(?:=.*)?$"""
+BACKSLASHES = r"^\\+"
+QUOTES = r"""^["']+|["']+$"""
+SHELL_NAME = r"^\s*(?:function\s+)?([\w:.-]+)"
 
 
-def _each(names: Column, make: Callable[[Column], Column]) -> Column:
-    return F.flatten(F.transform(names, make))
+def _each(make: str) -> str:
+    return f"flatten(transform({{names}}, x -> {make}))"
 
 
-def _split(text: Column, by: str) -> Column:
-    return F.transform(F.split(text, by), lambda x: F.trim(x))
+def _q(pattern: str) -> str:
+    return literal(letters(pattern))
 
 
 # How the text that a rule captures spreads into names.
-EXPANSIONS: dict[str, Callable[[Column], Column]] = {
-    "": lambda names: names,
-    "list": lambda names: _each(names, lambda x: F.filter(_split(x, ","), lambda p: p.rlike(r"(?U)^[\w$]+$"))),
-    "spaced": lambda names: _each(names, lambda x: _split(x, r"\s+")),
-    "params": lambda names: _each(
-        names, lambda x: F.transform(F.split(x, ","), lambda p: F.regexp_extract(p, r"(?U)^\s*(?:\.\.\.)?([\w$]+)\s*(?:[?:=]|\z)", 1))
+EXPANSIONS: dict[str, str] = {
+    "": "{names}",
+    "list": _each(f"filter(transform(split(x, ','), p -> trim(p)), p -> p RLIKE {_q(r'^[$\w]+$')})"),
+    "spaced": _each(f"split(x, {_q(r'\s+')})"),
+    "params": _each(f"transform(split(x, ','), p -> regexp_extract(p, {_q(r'^\s*(?:\.\.\.)?([$\w]+)\s*(?:[?:=]|\z)')}, 1))"),
+    "target": _each(
+        f"concat(array(x), filter(transform(split(regexp_replace(x, {_q(r'^\(|\)$')}, ''), ','), p -> trim(p)), p -> p RLIKE {_q(r'^\w+$')}),"
+        f" array(regexp_extract(x, {_q(r'^[^,]*\.(\w+)$')}, 1), regexp_extract(x, {_q(ITEM)}, 1)))"
     ),
-    "target": lambda names: _each(
-        names,
-        lambda x: F.concat(
-            F.array(x),
-            F.filter(_split(F.regexp_replace(x, r"^\(|\)$", ""), ","), lambda p: p.rlike(r"(?U)^\w+$")),
-            F.array(F.regexp_extract(x, r"(?U)^[^,]*\.(\w+)$", 1), F.regexp_extract(x, r"""\[\s*["']([^"']*)["']\s*\]$""", 1)),
-        ),
-    ),
-    "member": lambda names: _each(
-        names,
-        lambda x: F.array(
-            x,
-            F.regexp_extract(x, r"(?:\.|->)(#?[\w$]+)$", 1),
-            F.regexp_extract(x, r"^(.*)\.prototype(?:\.[\w$]+)?$", 1),
-            F.regexp_extract(x, r"^\*+\s*(\w+)$", 1),
-        ),
-    ),
-    "object_pattern": lambda names: _each(
-        names,
-        lambda x: F.transform(
-            F.split(x, ","), lambda p: F.regexp_extract(p, r"""^\s*(?:["']?[\w$]+["']?\s*:\s*)?([\w$]+)\s*(?:=.*)?$""", 1)
-        ),
+    "member": _each(
+        f"array(x, regexp_extract(x, {_q(r'(?:\.|->)(#?[$\w]+)$')}, 1),"
+        f" regexp_extract(x, {_q(r'^(.*)\.prototype(?:\.[$\w]+)?$')}, 1), regexp_extract(x, {_q(r'^\*+\s*(\w+)$')}, 1))"
     ),
+    "object_pattern": _each(f"transform(split(x, ','), p -> regexp_extract(p, {_q(PROPERTY)}, 1))"),
 }
 
 # Clean-up of captured names.
-TRANSFORMS: dict[str, Callable[[Column], Column]] = {
-    "tex_command": lambda name: F.regexp_replace(name, r"^\\+", ""),
-    "yaml_quotes": lambda name: F.regexp_replace(name, "^[\"']+|[\"']+$", ""),
-    "shell_function": lambda name: F.regexp_extract(name, r"^\s*(?:function\s+)?([\w:.-]+)", 1),
+TRANSFORMS: dict[str, str] = {
+    "tex_command": f"regexp_replace({{name}}, {literal(BACKSLASHES)}, '')",
+    "yaml_quotes": f"regexp_replace({{name}}, {literal(QUOTES)}, '')",
+    "shell_function": f"regexp_extract({{name}}, {literal(SHELL_NAME)}, 1)",
 }
 
+BARE = r"\[[^\[\]]*\]|\{[^{}]*\}|(?<==\s?)[\w.]*\([^()]*\)"
+UNPAIRED = r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}"
 
-def _bare(masked: Column) -> Column:
-    """A row without nested brackets and without calls as default values."""
-    step = r"\[[^\[\]]*\]|\{[^{}]*\}|(?<==\s?)[\w.]*\([^()]*\)"
-    return F.regexp_replace(F.regexp_replace(masked, step, ""), step, "")
 
+def _without(text: str, pattern: str, times: int) -> str:
+    for _ in range(times):
+        text = f"regexp_replace({text}, {literal(pattern)}, '')"
+    return text
 
-def rule_names(rule: Rule) -> Column:
-    """Names that a rule finds on a row; NULL when the row does not pass its tests."""
-    m = F.col("masked")
-    subject = _bare(m) if rule.bare else m
-    raw = F.regexp_extract_all(subject, F.lit(UNICODE + rule.regex), F.lit(rule.group))
-    names = EXPANSIONS[rule.expand](raw) if rule.expand else raw
-    if rule.transform in TRANSFORMS:
-        names = F.transform(names, TRANSFORMS[rule.transform])
-    names = F.transform(names, lambda x: T.unmask(F.trim(x)))
-    test = m.rlike(UNICODE + rule.regex) if not rule.bare else F.lit(True)
-    if rule.gate:
-        test = m.rlike(UNICODE + rule.gate) & test
+
+def rule_names(rule: Rule) -> str:
+    """SQL for the names that a rule finds on a row; NULL when the row does not pass its tests."""
+    pattern = literal(letters(rule.regex))
+    subject = _without("masked", BARE, 2) if rule.bare else "masked"
+    names = EXPANSIONS[rule.expand].replace("{names}", f"regexp_extract_all({subject}, {pattern}, {rule.group})")
+    name = TRANSFORMS.get(rule.transform, "{name}").replace("{name}", "x")
+    names = f"transform({names}, x -> translate(trim({name}), {literal(T.COVER)}, {literal(T.HIDDEN)}))"
+    tests = []
+    if rule.parent:
+        tests.append("base > 0")
     if rule.start:
-        test = F.col("is_start") & test
+        tests.append("is_start")
     if rule.transform == "underlined":
-        test = F.col("underlined") & test
+        tests.append("underlined")
     if rule.transform == "first_row":
-        test = (F.col("line_no") == F.col("first_line")) & test
-    if rule.parent:
-        test = (F.col("base") > 0) & test
-    return F.when(test, F.array_distinct(F.filter(names, lambda x: x != "")))
+        tests.append("line_no = first_line")
+    if rule.needs:
+        tests.append("(" + " OR ".join(f"contains(masked, {literal(word)})" for word in rule.needs.split(" ")) + ")")
+    if rule.gate:
+        tests.append(f"masked RLIKE {literal(letters(rule.gate))}")
+    if not rule.bare:
+        tests.append(f"masked RLIKE {pattern}")
+    return f"IF({' AND '.join(tests) or 'true'}, array_distinct(filter({names}, x -> x <> '')), NULL)"
 
 
 def row_definitions(rules: list[Rule], keep: Callable[[Column], Column] | None) -> Column:
@@ -101,27 +115,21 @@ def row_definitions(rules: list[Rule], keep: Callable[[Column], Column] | None)
     grouped: dict[tuple[int, ...], list[str]] = {}
     for language, indexes in by_language.items():
         grouped.setdefault(tuple(indexes), []).append(language)
-    empty = F.array().cast("array<struct<rule:int,names:array<string>>>")
-    case = None
+    cases = []
     for indexes, languages in grouped.items():
-        found = F.array(*[F.struct(F.lit(i).alias("rule"), rule_names(rules[i]).alias("names")) for i in indexes])
-        test = F.col("is_code") & F.col("language").isin(*languages)
-        case = F.when(test, found) if case is None else case.when(test, found)
-    if case is None:
-        return empty
+        found = ", ".join(f"named_struct('rule', {i}, 'names', {rule_names(rules[i])})" for i in indexes)
+        among = ", ".join(literal(x) for x in languages)
+        cases.append(f"WHEN is_code AND language IN ({among}) THEN filter(array({found}), d -> size(d.names) > 0)")
+    empty = "CAST(array() AS array<struct<rule:int,names:array<string>>>)"
+    found = F.expr(f"CASE {' '.join(cases)} ELSE {empty} END") if cases else F.expr(empty)
+    if keep is None:
+        return found
     fragments = [i for i, rule in enumerate(rules) if rule.kind == "fragment"]
-
-    def wanted(d: Column) -> Column:
-        test = F.size(d["names"]) > 0
-        if keep is not None:
-            test = test & (d["rule"].isin(*fragments) | keep(d["names"])) if fragments else test & keep(d["names"])
-        return test
-
-    return F.filter(case.otherwise(empty), wanted)
+    return F.filter(found, lambda d: d["rule"].isin(*fragments) | keep(d["names"]) if fragments else keep(d["names"]))
 
 
 def _pick(rules: list[Rule], value: Callable[[Rule], str]) -> Column:
-    return F.element_at(F.array(*[F.lit(value(r)) for r in rules]), F.col("rule") + 1)
+    return F.expr(f"element_at(array({', '.join(literal(value(r)) for r in rules)}), rule + 1)")
 
 
 def definitions(
@@ -139,22 +147,17 @@ def definitions(
     rows = S.read_rows(S.masked_rows(units, lexis), lexis, contexts)
     rows = S.state_rows(rows)
     rows = rows.withColumn("found", row_definitions(rules, keep)).withColumn("has_defs", F.size("found") > 0)
-    unpaired = r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}"
-    rest = F.col("masked")
-    for _ in range(3):
-        rest = F.regexp_replace(rest, unpaired, "")
-    opener = F.concat(F.coalesce(F.nullif(F.regexp_extract(rest, r"[(\[{]", 0), F.lit("")), F.lit("+")), F.col("masked"))
-    rows = rows.withColumn("opener", F.when(F.col("depth_after") > F.col("base"), opener))
-    rows = rows.withColumn("events", S.nesting_events(rows))
-    carried = ["language", "context", "found", "base", "attach_start", "marker_start", "lead_close"]
-    placed = S.nest(rows.where(F.size("events") > 0), "line_no", carried)
+    rest = _without("masked", UNPAIRED, 3)
+    opener = f"concat(coalesce(nullif(regexp_extract({rest}, {literal(r'[(\[{]')}, 0), ''), '+'), masked)"
+    rows = S.asking_rows(rows).withColumn("opener", F.expr(f"IF(depth_after > base, {opener}, NULL)"))
+    placed = S.nest(S.code_events(rows))
     return _ranges(placed, rules)
 
 
 def _ranges(placed: DataFrame, rules: list[Rule]) -> DataFrame:
     line = F.col("line_no")
     one = placed.select(
-        "file_id", "unit", "language", "context", "line_no", "base", "attach_start", "marker_start", "bracket_end", "block_end", "own_head", "around",
+        "file_id", "unit", "language", "line_no", "base", "attach_start", "marker_start", "bracket_end", "block_end", "own_head", "around",
         F.explode("found").alias("_d"),
     ).select("*", "_d.rule", "_d.names")
     is_own_level = F.col("base") + S.BRACKETS
@@ -164,7 +167,7 @@ def _ranges(placed: DataFrame, rules: list[Rule]) -> DataFrame:
     if parented:
         case = None
         for i, pattern in parented:
-            value = F.col("_parent").rlike(UNICODE + pattern)
+            value = F.col("_parent").rlike(letters(pattern))
             case = F.when(F.col("rule") == i, value) if case is None else case.when(F.col("rule") == i, value)
         one = one.where(case.otherwise(F.lit(True)))
     one = one.withColumns(
@@ -221,7 +224,7 @@ def _ranges(placed: DataFrame, rules: list[Rule]) -> DataFrame:
     ).otherwise(F.array())
     return one.select(
         "file_id", "unit", "language", "line_no", "rule_id", "kind", "names", "start_line", "end_line",
-        F.concat(own, attached, signature, headers, F.col("context")).alias("ranges"),
+        F.concat(own, attached, signature, headers).alias("ranges"),
         above.alias("attach_start"),
         headers.alias("headers"),
     )

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .structure import BRACKETS, KEYS, _event, nest
+from .structure import BRACKETS, CLOSE, KEYS, OPEN, OWN, PROBE, _events, nest
 
 PIECE = r"<!--(?s:.*?)-->|(?i:<(script|style)\b)[^>]*>(?s:.*?)(?i:</\1\s*>)|</?[A-Za-z][^>]*>|[^<]+|<"
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
@@ -86,26 +86,21 @@ def page_definitions(units: DataFrame, keep: Callable[[Column], Column] | None =
             ),
         }
     )
-    level = depth + BRACKETS
-    end_row = F.col("last_row") + 1
-    opened = F.when(
-        (kind == "open") & F.col("paired"),
-        F.array(
-            _event(
-                "open", level, 2, eof_end=F.col("_last") + 1, head_end=F.col("last_row") + 1,
-                show=F.lit("ROW"), opener=F.concat_ws("\t", F.col("first_row").cast("string"), F.col("tag")),
-            )
-        ),
-    ).otherwise(F.array())
-    closes = F.when((kind == "close") & F.col("paired") & (depth > 0), F.array(_event("close", level - 1, 0, close_end=end_row, dip_end=end_row))).otherwise(F.array())
-    probes = F.when(
-        F.col("has_defs") & (depth > 0),
-        F.transform(F.sequence(F.lit(BRACKETS), level - 1), lambda x: _event("probe", x, 1)),
-    ).otherwise(F.array())
-    own = F.when(F.col("has_defs"), F.array(_event("own", F.lit(-1), 3))).otherwise(F.array())
-    rows = rows.withColumn("events", F.concat(opened, closes, probes, own)).where(F.size("events") > 0)
-    carried = ["language", "context", "names", "kind", "tag", "first_row", "last_row", "piece", "ordinal"]
-    placed = nest(rows.withColumn("piece", F.when(F.col("kind") == "whole", F.col("piece"))), "pos", carried)
+    parts = [
+        ("kind = 'close' AND paired AND depth > 0", _events(f"array(depth + {BRACKETS - 1})", CLOSE, "last_row + 1")),
+        ("kind = 'open' AND paired", _events(f"array(depth + {BRACKETS})", OPEN)),
+        ("has_defs AND depth > 0", _events(f"sequence({BRACKETS}, depth + {BRACKETS - 1})", PROBE)),
+        ("has_defs", _events("array(-1)", OWN)),
+    ]
+    events = "concat(" + ", ".join(f"IF({test}, {sent}, array())" for test, sent in parts) + ")"
+    sent = rows.withColumn("events", F.expr(events)).where(F.size("events") > 0).selectExpr(
+        *KEYS, "pos AS place", "has_defs",
+        "named_struct('language', language, 'names', names, 'kind', kind, 'first_row', first_row, 'last_row', last_row,"
+        " 'piece', IF(kind = 'whole', piece, NULL), 'ordinal', ordinal) AS own",
+        "events", "_last + 1 AS eof_end", "last_row + 1 AS head_end", "'ROW' AS show",
+        "concat_ws('\t', CAST(first_row AS string), tag) AS opener",
+    )
+    placed = nest(sent)
     return _as_definitions(placed)
 
 
@@ -151,10 +146,10 @@ def _as_definitions(placed: DataFrame) -> DataFrame:
     ).otherwise(F.array())
     return placed.select(
         "file_id", "unit", "language", F.col("first_row").alias("line_no"), F.explode(F.concat(found, fragment)).alias("d"),
-        headers.alias("headers"), "context",
+        headers.alias("headers"),
     ).select(
         "file_id", "unit", "language", "line_no", "d.rule_id", "d.kind", "d.names",
         F.col("d.own.start_line").alias("start_line"), F.col("d.own.end_line").alias("end_line"),
-        F.concat(F.array("d.own"), "headers", "context").alias("ranges"),
+        F.concat(F.array("d.own"), "headers").alias("ranges"),
         F.lit(None).cast("int").alias("attach_start"), "headers",
     )

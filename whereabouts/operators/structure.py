@@ -17,12 +17,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.sql import literal
 from ..rules.model import Context, Lexis
 
 KEYS = ["file_id", "unit"]
 BRACKETS = 1000  # levels: indents below, brackets from here on,
 HEADINGS = 2000  # and headings of rank 1..6 above this one
 RANKS = 6
+LAST_END = r"\\end\s*\{document\}"
 
 
 def per_language(lexis: dict[tuple[str, ...], Lexis], make: Callable[[Lexis], Column | None], default: Column) -> Column:
@@ -40,19 +42,28 @@ def per_language(lexis: dict[tuple[str, ...], Lexis], make: Callable[[Lexis], Co
 def masked_rows(units: DataFrame, lexis: dict[tuple[str, ...], Lexis]) -> DataFrame:
     """One row per line of each unit: its number in the file, and its masked text."""
     masked = per_language(lexis, lambda x: T.mask(F.col("content"), x.token, x.comment, x.shows_first), F.col("content"))
-    both = F.arrays_zip(T.split_lines(F.col("content")).alias("text"), T.split_lines(masked).alias("masked"))
+    both = F.arrays_zip(T.split_lines(F.col("content")).alias("text"), T.split_lines(F.col("_masked")).alias("masked"))
     carried = [F.col(c) for c in units.columns if c not in ("content", "start_line")]
-    rows = units.where(F.length("content") > 0).select(*carried, "start_line", F.posexplode(both).alias("_pos", "_row"))
+    rows = units.where(F.length("content") > 0).withColumn("_masked", masked).select(*carried, "start_line", F.posexplode(both).alias("_pos", "_row"))
     text = F.col("_row.text")
     return rows.select(
         *carried,
         (F.col("start_line") + F.col("_pos")).cast("int").alias("line_no"),
         F.col("_row.masked").alias("masked"),
-        (text.rlike(r"\S") & ~F.col("_row.masked").rlike(r"\S")).alias("is_note"),
-        F.length(F.regexp_extract(F.replace(text, F.lit("\t"), F.lit("        ")), "^ *", 0)).alias("note_indent"),
+        F.when(~_is_blank(text), _indent(text)).alias("text_indent"),
     )
 
 
+def _is_blank(text: Column) -> Column:
+    return F.ltrim(text, F.lit(" \t\r\f\x0b")) == ""
+
+
+def _indent(text: Column) -> Column:
+    """Columns before the first character; a tab counts as eight."""
+    size = F.length(text) - F.length(F.ltrim(text, F.lit(" \t")))
+    return F.when(F.instr(text, "\t") > 0, size + 7 * T.count_chars(F.left(text, size), "\t")).otherwise(size)
+
+
 def _any(flag: str) -> Column:
     return F.coalesce(F.col(flag), F.lit(False))
 
@@ -83,22 +94,27 @@ def read_rows(rows: DataFrame, lexis: dict[tuple[str, ...], Lexis], contexts: li
             case = F.when(m.rlike(pattern), rank) if case is None else case.when(m.rlike(pattern), rank)
         return case
 
-    plain_indent = F.length(F.regexp_extract(F.regexp_replace(m, "\t", "        "), r"^ *", 0))
-    indent = F.when(F.col("language") == "YAML", F.length(F.regexp_extract(m, r"^\s*(?:-\s+)*", 0))).otherwise(plain_indent)
+    indent = F.when(
+        F.col("is_code") & (F.col("language") == "YAML"), F.length(F.regexp_extract(m, r"^\s*(?:-\s+)*", 0))
+    ).otherwise(F.coalesce("text_indent", F.lit(0)))
     show = None
     for context in contexts:
         test = F.col("language").isin(*context.languages) & (m.rlike(context.regex) if context.regex else F.lit(True))
         show = F.when(test, context.show) if show is None else show.when(test, context.show)
 
     return (
-        rows.withColumn("is_code", m.rlike(r"\S"))
+        rows.withColumn("is_code", ~_is_blank(m))
         .withColumns(
             {
+                "is_note": F.col("text_indent").isNotNull() & ~F.col("is_code"),
                 "mode": per_language(lexis, lambda x: F.lit(x.blocks), F.lit("bracket")),
                 "attaches": per_language(lexis, lambda x: F.lit(True) if x.attaches else None, F.lit(False)),
-                "indent": F.when(F.col("is_code") | F.col("is_note"), F.when(F.col("is_code"), indent).otherwise(F.col("note_indent"))).otherwise(0),
+                "indent": indent,
                 "opens": F.when(F.col("is_code"), opens).otherwise(0),
                 "closes": F.when(F.col("is_code"), closes).otherwise(0),
+                "is_soft": F.col("is_code") & ~m.rlike(r"[;{},:]\s*$"),
+                "underlines": (F.col("language") == "Markdown") & m.rlike(r"^ {0,3}(?:=+|-+)[ \t]*$"),
+                "is_matter": (F.col("language") == "Markdown") & m.rlike(r"^---\s*$"),
                 "is_marker": F.col("is_code") & per_language(lexis, lambda x: flag(x.attach) if x.attach else None, F.lit(False)),
                 "goes_on": F.col("is_code") & per_language(lexis, lambda x: flag(x.continues) if x.continues else None, F.lit(False)),
                 "picks_up": F.col("is_code") & per_language(lexis, lambda x: flag(rf"^\s*{x.continued}") if x.continued else None, F.lit(False)),
@@ -112,232 +128,200 @@ def read_rows(rows: DataFrame, lexis: dict[tuple[str, ...], Lexis], contexts: li
 
 
 def state_rows(rows: DataFrame) -> DataFrame:
-    """Bracket depth, statements, and the run of comments and decorators above each row."""
+    """Bracket depth, statements, and the run of comments and decorators above each row.
+
+    All windows have one partitioning and one order, so they run after one sort; what does not
+    depend on an earlier window shares its pass.
+    """
     over = Window.partitionBy(*KEYS).orderBy("line_no")
     before = over.rowsBetween(Window.unboundedPreceding, -1)
     upto = over.rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*KEYS)
+    whole = over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     spec = "OVER (PARTITION BY file_id, unit ORDER BY line_no)"
+    line, code, start, indents = F.col("line_no"), F.col("is_code"), F.col("is_start"), F.col("mode") == "indent"
 
     def last(value: Column, frame) -> Column:
         return F.last(value, ignorenulls=True).over(frame)
 
-    code = F.col("is_code")
+    # a row that goes on in the next one counts as an open bracket
     rows = rows.withColumns(
         {
             "_next": F.expr(f"lead(IF(is_code, picks_up, NULL)) IGNORE NULLS {spec}"),
-            "underlined": F.coalesce(F.lead(F.col("masked").rlike(r"^ {0,3}(?:=+|-+)[ \t]*$")).over(over), F.lit(False))
-            & (F.col("language") == "Markdown"),
+            "_before": last(F.when(code, F.struct("goes_on", "is_soft")), before),
+            "underlined": F.coalesce(F.lead("underlines").over(over), F.lit(False)),
+            "prev_code": last(F.when(code, line), before),
+            "prev_marker": last(F.when(F.col("is_marker"), line), before),
+            "last_code": F.max(F.when(code, line)).over(whole),
+            "last_line": F.max("line_no").over(whole),
+            "first_line": F.min("line_no").over(whole),
+            "_matter": F.min(F.when(F.col("is_matter"), line)).over(whole),
         }
-    ).withColumn("_virtual", (code & (F.col("goes_on") | (_any("_next") & ~F.col("masked").rlike(r"[;{},:]\s*$")))).cast("int"))
-    rows = rows.withColumn("_carried", F.when(code, F.coalesce(last(F.when(code, F.col("_virtual")), before), F.lit(0))).otherwise(0))
+    ).withColumns(
+        {
+            "_virtual": (code & (F.col("goes_on") | (_any("_next") & F.col("is_soft")))).cast("int"),
+            "_carried": (code & (_any("_before.goes_on") | (F.col("picks_up") & _any("_before.is_soft")))).cast("int"),
+        }
+    )
     rows = rows.withColumn("_delta", F.col("opens") - F.col("closes") + F.col("_virtual") - F.col("_carried"))
-    rows = rows.withColumn("depth_before", F.coalesce(F.sum("_delta").over(before), F.lit(0)).cast("int"))
-    rows = rows.withColumns(
+    depth = F.coalesce(F.sum("_delta").over(before), F.lit(0)).cast("int")
+    rows = rows.withColumn("depth_before", depth).withColumns(
         {
             "depth_after": (F.col("depth_before") + F.col("_delta")).cast("int"),
             "base": (F.col("depth_before") - F.col("lead_close")).cast("int"),
-            "is_start": code & F.when(F.col("mode") == "indent", F.col("depth_before") <= 0).otherwise(F.col("_carried") == 0),
+            "is_start": code & F.when(indents, F.col("depth_before") <= 0).otherwise(F.col("_carried") == 0),
         }
     )
-    start = F.col("is_start")
     rows = rows.withColumns(
         {
             "stmt_indent": last(F.when(start, F.col("indent")), upto),
             "prev_indent": last(F.when(start, F.col("indent")), before),
             "_marked": last(F.when(start, F.col("is_marker")), upto),
-            "prev_code": last(F.when(code, F.col("line_no")), before),
-            "levels": F.collect_set(
-                F.when((F.col("mode") == "indent") & F.col("is_head") & start, F.col("indent"))
-            ).over(whole),
-            "shown_levels": F.collect_set(
-                F.when(F.col("show").isNotNull() & (F.col("depth_after") > F.col("base")), F.col("base") + BRACKETS)
-            ).over(whole),
-            "last_code": F.max(F.when(code, F.col("line_no"))).over(whole),
-            "last_line": F.max("line_no").over(whole),
-            "first_line": F.min("line_no").over(whole),
-            "_matter": F.min(F.when(F.col("masked").rlike(r"^---\s*$"), F.col("line_no"))).over(whole),
         }
-    )
-    rows = rows.withColumns(
+    ).withColumns(
         {
             "after_matter": (F.col("_matter") == F.col("first_line")) & (F.col("prev_code") == F.col("first_line")),
             "is_attach": F.col("attaches") & (F.col("is_note") | (code & _any("_marked"))),
             "_filled": code | F.col("is_note"),
         }
     )
+    opens_shown = F.col("show").isNotNull() & (F.col("depth_after") > F.col("base"))
     rows = rows.withColumns(
         {
             "_prev_attach": F.coalesce(last(F.when(F.col("_filled"), F.col("is_attach")), before), F.lit(False)),
-            "_prev_filled_indent": last(F.when(F.col("_filled"), F.col("indent")), before),
+            "_prev_indent": last(F.when(F.col("_filled"), F.col("indent")), before),
             "logical_end": F.coalesce(F.expr(f"lead(IF(is_start, prev_code, NULL)) IGNORE NULLS {spec}"), F.col("last_code")) + 1,
+            "levels": F.collect_set(F.when(indents & F.col("is_head") & start, F.col("indent"))).over(whole),
+            "shown_levels": F.collect_set(F.when(opens_shown, F.col("base") + BRACKETS)).over(whole),
         }
     )
-    same = (F.col("mode") != "indent") | (F.col("indent") == F.col("_prev_filled_indent"))
-    first = F.col("is_attach") & ~(F.col("_prev_attach") & same)
-    rows = rows.withColumn("_run_first", F.when(first, F.col("line_no")))
+    joins = F.col("_prev_attach") & (~indents | (F.col("indent") == F.col("_prev_indent")))
+    rows = rows.withColumn("_run_first", F.when(F.col("is_attach") & ~joins, line))
     rows = rows.withColumns({"_run_start": last(F.col("_run_first"), upto), "_above": last(F.col("_run_first"), before)})
-    rows = rows.withColumn("attach_start", F.when(F.col("_prev_attach") & same, F.col("_above")))
-    marker = F.col("is_marker") & start
-    rows = rows.withColumn("_marker_run", last(F.when(marker, F.col("_run_start")), before))
-    opening = marker & ~F.col("_marker_run").eqNullSafe(F.col("_run_start"))
-    rows = rows.withColumn("_marker_start", last(F.when(opening, F.col("line_no")), before))
-    rows = rows.withColumn(
-        "marker_start",
-        F.when(F.col("_marker_start") >= F.col("attach_start"), F.col("_marker_start")).otherwise(F.col("attach_start")),
+    opening = F.col("is_marker") & start & (F.col("prev_marker").isNull() | (F.col("prev_marker") < F.col("_run_start")))
+    rows = rows.withColumns(
+        {
+            "attach_start": F.when(joins, F.col("_above")),
+            "_marker_start": last(F.when(opening, line), before),
+        }
     )
-    return rows.drop(*[c for c in rows.columns if c.startswith("_")], "goes_on", "picks_up", "opens", "closes", "is_note", "note_indent", "is_marker")
+    rows = rows.withColumn("marker_start", F.greatest("attach_start", F.when(F.col("attach_start").isNotNull(), F.col("_marker_start"))))
+    return rows.drop(*[c for c in rows.columns if c.startswith("_")])
 
 
-def _event(kind: str, level: Column, order: int, **values: Column) -> Column:
-    fields = {
-        "level": level.cast("int"),
-        "ord": F.lit(order),
-        "close_end": F.lit(None).cast("int"),
-        "dip_end": F.lit(None).cast("int"),
-        "is_open": F.lit(kind == "open"),
-        "is_probe": F.lit(kind == "probe"),
-        "eof_end": F.lit(None).cast("int"),
-        "head_end": F.lit(None).cast("int"),
-        "row_head": F.lit(None).cast("boolean"),
-        "show": F.lit(None).cast("string"),
-        "opener": F.lit(None).cast("string"),
-        **values,
-    }
-    return F.struct(*[v.alias(k) for k, v in fields.items()])
+def asking_rows(rows: DataFrame) -> DataFrame:
+    """Drop the many rows that open, close and define nothing."""
+    return rows.where(
+        """has_defs OR (is_code AND (depth_after <> depth_before OR base <> depth_before OR mode = 'heading' OR (
+            mode = 'indent' AND is_start AND (is_head OR indent < prev_indent OR array_contains(levels, indent)))))"""
+    )
 
 
-def _levels(low: Column, high: Column, make: Callable[[Column], Column], when: Column) -> Column:
-    """Events for the levels low..high, both included."""
-    return F.when(when & (high >= low), F.transform(F.sequence(low, high), make)).otherwise(F.array())
+CLOSE, PROBE, OPEN, OWN = 0, 1, 2, 3  # order of events of one row inside one level
 
 
-def nesting_events(rows: DataFrame) -> Column:
-    """Array of the events that a row sends; ``has_defs`` rows also ask what lies around them."""
-    line, base, after, depth = (F.col(c) for c in ("line_no", "base", "depth_after", "depth_before"))
-    code, indents, headings = F.col("is_code"), F.col("mode") == "indent", F.col("mode") == "heading"
-    has_defs = F.col("has_defs")
-    next_row = line + 1
-    code_end = F.col("prev_code") + 1
-
-    own_indent = indents & F.col("is_start")
-    closed = F.filter("levels", lambda x: (x >= F.col("indent")) & (x <= F.col("prev_indent")))
-    indent_close = F.when(own_indent, F.transform(closed, lambda x: _event("close", x, 0, close_end=code_end))).otherwise(F.array())
-    indent_open = F.when(
-        own_indent & F.col("is_head"),
-        F.array(
-            _event(
-                "open", F.col("indent"), 2,
-                eof_end=F.col("last_code") + 1,
-                head_end=F.when(F.col("show") == "ROW", next_row).otherwise(F.col("logical_end")),
-                show=F.col("show"),
-            )
-        ),
-    ).otherwise(F.array())
-
-    low = F.greatest(after, F.lit(0))
-    bracket_close = _levels(
-        low + BRACKETS, depth - 1 + BRACKETS,
-        lambda x: _event("close", x, 0, close_end=next_row, dip_end=next_row), code & (after < depth),
+def _events(levels: str, order: int, close_end: str = "NULL", dip_end: str = "NULL") -> str:
+    """SQL for an array of events, one per level of the given array."""
+    return (
+        f"transform({levels}, x -> named_struct('level', CAST(x AS INT), 'ord', {order}, "
+        f"'close_end', CAST({close_end} AS INT), 'dip_end', CAST({dip_end} AS INT)))"
     )
-    bracket_dip = _levels(
-        F.greatest(base, F.lit(0)) + BRACKETS, F.least(after, depth) - 1 + BRACKETS,
-        lambda x: _event("close", x, 0, dip_end=next_row), code & (F.col("lead_close") > 0),
+
+
+def _span(low: str, high: str) -> str:
+    return f"IF(({high}) >= ({low}), sequence({low}, {high}), array())"
+
+
+def nesting_events() -> Column:
+    """Array of the events that a row sends; ``has_defs`` rows also ask what lies around them."""
+    none = "CAST(array() AS array<struct<level:int,ord:int,close_end:int,dip_end:int>>)"
+    low = f"greatest(depth_after, 0) + {BRACKETS}"
+    dips = f"greatest(base, 0) + {BRACKETS}"
+    every_rank = f"sequence({HEADINGS}, {HEADINGS + RANKS})"
+    around = (
+        f"filter(array_union(levels, shown_levels), x -> IF(x < {BRACKETS}, x < stmt_indent, x < base + {BRACKETS - 1}))"
     )
-    bracket_open = F.when(
-        code & (after > base) & (base >= 0),
-        F.array(
-            _event(
-                "open", base + BRACKETS, 2,
-                eof_end=F.col("last_code") + 1,
-                row_head=(F.col("show") == "ROW") | ~F.col("opener").rlike(r"^[(\[]"),
-                show=F.when(~indents | F.col("is_start"), F.col("show")),
-                opener=F.col("opener"),
-            )
-        ),
-    ).otherwise(F.array())
-
-    is_heading = headings & F.col("rank").isNotNull()
-    heading_end = F.when(F.col("language") == "Markdown", line).otherwise(code_end)
-    lowest = F.coalesce(F.when(F.col("rank").isNull(), F.lit(1)), F.col("rank"))
-    closes_all = (F.col("language") == "TeX") & F.col("masked").rlike(r"\\end\s*\{document\}")
-    heading_close = F.when(
-        is_heading | closes_all,
-        F.concat(
-            F.array(_event("close", F.lit(HEADINGS), 0, close_end=heading_end)),
-            F.transform(F.sequence(lowest + HEADINGS, F.lit(HEADINGS + RANKS)), lambda x: _event("close", x, 0, close_end=heading_end)),
-        ),
-    ).otherwise(F.array())
-    first_content = headings & code & ~is_heading & F.col("prev_code").isNull() & ~F.col("masked").rlike(r"^---\s*$")
-    after_matter = headings & code & ~is_heading & F.col("after_matter")
-    eof = F.when(F.col("language") == "Markdown", F.col("last_line")).otherwise(F.col("last_code")) + 1
-    heading_open = F.when(
-        is_heading | first_content | after_matter,
-        F.array(
-            _event(
-                "open", F.when(is_heading, F.col("rank")).otherwise(0) + HEADINGS, 2,
-                eof_end=eof, head_end=next_row, show=F.when(is_heading, F.lit("ROW")),
-            )
-        ),
-    ).otherwise(F.array())
-
-    around = F.filter(
-        F.array_union(F.col("levels"), F.col("shown_levels")),
-        lambda x: F.when(x < BRACKETS, x < F.col("stmt_indent")).otherwise(x < base + BRACKETS - 1),
+    asked = (
+        f"concat({around}, IF(base > 0, array(base + {BRACKETS - 1}), array()),"
+        f" IF(lead_close > 0 AND base >= 0, array(base + {BRACKETS}), array()),"
+        f" IF(mode = 'heading', sequence({HEADINGS}, {HEADINGS} + coalesce(rank - 1, {RANKS})), array()))"
     )
-    asked = F.concat(
-        around,
-        F.when(base > 0, F.array(base + (BRACKETS - 1))).otherwise(F.array()),
-        F.when((F.col("lead_close") > 0) & (base >= 0), F.array(base + BRACKETS)).otherwise(F.array()),
-        F.when(headings, F.sequence(F.lit(HEADINGS), F.lit(HEADINGS) + F.coalesce(F.col("rank") - 1, F.lit(RANKS)))).otherwise(F.array()),
+    parts = [
+        # indents: a statement closes all blocks that are as deep or deeper
+        ("is_indent", _events("filter(levels, x -> x >= indent AND x <= prev_indent)", CLOSE, "prev_code + 1")),
+        ("is_indent AND is_head", _events("array(indent)", OPEN)),
+        # brackets
+        ("is_code AND depth_after < depth_before", _events(_span(low, f"depth_before + {BRACKETS - 1}"), CLOSE, "line_no + 1", "line_no + 1")),
+        ("is_code AND lead_close > 0", _events(_span(dips, f"least(depth_after, depth_before) + {BRACKETS - 1}"), CLOSE, "NULL", "line_no + 1")),
+        ("opens_bracket", _events(f"array(base + {BRACKETS})", OPEN)),
+        # headings: one closes all of its rank and below, and the rows before the first one
+        ("is_heading OR ends_headings", _events(f"filter({every_rank}, x -> x = {HEADINGS} OR x >= {HEADINGS} + coalesce(rank, 1))", CLOSE, "IF(language = 'Markdown', line_no, prev_code + 1)")),
+        ("is_heading OR is_first_text", _events(f"array({HEADINGS} + IF(is_heading, rank, 0))", OPEN)),
+        ("has_defs", _events(asked, PROBE)),
+        ("has_defs", _events("array(-1)", OWN)),
+    ]
+    return F.expr("concat(" + ", ".join(f"IF({test}, {events}, {none})" for test, events in parts) + ")")
+
+
+def code_events(rows: DataFrame) -> DataFrame:
+    """Events of code rows, with what ``nest`` has to know of those that open a block."""
+    rows = rows.withColumns(
+        {
+            "is_indent": F.expr("mode = 'indent' AND is_start"),
+            "is_heading": F.expr("mode = 'heading' AND is_code AND rank IS NOT NULL"),
+            "ends_headings": F.expr(f"mode = 'heading' AND language = 'TeX' AND masked RLIKE {literal(LAST_END)}"),
+            "is_first_text": F.expr(
+                "mode = 'heading' AND is_code AND rank IS NULL AND NOT is_matter AND (prev_code IS NULL OR after_matter)"
+            ),
+            "opens_bracket": F.expr("is_code AND depth_after > base AND base >= 0"),
+        }
+    ).withColumn("events", nesting_events())
+    return rows.where(F.size("events") > 0).selectExpr(
+        *KEYS,
+        "line_no AS place",
+        "has_defs",
+        "named_struct('language', language, 'line_no', line_no, 'found', found, 'base', base, 'attach_start', attach_start,"
+        " 'marker_start', marker_start) AS own",
+        "events",
+        "IF(language = 'Markdown', last_line, last_code) + 1 AS eof_end",
+        """CASE WHEN is_heading OR show = 'ROW' THEN line_no + 1
+            WHEN mode = 'indent' THEN logical_end
+            WHEN NOT left(opener, 1) IN ('(', '[') THEN line_no + 1 END AS head_end""",
+        "CASE WHEN is_heading THEN 'ROW' WHEN mode <> 'indent' OR is_start THEN show END AS show",
+        "opener",
     )
-    probes = F.when(has_defs, F.transform(asked, lambda x: _event("probe", x, 1))).otherwise(F.array())
-    own = F.when(has_defs, F.array(_event("own", F.lit(-1), 3))).otherwise(F.array())
-    return F.concat(indent_close, indent_open, bracket_close, bracket_dip, bracket_open, heading_close, heading_open, probes, own)
 
 
-def nest(rows: DataFrame, order: str, carried: list[str]) -> DataFrame:
+def nest(sent: DataFrame) -> DataFrame:
     """Answer the events: per asking row its own block ends and the blocks around it.
 
-    ``rows`` has ``events``; the ``carried`` columns come back unchanged. Block ends come from
-    the next close, blocks around from the last open, each inside one level.
+    Block ends come from the next close, blocks around from the last open, each inside one
+    level. What a row carries in ``own`` comes back as columns.
     """
-    keys = [*KEYS, order]
-    own = F.struct(*carried)
-    flat = rows.select(*keys, "has_defs", own.alias("_own"), F.explode("events").alias("e")).select(
-        *keys, "has_defs", F.when(F.col("e.level") == -1, F.col("_own")).alias("_own"), "e.*"
+    flat = sent.selectExpr(*KEYS, "place", "has_defs", "own", "eof_end", "head_end", "show", "opener", "inline(events)").selectExpr(
+        *KEYS, "place", "has_defs", "level", "ord", "close_end", "dip_end", "eof_end", "head_end", "show",
+        f"IF(ord = {OPEN}, opener, NULL) AS opener", f"IF(ord = {OWN}, own, NULL) AS own",
     )
-    spec = f"OVER (PARTITION BY file_id, unit, level ORDER BY {order}, ord)"
-    flat = flat.withColumns(
-        {
-            "_end": F.coalesce(F.expr(f"lead(close_end) IGNORE NULLS {spec}"), F.col("eof_end")),
-            "_dip": F.coalesce(F.expr(f"lead(dip_end) IGNORE NULLS {spec}"), F.col("eof_end")),
-        }
+    spec = "OVER (PARTITION BY file_id, unit, level ORDER BY place, ord)"
+    ended = flat.selectExpr(
+        "*",
+        f"coalesce(lead(close_end) IGNORE NULLS {spec}, eof_end) AS end_line",
+        f"coalesce(head_end, lead(dip_end) IGNORE NULLS {spec}, eof_end) AS shown_end",
     )
-    upto = Window.partitionBy(*KEYS, "level").orderBy(order, "ord").rowsBetween(Window.unboundedPreceding, 0)
-    head = F.when(F.col("head_end").isNotNull(), F.col("head_end")).when(F.col("row_head"), F.col(order) + 1).otherwise(F.col("_dip"))
-    opened = F.when(
-        F.col("is_open"),
-        F.struct(
-            "level",
-            F.col(order).alias("start_line"),
-            F.col("_end").alias("end_line"),
-            F.least(head, F.col("_end")).alias("head_end"),
-            "show",
-            "opener",
-        ),
+    opened = (
+        f"IF(ord = {OPEN}, named_struct('level', level, 'start_line', place, 'end_line', end_line,"
+        " 'head_end', least(shown_end, end_line), 'show', show, 'opener', opener), NULL)"
     )
-    flat = flat.withColumns({"_head": F.least(head, F.col("_end")), "_around": F.last(opened, ignorenulls=True).over(upto)})
-    kept = flat.where(F.col("has_defs") & (F.col("is_open") | F.col("is_probe") | (F.col("level") == -1)))
-    around = F.when(F.col("is_probe") & (F.col("_around.end_line") > F.col(order)), F.col("_around"))
+    around = ended.selectExpr("*", f"last({opened}) IGNORE NULLS {spec[:-1]} ROWS UNBOUNDED PRECEDING) AS around_it")
+    bracket = f"ord = {OPEN} AND level BETWEEN {BRACKETS} AND {HEADINGS - 1}"
     return (
-        kept.groupBy(*keys)
+        around.where(f"has_defs AND ord > {CLOSE}")
+        .groupBy(*KEYS, "place")
         .agg(
-            F.first("_own", ignorenulls=True).alias("_own"),
-            F.max(F.when(F.col("is_open") & F.col("level").between(BRACKETS, HEADINGS - 1), F.col("_end"))).alias("bracket_end"),
-            F.max(F.when(F.col("is_open") & ~F.col("level").between(BRACKETS, HEADINGS - 1), F.col("_end"))).alias("block_end"),
-            F.max(F.when(F.col("is_open") & (F.col("show") == "HEADER"), F.col("_head"))).alias("own_head"),
-            F.collect_list(around).alias("around"),
+            F.expr("first(own, true) AS own"),
+            F.expr(f"max(IF({bracket}, end_line, NULL)) AS bracket_end"),
+            F.expr(f"max(IF(ord = {OPEN} AND NOT level BETWEEN {BRACKETS} AND {HEADINGS - 1}, end_line, NULL)) AS block_end"),
+            F.expr(f"max(IF({bracket} AND show = 'HEADER', least(shown_end, end_line), NULL)) AS own_head"),
+            F.expr(f"collect_list(IF(ord = {PROBE} AND around_it.end_line > place, around_it, NULL)) AS around"),
         )
-        .select(*keys, "_own.*", "bracket_end", "block_end", "own_head", "around")
+        .selectExpr(*KEYS, "place", "own.*", "bracket_end", "block_end", "own_head", "around")
     )

@@ -66,8 +66,7 @@ def extract(
     units = units_of(files, languages, max_depth)
     if fragment_pattern is not None:
         units = units.where((F.col("depth") == 0) | F.col("content").rlike(fragment_pattern))
-    empty = F.array().cast("array<struct<start_line:int,end_line:int>>")
-    shaped = units.withColumn("context", empty).select("file_id", "unit", "language", "start_line", "content", "context")
+    shaped = units.select("file_id", "unit", "language", "start_line", "content")
     line_languages = [x for names in lexis for x in names]
     found = D.definitions(shaped.where(F.col("language").isin(*line_languages)), kept_rules, contexts, lexis, keep)
     if languages is None or "HTML" in languages:

@@ -270,6 +270,30 @@ RULES: list[Rule] = [
     Rule(YML, "yaml_flow_key_row", "key", r"""^\s*("[^"\n]*"|'[^'\n]*'|[^\s"'{}\[\],:]+)\s*:(?=\s|["'{\[]|$)""", "LOGICAL", parent=r"^\{", transform="yaml_quotes"),
 ]
 
+# Words without which a rule cannot match.
+NEEDS: dict[str, str] = {
+    "py_block": "def class", "py_assign": "=", "py_assign_next": "=", "py_annotation": ":", "py_scope": "global nonlocal",
+    "py_type": "type", "py_import_as": "as", "py_import_as_row": "as", "py_as": "as", "py_as_row": "as", "py_key": ":",
+    "py_key_inline": ":", "py_param": "def", "py_lambda": "lambda", "py_for": "for", "py_comprehension": "for",
+    "py_setattr": "setattr", "py_setitem": "__set", "cy_constant": "DEF", "cy_function": "def", "cy_class": "def",
+    "cy_variable": "def", "cy_typedef": "ctypedef", "cy_param": "def", "cy_property": "property", "cy_for_from": "for", "cy_for": "for",
+    "js_function": "function", "js_method": "(", "js_method_rows": "(", "js_param": "function", "js_param_arrow": "=>",
+    "js_param_method": "(", "js_variable": "let const var", "js_variable_next": "let const var", "js_array_pattern": "=",
+    "js_object_pattern": "=", "js_assign": "=", "js_key": ":", "js_key_bare": ":", "js_key_inline": ":", "js_class": "class",
+    "ts_block": "interface enum namespace module", "ts_type": "type", "ts_abstract": "abstract", "ts_alias": "as",
+    "ts_alias_row": "as", "tsx_attribute": "=", "c_macro": "#", "c_struct": "struct", "c_typedef": "typedef",
+    "c_typedef_function": "typedef", "c_closing_name": "}", "c_function": "(", "c_param": "(", "c_param_function": "*",
+    "c_assign": "=", "cxx_assign": "=", "cxx_constructor": "(", "cxx_class": "class", "cxx_namespace": "namespace",
+    "cxx_type_parameter": "template", "cxx_initializer": "( {", "go_type": "type", "go_function": "func", "go_method": "func",
+    "go_param": "func", "go_assign": "=", "rs_function": "fn", "rs_let": "let", "rs_macro": "macro_rules", "rs_impl": "impl",
+    "rs_impl_for": "impl", "rs_field": ":", "rs_field_inline": ":", "rs_use_as": "as", "rs_use_as_row": "as",
+    "lua_function": "function", "lua_assign": "=", "lua_local": "local", "lua_for": "for", "lua_field": "=",
+    "lua_field_inline": "=", "lua_param": "function", "lua_label": "::", "sh_assign": "=", "sh_for": "for", "css_class": ".",
+    "css_id": "#", "md_section": "#", "tex_label": "label", "tex_label_inside": "label", "yaml_anchor": "&", "yaml_key": ":",
+    "yaml_flow_key": ":", "yaml_flow_key_row": ":",
+}
+RULES = [rule._replace(needs=NEEDS.get(rule.rule_id, "")) for rule in RULES]
+
 CONTEXTS: list[Context] = [
     Context(PY, r"^\s*(?:async\s+)?(?:def|class|with|for|cdef|cpdef|ctypedef\s+(?:class|struct|enum|union|fused)|property)\b", "HEADER"),
     Context(PY, r"^\s*from\b.*\bimport\b", "WHOLE"),
