@@ -71,6 +71,8 @@ TRANSFORMS: dict[str, str] = {
     "shell_function": f"regexp_extract({{name}}, {literal(SHELL_NAME)}, 1)",
 }
 
+HELPERS = ("fragment", "call", "import", "dotted")  # rows that are no definitions themselves
+
 BARE = r"\[[^\[\]]*\]|\{[^{}]*\}|(?<==\s?)[\w.]*\([^()]*\)"
 UNPAIRED = r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}"
 
@@ -124,8 +126,8 @@ def row_definitions(rules: list[Rule], keep: Callable[[Column], Column] | None)
     found = F.expr(f"CASE {' '.join(cases)} ELSE {empty} END") if cases else F.expr(empty)
     if keep is None:
         return found
-    fragments = [i for i, rule in enumerate(rules) if rule.kind == "fragment"]
-    return F.filter(found, lambda d: d["rule"].isin(*fragments) | keep(d["names"]) if fragments else keep(d["names"]))
+    helpers = [i for i, rule in enumerate(rules) if rule.kind in HELPERS]
+    return F.filter(found, lambda d: d["rule"].isin(*helpers) | keep(d["names"]) if helpers else keep(d["names"]))
 
 
 def _pick(rules: list[Rule], value: Callable[[Rule], str]) -> Column:
@@ -227,4 +229,6 @@ def _ranges(placed: DataFrame, rules: list[Rule]) -> DataFrame:
         F.concat(own, attached, signature, headers).alias("ranges"),
         above.alias("attach_start"),
         headers.alias("headers"),
+        F.transform("around", lambda b: b["start_line"]).alias("hosts"),
+        F.col("_parent").alias("opener"),
     )

@@ -152,4 +152,5 @@ def _as_definitions(placed: DataFrame) -> DataFrame:
         F.col("d.own.start_line").alias("start_line"), F.col("d.own.end_line").alias("end_line"),
         F.concat(F.array("d.own"), "headers").alias("ranges"),
         F.lit(None).cast("int").alias("attach_start"), "headers",
+        F.array().cast("array<int>").alias("hosts"), F.lit("").alias("opener"),
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import definitions as D
 from ..operators import fragments as FR
 from ..operators.html import page_definitions
-from ..rules.builtin import CONTEXTS, LEXIS, RULES
+from ..rules.builtin import CONTEXTS, LEXIS, REFERENCES, RULES
 from ..rules.model import Context, Lexis, Rule
 
 
@@ -54,15 +54,18 @@ def extract(
     languages: tuple[str, ...] | None = None,
     rules: list[Rule] = RULES,
     keep: Callable[[Column], Column] | None = None,
-    fragment_pattern: Column | None = None,
+    fragment_pattern: str | None = None,
     max_depth: int = FR.MAX_DEPTH,
+    references: bool = False,
 ) -> DataFrame:
     """Definitions of a corpus of ``file_id, language, content``.
 
+    With ``references`` the result also has rows of kind ``call``, ``import`` and ``dotted``.
+
     ``languages`` names the languages that the corpus can hold, fragments included.
     ``fragment_pattern`` skips fragments in which the searched text does not occur.
     """
-    kept_rules, contexts, lexis = _for_languages(languages, rules)
+    kept_rules, contexts, lexis = _for_languages(languages, [*rules, *REFERENCES] if references else rules)
     units = units_of(files, languages, max_depth)
     if fragment_pattern is not None:
         units = units.where((F.col("depth") == 0) | F.col("content").rlike(fragment_pattern))

@@ -317,7 +317,15 @@ CONTEXTS: list[Context] = [
     Context(TEX, r"\\begin\b", "ROW"),
 ]
 
-# Calls that may be followed to the definition of what is called.
-CALL_LANGUAGES = PY
-CALL = r"([A-Za-z_\u0080-\uDFFF]\w*)\s*\("
-CALL_NOT = r"(?:def|class|lambda|if|elif|while|for|in|not|and|or|return|yield|assert|del|raise|print|with|as|is|import|from|else|except|await|async|global|nonlocal|pass|case|match)"
+CALL_NOT = (
+    r"(?:if|elif|while|for|in|not|and|or|return|yield|assert|del|raise|print|with|as|is|import|from|else|except|await|async"
+    r"|global|nonlocal|pass|case|match|lambda|def|class)"
+)
+
+# Rows that refer to names: calls that may be followed, and imports that tell where to look.
+REFERENCES: list[Rule] = [
+    Rule(PY, "py_call", "call", rf"(?<!\bdef\s)(?<!\bclass\s)(?<!\w)(?!{CALL_NOT}\b)([A-Za-z_\u0080-\uDFFF]\w*)\s*\(", needs="("),
+    Rule(PY, "py_from", "import", r"^\s*(from\s+\S+\s+import\b.*?)\s*$", needs="import"),
+    Rule(PY, "py_from_row", "import", r"^\s*([^()]*?)\s*$", parent=r"^\(\s*from\b"),
+    Rule(PY, "py_dotted", "dotted", r"(?<![\w.])([A-Za-z_\u0080-\uDFFF]\w*(?:\.\w+)+)", needs=".", gate=r"^(?!\s*(?:from|import)\b)"),
+]
