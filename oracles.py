@@ -7,7 +7,7 @@ from derived_corpora import md_sql, py_sql
 DOC_LINES = """l AS (
   SELECT doc_id, unnest(generate_series(0, len(s) - 1)) AS line_no, unnest(s) AS text FROM (
     SELECT doc_id, list_transform(string_split(CASE WHEN right(text, 1) = chr(10) THEN left(text, length(text) - 1) ELSE text END, chr(10)),
-      x -> regexp_replace(x, '\\r$', '')) AS s FROM documents WHERE length(text) > 0))"""
+      lambda x: regexp_replace(x, '\\r$', '')) AS s FROM documents WHERE length(text) > 0))"""
 HIT_ROWS = f"{DOC_LINES}, r AS (SELECT doc_id, line_no FROM l WHERE regexp_matches(text, 'qu|der|sh '))"
 # rows to show with a single hidden row between two hits filled in
 FILLED = """f AS (
@@ -33,7 +33,7 @@ BRAND_PATH = "concat('src/parts/', lower(replace(p_brand, '#', '_')), '.py')"
 CALLED = "(SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_linenumber <= 2)"
 STYLES = """w AS (SELECT DISTINCT lower(concat_ws(' ', p_name, p_type)) AS w FROM part),
   s AS (SELECT w, unnest([replace(w, ' ', '_'), replace(w, ' ', '-'),
-    list_aggregate(list_transform(string_split(w, ' '), x -> concat(upper(left(x, 1)), substr(x, 2))), 'string_agg', '')]) AS name FROM w)"""
+    list_aggregate(list_transform(string_split(w, ' '), lambda x: concat(upper(left(x, 1)), substr(x, 2))), 'string_agg', '')]) AS name FROM w)"""
 ENTITY = "&(?:#(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,5})|[A-Za-z]{1,30});?"
 
 ORACLES: dict[str, str] = {
@@ -61,10 +61,10 @@ ORACLES: dict[str, str] = {
           UNION ALL SELECT 'Python' FROM (SELECT DISTINCT p_brand FROM part)
           UNION ALL SELECT 'Python') GROUP BY language""",
     "language_candidates": """WITH b AS (SELECT p_partkey, p_size % 8 AS o, p_partkey % 8 AS n, ['C', 'C++', 'Objective-C'] AS c FROM part),
-          s AS (SELECT p_partkey, list_filter(c, (x, i) -> (o // CAST(2 ** (i - 1) AS INT)) % 2 = 1) AS old,
-            list_filter(c, (x, i) -> (n // CAST(2 ** (i - 1) AS INT)) % 2 = 1) AS new FROM b),
-          t AS (SELECT p_partkey, old, new, list_filter(new, x -> list_contains(old, x)) AS both FROM s)
-          SELECT p_partkey, array_to_string(CASE WHEN len(old) = 0 THEN new WHEN len(both) = 0 THEN old ELSE both END, ',') AS candidates FROM t""",
+          s AS (SELECT p_partkey, list_filter(c, lambda x, i: (o // CAST(2 ** (i - 1) AS INT)) % 2 = 1) AS old,
+            list_filter(c, lambda x, i: (n // CAST(2 ** (i - 1) AS INT)) % 2 = 1) AS new FROM b),
+          t AS (SELECT p_partkey, old, new, list_filter(new, lambda x: list_contains(old, x)) AS common FROM s)
+          SELECT p_partkey, array_to_string(CASE WHEN len(old) = 0 THEN new WHEN len(common) = 0 THEN old ELSE common END, ',') AS candidates FROM t""",
     "alias_lookup": """WITH t(k, hint, language) AS (VALUES (0, 'PY', 'Python'), (1, 'js', 'JavaScript'), (2, 'TS', 'TypeScript'),
             (3, 'CPlusPlus', 'C++'), (4, 'golang', 'Go'), (5, 'rust', 'Rust'), (6, 'md', 'Markdown'), (7, 'Bash', 'Shell'))
           SELECT p_partkey, CASE WHEN p_size > 40 THEN concat(hint, '?') ELSE hint END AS hint,

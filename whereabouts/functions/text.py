@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .sql import literal
+
 _BASE = 0xE000
 # Printable ASCII outside [0-9A-Za-z_], with tab.
 HIDDEN = "\t " + "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"
@@ -29,38 +31,33 @@ def split_lines(content: Column) -> Column:
     return F.when(F.length(content) == 0, F.array().cast("array<string>")).otherwise(rows)
 
 
-def _hide(token: Column, comment: str, shows_first: bool) -> Column:
-    size = F.length(token)
-    inner = F.translate(F.substring(token, F.lit(2), size - 2), HIDDEN, COVER)
-    many = F.instr(token, "\n") > 0
-    first = F.when(many, F.lit(TEXT_OPEN)).otherwise(F.left(token, F.lit(1)))
-    last = F.when(many, F.lit(TEXT_CLOSE)).otherwise(F.right(token, F.lit(1)))
-    quoted = F.when(size < 2, token).otherwise(F.concat(first, inner, last))
-    if not comment:
-        return quoted
-    blank = F.regexp_replace(token, "[^\n]", " ")
+def _hide(comment: str, shows_first: bool) -> str:
+    """SQL for a hidden token ``t``: comments blank, literals covered between their quotes."""
+    many = "instr(t, '\\n') > 0"
+    inner = f"translate(substring(t, 2, length(t) - 2), {literal(HIDDEN)}, {literal(COVER)})"
+    first = f"IF({many}, {literal(TEXT_OPEN)}, left(t, 1))"
+    last = f"IF({many}, {literal(TEXT_CLOSE)}, right(t, 1))"
+    quoted = f"IF(length(t) < 2, t, concat({first}, {inner}, {last}))"
+    blank = "regexp_replace(t, '[^\\n]', ' ')"
     if shows_first:
-        row = F.substring_index(token, "\n", 1)
-        blank = F.concat(row, F.substring(blank, F.length(row) + 1, size))
-    return F.when(token.rlike(comment), blank).otherwise(quoted)
+        row = "substring_index(t, '\\n', 1)"
+        blank = f"concat({row}, substring({blank}, length({row}) + 1))"
+    return f"IF(t RLIKE {literal(comment)}, {blank}, {quoted})"
 
 
-def mask(content: Column, token: str, comment: str, shows_first: bool = False) -> Column:
+def mask_sql(content: str, token: str, comment: str, shows_first: bool = False) -> str:
     """Hide what ``token`` matches; tokens that match ``comment`` turn to blanks."""
-    gaps = F.split(content, token, -1)
-    tokens = F.array_append(F.regexp_extract_all(content, F.lit(token), F.lit(0)), F.lit(""))
-    pieces = F.zip_with(gaps, tokens, lambda g, t: F.concat(g, F.when(t == "", t).otherwise(_hide(t, comment, shows_first))))
-    return F.array_join(pieces, "")
+    found = f"array_append(regexp_extract_all({content}, {literal(token)}, 0), '')"
+    return (
+        f"array_join(zip_with(split({content}, {literal(token)}, -1), {found},"
+        f" (g, t) -> concat(g, IF(t = '', t, {_hide(comment, shows_first)}))), '')"
+    )
 
 
 def unmask(name: Column) -> Column:
     return F.translate(name, COVER, HIDDEN)
 
 
-def count_of(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern))
-
-
 def count_chars(text: Column, chars: str) -> Column:
     """How many characters of ``text`` are among ``chars``."""
     return F.length(text) - F.length(F.translate(text, chars, ""))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -73,7 +74,7 @@ TRANSFORMS: dict[str, str] = {
 
 HELPERS = ("fragment", "call", "import", "dotted")  # rows that are no definitions themselves
 
-BARE = r"\[[^\[\]]*\]|\{[^{}]*\}|(?<==\s?)[\w.]*\([^()]*\)"
+BARE = r"\[[^\[\]]*\]|\{[^{}]*\}|(?<==\s?)[\w.]+\([^()]*\)"
 UNPAIRED = r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}"
 
 
@@ -91,7 +92,7 @@ def rule_names(rule: Rule) -> str:
     name = TRANSFORMS.get(rule.transform, "{name}").replace("{name}", "x")
     names = f"transform({names}, x -> translate(trim({name}), {literal(T.COVER)}, {literal(T.HIDDEN)}))"
     tests = []
-    if rule.parent:
+    if rule.parent and not re.match(rule.parent, ""):
         tests.append("base > 0")
     if rule.start:
         tests.append("is_start")
@@ -197,11 +198,11 @@ def _ranges(placed: DataFrame, rules: list[Rule]) -> DataFrame:
         {
             "start_line": F.when(policy == "CLOSES", F.col("_closed.start_line"))
             .when(policy == "INSIDE", F.col("_inside.s"))
-            .when(policy == "SECTION", F.col("_section.s"))
+            .when(policy == "SECTION", F.coalesce("_section.s", F.when(F.col("block_end").isNotNull(), line)))
             .otherwise(line),
             "end_line": F.when(policy == "CLOSES", F.col("_closed.end_line"))
             .when(policy == "INSIDE", F.col("_inside.e"))
-            .when(policy == "SECTION", F.col("_section.e"))
+            .when(policy == "SECTION", F.coalesce("_section.e", "block_end"))
             .when(policy == "BLOCK", F.coalesce("block_end", "bracket_end", line + 1))
             .when(policy == "LOGICAL", F.coalesce("bracket_end", line + 1))
             .otherwise(line + 1),

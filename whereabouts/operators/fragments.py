@@ -72,6 +72,11 @@ def fragments_of(content: Column, language: Column, first: Column) -> Column:
     return F.when(language == "Markdown", fences).when(language == "HTML", pages).otherwise(empty)
 
 
+def _one_argument(make, depth: int):
+    """A one-argument function, as ``transform`` asks for; a default would be taken as the index."""
+    return lambda parent: make(depth, parent)
+
+
 def with_fragments(files: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Units of a corpus: each file, then its fragments, theirs, and so on.
 
@@ -80,7 +85,7 @@ def with_fragments(files: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """
     shape = "array<struct<unit:string,parent:string,depth:int,line_no:int,start_line:int,language:string,hint:string,content:string>>"
 
-    def inside(parent: Column, depth: int) -> Column:
+    def inside(depth: int, parent: Column) -> Column:
         is_page = parent["language"] == "HTML"
         found = fragments_of(parent["content"], parent["language"], parent["start_line"])
         return F.transform(
@@ -108,7 +113,7 @@ def with_fragments(files: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     is_container = F.col("language").isin(*CONTAINERS)
     for depth in range(1, max_depth + 1):
         above = F.col(f"_u{depth - 1}")
-        found = F.flatten(F.transform(above, lambda u, d=depth: inside(u, d))).cast(shape)
+        found = F.flatten(F.transform(above, _one_argument(inside, depth))).cast(shape)
         units = units.withColumn(f"_u{depth}", F.when(is_container & (F.size(above) > 0), found).otherwise(F.array().cast(shape)))
     every = F.concat(*[F.col(f"_u{d}") for d in range(max_depth + 1)])
     others = [c for c in files.columns if c not in ("content", "language")]

@@ -16,6 +16,7 @@ from .structure import BRACKETS, CLOSE, KEYS, OPEN, OWN, PROBE, _events, nest
 
 PIECE = r"<!--(?s:.*?)-->|(?i:<(script|style)\b)[^>]*>(?s:.*?)(?i:</\1\s*>)|</?[A-Za-z][^>]*>|[^<]+|<"
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+ENTITY = r"&(?:#(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,5})|[A-Za-z]{1,30});?"  # ends a text, as a tag does
 ATTRIBUTE = r"""(?<=\s)(?:id|name)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
 
@@ -64,7 +65,7 @@ def page_definitions(units: DataFrame, keep: Callable[[Column], Column] | None =
     """Definitions of HTML units, in the shape that ``definitions`` gives."""
     rows = pieces(units)
     piece, kind, depth = F.col("piece"), F.col("kind"), F.col("depth")
-    texts = F.filter(F.transform(F.split(piece, "&"), lambda x: F.regexp_replace(x, r"^\s+|\s+\z", "")), lambda x: x != "")
+    texts = F.filter(F.transform(F.split(piece, ENTITY), lambda x: F.regexp_replace(x, r"^\s+|\s+\z", "")), lambda x: x != "")
     head = F.regexp_extract(piece, r"^<[^>]*>", 0)
     values = F.flatten(F.array(*[F.regexp_extract_all(head, F.lit(ATTRIBUTE), F.lit(g)) for g in (1, 2, 3)]))
     names = F.when(kind == "text", texts).when(
@@ -76,18 +77,16 @@ def page_definitions(units: DataFrame, keep: Callable[[Column], Column] | None =
     if keep is not None:
         wanted = wanted & keep(F.col("names"))
     is_fragment = kind == "whole"
-    spec = Window.partitionBy(*KEYS)
     rows = rows.withColumns(
         {
             "has_defs": wanted | is_fragment,
-            "_last": F.max("last_row").over(spec),
             "ordinal": F.sum(is_fragment.cast("int")).over(
                 Window.partitionBy(*KEYS).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
             ),
         }
     )
     parts = [
-        ("kind = 'close' AND paired AND depth > 0", _events(f"array(depth + {BRACKETS - 1})", CLOSE, "last_row + 1")),
+        ("kind = 'close' AND paired AND depth > 0", _events(f"array(depth + {BRACKETS - 1})", CLOSE, "pos + 1", "last_row + 1")),
         ("kind = 'open' AND paired", _events(f"array(depth + {BRACKETS})", OPEN)),
         ("has_defs AND depth > 0", _events(f"sequence({BRACKETS}, depth + {BRACKETS - 1})", PROBE)),
         ("has_defs", _events("array(-1)", OWN)),
@@ -97,34 +96,32 @@ def page_definitions(units: DataFrame, keep: Callable[[Column], Column] | None =
         *KEYS, "pos AS place", "has_defs",
         "named_struct('language', language, 'names', names, 'kind', kind, 'first_row', first_row, 'last_row', last_row,"
         " 'piece', IF(kind = 'whole', piece, NULL), 'ordinal', ordinal) AS own",
-        "events", "_last + 1 AS eof_end", "last_row + 1 AS head_end", "'ROW' AS show",
-        "concat_ws('\t', CAST(first_row AS string), tag) AS opener",
+        "events", "2147483647 AS eof_end", "CAST(NULL AS INT) AS head_end", "'HEADER' AS show",
+        "concat_ws('\t', CAST(first_row AS string), CAST(last_row + 1 AS string), tag) AS opener",
     )
     placed = nest(sent)
     return _as_definitions(placed)
 
 
 def _as_definitions(placed: DataFrame) -> DataFrame:
+    """``nest`` went by position; an opener brings the rows of its tag, the shown end its last row."""
     kind = F.col("kind")
-
-    def first_row(b: Column) -> Column:
-        return F.substring_index(b["opener"], "\t", 1).cast("int")
-
+    part = lambda b, i: F.split_part(b["opener"], F.lit("\t"), F.lit(i))
     placed = placed.withColumn(
         "around",
         F.array_sort(
             F.transform(
                 "around",
                 lambda b: F.struct(
-                    b["level"].alias("level"), first_row(b).alias("start_line"), b["end_line"].alias("end_line"),
-                    b["head_end"].alias("head_end"), F.substring_index(b["opener"], "\t", -1).alias("tag"),
+                    b["level"].alias("level"), part(b, 1).cast("int").alias("start_line"), b["head_end"].alias("end_line"),
+                    part(b, 2).cast("int").alias("head_end"), part(b, 3).alias("tag"),
                 ),
             )
         ),
     ).withColumn("_parent", F.try_element_at("around", F.lit(-1)))
     heading = (kind == "text") & F.col("_parent.tag").rlike("^h[1-6]$")
     start = F.when(kind == "text", F.col("_parent.start_line")).otherwise(F.col("first_row"))
-    end = F.when(kind == "text", F.col("_parent.end_line")).otherwise(F.coalesce("bracket_end", F.col("last_row") + 1))
+    end = F.when(kind == "text", F.col("_parent.end_line")).otherwise(F.coalesce("own_head", F.col("last_row") + 1))
     around = F.when(kind == "text", F.slice("around", F.lit(1), F.greatest(F.size("around") - 1, F.lit(0)))).otherwise(F.col("around"))
     own = F.struct(start.cast("int").alias("start_line"), end.cast("int").alias("end_line"))
     headers = F.transform(around, lambda b: F.struct(b["start_line"].alias("start_line"), b["head_end"].alias("end_line")))

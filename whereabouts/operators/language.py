@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.sql import literal
+
 # Public names, aliases, extensions, file names and interpreters of the languages
 # that have rules, and of others that claim one of their extensions.
 # (language, group, aliases, extensions, file names, interpreters)
@@ -73,8 +75,8 @@ def _keys(column: int, claimed: bool) -> dict[str, str]:
 
 
 def _from_map(table: dict[str, str], key: Column) -> Column:
-    pairs = [F.lit(x) for pair in sorted(table.items()) for x in pair]
-    return F.try_element_at(F.create_map(*pairs), key)
+    pairs = ", ".join(literal(x) for pair in sorted(table.items()) for x in pair)
+    return F.try_element_at(F.expr(f"map({pairs})"), key)
 
 
 def extension(path: Column) -> Column:

@@ -27,21 +27,19 @@ RANKS = 6
 LAST_END = r"\\end\s*\{document\}"
 
 
-def per_language(lexis: dict[tuple[str, ...], Lexis], make: Callable[[Lexis], Column | None], default: Column) -> Column:
-    """A CASE over the language column, from the settings of each language group."""
-    case = None
+def per_language(lexis: dict[tuple[str, ...], Lexis], make: Callable[[Lexis], str | None], default: str) -> str:
+    """SQL for a CASE over the language column, from the settings of each language group."""
+    cases = []
     for languages, settings in lexis.items():
         value = make(settings)
-        if value is None:
-            continue
-        test = F.col("language").isin(*languages)
-        case = F.when(test, value) if case is None else case.when(test, value)
-    return default if case is None else case.otherwise(default)
+        if value is not None:
+            cases.append(f"WHEN language IN ({', '.join(literal(x) for x in languages)}) THEN {value}")
+    return f"CASE {' '.join(cases)} ELSE {default} END" if cases else default
 
 
 def masked_rows(units: DataFrame, lexis: dict[tuple[str, ...], Lexis]) -> DataFrame:
     """One row per line of each unit: its number in the file, and its masked text."""
-    masked = per_language(lexis, lambda x: T.mask(F.col("content"), x.token, x.comment, x.shows_first), F.col("content"))
+    masked = F.expr(per_language(lexis, lambda x: T.mask_sql("content", x.token, x.comment, x.shows_first), "content"))
     both = F.arrays_zip(T.split_lines(F.col("content")).alias("text"), T.split_lines(F.col("_masked")).alias("masked"))
     carried = [F.col(c) for c in units.columns if c not in ("content", "start_line")]
     rows = units.where(F.length("content") > 0).withColumn("_masked", masked).select(*carried, "start_line", F.posexplode(both).alias("_pos", "_row"))
@@ -64,67 +62,67 @@ def _indent(text: Column) -> Column:
     return F.when(F.instr(text, "\t") > 0, size + 7 * T.count_chars(F.left(text, size), "\t")).otherwise(size)
 
 
+PLAIN_OPENERS = r"[(\[{]"
+PLAIN_CLOSERS = r"[)\]}]"
+
+
 def _any(flag: str) -> Column:
     return F.coalesce(F.col(flag), F.lit(False))
 
 
+def _count(chars: str) -> str:
+    return f"length(masked) - length(translate(masked, {literal(chars)}, ''))"
+
+
+def _matches(pattern: str) -> str:
+    return f"masked RLIKE {literal(pattern)}"
+
+
 def read_rows(rows: DataFrame, lexis: dict[tuple[str, ...], Lexis], contexts: list[Context]) -> DataFrame:
     """What one row says by itself."""
-    m = F.col("masked")
-
-    def flag(pattern: str) -> Column:
-        return m.rlike(pattern) if pattern else F.lit(False)
 
-    def counted(kind: str, plain: str, own: str, cover: str) -> Callable[[Lexis], Column | None]:
-        def make(x: Lexis) -> Column | None:
+    def counted(kind: str, plain: str, cover: str) -> Callable[[Lexis], str | None]:
+        def make(x: Lexis) -> str | None:
             pattern = getattr(x, kind)
-            return None if pattern == plain else T.count_of(m, pattern) + T.count_chars(m, cover)
-        return make
+            return None if pattern == plain else f"regexp_count(masked, {literal(pattern)}) + {_count(cover)}"
 
-    opens = per_language(lexis, counted("openers", r"[(\[{]", "([{", T.TEXT_OPEN), T.count_chars(m, "([{" + T.TEXT_OPEN))
-    closes = per_language(lexis, counted("closers", r"[)\]}]", ")]}", T.TEXT_CLOSE), T.count_chars(m, ")]}" + T.TEXT_CLOSE))
+        return make
 
-    def leading(x: Lexis) -> Column:
-        run = F.regexp_extract(m, rf"^(?:\s*(?:{x.closers}|{T.TEXT_CLOSE}))+", 0)
-        return F.when(run == "", 0).otherwise(T.count_of(run, f"{x.closers}|{T.TEXT_CLOSE}"))
+    def leading(x: Lexis) -> str:
+        one = f"{x.closers}|{T.TEXT_CLOSE}"
+        return f"regexp_count(regexp_extract(masked, {literal(rf'^(?:\s*(?:{one}))+')}, 0), {literal(one)})"
 
-    def level(x: Lexis) -> Column | None:
-        case = None
-        for rank, pattern in enumerate(x.level, 1):
-            case = F.when(m.rlike(pattern), rank) if case is None else case.when(m.rlike(pattern), rank)
-        return case
+    def rank(x: Lexis) -> str | None:
+        cases = [f"WHEN {_matches(pattern)} THEN {k}" for k, pattern in enumerate(x.level, 1)]
+        return f"CASE {' '.join(cases)} END" if cases else None
 
-    indent = F.when(
-        F.col("is_code") & (F.col("language") == "YAML"), F.length(F.regexp_extract(m, r"^\s*(?:-\s+)*", 0))
-    ).otherwise(F.coalesce("text_indent", F.lit(0)))
-    show = None
-    for context in contexts:
-        test = F.col("language").isin(*context.languages) & (m.rlike(context.regex) if context.regex else F.lit(True))
-        show = F.when(test, context.show) if show is None else show.when(test, context.show)
+    def flag(kind: str, put: str = "{}") -> str:
+        return per_language(lexis, lambda x: _matches(put.format(getattr(x, kind))) if getattr(x, kind) else None, "false")
 
-    return (
-        rows.withColumn("is_code", ~_is_blank(m))
-        .withColumns(
-            {
-                "is_note": F.col("text_indent").isNotNull() & ~F.col("is_code"),
-                "mode": per_language(lexis, lambda x: F.lit(x.blocks), F.lit("bracket")),
-                "attaches": per_language(lexis, lambda x: F.lit(True) if x.attaches else None, F.lit(False)),
-                "indent": indent,
-                "opens": F.when(F.col("is_code"), opens).otherwise(0),
-                "closes": F.when(F.col("is_code"), closes).otherwise(0),
-                "is_soft": F.col("is_code") & ~m.rlike(r"[;{},:]\s*$"),
-                "underlines": (F.col("language") == "Markdown") & m.rlike(r"^ {0,3}(?:=+|-+)[ \t]*$"),
-                "is_matter": (F.col("language") == "Markdown") & m.rlike(r"^---\s*$"),
-                "is_marker": F.col("is_code") & per_language(lexis, lambda x: flag(x.attach) if x.attach else None, F.lit(False)),
-                "goes_on": F.col("is_code") & per_language(lexis, lambda x: flag(x.continues) if x.continues else None, F.lit(False)),
-                "picks_up": F.col("is_code") & per_language(lexis, lambda x: flag(rf"^\s*{x.continued}") if x.continued else None, F.lit(False)),
-                "is_head": F.col("is_code") & per_language(lexis, lambda x: flag(x.head) if x.head else None, F.lit(False)),
-                "rank": per_language(lexis, lambda x: level(x) if x.level else None, F.lit(None).cast("int")),
-                "show": F.when(F.col("is_code"), show) if show is not None else F.lit(None).cast("string"),
-            }
-        )
-        .withColumn("lead_close", F.when(F.col("closes") > 0, per_language(lexis, leading, F.lit(0))).otherwise(0))
-    )
+    shown = [
+        f"WHEN language IN ({', '.join(literal(x) for x in c.languages)})" + (f" AND {_matches(c.regex)}" if c.regex else "") + f" THEN '{c.show}'"
+        for c in contexts
+    ]
+    kept = ["file_id", "unit", "language", "line_no", "masked", "is_code"]
+    read = rows.withColumn("is_code", ~_is_blank(F.col("masked")))
+    return read.selectExpr(
+        *kept,
+        "text_indent IS NOT NULL AND NOT is_code AS is_note",
+        f"{per_language(lexis, lambda x: literal(x.blocks), literal('bracket'))} AS mode",
+        f"{per_language(lexis, lambda x: 'true' if x.attaches else None, 'false')} AS attaches",
+        f"IF(is_code AND language = 'YAML', length(regexp_extract(masked, {literal(r'^\s*(?:-\s+)*')}, 0)), coalesce(text_indent, 0)) AS indent",
+        f"IF(is_code, {per_language(lexis, counted('openers', PLAIN_OPENERS, T.TEXT_OPEN), _count('([{' + T.TEXT_OPEN))}, 0) AS opens",
+        f"IF(is_code, {per_language(lexis, counted('closers', PLAIN_CLOSERS, T.TEXT_CLOSE), _count(')]}' + T.TEXT_CLOSE))}, 0) AS closes",
+        f"is_code AND NOT {_matches(r'[;{},:]\s*$')} AS is_soft",
+        f"language = 'Markdown' AND {_matches(r'^ {0,3}(?:=+|-+)[ \t]*$')} AS underlines",
+        f"language = 'Markdown' AND {_matches(r'^---\s*$')} AS is_matter",
+        f"is_code AND {flag('attach')} AS is_marker",
+        f"is_code AND {flag('continues')} AS goes_on",
+        f"is_code AND {flag('continued', r'^\s*{}')} AS picks_up",
+        f"is_code AND {flag('head')} AS is_head",
+        f"{per_language(lexis, rank, 'CAST(NULL AS INT)')} AS rank",
+        f"{'CASE WHEN NOT is_code THEN NULL ' + ' '.join(shown) + ' END' if shown else 'CAST(NULL AS STRING)'} AS show",
+    ).withColumn("lead_close", F.expr(f"IF(closes > 0, {per_language(lexis, leading, '0')}, 0)"))
 
 
 def state_rows(rows: DataFrame) -> DataFrame:
@@ -309,7 +307,7 @@ def nest(sent: DataFrame) -> DataFrame:
     )
     opened = (
         f"IF(ord = {OPEN}, named_struct('level', level, 'start_line', place, 'end_line', end_line,"
-        " 'head_end', least(shown_end, end_line), 'show', show, 'opener', opener), NULL)"
+        " 'head_end', shown_end, 'show', show, 'opener', opener), NULL)"
     )
     around = ended.selectExpr("*", f"last({opened}) IGNORE NULLS {spec[:-1]} ROWS UNBOUNDED PRECEDING) AS around_it")
     bracket = f"ord = {OPEN} AND level BETWEEN {BRACKETS} AND {HEADINGS - 1}"
@@ -320,7 +318,7 @@ def nest(sent: DataFrame) -> DataFrame:
             F.expr("first(own, true) AS own"),
             F.expr(f"max(IF({bracket}, end_line, NULL)) AS bracket_end"),
             F.expr(f"max(IF(ord = {OPEN} AND NOT level BETWEEN {BRACKETS} AND {HEADINGS - 1}, end_line, NULL)) AS block_end"),
-            F.expr(f"max(IF({bracket} AND show = 'HEADER', least(shown_end, end_line), NULL)) AS own_head"),
+            F.expr(f"max(IF({bracket} AND show = 'HEADER', shown_end, NULL)) AS own_head"),
             F.expr(f"collect_list(IF(ord = {PROBE} AND around_it.end_line > place, around_it, NULL)) AS around"),
         )
         .selectExpr(*KEYS, "place", "own.*", "bracket_end", "block_end", "own_head", "around")

@@ -87,7 +87,7 @@ def with_host_context(found: DataFrame, max_depth: int) -> DataFrame:
     for level in range(1, max_depth + 1):
         hosts = (F.col("kind") == "fragment") & (depth == level - 1)
         here = F.when(hosts, inside).when(depth == level, F.col("unit")).otherwise(F.concat(F.lit("-"), F.col("unit")))
-        shown = F.max(F.when(F.col("_hosts"), F.col("ranges"))).over(Window.partitionBy("file_id", "_here"))
+        shown = F.max(F.when(F.col("_hosts"), F.when(F.col("rule_id") == "md_front_matter", F.col("headers")).otherwise(F.col("ranges")))).over(Window.partitionBy("file_id", "_here"))
         found = (
             found.withColumns({"_hosts": hosts, "_here": here})
             .withColumn("_shown", shown)

@@ -163,8 +163,7 @@ RULES: list[Rule] = [
     Rule(CY, "cy_typedef", "type", r"^\s*ctypedef\s+(?!class\b|struct\b|enum\b|union\b|fused\b)[^()]*?[\s*](\w+)\s*$", "LOGICAL", start=True),
     Rule(CY, "cy_param", "parameter", r"[(,]\s*(?:[\w.\[\]:]+[\s*&]+)+(\w+)\s*(?==|,|\)|not\b|or\b|$)", gate=PY_DEF),
     Rule(CY, "cy_property", "block", r"^\s*property\s+(\w+)\s*:", "BLOCK", start=True),
-    Rule(CY, "cy_for_from", "target", r"^\s*for\s+(\w+)\s+from\b", "BLOCK", start=True),
-    Rule(CY, "cy_for", "target", r"^\s*for\s+([^()]+?)\s+in\b", "BLOCK", expand="target", start=True),
+    Rule(CY, "cy_for_from", "target", r"^\s*for\s+(\w+)\s+from\b", "LOGICAL", start=True),
     # JavaScript family
     Rule(JS, "js_function", "block", r"\bfunction\s*\*?\s*(\w[\w$]*)", "LOGICAL"),
     Rule(JS, "js_method", "block", JS_METHOD, "LOGICAL"),
@@ -247,8 +246,8 @@ RULES: list[Rule] = [
     Rule(SH, "sh_declare", "variable", r"^\s*(?:export|local|readonly|declare|typeset)\b(?:\s+-\w+)*\s+([\w\s]+?)\s*$", "LOGICAL", expand="spaced"),
     Rule(SH, "sh_for", "target", r"\bfor\s+(\w+)\b"),
     # CSS
-    Rule(CSS, "css_class", "selector", r"\.(-?[A-Za-z_][\w-]*)", gate=r"^(?!\s*[\w-]+\s*:\s*[^{]*;\s*\}?\s*$)(?!\s*@import).*(?:\{|,\s*$|^\s*[.#\w:>+~*\[])"),
-    Rule(CSS, "css_id", "selector", r"#(-?[A-Za-z_][\w-]*)", gate=r"^(?!\s*[\w-]+\s*:[^{]*$).*(?:\{|,\s*$|^\s*[.#\w])"),
+    Rule(CSS, "css_class", "selector", r"\.(-?[A-Za-z_][\w-]*)", "LOGICAL", gate=r"^(?!\s*[\w-]+\s*:\s*[^{]*;\s*\}?\s*$)(?!\s*@import).*(?:\{|,\s*$|^\s*[.#\w:>+~*\[])"),
+    Rule(CSS, "css_id", "selector", r"#(-?[A-Za-z_][\w-]*)", "LOGICAL", gate=r"^(?!\s*[\w-]+\s*:[^{]*$).*(?:\{|,\s*$|^\s*[.#\w])"),
     # Markdown
     Rule(MD, "md_section", "section", r"^ {0,3}#{1,6}[ \t]+(.*?)(?:[ \t]+#+)?[ \t]*$", "BLOCK"),
     Rule(MD, "md_underlined", "section", r"^ {0,3}(?![#>]|[-*+]\s)(\S.*?)[ \t]*$", "SECTION", transform="underlined"),
@@ -276,7 +275,7 @@ NEEDS: dict[str, str] = {
     "py_type": "type", "py_import_as": "as", "py_import_as_row": "as", "py_as": "as", "py_as_row": "as", "py_key": ":",
     "py_key_inline": ":", "py_param": "def", "py_lambda": "lambda", "py_for": "for", "py_comprehension": "for",
     "py_setattr": "setattr", "py_setitem": "__set", "cy_constant": "DEF", "cy_function": "def", "cy_class": "def",
-    "cy_variable": "def", "cy_typedef": "ctypedef", "cy_param": "def", "cy_property": "property", "cy_for_from": "for", "cy_for": "for",
+    "cy_variable": "def", "cy_typedef": "ctypedef", "cy_param": "def", "cy_property": "property", "cy_for_from": "for",
     "js_function": "function", "js_method": "(", "js_method_rows": "(", "js_param": "function", "js_param_arrow": "=>",
     "js_param_method": "(", "js_variable": "let const var", "js_variable_next": "let const var", "js_array_pattern": "=",
     "js_object_pattern": "=", "js_assign": "=", "js_key": ":", "js_key_bare": ":", "js_key_inline": ":", "js_class": "class",
