@@ -41,7 +41,7 @@ SHELL_NAME = r"^\s*(?:function\s+)?([\w:.-]+)"
 
 
 def _each(make: str) -> str:
-    return f"flatten(transform({{names}}, x -> {make}))"
+    return f"flatten(transform(transform({{names}}, x -> trim(x)), x -> {make}))"
 
 
 def _q(pattern: str) -> str:
