@@ -84,13 +84,8 @@ def _without(text: str, pattern: str, times: int) -> str:
     return text
 
 
-def rule_names(rule: Rule) -> str:
-    """SQL for the names that a rule finds on a row; NULL when the row does not pass its tests."""
-    pattern = literal(letters(rule.regex))
-    subject = _without("masked", BARE, 2) if rule.bare else "masked"
-    names = EXPANSIONS[rule.expand].replace("{names}", f"regexp_extract_all({subject}, {pattern}, {rule.group})")
-    name = TRANSFORMS.get(rule.transform, "{name}").replace("{name}", "x")
-    names = f"transform({names}, x -> translate(trim({name}), {literal(T.COVER)}, {literal(T.HIDDEN)}))"
+def rule_test(rule: Rule) -> str:
+    """SQL for whether a rule applies to a row. Plain expressions only, so it is compiled code."""
     tests = []
     if rule.parent and not re.match(rule.parent, ""):
         tests.append("base > 0")
@@ -103,14 +98,30 @@ def rule_names(rule: Rule) -> str:
     if rule.needs:
         tests.append("(" + " OR ".join(f"contains(masked, {literal(word)})" for word in rule.needs.split(" ")) + ")")
     if rule.gate:
-        tests.append(f"masked RLIKE {literal(letters(rule.gate))}")
+        tests.append(f"masked RLIKE {_q(rule.gate)}")
     if not rule.bare:
-        tests.append(f"masked RLIKE {pattern}")
-    return f"IF({' AND '.join(tests) or 'true'}, array_distinct(filter({names}, x -> x <> '')), NULL)"
+        tests.append(f"masked RLIKE {_q(rule.regex)}")
+    return " AND ".join(tests) or "true"
 
 
-def row_definitions(rules: list[Rule], keep: Callable[[Column], Column] | None) -> Column:
-    """All definitions of a row as ``array<struct<rule, names>>``, by language."""
+def rule_names(rule: Rule) -> str:
+    """SQL for the names that a rule finds on a row that passes its test."""
+    subject = _without("masked", BARE, 2) if rule.bare else "masked"
+    names = EXPANSIONS[rule.expand].replace("{names}", f"regexp_extract_all({subject}, {_q(rule.regex)}, {rule.group})")
+    name = TRANSFORMS.get(rule.transform, "{name}").replace("{name}", "x")
+    names = f"transform({names}, x -> translate(trim({name}), {literal(T.COVER)}, {literal(T.HIDDEN)}))"
+    return f"array_distinct(filter({names}, x -> x <> ''))"
+
+
+BITS = 60  # rules tested per mask column
+
+
+def with_definitions(rows: DataFrame, rules: list[Rule], keep: Callable[[Column], Column] | None) -> DataFrame:
+    """Add ``found``, all definitions of a row as ``array<struct<rule, names>>``, by language.
+
+    The tests of all rules make bit masks first, in compiled code; only rows with a bit set go
+    on to the array functions that cut out the names.
+    """
     by_language: dict[str, list[int]] = {}
     for index, rule in enumerate(rules):
         for language in rule.languages:
@@ -118,17 +129,31 @@ def row_definitions(rules: list[Rule], keep: Callable[[Column], Column] | None)
     grouped: dict[tuple[int, ...], list[str]] = {}
     for language, indexes in by_language.items():
         grouped.setdefault(tuple(indexes), []).append(language)
+    width = max([1, *[-(-len(indexes) // BITS) for indexes in grouped]])
+    among = {k: f"language IN ({', '.join(literal(x) for x in v)})" for k, v in grouped.items()}
+    masks = []
+    for part in range(width):
+        cases = []
+        for indexes in grouped:
+            bits = [f"IF({rule_test(rules[i])}, {1 << at}L, 0L)" for at, i in enumerate(indexes[part * BITS : (part + 1) * BITS])]
+            if bits:
+                cases.append(f"WHEN NOT is_code THEN 0L WHEN {among[indexes]} THEN {' + '.join(bits)}")
+        masks.append(f"CASE {' '.join(cases)} ELSE 0L END AS _hit{part}" if cases else f"0L AS _hit{part}")
     cases = []
-    for indexes, languages in grouped.items():
-        found = ", ".join(f"named_struct('rule', {i}, 'names', {rule_names(rules[i])})" for i in indexes)
-        among = ", ".join(literal(x) for x in languages)
-        cases.append(f"WHEN is_code AND language IN ({among}) THEN filter(array({found}), d -> size(d.names) > 0)")
-    empty = "CAST(array() AS array<struct<rule:int,names:array<string>>>)"
-    found = F.expr(f"CASE {' '.join(cases)} ELSE {empty} END") if cases else F.expr(empty)
-    if keep is None:
-        return found
-    helpers = [i for i, rule in enumerate(rules) if rule.kind in HELPERS]
-    return F.filter(found, lambda d: d["rule"].isin(*helpers) | keep(d["names"]) if helpers else keep(d["names"]))
+    for indexes in grouped:
+        found = ", ".join(
+            f"IF(_hit{at // BITS} & {1 << at % BITS}L <> 0, named_struct('rule', {i}, 'names', {rule_names(rules[i])}), NULL)"
+            for at, i in enumerate(indexes)
+        )
+        cases.append(f"WHEN {among[indexes]} THEN filter(array({found}), d -> size(d.names) > 0)")
+    shape = "array<struct<rule:int,names:array<string>>>"
+    none = " AND ".join(f"_hit{p} = 0" for p in range(width))
+    found = F.expr(f"CASE WHEN {none} THEN CAST(array() AS {shape}) {' '.join(cases)} ELSE CAST(array() AS {shape}) END")
+    if keep is not None:
+        helpers = [i for i, rule in enumerate(rules) if rule.kind in HELPERS]
+        found = F.filter(found, lambda d: d["rule"].isin(*helpers) | keep(d["names"]) if helpers else keep(d["names"]))
+    tested = rows.selectExpr("*", *masks).withColumn("found", found).withColumn("has_defs", F.size("found") > 0)
+    return tested.drop(*[f"_hit{p}" for p in range(width)])
 
 
 def _pick(rules: list[Rule], value: Callable[[Rule], str]) -> Column:
@@ -149,11 +174,12 @@ def definitions(
     """
     rows = S.read_rows(S.masked_rows(units, lexis), lexis, contexts)
     rows = S.state_rows(rows)
-    rows = rows.withColumn("found", row_definitions(rules, keep)).withColumn("has_defs", F.size("found") > 0)
+    rows = with_definitions(rows, rules, keep)
     rest = _without("masked", UNPAIRED, 3)
     opener = f"concat(coalesce(nullif(regexp_extract({rest}, {literal(r'[(\[{]')}, 0), ''), '+'), masked)"
-    rows = S.asking_rows(rows).withColumn("opener", F.expr(f"IF(depth_after > base, {opener}, NULL)"))
-    placed = S.nest(S.code_events(rows))
+    rows = S.placed_rows(rows.withColumn("opener", F.expr(f"IF(depth_after > base, {opener}, NULL)")))
+    own = ["language", "line_no", "found", "base", "attach_start", "marker_start"]
+    placed = S.nest(rows, "line_no", S.nesting_events(), own)
     return _ranges(placed, rules)
 
 

@@ -91,15 +91,14 @@ def page_definitions(units: DataFrame, keep: Callable[[Column], Column] | None =
         ("has_defs AND depth > 0", _events(f"sequence({BRACKETS}, depth + {BRACKETS - 1})", PROBE)),
         ("has_defs", _events("array(-1)", OWN)),
     ]
-    events = "concat(" + ", ".join(f"IF({test}, {sent}, array())" for test, sent in parts) + ")"
-    sent = rows.withColumn("events", F.expr(events)).where(F.size("events") > 0).selectExpr(
-        *KEYS, "pos AS place", "has_defs",
-        "named_struct('language', language, 'names', names, 'kind', kind, 'first_row', first_row, 'last_row', last_row,"
-        " 'piece', IF(kind = 'whole', piece, NULL), 'ordinal', ordinal) AS own",
-        "events", "2147483647 AS eof_end", "CAST(NULL AS INT) AS head_end", "'HEADER' AS show",
+    none = "CAST(array() AS array<struct<level:int,ord:int,close_end:int,dip_end:int>>)"
+    events = "concat(" + ", ".join(f"IF({test}, {sent}, {none})" for test, sent in parts) + ")"
+    rows = rows.selectExpr(
+        *KEYS, "pos", "has_defs", "kind", "paired", "depth", "language", "names", "first_row", "last_row", "ordinal",
+        "IF(kind = 'whole', piece, NULL) AS piece", "2147483647 AS eof_end", "CAST(NULL AS INT) AS head_end", "'HEADER' AS shown",
         "concat_ws('\t', CAST(first_row AS string), CAST(last_row + 1 AS string), tag) AS opener",
     )
-    placed = nest(sent)
+    placed = nest(rows, "pos", events, ["language", "names", "kind", "first_row", "last_row", "piece", "ordinal"])
     return _as_definitions(placed)
 
 

@@ -206,14 +206,6 @@ def state_rows(rows: DataFrame) -> DataFrame:
     return rows.drop(*[c for c in rows.columns if c.startswith("_")])
 
 
-def asking_rows(rows: DataFrame) -> DataFrame:
-    """Drop the many rows that open, close and define nothing."""
-    return rows.where(
-        """has_defs OR (is_code AND (depth_after <> depth_before OR base <> depth_before OR mode = 'heading' OR (
-            mode = 'indent' AND is_start AND (is_head OR indent < prev_indent OR array_contains(levels, indent)))))"""
-    )
-
-
 CLOSE, PROBE, OPEN, OWN = 0, 1, 2, 3  # order of events of one row inside one level
 
 
@@ -229,8 +221,8 @@ def _span(low: str, high: str) -> str:
     return f"IF(({high}) >= ({low}), sequence({low}, {high}), array())"
 
 
-def nesting_events() -> Column:
-    """Array of the events that a row sends; ``has_defs`` rows also ask what lies around them."""
+def nesting_events() -> str:
+    """SQL for the events that a row sends; ``has_defs`` rows also ask what lies around them."""
     none = "CAST(array() AS array<struct<level:int,ord:int,close_end:int,dip_end:int>>)"
     low = f"greatest(depth_after, 0) + {BRACKETS}"
     dips = f"greatest(base, 0) + {BRACKETS}"
@@ -257,11 +249,16 @@ def nesting_events() -> Column:
         ("has_defs", _events(asked, PROBE)),
         ("has_defs", _events("array(-1)", OWN)),
     ]
-    return F.expr("concat(" + ", ".join(f"IF({test}, {events}, {none})" for test, events in parts) + ")")
+    asks = (
+        "has_defs OR (is_code AND (depth_after <> depth_before OR base <> depth_before OR mode = 'heading' OR"
+        " (is_indent AND (is_head OR indent < prev_indent OR array_contains(levels, indent)))))"
+    )
+    sent = ", ".join(f"IF({test}, {events}, {none})" for test, events in parts)
+    return f"IF({asks}, concat({sent}), {none})"
 
 
-def code_events(rows: DataFrame) -> DataFrame:
-    """Events of code rows, with what ``nest`` has to know of those that open a block."""
+def placed_rows(rows: DataFrame) -> DataFrame:
+    """Code rows with what their events go by, and what ``nest`` has to know of block openers."""
     rows = rows.withColumns(
         {
             "is_indent": F.expr("mode = 'indent' AND is_start"),
@@ -272,32 +269,32 @@ def code_events(rows: DataFrame) -> DataFrame:
             ),
             "opens_bracket": F.expr("is_code AND depth_after > base AND base >= 0"),
         }
-    ).withColumn("events", nesting_events())
-    return rows.where(F.size("events") > 0).selectExpr(
-        *KEYS,
-        "line_no AS place",
-        "has_defs",
-        "named_struct('language', language, 'line_no', line_no, 'found', found, 'base', base, 'attach_start', attach_start,"
-        " 'marker_start', marker_start) AS own",
-        "events",
-        "IF(language = 'Markdown', last_line, last_code) + 1 AS eof_end",
-        """CASE WHEN is_heading OR show = 'ROW' THEN line_no + 1
-            WHEN mode = 'indent' THEN logical_end
-            WHEN NOT left(opener, 1) IN ('(', '[') THEN line_no + 1 END AS head_end""",
-        "CASE WHEN is_heading THEN 'ROW' WHEN mode <> 'indent' OR is_start THEN show END AS show",
-        "opener",
+    )
+    return rows.withColumns(
+        {
+            "eof_end": F.expr("IF(language = 'Markdown', last_line, last_code) + 1"),
+            "head_end": F.expr(
+                """CASE WHEN is_heading OR show = 'ROW' THEN line_no + 1
+                WHEN mode = 'indent' THEN logical_end
+                WHEN NOT left(opener, 1) IN ('(', '[') THEN line_no + 1 END"""
+            ),
+            "shown": F.expr("CASE WHEN is_heading THEN 'ROW' WHEN mode <> 'indent' OR is_start THEN show END"),
+        }
     )
 
 
-def nest(sent: DataFrame) -> DataFrame:
+def nest(rows: DataFrame, place: str, events: str, own: list[str]) -> DataFrame:
     """Answer the events: per asking row its own block ends and the blocks around it.
 
     Block ends come from the next close, blocks around from the last open, each inside one
-    level. What a row carries in ``own`` comes back as columns.
+    level. The ``own`` columns come back with the answer. The events are written inside the
+    generator: a filter on a column of them would be pushed down, and compute them twice.
     """
-    flat = sent.selectExpr(*KEYS, "place", "has_defs", "own", "eof_end", "head_end", "show", "opener", "inline(events)").selectExpr(
-        *KEYS, "place", "has_defs", "level", "ord", "close_end", "dip_end", "eof_end", "head_end", "show",
-        f"IF(ord = {OPEN}, opener, NULL) AS opener", f"IF(ord = {OWN}, own, NULL) AS own",
+    carried = ", ".join(f"'{c}', {c}" for c in own)
+    flat = rows.selectExpr(*KEYS, f"{place} AS place", "has_defs", *own, "eof_end", "head_end", "shown", "opener", f"inline({events})")
+    flat = flat.selectExpr(
+        *KEYS, "place", "has_defs", "level", "ord", "close_end", "dip_end", "eof_end", "head_end", "shown",
+        f"IF(ord = {OPEN}, opener, NULL) AS opener", f"IF(ord = {OWN}, named_struct({carried}), NULL) AS own",
     )
     spec = "OVER (PARTITION BY file_id, unit, level ORDER BY place, ord)"
     ended = flat.selectExpr(
@@ -307,7 +304,7 @@ def nest(sent: DataFrame) -> DataFrame:
     )
     opened = (
         f"IF(ord = {OPEN}, named_struct('level', level, 'start_line', place, 'end_line', end_line,"
-        " 'head_end', shown_end, 'show', show, 'opener', opener), NULL)"
+        " 'head_end', shown_end, 'show', shown, 'opener', opener), NULL)"
     )
     around = ended.selectExpr("*", f"last({opened}) IGNORE NULLS {spec[:-1]} ROWS UNBOUNDED PRECEDING) AS around_it")
     bracket = f"ord = {OPEN} AND level BETWEEN {BRACKETS} AND {HEADINGS - 1}"
@@ -318,7 +315,7 @@ def nest(sent: DataFrame) -> DataFrame:
             F.expr("first(own, true) AS own"),
             F.expr(f"max(IF({bracket}, end_line, NULL)) AS bracket_end"),
             F.expr(f"max(IF(ord = {OPEN} AND NOT level BETWEEN {BRACKETS} AND {HEADINGS - 1}, end_line, NULL)) AS block_end"),
-            F.expr(f"max(IF({bracket} AND show = 'HEADER', shown_end, NULL)) AS own_head"),
+            F.expr(f"max(IF({bracket} AND shown = 'HEADER', shown_end, NULL)) AS own_head"),
             F.expr(f"collect_list(IF(ord = {PROBE} AND around_it.end_line > place, around_it, NULL)) AS around"),
         )
         .selectExpr(*KEYS, "place", "own.*", "bracket_end", "block_end", "own_head", "around")
