@@ -21,6 +21,7 @@ from whereabouts.operators import structure as S  # noqa: E402
 from whereabouts.operators.excerpt import excerpts  # noqa: E402
 from whereabouts.operators.ranges import last_range_end, union_ranges  # noqa: E402
 from whereabouts.plans import extraction as E  # noqa: E402
+from whereabouts.plans.index import lookup  # noqa: E402
 from whereabouts.rules import layers  # noqa: E402
 from whereabouts.sources.corpus import quarantine, status_of  # noqa: E402
 from whereabouts.sources.notebooks import as_markdown  # noqa: E402
@@ -251,8 +252,7 @@ def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lookup_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = Q.named(_py(spark, sf_dir)).select("name", "file_id", "ranges")
-    found = Q.hits(index, _terms(spark, sf_dir))
+    found = lookup(C.py_files(spark, sf_dir), _terms(spark, sf_dir), PY)
     return found.select("term_id", "file_id", F.col("start_line").cast("bigint").alias("start_line"), F.col("end_line").cast("bigint").alias("end_line"))
 
 

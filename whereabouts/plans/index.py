@@ -1,21 +1,33 @@
-"""A saved definition index, so that repeated look-ups skip extraction."""
+"""A saved definition index, and look-ups of whole tables of terms."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.lookup import hits, matching_names, named, prepared_terms
+from ..operators.lookup import hits, named
+from ..session import cut
+from .extraction import extract
+
+BUCKETS = 32  # folders of an index, by name
+SPREAD = 8  # parts of a folder, by file: a name that a third of all files define still spreads
+
+
+def _bucket(name: Column) -> Column:
+    return F.pmod(F.xxhash64(name), F.lit(BUCKETS)).cast("int")
 
 
 def save_index(definitions: DataFrame, path: str) -> None:
-    """One row per name and definition, in name order.
+    """One row per name and definition, in folders by name, each file in name order.
 
-    The range is over name and file, so a name that a third of all files define still spreads
-    over many files of the index; sorted row groups let a name filter skip the rest.
+    Placed by hash, so the extraction runs once; a placement by range would run it a second
+    time for its sample.
     """
     rows = named(definitions).select("name", "file_id", "unit", "language", "rule_id", "kind", "start_line", "end_line", "ranges")
-    rows.repartitionByRange("name", "file_id").sortWithinPartitions("name", "file_id").write.mode("overwrite").parquet(path)
+    rows = rows.withColumn("bucket", _bucket(F.col("name")))
+    spread = F.pmod(F.xxhash64("file_id"), F.lit(SPREAD))
+    placed = rows.repartition("bucket", spread).sortWithinPartitions("bucket", "name", "file_id")
+    placed.write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -23,9 +35,15 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lookup_word(index: DataFrame, name: str) -> DataFrame:
-    """Ranges of one literal name: a pushed-down filter on the sorted name column."""
-    found = index.where(F.col("name") == name).select("file_id", F.explode("ranges").alias("r"))
-    return found.select("file_id", "r.start_line", "r.end_line")
+    """Ranges of one literal name: reads one folder, and of it the row groups with the name."""
+    found = index.where((F.col("bucket") == _bucket(F.lit(name))) & (F.col("name") == name))
+    return found.select("file_id", F.explode("ranges").alias("r")).select("file_id", "r.start_line", "r.end_line")
 
 
-__all__ = ["hits", "lookup_word", "matching_names", "prepared_terms", "read_index", "save_index"]
+def lookup(files: DataFrame, terms: DataFrame, languages: tuple[str, ...] | None = None, gap: int = 0) -> DataFrame:
+    """Merged ranges per term and file, without a saved index.
+
+    Terms meet distinct names first and rows second, so the names are written out once between:
+    the extraction does not run twice.
+    """
+    return hits(cut(named(extract(files, languages)).select("name", "file_id", "ranges")), terms, gap)
