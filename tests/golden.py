@@ -4,171 +4,153 @@ Rows are counted from 1, ends included; touching ranges are merged.
 """
 
 PYTHON = '''\
-#!/usr/bin/env python3
-from shop.stock import shelf as rack
 import shop
+from shop.stock import shelf as rack, bin as bucket
 
-
-# main record
-@shop.entity
-class Crate:
-    weight: int = 7  # goes with weight only
-    label: str
-
-    # about volume
-    @shop.cached
-    # closer note
-    def volume(self, exact=False):
-        return (self.w,
-                2)
-
-    # about pack
-    def pack(self,
-             sizes: dict[str, str] = {
-                 'small': 1,
-             }, lid=None,
-             ) -> None:
-        yield shop.tools.wrap(self, sizes, lid)
-
-
-# first note
-# second note
-limits = {
-    'low': ['a', 'b'],
-    'high': [
-        'c',
+OPTIONS = {
+    "retries": 3,
+    "hosts": [
+        "north",
     ],
 }
-
-# key note
-limits['mid'] = 5
-
-
-def area(n: int) -> int:
-    return grid(n, n)
-
-
-def grid(n, k):
-    return n * grid(n - 1, k - 1)
+# raised for slow links
+OPTIONS["timeout"] = 30
 
 
-def ratio(n, k):
-    return grid(n, k) / area(n - k)
+def send(message, *parts, urgent=False, **rest):
+    with rack(message) as slot, open(message.path) as handle:
+        slot.put(handle)
+    async with bucket() as later:
+        pass
 
-# about tricks
-def tricks(x):
-    setattr(x, 'mark', 1)
-    x.__setitem__('mark', 2)
-    object.__setattr__(x, 'mark', 3)
-    setattr('mark', 'other', 4)
-    object.__setattr__(x, 'mark')
 
-
-def binders():
-    with rack() as first, rack() as second:
-        ...
-    async with rack() as third:
-        ...
+# one stored parcel
+# (never empty)
+@shop.entity
+class Parcel(shop.Base):
+    grams: int = 250  # only about grams
+    owner: str
+
+    # checked on load
+    @property
+    # by the scale
+    def heavy(self, above=500):
+        return max(
+            self.grams, above)
+
+    # long signature
+    def route(
+        self,
+        stops: dict[str, int] = {
+            "depot": 0,
+        },
+        via: list = None,
+    ) -> None:
+        shop.maps.trace(self, stops)
+
+    def fill(self, box):
+        box.__setitem__("label", self.owner)
+        object.__setattr__(box, "label")
+        setattr("label", "sealed", True)
+        setattr(box, "label", None)
+
+
+def collect(source):
     try:
-        # about loop
-        for fourth, _ in [
-            (1, 2),
-        ]:
-            ...
-    except ValueError as fifth:
-        ...
-
-_, sixth, _ = (
-    1, 2, 3,
+        # pairs of zone and rest
+        for zone, *_ in zip(
+            source, source[1:],
+        ):
+            yield zone
+    except KeyError as missing:
+        raise ValueError from missing
+
+left, right = 1, 2
+count = sum(item.size for item in OPTIONS)
+count += 1
+Parcel.limit = (
+    count
 )
-total = 0
-total += 1
 '''
 
 JAVASCRIPT = '''\
-let uno;
-const dos = 2;
-
-// about tres
-function tres(x) {
-  return x * x
+const {port: listenPort, host} = settings();
+var [head, tail] = queue;
+
+class Meter extends Gauge {
+  // current reading
+  get level() {
+    return this.raw / 10;
+  }
+  unit = "cm";
 }
 
-function Cuatro(x) {
-  this.x = x
+// make a report
+function report(meter) {
+  let text = "";
+  text = meter.level;
+  return text;
 }
 
-Cuatro.prototype = {
-  a: function alpha(y) {
-    return this.x * y
-  },
-  "b b": (y) => this.a(1 + y),
-}
+const scale = (low, high = 100, ...marks) => marks.map(m => m * high);
 
-Cuatro.protein = 5
+function Legacy() {}
 
-Cuatro.prototype.c = function (y) {
-  return this.x + y
-}
-
-class Cinco {
-  seis = 6;
-
-  get siete() { return this.seis + 1; }
-}
-
-const arrow = (ocho, nueve = 2, ...diez) => null;
+Legacy.prototype.reset = function hardReset(force) {
+  this.raw = 0;
+};
 
-const [once, doce] = [11, 12];
-const {k: trece} = {k: 13};
-const {catorce} = {["cat" + "orce"]: 14};
+Legacy.prototype = {
+  "full name": "legacy",
+  start: function boot(speed) {
+    return speed;
+  },
+};
+Legacy.protocol = 3;
 '''
 
 TYPED = '''\
-const arrow = (ocho: number, nueve: number = 2, ...diez: number) => null;
-interface Shape {
-  sides: number;
+export enum Mode { Off, On }
+interface Probe {
+  depth: number;
 }
-enum Color { Red, Blue }
-type Pair = [number, number];
+type Range = [number, number];
+export const clamp = (value: number, limit: number = 10, ...others: number[]) => value;
 '''
 
 C = '''\
-#include <stdio.h>
-#define UNO 1
-
-static const int dos = 2;
-
-typedef struct TresTag {
-	int cuatro;
-	char cinco[5];
-} Tres;
+#define BUFFER_SIZE 64
+#define SQUARE(v) ((v) * (v))
+extern int errors;
 
-typedef struct TresTag *TRES_PTR;
-
-typedef int* IntPtr;
-
-struct Caja {
-	IntPtr x;
+struct Queue {
+	char *items[BUFFER_SIZE];
+	long size;
 };
 
-int****** seis;
+typedef struct Node {
+	struct Node *next;
+	double weight;
+} ListNode;
+typedef struct Node *NodeRef;
+typedef char* Text;
 
-#define SIETE(x) x x
+static unsigned long **table = 0;
 
-int* outer(
-	int* (*hook)(int, int),
-	int izq,
-	int der
-) {
-	return hook(izq, der);
+Text walk(
+	Text (*visit)(struct Node *),
+	struct Node *first,
+	int limit
+)
+{
+	return visit(first);
 }
 
-#   undef SIETE
+#  undef SQUARE
 
-void set(int* ptr, int val) {
-	val += 5;
-	*ptr = val;
+void bump(long *counter, long step) {
+	step *= 2;
+	*counter = step;
 }
 '''
 
@@ -190,50 +172,54 @@ int geo::count(int n)
 '''
 
 RUST = '''\
-#[derive(Debug)]
-pub enum Snack<'a> {
-    Plain,
-    Sweet(&'a str),
-    Bug { wing: u8, leg: u8 },
+pub use store::open as unlock;
+
+/// Anything with a price.
+trait Priced {
+    fn price(&self) -> u32;
 }
 
-pub trait Feed {
-    fn chew(self);
+#[derive(Clone)]
+#[allow(dead_code)]
+struct Book {
+    title: String,
+    pages: u32,
 }
 
-impl Feed for Snack<'_> {
-    fn chew(self) {
-        println!("done {}", 1);
-    }
+enum Media<T> {
+    Paper(Book),
+    Tape { minutes: u16, tracks: u8 },
+    Other(T),
 }
 
-fn make() -> Snack<'static> {
-    let leg: u8 = 2;
-    Snack::Bug {
-        wing: 0,
-        leg,
+impl<T> Priced for Media<T> {
+    fn price(&self) -> u32 {
+        let tracks: u8 = 9;
+        report!("price");
+        Media::Tape {
+            minutes: 60,
+            tracks,
+        }
     }
 }
-
-pub use make as hatchling;
 '''
 
 CYTHON = '''\
-cdef public str greet = 'hi'
+DEF LIMIT = 10
+ctypedef unsigned int count_t
 
-cdef class Paint:
-    cdef public double part[4]
+cdef int walk_all(int steps, double speed=1.0):
+    cdef int done
+    for k from 1 <= k < steps:
+        done = k
+    return done
 
-    def check(self):
-        for i from 0 <= i < 4:
-            if self.part[i] < 0:
-                return False
-            return True
+cdef class Track:
+    cdef readonly double points[8]
 
-cdef public double curve(double x):
-    return x**2
-
-ctypedef double real64
+    property length:
+        def __get__(self):
+            return LIMIT
 '''
 
 GO = '''\
@@ -291,113 +277,84 @@ CSS = '''\
 
 MARKDOWN = '''\
 ---
-title: A Page
-"owner": me
+tags: notes
+'kind': draft
 ---
+Cover
+-----
 
-Main Page
-=========
-
-## Deep
-
-Text here.
+# Tools
 
-```Rust
-use helper::Thing;
+## Generated
 
-make_items! {
-    #[derive(Debug)]
-    pub enum Planet {
-        Venus,
-        Mars,
+~~~rust
+build_types! {
+    struct Hammer {
+        handle: u8,
     }
 }
-```
+~~~
 
-## Mixed
+# Snippets
 
-```C++
-static const int gladius;
+```cpp
+int anvil = 1;
 ```
-
-```pY
-gladius: int
+```Py
+anvil = 2
 ```
-
 ```
-#!/bin/sh
-gladius=5
+#! /usr/bin/env bash
+anvil=3
 ```
-
-### Tail
-
-end
 '''
 
 HTML = '''\
-<!doctype html>
-<html lang="en">
-<head>
-  <title>A page about something else</title>
-  <style type="text/css">
-    .very > .frost {
-      color: #9cf;
-    }
-    #cold {
-      color: #c0ffee;
-    }
-  </style>
-  <script type="text/javascript">
-    function rost() {
-      wait(() => {}, 10)
-    }
-  </script>
-</head>
+<html>
 <body>
-  <h1>
-    Header
-  </h1>
-  <p id="cold">
-    Cold text
-  </p>
-  <p class="frost">
-    Frost text
-  </p>
+<h2>Opening
+hours</h2>
+<div
+  id="map">
+  <ul name="stops">
+    <li>One</li>
+  </ul>
+</div>
+<script>
+var zoom = 3;
+function zoomIn(step) {
+  zoom += step;
+}
+</script>
+<style>
+#map,
+.omap { border: 0 }
+.hint {
+  margin: 2px;
+}
+</style>
 </body>
 </html>
 '''
 
 TEX = '''\
-\\documentclass{article}
-\\usepackage{amsthm}
-% styles
-\\theoremstyle{definition}
-\\newtheorem{lem}{Lemma}[section]
-
-% number sets
-\\newcommand{\\Q}{\\mathbb{Q}}
+% a note about pages
+\\newcommand{\\page}[1]{p.~#1}
+\\newenvironment{remark}{\\begin{quote}}{\\end{quote}}
+\\newtheorem{claim}{Claim}
 
 \\begin{document}
+\\section{Methods}
+\\subsection{Data}\\label{data}
+Rows.
 
-\\section{Start}
-\\label{begin}
-
-\\subsection{View}
-
-\\begin{lem}
-    \\label{the_lemma}
-    It holds.
-\\end{lem}
-
-\\subsection{Plan}
-
-See \\ref{ways}.
-
-\\section{Ways}
-\\label{ways}
-
-none
+\\begin{claim}
+\\label{main_claim}
+True.
+\\end{claim}
 
+\\section{Results}
+Good.
 \\end{document}
 '''
 
@@ -414,50 +371,54 @@ base: &shared
 # name -> rows; a name missing here must not be found at all
 CASES = {
     "Python": (PYTHON, {
-        "Crate": [(6, 25)], "weight": [(8, 9)], "label": [(8, 8), (10, 10)], "volume": [(8, 8), (12, 17)], "exact": [(8, 8), (13, 15)],
-        "pack": [(8, 8), (19, 25)], "sizes": [(8, 8), (20, 24)], "lid": [(8, 8), (20, 24)], "limits": [(28, 35)],
-        "low": [(30, 31)], "high": [(30, 30), (32, 34)], "mid": [(37, 38)], "area": [(41, 42)], "grid": [(45, 46)], "ratio": [(49, 50)],
-        "mark": [(53, 56)], "other": [(53, 53), (57, 57)], "first": [(61, 62)], "second": [(61, 62)], "third": [(61, 61), (64, 64)],
-        "fourth": [(61, 61), (67, 70)], "fifth": [(61, 61), (72, 72)], "sixth": [(75, 77)], "total": [(78, 78)], "rack": [(1, 2)],
-        "int": [], "shop": [],
+        "rack": [(2, 2)], "bucket": [(2, 2)], "shop": [], "OPTIONS": [(4, 9)], "retries": [(4, 5)], "hosts": [(4, 4), (6, 8)], "timeout": [(10, 11)],
+        "send": [(14, 18)], "message": [(14, 14)], "parts": [], "urgent": [(14, 14)], "rest": [], "slot": [(14, 15)], "handle": [(14, 15)],
+        "later": [(14, 14), (17, 17)], "Parcel": [(21, 49)], "grams": [(24, 25)], "owner": [(24, 24), (26, 26)], "heavy": [(24, 24), (28, 33)],
+        "above": [(24, 24), (29, 31)], "route": [(24, 24), (35, 43)], "stops": [(24, 24), (36, 42)], "depot": [(24, 24), (36, 42)], "via": [(24, 24), (36, 42)],
+        "label": [(24, 24), (45, 46), (49, 49)], "sealed": [(24, 24), (45, 45), (48, 48)], "zone": [(52, 52), (54, 57)], "missing": [(52, 52), (59, 59)],
+        "left": [(62, 62)], "right": [(62, 62)], "count": [(63, 63)], "item": [(63, 63)], "limit": [(65, 67)], "int": [], "str": [],
     }),
     "JavaScript": (JAVASCRIPT, {
-        "uno": [(1, 1)], "dos": [(2, 2)], "tres": [(4, 7)], "Cuatro": [(9, 11), (13, 18), (22, 24)], "a": [(13, 16)], "alpha": [(13, 16)],
-        "b b": [(13, 13), (17, 17)], "c": [(22, 24)], "Cinco": [(26, 30)], "seis": [(26, 27)], "siete": [(26, 26), (29, 29)], "ocho": [(32, 32)],
-        "nueve": [(32, 32)], "diez": [(32, 32)], "once": [(34, 34)], "doce": [(34, 34)], "trece": [(35, 35)], "catorce": [(36, 36)],
+        "listenPort": [(1, 1)], "host": [(1, 1)], "port": [], "head": [(2, 2)], "tail": [(2, 2)], "Meter": [(4, 10)],
+        "level": [(4, 8)], "unit": [(4, 4), (9, 9)], "report": [(12, 17)], "meter": [(12, 13)], "text": [(13, 15)], "scale": [(19, 19)],
+        "low": [(19, 19)], "high": [(19, 19)], "marks": [(19, 19)], "Legacy": [(21, 21), (23, 25), (27, 32)], "reset": [(23, 25)],
+        "hardReset": [(23, 25)], "force": [(23, 23)], "full name": [(27, 28)], "start": [(27, 27), (29, 31)], "boot": [(27, 27), (29, 31)],
+        "speed": [(27, 27), (29, 29)], "protocol": [(33, 33)],
     }),
-    "TypeScript": (JAVASCRIPT, {"Cuatro": [(9, 11), (13, 18), (22, 24)], "siete": [(26, 26), (29, 29)], "diez": [(32, 32)], "b b": [(13, 13), (17, 17)]}),
+    "TypeScript": (JAVASCRIPT, {"Meter": [(4, 10)], "level": [(4, 8)], "marks": [(19, 19)], "Legacy": [(21, 21), (23, 25), (27, 32)], "full name": [(27, 28)]}),
     "TSX": (TYPED, {
-        "ocho": [(1, 1)], "nueve": [(1, 1)], "diez": [(1, 1)], "Shape": [(2, 4)], "sides": [(2, 3)], "Color": [(5, 5)], "Pair": [(6, 6)],
+        "Mode": [(1, 1)], "Probe": [(2, 4)], "depth": [(2, 3)], "Range": [(5, 5)], "clamp": [(6, 6)], "value": [(6, 6)], "limit": [(6, 6)], "others": [(6, 6)],
     }),
     "C": (C, {
-        "UNO": [(2, 2)], "dos": [(4, 4)], "TresTag": [(6, 9)], "Tres": [(6, 9)], "TRES_PTR": [(11, 11)], "IntPtr": [(13, 13)], "Caja": [(15, 17)],
-        "cuatro": [(6, 7)], "cinco": [(6, 6), (8, 8)], "seis": [(19, 19)], "SIETE": [(21, 21), (31, 31)], "outer": [(23, 29)], "hook": [(23, 27)],
-        "der": [(23, 27)], "val": [(33, 34)], "ptr": [(33, 33), (35, 35)],
+        "BUFFER_SIZE": [(1, 1)], "SQUARE": [(2, 2), (28, 28)], "errors": [(3, 3)], "Queue": [(5, 8)], "items": [(5, 6)], "size": [(5, 5), (7, 7)],
+        "Node": [(10, 13)], "ListNode": [(10, 13)], "weight": [(10, 10), (12, 12)], "NodeRef": [(14, 14)], "Text": [(15, 15)], "table": [(17, 17)],
+        "walk": [(19, 26)], "visit": [(19, 23)], "first": [(19, 23)], "limit": [(19, 23)], "step": [(30, 31)], "counter": [(30, 30), (32, 32)],
     }),
     "C++": (CPP, {"geo": [(1, 9)], "Box": [(1, 8)], "width": [(1, 1), (4, 4), (6, 7)], "count": [(11, 14)], "n": [(11, 11)], "T": [(1, 3)]}),
     "Rust": (RUST, {
-        "Snack": [(1, 6), (12, 16)], "Bug": [(2, 2), (5, 5)], "Feed": [(8, 10), (12, 16)], "chew": [(8, 9), (12, 15)],
-        "wing": [(2, 2), (5, 5), (18, 18), (20, 21)], "leg": [(2, 2), (5, 5), (18, 20), (22, 22)], "hatchling": [(26, 26)],
+        "unlock": [(1, 1)], "Priced": [(3, 6), (21, 30)], "price": [(4, 5), (21, 29)], "Book": [(8, 13)], "title": [(10, 11)],
+        "pages": [(10, 10), (12, 12)], "Media": [(15, 19), (21, 30)], "Paper": [(15, 16)], "minutes": [(15, 15), (17, 17), (21, 22), (25, 26)],
+        "tracks": [(15, 15), (17, 17), (21, 23), (25, 25), (27, 27)],
     }),
     "Cython": (CYTHON, {
-        "greet": [(1, 1)], "Paint": [(3, 10)], "part": [(3, 4)], "public": [], "double": [], "i": [(3, 3), (6, 7)], "curve": [(12, 13)],
-        "x": [(12, 12)], "real64": [(15, 15)],
+        "LIMIT": [(1, 1)], "count_t": [(2, 2)], "walk_all": [(4, 8)], "steps": [(4, 4)], "speed": [(4, 4)], "done": [(4, 7)], "k": [(4, 4), (6, 6)],
+        "Track": [(10, 15)], "points": [(10, 11)], "readonly": [], "length": [(10, 10), (13, 15)],
     }),
     "Go": (GO, {"Point": [(3, 6)], "Norm": [(8, 12)], "scale": [(8, 8)], "X": [(4, 5)], "t": [(8, 8), (10, 10)], "main": [(14, 15)]}),
     "Lua": (LUA, {"base": [(1, 2), (4, 4)], "Mod.run": [(2, 7)], "a": [(2, 2)], "key": [(2, 2), (6, 6)], "i": [(8, 8)]}),
     "Shell": (SHELL, {"greet": [(2, 7)], "who": [(2, 3)], "COLOR": [(8, 8)], "item": [(9, 9)]}),
     "CSS": (CSS, {"card": [(1, 4)], "title": [(1, 4)], "main": [(5, 5)]}),
     "Markdown": (MARKDOWN, {
-        "owner": [(3, 3)], "Mars": [(9, 9), (13, 13), (16, 16), (18, 18), (20, 20)], "gladius": [(25, 25), (27, 28), (31, 32), (35, 35), (37, 37)],
-        "Deep": [(9, 24)], "Tail": [(25, 25), (40, 42)], "Main Page": [(6, 8)],
+        "tags": [(2, 2)], "kind": [(3, 3)], "Cover": [(5, 7)], "Tools": [(8, 19)], "Generated": [(8, 8), (10, 19)],
+        "handle": [(8, 8), (10, 10), (12, 15)], "Snippets": [(20, 31)], "anvil": [(20, 20), (22, 23), (25, 26), (28, 28), (30, 30)],
     }),
     "HTML": (HTML, {
-        "frost": [(2, 3), (5, 8)], "cold": [(2, 3), (5, 5), (9, 11), (19, 19), (23, 25)], "Header": [(2, 2), (19, 22)], "rost": [(2, 3), (13, 16)],
+        "Opening": [], "Opening\nhours": [(1, 4)], "map": [(1, 2), (5, 10), (17, 19)], "stops": [(1, 2), (5, 9)], "zoom": [(1, 2), (11, 12)],
+        "zoomIn": [(1, 2), (11, 11), (13, 15)], "step": [(1, 2), (11, 11), (13, 13)], "omap": [(1, 2), (17, 19)], "hint": [(1, 2), (17, 17), (20, 22)],
     }),
     "TeX": (TEX, {
-        "lem": [(5, 5)], "Q": [(7, 8)], "Start": [(10, 10), (12, 24)], "begin": [(10, 10), (12, 24)],
-        "the_lemma": [(10, 10), (12, 12), (15, 15), (17, 20)], "Plan": [(10, 10), (12, 12), (22, 24)], "ways": [(10, 10), (26, 29)],
+        "page": [(1, 2)], "remark": [(3, 3)], "claim": [(4, 4)], "Methods": [(6, 14)], "Data": [(6, 14)], "data": [(6, 14)],
+        "main_claim": [(6, 8), (11, 14)], "Results": [(6, 6), (16, 17)],
     }),
     "YAML": (YAML, {"base": [(1, 6)], "shared": [(1, 1)], "host": [(2, 2)], "ports": [(3, 6)], "one": [(4, 4), (6, 6)], "two": [(5, 5)], "quoted": [(7, 7)], "inner": [(7, 7)], "odd key": [(7, 7)]}),
 }

@@ -176,16 +176,18 @@ def test_list_and_string_source_agree(spark, rows):
     assert one == two
 
 
-CALLS = """def area(n):
-    return grid(n, n)
+CALLS = """def fetch(url):
+    return retry(url)
 
 
-def grid(n, k):
-    return n * grid(n - 1, k)
+def retry(url):
+    if url.broken:
+        return retry(url.mirror)
 
 
-def ratio(n):
-    return grid(n, 1) / area(n)
+class Client:
+    def get(self, url):
+        return self.cache.fetch(url) or retry(url)
 
 
 from a.b import (
@@ -200,13 +202,15 @@ def test_references(spark):
     files = spark.createDataFrame([("m.py", "Python", CALLS)], "file_id string, language string, content string")
     found = extract(files, ("Python",), references=True).cache()
     calls = {(r.names[0], r.callee) for r in R.calls_by_definition(found).collect()}
-    assert calls == {("area", "grid"), ("grid", "grid"), ("ratio", "grid"), ("ratio", "area")}
+    assert calls == {
+        ("fetch", "retry"), ("retry", "retry"), ("get", "fetch"), ("get", "retry"), ("Client", "fetch"), ("Client", "retry"),
+    }
     pairs = {(r.origin, r.name) for r in R.imports(found).collect()}
     assert {("a.b", "one as two"), ("a.b", "three"), ("p", "q"), ("p.q", "r")} <= pairs
     edges = spark.createDataFrame(list(calls), "caller string, callee string")
-    starts = spark.createDataFrame([(1, "area"), (2, "ratio"), (3, "none")], "term_id int, name string")
+    starts = spark.createDataFrame([(1, "fetch"), (2, "get"), (3, "none")], "term_id int, name string")
     got = sorted((r.term_id, r.step, r.name) for r in R.single_callee_chains(edges, starts).collect())
-    assert got == [(1, 0, "area"), (1, 1, "grid"), (2, 0, "ratio"), (3, 0, "none")]
+    assert got == [(1, 0, "fetch"), (1, 1, "retry"), (2, 0, "get"), (3, 0, "none")]
 
 
 def test_chain_counts_only_names_not_visited(spark):
@@ -235,10 +239,10 @@ def test_excerpts(spark):
 
 
 def test_one_look_up_at_a_time_equals_the_batch(spark, tmp_path):
-    files = spark.createDataFrame([("m.py", "Python", CALLS), ("n.py", "Python", "grid = 1\n")], "file_id string, language string, content string")
+    files = spark.createDataFrame([("m.py", "Python", CALLS), ("n.py", "Python", "retry = 1\n")], "file_id string, language string, content string")
     save_index(extract(files, ("Python",)), str(tmp_path / "index"))
     index = read_index(spark, str(tmp_path / "index"))
-    words = ["area", "grid", "n", "absent"]
+    words = ["fetch", "retry", "url", "absent"]
     terms = spark.createDataFrame([(w, w, False, False) for w in words], "term_id string, pattern string, ignore_case boolean, case_style boolean")
     batch = {tuple(r) for r in Q.hits(index, terms).select("term_id", "file_id", "start_line", "end_line").collect()}
     single = {(w, *r) for w in words for r in union_ranges(lookup_word(index, w), ["file_id"]).select("file_id", "start_line", "end_line").collect()}

@@ -156,7 +156,7 @@ RULES: list[Rule] = [
     Rule(PY, "py_setitem", "attribute", r"""\.__set(?:attr|item)__\s*\((?:[^()]*,)?\s*["']([^"']*)["']\s*,\s*[^,()]+\)""", "LOGICAL"),
     # Cython
     Rule(CY, "cy_constant", "variable", r"^\s*DEF\s+(\w+)", "LOGICAL", start=True),
-    Rule(CY, "cy_function", "block", r"^\s*(?:cdef|cpdef)\s+(?!class\b|struct\b|enum\b|union\b|cppclass\b)[^=(]*?(\w+)\s*\([^=]*:\s*(?:$|#)", "BLOCK", start=True),
+    Rule(CY, "cy_function", "block", r"^\s*(?:cdef|cpdef)\s+(?!class\b|struct\b|enum\b|union\b|cppclass\b)[^=(]*?(\w+)\s*\((?:.*:\s*$|[^)]*$)", "BLOCK", start=True),
     Rule(CY, "cy_class", "block", r"^\s*(?:cdef|cpdef|ctypedef)\s+(?:(?:public|packed|api|extern)\s+)*(?:class|cppclass|enum|fused|struct|union)\s+(\w+)", "BLOCK", start=True),
     Rule(CY, "cy_variable", "variable", r"(?:[\s*&,])(\w+)\s*(?:\[[^\]]*\])*\s*(?==(?!=)|,|$)", "LOGICAL", start=True, gate=r"^\s*(?:cdef|cpdef)\s+(?!class\b|struct\b|enum\b|union\b|cppclass\b)[^():]*(?:=.*)?$"),
     Rule(CY, "cy_field", "variable", r"(?:[\s*&])(\w+)\s*(?:\[[^\]]*\])*\s*$", "LOGICAL", start=True, gate=r"^\s+(?!(?:return|yield|import|from|raise|assert|del|global|nonlocal|cdef|cpdef|ctypedef|not|print|include|type|pass|break|continue)\b)[\w.]+(?:\s+[\w.]+)*[\s*&]+\w+\s*(?:\[[^\]]*\])*\s*$"),
