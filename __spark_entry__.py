@@ -342,11 +342,23 @@ QUERIES = [
 ]
 
 
+try:  # the operators for training-data corpora and their pipeline, where they are installed
+    from whereabouts.llm.queries import ORACLES as LLM_ORACLES
+    from whereabouts.llm.queries import QUERIES as LLM_QUERIES
+except ImportError:
+    LLM_ORACLES, LLM_QUERIES = {}, {}
+try:
+    import corpus_pipeline
+except ImportError:
+    corpus_pipeline = None
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in QUERIES}
+    own = {q.__name__: q for q in QUERIES} | LLM_QUERIES
+    return own | ({"pipeline": corpus_pipeline.run} if corpus_pipeline else {})
 
 
 def oracle_sql() -> dict[str, str]:
     from oracles import ORACLES
 
-    return dict(ORACLES)
+    return dict(ORACLES) | LLM_ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline and corpus_pipeline.ORACLE_SQL else {})
