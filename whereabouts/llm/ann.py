@@ -75,7 +75,7 @@ def scan(query: np.ndarray, rows: np.ndarray, k: int, step: int = STEP, epsilon:
     return np.concatenate(kept) if kept else np.zeros(0, np.int64)
 
 
-def nearest(rows: DataFrame, k: int = 5, every: int = 50, id_column: str = "vec_id", column: str = "embedding", probes: float = 0.25, most_sampled: int = 20_000, lists: int | None = None) -> DataFrame:
+def nearest(rows: DataFrame, k: int = 5, every: int = 50, id_column: str = "vec_id", column: str = "embedding", probes: float = 0.6, most_sampled: int = 20_000, lists: int | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row whose id is divisible by ``every``, its ``k`` nearest others.
 
     Nearness is the cosine in double precision on the vectors as given; ties go to the smaller id. Vectors that are null,
@@ -87,7 +87,8 @@ def nearest(rows: DataFrame, k: int = 5, every: int = 50, id_column: str = "vec_
     Every vector is placed in the list of its nearest centroid (k-means over at most ``most_sampled`` rows, chosen by a
     hash of the id); a query probes the nearest ``probes`` share of the ``lists``, at least eight. Lists are scanned in
     blocks of about 2048 vectors, so a large list is many tasks. Queries that find
-    fewer than they need in their probed lists probe all. What is broadcast has ``lists`` x dimensions numbers, with at most 1024 lists. No rows: no rows.
+    fewer than they need in their probed lists probe all. What is broadcast has ``lists`` x dimensions numbers, with eight to 1024 lists of about
+    512 vectors or more. No rows: no rows.
     """
     spark = rows.sparkSession
     ready(spark)
@@ -104,7 +105,7 @@ def nearest(rows: DataFrame, k: int = 5, every: int = 50, id_column: str = "vec_
     asked = sound.where(F.col("id") % every == 0).select("id", "v").distinct()
     members = saved(members)
     sampled = [r["v"] for r in members.orderBy(F.xxhash64("rep")).limit(most_sampled).select("v").collect()]
-    number = lists or max(1, min(1024, round(math.sqrt(members.count()))))
+    number = lists or max(8, min(1024, members.count() // 512))
     centres = centroids(unit(sampled), number)
     probed = min(len(centres), max(8, math.ceil(probes * len(centres))))
     model = spark.sparkContext.broadcast((centres, rotation(dims[0])))
