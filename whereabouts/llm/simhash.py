@@ -117,6 +117,7 @@ def links(distinct: DataFrame, number: int, radius: int = RADIUS) -> DataFrame:
     A pair of tiles meets only if no bound on its population counts keeps all its pairs farther apart than the radius.
     """
     cut = saved(tiles(distinct, number))
+    number = (cut.agg(F.max("tile")).first()[0] or 0) + 1  # as many as there are, however they were dealt
     boxes = cut.select("tile", "lo", "hi")
     ahead = boxes.select(F.col("tile").alias("i"), F.col("lo").alias("lo_i"), F.col("hi").alias("hi_i"), F.explode(F.sequence("tile", F.lit(number - 1))).alias("j"))
     pairs = ahead.join(boxes.select(F.col("tile").alias("j"), F.col("lo").alias("lo_j"), F.col("hi").alias("hi_j")), "j")
