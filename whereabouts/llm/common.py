@@ -157,7 +157,8 @@ def averaged(shards: DataFrame, fit, start: dict[str, np.ndarray], rounds: int)
                     out = fit(pickle.loads(sent.value), data)
                     yield pd.DataFrame({"shard": [shard], "params": [pickle.dumps(out)]})
 
-        got = [pickle.loads(r["params"]) for r in shards.mapInPandas(run, "shard int, params binary").orderBy("shard").collect()]
+        got = sorted(shards.mapInPandas(run, "shard int, params binary").collect(), key=lambda r: r["shard"])
+        got = [pickle.loads(r["params"]) for r in got]
         if not got:
             return now
         now = {k: np.mean([g[k] for g in got], axis=0).astype(np.float32) for k in start}
