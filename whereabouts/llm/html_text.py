@@ -179,6 +179,8 @@ def render(node: Node) -> list[str]:
         elif what == "out":
             if item.tag in ("ul", "ol", "menu", "dir"):
                 counts.pop()
+            if (keep or item.tag == "pre") and page.line:
+                page.flush(keep=True)
             if item.tag in SPACED and not counts:
                 page.space()
             else:

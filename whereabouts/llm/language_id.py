@@ -26,7 +26,8 @@ def grams(data: np.ndarray, starts: np.ndarray, bits: int = BITS) -> tuple[np.nd
     found, inside = [], []
     for n in ORDERS:
         h = np.zeros(len(data), np.uint64)
-        h[: len(data) - n + 1] = (sums[n:] - sums[:-n]) * down[: len(data) - n + 1]
+        if len(data) >= n:
+            h[: len(data) - n + 1] = (sums[n:] - sums[:-n]) * down[: len(data) - n + 1]
         found.append((mixed(h + np.uint64(n)) >> np.uint64(64 - bits)).astype(np.int32))
         inside.append(left >= n)
     return np.stack(found), np.stack(inside)
