@@ -16,7 +16,7 @@ from .structure import BRACKETS, CLOSE, KEYS, OPEN, OWN, PROBE, _events, nest
 
 PIECE = r"<!--(?s:.*?)-->|(?i:<(script|style)\b)[^>]*>(?s:.*?)(?i:</\1\s*>)|</?[A-Za-z][^>]*>|[^<]+|<"
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
-ENTITY = r"&(?:#(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,5})|[A-Za-z]{1,30});?"  # ends a text, as a tag does
+ENTITY = r"&(?:#(?:[xX][0-9a-fA-F]+|[0-9]+)|[A-Za-z][A-Za-z0-9]*);?"  # ends a text, as a tag does
 ATTRIBUTE = r"""(?<=\s)(?:id|name)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
 

@@ -90,7 +90,7 @@ def language_of_path(path: Column) -> Column:
 
 
 def interpreter(content: Column) -> Column:
-    return F.regexp_replace(F.regexp_extract(content, r"^#!\s*(?:\S*/)?(?:env\s+(?:-\S+\s+)*)?([\w.+-]+)", 1), r"[0-9.]+\z", "")
+    return F.regexp_replace(F.regexp_extract(content, r"^#!\s*(?:\S*/)?(?:env\s+(?:-\S++\s++)*+)?([\w.+-]+)", 1), r"[0-9.]+\z", "")
 
 
 def language_of_shebang(content: Column) -> Column:

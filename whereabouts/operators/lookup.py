@@ -7,25 +7,23 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import names as N
 from ..functions import text as T
 from ..functions.sql import literal
 from .ranges import union_ranges
 
-MAX_REGEX_TERMS = 256  # patterns compiled into one plan; more go by an equi-join on a bucket
-BUCKETS = 64
-
-
-def may_span_rows(pattern: str) -> bool:
-    """True when a match in the whole text could reach over a row end."""
-    return re.search(r"\\[sSWDnrRAzZGXHVhvQ]|\[\^|\(\?|\[[^\]]*\\|\^|\$", pattern) is not None
+CHUNK = 200  # patterns in one array of tests; any number of arrays follow each other
 
 
 def has_row_matching(content: Column, pattern: str, ignore_case: bool = False) -> Column:
-    """Candidate test: the pattern, not anchored, inside one row of the raw text."""
+    """Candidate test: the pattern, not anchored, inside one row of the raw text.
+
+    A plain word is sought in the whole text first, since it can't reach over a row end.
+    """
     flags = "(?iud)" if ignore_case else "(?d)"
-    if not may_span_rows(pattern):
+    if re.fullmatch(r"\w+", pattern):
         return content.rlike(flags + pattern)
     return F.exists(T.split_lines(content), lambda x: x.rlike(flags + pattern))
 
@@ -78,18 +76,17 @@ def matching_names(names: DataFrame, terms: DataFrame) -> DataFrame:
         .select("term_id", "name")
     )
     patterns = ready.where("how = 'pattern'").select("term_id", "full_pattern")
-    few = patterns.limit(MAX_REGEX_TERMS + 1).collect()
     found = equal.unionByName(folded)
-    if not few:
+    asked = patterns.collect()  # what a user typed: settings of the plan, like rules
+    if not asked:
         return found
-    if len(few) <= MAX_REGEX_TERMS:
-        # constants in the plan: each pattern is compiled once per task, not once per name
-        tests = ", ".join(f"IF(name RLIKE {literal(r.full_pattern)}, {literal(str(r.term_id))}, NULL)" for r in few)
-        hits = names.select("name", F.explode(F.expr(f"array_compact(array({tests}))")).alias("term_id"))
-        return found.unionByName(hits.select(F.col("term_id").cast(patterns.schema["term_id"].dataType), "name"))
-    spread = names.withColumn("_b", F.pmod(F.xxhash64("name"), F.lit(BUCKETS)))
-    copies = patterns.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(BUCKETS - 1).cast("bigint"))))
-    return found.unionByName(spread.join(copies, "_b").where(F.expr("name RLIKE full_pattern")).select("term_id", "name"))
+    # Constants of the plan: each pattern is compiled once per task, not once per name. Ids keep their type, null too.
+    tests = [f"IF(name RLIKE {literal(r.full_pattern)}, {i}, NULL)" for i, r in enumerate(asked)]
+    parts = ", ".join(f"array_compact(array({', '.join(tests[i : i + CHUNK])}))" for i in range(0, len(tests), CHUNK))
+    hit = names.select("name", F.explode(F.expr(f"flatten(array({parts}))")).alias("_at"))
+    schema = StructType([StructField("_at", IntegerType()), patterns.schema["term_id"]])
+    ids = names.sparkSession.createDataFrame([(i, r.term_id) for i, r in enumerate(asked)], schema)
+    return found.unionByName(hit.join(ids, "_at").select("term_id", "name"))
 
 
 def named(definitions: DataFrame) -> DataFrame:

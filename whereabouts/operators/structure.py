@@ -90,7 +90,7 @@ def read_rows(rows: DataFrame, lexis: dict[tuple[str, ...], Lexis], contexts: li
 
     def leading(x: Lexis) -> str:
         one = f"{x.closers}|{T.TEXT_CLOSE}"
-        return f"regexp_count(regexp_extract(masked, {literal(rf'^(?:\s*(?:{one}))+')}, 0), {literal(one)})"
+        return f"regexp_count(regexp_extract(masked, {literal(rf'^(?:\s*+(?:{one}))++')}, 0), {literal(one)})"
 
     def rank(x: Lexis) -> str | None:
         cases = [f"WHEN {_matches(pattern)} THEN {k}" for k, pattern in enumerate(x.level, 1)]
@@ -110,7 +110,7 @@ def read_rows(rows: DataFrame, lexis: dict[tuple[str, ...], Lexis], contexts: li
         "text_indent IS NOT NULL AND NOT is_code AS is_note",
         f"{per_language(lexis, lambda x: literal(x.blocks), literal('bracket'))} AS mode",
         f"{per_language(lexis, lambda x: 'true' if x.attaches else None, 'false')} AS attaches",
-        f"IF(is_code AND language = 'YAML', length(regexp_extract(masked, {literal(r'^\s*(?:-\s+)*')}, 0)), coalesce(text_indent, 0)) AS indent",
+        f"IF(is_code AND language = 'YAML', length(regexp_extract(masked, {literal(r'^\s*+(?:-\s++)*+')}, 0)), coalesce(text_indent, 0)) AS indent",
         f"IF(is_code, {per_language(lexis, counted('openers', PLAIN_OPENERS, T.TEXT_OPEN), _count('([{' + T.TEXT_OPEN))}, 0) AS opens",
         f"IF(is_code, {per_language(lexis, counted('closers', PLAIN_CLOSERS, T.TEXT_CLOSE), _count(')]}' + T.TEXT_CLOSE))}, 0) AS closes",
         f"is_code AND NOT {_matches(r'[;{},:]\s*$')} AS is_soft",

@@ -46,7 +46,7 @@ LEXIS: dict[tuple[str, ...], Lexis] = {
         attaches=True,
     ),
     CC: Lexis(
-        token=SLASHES + "|" + DQ + r"|'(?:[^'\\\n]|\\[^\n']{1,9}|\\')'",
+        token=SLASHES + "|" + DQ + r"|'(?:[^'\\\n]|\\[^\n']++|\\')'",
         comment=r"^/[/*]",
         blocks="bracket",
         continues=r"(?:(?<![=!<>])=|&&|\|\||\?|\\)\s*$",
@@ -55,14 +55,14 @@ LEXIS: dict[tuple[str, ...], Lexis] = {
         attach=r"^\s*template\s*<.*>\s*$",
     ),
     GO: Lexis(
-        token=SLASHES + "|" + DQ + r"|`[^`]*`|'(?:[^'\\\n]|\\[^\n']{1,9}|\\')'",
+        token=SLASHES + "|" + DQ + r"|`[^`]*`|'(?:[^'\\\n]|\\[^\n']++|\\')'",
         comment=r"^/[/*]",
         blocks="bracket",
         continues=r"(?:(?<![=!<>])=|&&|\|\||[+.])\s*$",
         attaches=True,
     ),
     RS: Lexis(
-        token=SLASHES + r'|r(#+)"(?s:.*?)"\1|' + r'"[^"\\]*+(?:\\(?s:.)[^"\\]*+)*+"' + r"|'(?:[^'\\\n]|\\[^\n']{1,9}|\\')'",
+        token=SLASHES + r'|r(#+)"(?s:.*?)"\1|' + r'"[^"\\]*+(?:\\(?s:.)[^"\\]*+)*+"' + r"|'(?:[^'\\\n]|\\[^\n']++|\\')'",
         comment=r"^/[/*]",
         blocks="bracket",
         continues=r"(?:(?<![=!<>])=|&&|\|\|)\s*$",
@@ -89,10 +89,10 @@ LEXIS: dict[tuple[str, ...], Lexis] = {
         continued=r"\{",
     ),
     YML: Lexis(
-        token=r"(?<![^\s])#[^\n]*|" + DQ + r"|(?<![^\s\[{,:])'(?:[^'\n]|'')*'",
+        token=r"(?<![^\s])#[^\n]*|" + DQ + r"|(?<![^\s\[{,:])'[^'\n]*+(?:''[^'\n]*+)*+'",
         comment=r"^#",
         blocks="indent",
-        head=r"^\s*(?:-\s+)*[^\s#].*?:(?:\s|$)",
+        head=r"^\s*(?:-\s++)*+[^\s#].*?:(?:\s|$)",
     ),
     TEX: Lexis(
         token=r"(?<!\\)%[^\n]*|\\begin\{(verbatim|lstlisting|comment)\}(?s:.*?)\\end\{\1\}",
@@ -116,22 +116,22 @@ LEXIS: dict[tuple[str, ...], Lexis] = {
 
 # ---- pieces of patterns used more than once -------------------------------------------------
 
-PY_T = r"\*?[A-Za-z_\u0080-\uDFFF][\w.]*(?:\[[^\]\n]*\])*(?:\.\w+)*"
-PY_TL = rf"\(?\s*{PY_T}(?:\s*,\s*{PY_T})*\s*,?\s*\)?"
+PY_T = r"\*?[A-Za-z_\u0080-\uDFFF][\w.]*+(?:\[[^\]\n]*+\])*+(?:\.\w++)*+"
+PY_TL = rf"\(?\s*{PY_T}(?:\s*,\s*{PY_T})*+\s*,?\s*\)?"
 PY_NOT = r"(?!(?:else|try|finally|lambda|case|return|yield|assert|del|raise|print)\b)"
 PY_DEF = r"^\s*(?:async\s+)?(?:def|cp?def)\b"
 
-JS_MOD = r"(?:(?:public|private|protected|static|async|get|set|readonly|override|abstract|declare|accessor|export|default)\s+)*"
+JS_MOD = r"""(?:(?:public|private|protected|static|async|get|set|readonly|override|abstract|declare|accessor|export|default)\s+(?=["'*#\w$]))*+"""
 JS_KEY = r"(?!(?:if|for|while|switch|catch|return|function|with|else|do|new|throw|await|typeof|case|super)\b)"
 JS_METHOD = rf"^\s*{JS_MOD}\*?\s*{JS_KEY}(#?[\w$]+)\s*(?:<[^>]*>)?\([^()]*\)\s*(?::[^{{]+)?\{{"
 JS_OBJECT = r"^\{.*(?:(?:^\{|[=(:,\[?&|])\s*|\breturn\s+|\bdefault\s+)\{\s*$"
 
 C_NOT = r"(?!\s*(?:return|goto|else|case|typedef|using|delete|throw|new|if|for|while|switch|do|namespace|public|private|protected)\b)"
-C_TYPE = r"(?:[\w:]+(?:<[^;()]*>)?[\s*&]+)+"
-C_FUNC = rf"^{C_NOT}\s*{C_TYPE}(?:[\w]+::)*~?\w+\s*\((?!\s*\*)"
+C_TYPE = r"(?:[\w:]++(?:<[^;()]*>)?[\s*&]++(?=[\w~]))++"
+C_FUNC = rf"^{C_NOT}\s*{C_TYPE}(?:\w++::)*+~?\w+\s*\((?!\s*\*)"
 
 RS_VIS = r"^\s*(?:pub(?:\([^)]*\))?\s+)?"
-RS_PATH = r"(?:\w+::)*(\w+)"
+RS_PATH = r"(?:\w++::)*+(\w+)"
 
 RULES: list[Rule] = [
     # Python, and Cython by extension
@@ -157,11 +157,11 @@ RULES: list[Rule] = [
     # Cython
     Rule(CY, "cy_constant", "variable", r"^\s*DEF\s+(\w+)", "LOGICAL", start=True),
     Rule(CY, "cy_function", "block", r"^\s*(?:cdef|cpdef)\s+(?!class\b|struct\b|enum\b|union\b|cppclass\b)[^=(]*?(\w+)\s*\((?:.*:\s*$|[^)]*$)", "BLOCK", start=True),
-    Rule(CY, "cy_class", "block", r"^\s*(?:cdef|cpdef|ctypedef)\s+(?:(?:public|packed|api|extern)\s+)*(?:class|cppclass|enum|fused|struct|union)\s+(\w+)", "BLOCK", start=True),
-    Rule(CY, "cy_variable", "variable", r"(?:[\s*&,])(\w+)\s*(?:\[[^\]]*\])*\s*(?==(?!=)|,|$)", "LOGICAL", start=True, gate=r"^\s*(?:cdef|cpdef)\s+(?!class\b|struct\b|enum\b|union\b|cppclass\b)[^():]*(?:=.*)?$"),
-    Rule(CY, "cy_field", "variable", r"(?:[\s*&])(\w+)\s*(?:\[[^\]]*\])*\s*$", "LOGICAL", start=True, gate=r"^\s+(?!(?:return|yield|import|from|raise|assert|del|global|nonlocal|cdef|cpdef|ctypedef|not|print|include|type|pass|break|continue)\b)[\w.]+(?:\s+[\w.]+)*[\s*&]+\w+\s*(?:\[[^\]]*\])*\s*$"),
+    Rule(CY, "cy_class", "block", r"^\s*(?:cdef|cpdef|ctypedef)\s+(?:(?:public|packed|api|extern)\s+)*+(?:class|cppclass|enum|fused|struct|union)\s+(\w+)", "BLOCK", start=True),
+    Rule(CY, "cy_variable", "variable", r"(?:[\s*&,])(\w+)\s*(?:\[[^\]]*+\])*+\s*(?==(?!=)|,|$)", "LOGICAL", start=True, gate=r"^\s*(?:cdef|cpdef)\s+(?!class\b|struct\b|enum\b|union\b|cppclass\b)[^():]*(?:=.*)?$"),
+    Rule(CY, "cy_field", "variable", r"(?:[\s*&])(\w+)\s*(?:\[[^\]]*+\])*+\s*$", "LOGICAL", start=True, gate=r"^\s+(?!(?:return|yield|import|from|raise|assert|del|global|nonlocal|cdef|cpdef|ctypedef|not|print|include|type|pass|break|continue)\b)[\w.]+(?:\s+[\w.]+)*[\s*&]+\w+\s*(?:\[[^\]]*+\])*+\s*$"),
     Rule(CY, "cy_typedef", "type", r"^\s*ctypedef\s+(?!class\b|struct\b|enum\b|union\b|fused\b)[^()]*?[\s*](\w+)\s*$", "LOGICAL", start=True),
-    Rule(CY, "cy_param", "parameter", r"[(,]\s*(?:[\w.\[\]:]+[\s*&]+)+(\w+)\s*(?==|,|\)|not\b|or\b|$)", gate=PY_DEF),
+    Rule(CY, "cy_param", "parameter", r"[(,]\s*(?:[\w.\[\]:]++[\s*&]++(?=\w))++(\w+)\s*(?==|,|\)|not\b|or\b|$)", gate=PY_DEF),
     Rule(CY, "cy_property", "block", r"^\s*property\s+(\w+)\s*:", "BLOCK", start=True),
     Rule(CY, "cy_for_from", "target", r"^\s*for\s+(\w+)\s+from\b", "LOGICAL", start=True),
     # JavaScript family
@@ -176,7 +176,7 @@ RULES: list[Rule] = [
     Rule(JS, "js_variable_next", "variable", r",\s*([\w$]+)\s*(?==(?![=>])|,|;|$)", gate=r"^\s*(?:export\s+)?(?:let|const|var)\s+[\w$]+\s*(?:=[^()\[\]{}=]*)?,"),
     Rule(JS, "js_array_pattern", "variable", r"(?:\b(?:let|const|var)\s+|^\s*)\[([^\]=]*)\]\s*=(?![=>])", "LOGICAL", expand="list"),
     Rule(JS, "js_object_pattern", "variable", r"(?:\b(?:let|const|var)\s+|^\s*\(\s*)\{([^{}]*)\}\s*=(?![=>])", "LOGICAL", expand="object_pattern"),
-    Rule(JS, "js_assign", "variable", r"^\s*((?:this|[\w$]+)(?:\.#?[\w$]+|\[[^\]]*\])*)\s*=(?![=>])", "LOGICAL", expand="member"),
+    Rule(JS, "js_assign", "variable", r"^\s*((?:this|[\w$]+)(?:\.#?[\w$]++|\[[^\]]*+\])*+)\s*=(?![=>])", "LOGICAL", expand="member"),
     Rule(JS, "js_key", "key", r"""^\s*["']([^"']+)["']\s*:""", "LOGICAL", parent=JS_OBJECT),
     Rule(JS, "js_key_bare", "key", r"^\s*([\w$]+)\s*:(?!:)", "LOGICAL", parent=JS_OBJECT),
     Rule(JS, "js_key_inline", "key", r"""[{,]\s*["']?([\w$]+)["']?\s*:(?!:)""", gate=r"(?:[=(:,\[]|\breturn)\s*\{[^{}]*:"),
@@ -193,18 +193,18 @@ RULES: list[Rule] = [
     # C, GLSL and C++
     Rule(CC, "c_macro", "macro", r"^\s*#\s*(?:define|undef)\s+(\w+)", "LOGICAL"),
     Rule(CC, "c_struct", "block", r"\bstruct\s+(\w+)\s*(?::[^{;]*)?(?:\{|$)", "LOGICAL"),
-    Rule(CC, "c_typedef", "type", r"^\s*typedef\b[^;{(]*?[\s*](\w+)\s*(?:\[[^\]]*\])*\s*;", "LOGICAL"),
+    Rule(CC, "c_typedef", "type", r"^\s*typedef\b[^;{(]*?[\s*](\w+)\s*(?:\[[^\]]*+\])*+\s*;", "LOGICAL"),
     Rule(CC, "c_typedef_function", "type", r"^\s*typedef\b[^;{]*?\(\s*\*+\s*(\w+)\s*\)\s*\(", "LOGICAL"),
-    Rule(CC, "c_closing_name", "type", r"^\s*\}\s*\**\s*(\w+)\s*(?:\[[^\]]*\])*\s*(?:;|=)", "CLOSES"),
-    Rule(CC, "c_declaration", "variable", rf"^{C_NOT}\s*{C_TYPE}(\w+)\s*(?:\[[^\]]*\]\s*)*(?:=(?!=)|;|,|:\s*\d)", "LOGICAL"),
-    Rule(CC, "c_declaration_next", "variable", r",\s*\**\s*(\w+)\s*(?:\[[^\]]*\]\s*)*(?==(?!=)|;|,)", gate=rf"^{C_NOT}\s*{C_TYPE}\w+\s*(?:\[[^\]]*\]\s*)*(?:=[^()]*)?,[^()]*;"),
-    Rule(CC, "c_function", "block", rf"^{C_NOT}\s*{C_TYPE}(?:\w+::)*(~?\w+)\s*\((?!\s*\*)", "LOGICAL"),
-    Rule(CC, "c_param", "parameter", r"[(,]\s*(?:[\w:]+(?:<[^()]*>)?[\s*&]+)+(\w+)\s*(?:\[[^\]]*\])*\s*(?==|[,)]|$)", gate=C_FUNC),
-    Rule(CC, "c_param_row", "parameter", r"^\s*(?:[\w:]+(?:<[^()]*>)?[\s*&]+)+(\w+)\s*(?:\[[^\]]*\])*\s*(?==|[,)]|$)", parent=rf"^\({C_FUNC[1:]}"),
+    Rule(CC, "c_closing_name", "type", r"^\s*\}\s*\**\s*(\w+)\s*(?:\[[^\]]*+\])*+\s*(?:;|=)", "CLOSES"),
+    Rule(CC, "c_declaration", "variable", rf"^{C_NOT}\s*{C_TYPE}(\w+)\s*(?:\[[^\]]*+\]\s*)*+(?:=(?!=)|;|,|:\s*\d)", "LOGICAL"),
+    Rule(CC, "c_declaration_next", "variable", r",\s*\**\s*(\w+)\s*(?:\[[^\]]*+\]\s*)*+(?==(?!=)|;|,)", gate=rf"^{C_NOT}\s*{C_TYPE}\w+\s*(?:\[[^\]]*+\]\s*)*+(?:=[^()]*)?,[^()]*;"),
+    Rule(CC, "c_function", "block", rf"^{C_NOT}\s*{C_TYPE}(?:\w++::)*+(~?\w+)\s*\((?!\s*\*)", "LOGICAL"),
+    Rule(CC, "c_param", "parameter", r"[(,]\s*(?:[\w:]++(?:<[^()]*>)?[\s*&]++(?=\w))++(\w+)\s*(?:\[[^\]]*+\])*+\s*(?==|[,)]|$)", gate=C_FUNC),
+    Rule(CC, "c_param_row", "parameter", r"^\s*(?:[\w:]++(?:<[^()]*>)?[\s*&]++(?=\w))++(\w+)\s*(?:\[[^\]]*+\])*+\s*(?==|[,)]|$)", parent=rf"^\({C_FUNC[1:]}"),
     Rule(CC, "c_param_function", "parameter", r"\(\s*\*+\s*(\w+)\s*\)\s*\(", gate=r"^(?!\s*typedef\b)"),
     Rule(C, "c_assign", "variable", r"^\s*\**\s*(\w+)\s*(?:[-+*/%&|^]|<<|>>)?=(?!=)", "LOGICAL"),
-    Rule(CXX, "cxx_assign", "variable", r"^\s*(\*{0,2}\s*\w+(?:(?:\.|->)\w+)*)\s*(?:[-+*/%&|^]|<<|>>)?=(?!=)", "LOGICAL", expand="member"),
-    Rule(CXX, "cxx_constructor", "block", r"^\s*(?:explicit\s+|virtual\s+)?(?:\w+::)*(~?\w+)\s*\([^;]*\)\s*(?:noexcept\s*)?(?::[^;]*)?\{", "LOGICAL", gate=r"^(?!\s*(?:if|for|while|switch|catch|return)\b)"),
+    Rule(CXX, "cxx_assign", "variable", r"^\s*(\*{0,2}\s*\w+(?:(?:\.|->)\w++)*+)\s*(?:[-+*/%&|^]|<<|>>)?=(?!=)", "LOGICAL", expand="member"),
+    Rule(CXX, "cxx_constructor", "block", r"^\s*(?:explicit\s+|virtual\s+)?(?:\w++::)*+(~?\w+)\s*\([^;]*\)\s*(?:noexcept\s*)?(?::[^;]*)?\{", "LOGICAL", gate=r"^(?!\s*(?:if|for|while|switch|catch|return)\b)"),
     Rule(CXX, "cxx_class", "block", r"\bclass\s+(\w+)(?!\s*[;,>=\w])", "LOGICAL"),
     Rule(CXX, "cxx_namespace", "block", r"^\s*(?:inline\s+)?namespace\s+([\w:]+)", "LOGICAL"),
     Rule(CXX, "cxx_type_parameter", "parameter", r"\b(?:typename|class)\s+(\w+)\s*(?=[,>=])", gate=r"^\s*template\s*<"),
@@ -214,12 +214,12 @@ RULES: list[Rule] = [
     Rule(GO, "go_type_row", "type", r"^\s*(\w+)\s+\S", "LOGICAL", parent=r"^\(\s*type\b"),
     Rule(GO, "go_function", "block", r"^\s*func\s+(\w+)", "LOGICAL"),
     Rule(GO, "go_method", "block", r"^\s*func\s*\([^)]*\)\s*(\w+)", "LOGICAL"),
-    Rule(GO, "go_field", "field", r"^\s*(\w+(?:\s*,\s*\w+)*)\s+[\w*\[\].(]", parent=r"^\{.*\bstruct\b", expand="list", policy="LOGICAL"),
+    Rule(GO, "go_field", "field", r"^\s*(\w+(?:\s*,\s*\w++)*+)\s+[\w*\[\].(]", parent=r"^\{.*\bstruct\b", expand="list", policy="LOGICAL"),
     Rule(GO, "go_param", "parameter", r"[(,]\s*(\w+)\s*(?=,|\s[\w*\[.(])", gate=r"\bfunc\b"),
     Rule(GO, "go_param_row", "parameter", r"^\s*(\w+)\s+[\w*\[\].(]", parent=r"^\(.*\bfunc\b"),
-    Rule(GO, "go_assign", "variable", r"^\s*([\w.\[\]]+(?:\s*,\s*[\w.\[\]]+)*)\s*(?:[-+*/%&|^]|<<|>>)?=(?!=)", "LOGICAL"),
+    Rule(GO, "go_assign", "variable", r"^\s*([\w.\[\]]+(?:\s*,\s*[\w.\[\]]++)*+)\s*(?:[-+*/%&|^]|<<|>>)?=(?!=)", "LOGICAL"),
     # Rust
-    Rule(RS, "rs_function", "block", rf"{RS_VIS}(?:(?:default|const|async|unsafe|extern(?:\s+\S+)?)\s+)*fn\s+(\w+)", "LOGICAL"),
+    Rule(RS, "rs_function", "block", rf"{RS_VIS}(?:(?:default|const|async|unsafe|extern(?:\s+(?!fn\b)\S+)?)\s+)*+fn\s+(\w+)", "LOGICAL"),
     Rule(RS, "rs_let", "variable", r"\blet\s+(?:mut\s+)?(\w+)\s*(?=[:=;])", "LOGICAL"),
     Rule(RS, "rs_item", "block", rf"{RS_VIS}(?:unsafe\s+)?(?:const|enum|mod|static(?:\s+mut)?|struct|trait|type|union)\s+(?!fn\b|mut\b)(\w+)", "LOGICAL"),
     Rule(RS, "rs_macro", "macro", r"^\s*macro_rules!\s*(\w+)", "LOGICAL"),
@@ -228,13 +228,13 @@ RULES: list[Rule] = [
     Rule(RS, "rs_variant", "field", r"^\s*([A-Z]\w*)\s*(?:[({,]|=(?![=>])|$)", "LOGICAL", parent=r"^\{.*\benum\b"),
     Rule(RS, "rs_field", "field", rf"{RS_VIS}(\w+)\s*:(?!:)", "LOGICAL", parent=r"^\{(?!.*\b(?:fn|match|if|else|for|while|loop|impl|trait|mod|unsafe)\b)"),
     Rule(RS, "rs_field_inline", "field", r"[{,]\s*(?:pub(?:\([^)]*\))?\s+)?(\w+)\s*:(?!:)", gate=r"^(?!.*\bfn\b).*\w\s*\{[^{}]*:"),
-    Rule(RS, "rs_shorthand", "field", r"^\s*(\w+)\s*,?\s*$", parent=r"^\{.*(?:^\{|[=(,]|\breturn\b|::|Some|Ok|Err)\s*(?:\w+::)*[A-Z]\w*\s*\{\s*$"),
+    Rule(RS, "rs_shorthand", "field", r"^\s*(\w+)\s*,?\s*$", parent=r"^\{.*(?:^\{|[=(,]|\breturn\b|::|Some|Ok|Err)\s*(?:\w++::)*+[A-Z]\w*\s*\{\s*$"),
     Rule(RS, "rs_use_as", "alias", r"\bas\s+(\w+)", gate=rf"{RS_VIS}use\b"),
     Rule(RS, "rs_use_as_row", "alias", r"\bas\s+(\w+)", parent=r"^\{\s*(?:pub(?:\([^)]*\))?\s+)?use\b"),
     # Lua
     Rule(LUA, "lua_function", "block", r"\bfunction\s+([\w.:]+)\s*\(", "LOGICAL"),
-    Rule(LUA, "lua_assign", "variable", r"^\s*(?:local\s+)?([\w.\[\]]+(?:\s*,\s*[\w.\[\]]+)*)\s*=(?!=)", "LOGICAL", expand="list", parent=r"^(?!\{)"),
-    Rule(LUA, "lua_local", "variable", r"^\s*local\s+(?!function\b)(\w+(?:\s*,\s*\w+)*)\s*(?:<\w+>)?\s*$", "LOGICAL", expand="list"),
+    Rule(LUA, "lua_assign", "variable", r"^\s*(?:local\s+)?([\w.\[\]]+(?:\s*,\s*[\w.\[\]]++)*+)\s*=(?!=)", "LOGICAL", expand="list", parent=r"^(?!\{)"),
+    Rule(LUA, "lua_local", "variable", r"^\s*local\s+(?!function\b)(\w+(?:\s*,\s*\w++)*+)\s*(?:<\w+>)?\s*$", "LOGICAL", expand="list"),
     Rule(LUA, "lua_for", "target", r"^\s*for\s+(.+?)\s*(?:=|\bin\b)", expand="list"),
     Rule(LUA, "lua_field", "field", r"^\s*(\w+)\s*=(?!=)", "LOGICAL", parent=r"^\{"),
     Rule(LUA, "lua_field_inline", "field", r"[{,]\s*(\w+)\s*=(?!=)", gate=r"\{"),
@@ -242,8 +242,8 @@ RULES: list[Rule] = [
     Rule(LUA, "lua_label", "label", r"::\s*(\w+)\s*::"),
     # Shell
     Rule(SH, "sh_function", "block", r"^\s*(?:function\s+([\w:.-]+)|([\w:.-]+)\s*\(\s*\))", "LOGICAL", group=0, transform="shell_function"),
-    Rule(SH, "sh_assign", "variable", r"(?:^|[;&|]|\b(?:export|local|readonly|declare|typeset|then|do|else)\b(?:\s+-\w+)*)\s*(\w+)(?:\[[^\]]*\])?\+?=", "LOGICAL"),
-    Rule(SH, "sh_declare", "variable", r"^\s*(?:export|local|readonly|declare|typeset)\b(?:\s+-\w+)*\s+([\w\s]+?)\s*$", "LOGICAL", expand="spaced"),
+    Rule(SH, "sh_assign", "variable", r"(?:^|[;&|]|\b(?:export|local|readonly|declare|typeset|then|do|else)\b(?:\s+-\w++)*+)\s*(\w+)(?:\[[^\]]*\])?\+?=", "LOGICAL"),
+    Rule(SH, "sh_declare", "variable", r"^\s*(?:export|local|readonly|declare|typeset)\b(?:\s+-\w++)*+\s+([\w\s]+?)\s*$", "LOGICAL", expand="spaced"),
     Rule(SH, "sh_for", "target", r"\bfor\s+(\w+)\b"),
     # CSS
     Rule(CSS, "css_class", "selector", r"\.(-?[A-Za-z_][\w-]*)", "LOGICAL", gate=r"^(?!\s*[\w-]+\s*:\s*[^{]*;\s*\}?\s*$)(?!\s*@import).*(?:\{|,\s*$|^\s*[.#\w:>+~*\[])"),
@@ -264,7 +264,7 @@ RULES: list[Rule] = [
     Rule(TEX, "tex_section", "section", r"^\s*\\(?:part|chapter|section|subsection|subsubsection|paragraph)\*?\s*(?:\[[^\]]*\])?\{(.*?)\}", "BLOCK"),
     # YAML, and keys of flow mappings (JSON objects)
     Rule(YML, "yaml_anchor", "anchor", r"(?<![^\s\[{,])&([^\s,\[\]{}]+)"),
-    Rule(YML, "yaml_key", "key", r"""^\s*(?:-\s+)*((?:"[^"\n]*"|'[^'\n]*'|[^\s\-#&*!|>'"%@`{\[][^\n#]*?))\s*:(?=\s|$)""", "BLOCK", start=True, transform="yaml_quotes"),
+    Rule(YML, "yaml_key", "key", r"""^\s*(?:-\s++)*+((?:"[^"\n]*"|'[^'\n]*'|[^\s\-#&*!|>'"%@`{\[][^\n#]*?))\s*:(?=\s|$)""", "BLOCK", start=True, transform="yaml_quotes"),
     Rule(YML, "yaml_flow_key", "key", r"""[{,]\s*("[^"\n]*"|'[^'\n]*'|[^\s"'{}\[\],:]+)\s*:(?=\s|["'{\[]|$)""", transform="yaml_quotes"),
     Rule(YML, "yaml_flow_key_row", "key", r"""^\s*("[^"\n]*"|'[^'\n]*'|[^\s"'{}\[\],:]+)\s*:(?=\s|["'{\[]|$)""", "LOGICAL", parent=r"^\{", transform="yaml_quotes"),
 ]
@@ -298,17 +298,17 @@ CONTEXTS: list[Context] = [
     Context(PY, r"^\s*from\b.*\bimport\b", "WHOLE"),
     Context(PY, rf"^\s*{PY_TL}\s*(?::[^=]*)?=(?!=)", "ROW"),
     Context(JS, rf"\bfunction\b|\bclass\b|=>\s*\{{?\s*$|{JS_METHOD}|=\s*(?:async\s*)?\(\s*$", "HEADER"),
-    Context(JS, r"\b(?:let|const|var)\b|^\s*(?:this|[\w$]+)(?:\.#?[\w$]+|\[[^\]]*\])*\s*=(?![=>])", "ROW"),
+    Context(JS, r"\b(?:let|const|var)\b|^\s*(?:this|[\w$]+)(?:\.#?[\w$]++|\[[^\]]*+\])*+\s*=(?![=>])", "ROW"),
     Context(TS, r"""\b(?:interface|enum)\b|^\s*(?:export\s+)?type\b|^\s*["']?[\w$]+["']?\s*\??\s*:""", "ROW"),
     Context(TSX, r"^\s*<[A-Za-z][\w.]*(?:\s|$)", "ROW"),
     Context(CC, rf"{C_FUNC}|\(\s*\*+\s*\w+\s*\)\s*\(", "HEADER"),
     Context(CC, r"^\s*typedef\b|\bstruct\b", "ROW"),
     Context(CXX, r"^\s*(?:inline\s+)?namespace\b|\bclass\b", "ROW"),
-    Context(CXX, r"^\s*(?:explicit\s+)?(?!(?:if|for|while|switch|catch)\b)(?:\w+::)*~?\w+\s*\([^;]*\)\s*(?::[^;]*)?\{", "HEADER"),
+    Context(CXX, r"^\s*(?:explicit\s+)?(?!(?:if|for|while|switch|catch)\b)(?:\w++::)*+~?\w+\s*\([^;]*\)\s*(?::[^;]*)?\{", "HEADER"),
     Context(GO, r"\bfunc\b", "HEADER"),
     Context(GO, r"^\s*type\b", "ROW"),
     Context(RS, r"\bfn\b", "HEADER"),
-    Context(RS, r"\b(?:impl|struct|enum|trait)\b|^\s*(?:\w+::)*\w+!\s*[({\[]|(?:^\s*|[=(,]\s*|\breturn\s+)(?:\w+::)*[A-Z]\w*\s*\{\s*$", "ROW"),
+    Context(RS, r"\b(?:impl|struct|enum|trait)\b|^\s*(?:\w++::)*+\w+!\s*[({\[]|(?:^\s*|[=(,]\s*|\breturn\s+)(?:\w++::)*+[A-Z]\w*\s*\{\s*$", "ROW"),
     Context(LUA, r"\bfunction\b|^\s*for\b", "HEADER"),
     Context(LUA, r"\{", "ROW"),
     Context(SH, r"^\s*(?:function\s+[\w:.-]+|[\w:.-]+\s*\(\s*\))", "ROW"),
@@ -326,5 +326,5 @@ REFERENCES: list[Rule] = [
     Rule(PY, "py_call", "call", rf"(?<!\bdef\s)(?<!\bclass\s)(?<!\w)(?!{CALL_NOT}\b)([A-Za-z_\u0080-\uDFFF]\w*)\s*\(", needs="("),
     Rule(PY, "py_from", "import", r"^\s*(from\s+\S+\s+import\b.*?)\s*$", needs="import"),
     Rule(PY, "py_from_row", "import", r"^\s*([^()]*?)\s*$", parent=r"^\(\s*from\b"),
-    Rule(PY, "py_dotted", "dotted", r"(?<![\w.])([A-Za-z_\u0080-\uDFFF]\w*(?:\.\w+)+)", needs=".", gate=r"^(?!\s*(?:from|import)\b)"),
+    Rule(PY, "py_dotted", "dotted", r"(?<![\w.])([A-Za-z_\u0080-\uDFFF]\w*+(?:\.\w++)++)", needs=".", gate=r"^(?!\s*(?:from|import)\b)"),
 ]

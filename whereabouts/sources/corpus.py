@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..operators.language import language_of_path, language_of_shebang
 
-HEAD_BYTES = 51_200  # how much of a file content-based detection looks at
-
 
 def read_tree(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     """Text files below ``root``; files with a NUL byte are taken as binary and left out."""
@@ -42,8 +40,7 @@ def source_files(
     where = F.col(path) if path else F.lit(None).cast("string")
     digest = F.sha2(F.concat_ws("\u0001", where, text), 256)
     key = where if (path and unique) else F.concat_ws("@", where, digest)
-    head = F.left(text, F.lit(HEAD_BYTES))
-    language = F.coalesce(language_of_path(where), language_of_shebang(head)) if path else language_of_shebang(head)
+    language = F.coalesce(language_of_path(where), language_of_shebang(text)) if path else language_of_shebang(text)
     error = F.col("read_error") if "read_error" in table.columns else F.lit(None).cast("string")
     known = F.lit(True) if ruled is None else F.col("language").isin(*ruled, "Jupyter Notebook")
     files = table.select(
