@@ -112,7 +112,7 @@ def _py(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
 
 
 def only_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.only_names(_py(spark, sf_dir).where("kind <> 'key'"))
+    return Q.only_names(_py(spark, sf_dir))
 
 
 def complete_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +151,7 @@ def skip_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status of every document under an extension that goes by its source, and of every page."""
     docs = _read(spark, sf_dir, "documents").select(
         F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.expr("element_at(array('.md', '.xyz', '.json', '.tex'), CAST(substring(source, 4) AS int) % 4 + 1)")).alias("path"),
-        F.when(F.col("n_chars") > 400, F.col("text")).otherwise("").alias("content"),
+        F.col("text").alias("content"),
     )
     pages = _read(spark, sf_dir, "pages").select(F.regexp_replace("url", "[?#].*$", "").alias("path"), F.col("html").alias("content"))
     files = docs.unionByName(pages).withColumn("language", L.language_of_path(F.col("path")))

@@ -31,7 +31,7 @@ def py_sql(engine: str) -> str:
         '    def order_', {s('o_orderkey')}, '(self, qty=1):', {N}, coalesce(body, '        pass')) AS m
       FROM orders LEFT JOIN (
         SELECT l_orderkey, {_agg(engine, f"concat('        part_', {s('l_partkey')}, '(qty)')", N, 'l_partkey')} AS body
-        FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_linenumber <= 2) x
+        FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) x
         GROUP BY l_orderkey) b ON l_orderkey = o_orderkey) meth ON o_custkey = c_custkey
     GROUP BY c_custkey, c_nationkey, c_mktsegment
     UNION ALL
@@ -50,7 +50,7 @@ def md_sql(engine: str) -> str:
     return f"""
     SELECT concat('docs/', source, '/doc_', {s('doc_id')}, '.md') AS path, doc_id,
       concat('---', {N}, 'source: ', source, {N}, '"lang": ', lang, {N}, '---', {N}, {N},
-        '# Document ', {s('doc_id')}, {N}, {N}, '## Text', {N}, {N}, substr(text, 1, 200), {N}, {N},
+        '# Document ', {s('doc_id')}, {N}, {N}, '## Text', {N}, {N}, text, {N}, {N},
         '## Code', {N}, {N}, '```python', {N}, 'def doc_', {s('doc_id')}, '():', {N}, '    return ', {s('n_chars')}, {N}, '```', {N}) AS content
     FROM documents"""
 

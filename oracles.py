@@ -30,11 +30,11 @@ MD_HEADS = f"""{MD_LINES}, h AS (
 
 CUSTOMER_PATH = "concat('src/nation_', c_nationkey, '/customer_', c_custkey, '.py')"
 BRAND_PATH = "concat('src/parts/', lower(replace(p_brand, '#', '_')), '.py')"
-CALLED = "(SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_linenumber <= 2)"
+CALLED = "(SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)"
 STYLES = """w AS (SELECT DISTINCT lower(concat_ws(' ', p_name, p_type)) AS w FROM part),
   s AS (SELECT w, unnest([replace(w, ' ', '_'), replace(w, ' ', '-'),
     list_aggregate(list_transform(string_split(w, ' '), lambda x: concat(upper(left(x, 1)), substr(x, 2))), 'string_agg', '')]) AS name FROM w)"""
-ENTITY = "&(?:#(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,5})|[A-Za-z]{1,30});?"
+ENTITY = "&(?:#(?:[xX][0-9a-fA-F]+|[0-9]+)|[A-Za-z][A-Za-z0-9]*);?"
 
 ORACLES: dict[str, str] = {
     "lines_explode": f"WITH {DOC_LINES} SELECT doc_id, line_no, text FROM l",
@@ -70,8 +70,8 @@ ORACLES: dict[str, str] = {
           SELECT p_partkey, CASE WHEN p_size > 40 THEN concat(hint, '?') ELSE hint END AS hint,
             CASE WHEN p_size <= 40 THEN language END AS language FROM part JOIN t ON k = p_size % 8""",
     "skip_status": """SELECT status, count(*) AS n_files FROM (
-          SELECT CASE WHEN n_chars <= 400 THEN 'empty_input' WHEN k = 1 THEN 'unknown_language' WHEN k = 2 THEN 'unsupported_language' ELSE 'ok' END AS status
-          FROM (SELECT n_chars, CAST(substr(source, 4) AS INT) % 4 AS k FROM documents)
+          SELECT CASE WHEN length(text) = 0 THEN 'empty_input' WHEN k = 1 THEN 'unknown_language' WHEN k = 2 THEN 'unsupported_language' ELSE 'ok' END AS status
+          FROM (SELECT text, CAST(substr(source, 4) AS INT) % 4 AS k FROM documents)
           UNION ALL SELECT CASE WHEN length(html) = 0 THEN 'empty_input' WHEN regexp_matches(url, '^[^?#]*\\.html([?#]|$)') THEN 'ok' ELSE 'unknown_language' END FROM pages
           ) GROUP BY status""",
     "html_headings": f"""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '<(h[1-6])[^>]*>([^<]*)</h', 2)) AS t FROM pages),
