@@ -164,17 +164,17 @@ def skip_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = E.extract(C.page_files(spark, sf_dir), ("HTML",), max_depth=1)
+    found = E.extract(C.page_files(spark, sf_dir), ("HTML",))
     return found.where("rule_id = 'html_heading'").select(F.col("file_id").cast("bigint").alias("page_id"), F.explode("names").alias("name"))
 
 
 def html_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = E.units_of(C.page_files(spark, sf_dir), ("HTML",), max_depth=1)
+    units = E.units_of(C.page_files(spark, sf_dir), ("HTML",))
     return units.where("depth = 1").select(F.col("file_id").cast("bigint").alias("page_id"), "language", "content")
 
 
 def fragment_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = E.extract(C.page_files(spark, sf_dir), ("HTML", "JavaScript"), keep=Q.name_test("t"), fragment_pattern="t", max_depth=1)
+    found = E.extract(C.page_files(spark, sf_dir), ("HTML", "JavaScript"), keep=Q.name_test("t"), fragment_pattern="t")
     return found.where("rule_id = 'js_variable'").select(F.col("file_id").cast("bigint").alias("page_id"), F.explode("names").alias("name"))
 
 
@@ -184,7 +184,7 @@ def json_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _md(spark: SparkSession, sf_dir: str, *languages: str) -> DataFrame:
-    return E.extract(C.md_files(spark, sf_dir).drop("doc_id"), ("Markdown", *languages), max_depth=1)
+    return E.extract(C.md_files(spark, sf_dir).drop("doc_id"), ("Markdown", *languages))
 
 
 def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +198,7 @@ def front_matter_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fenced_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = E.units_of(C.md_files(spark, sf_dir), ("Markdown",), max_depth=1).where("depth = 1 AND language = 'Python'")
+    units = E.units_of(C.md_files(spark, sf_dir), ("Markdown",)).where("depth = 1 AND language = 'Python'")
     return units.select("file_id", "hint", "language", F.col("start_line").cast("bigint").alias("start_line"), "content")
 
 
@@ -209,6 +209,17 @@ def fence_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.select("file_id", "name", F.col("start_line").cast("bigint").alias("start_line"), F.col("end_line").cast("bigint").alias("end_line"))
 
 
+def nested_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions that lie nine fences deep."""
+    found = E.extract(C.nested_files(spark, sf_dir), ("Markdown", "Python")).where(BLOCKS)
+    return found.select(F.col("file_id").cast("bigint").alias("doc_id"), F.explode("names").alias("name"), F.col("start_line").cast("bigint").alias("start_line"))
+
+
+def unclosed_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = E.extract(C.unclosed_files(spark, sf_dir), ("HTML",)).where("rule_id = 'html_heading'")
+    return found.select(F.col("file_id").cast("bigint").alias("page_id"), F.explode("names").alias("name"))
+
+
 def notebook_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_markdown(C.notebook_files(spark, sf_dir)).select("conv_id", "status", "content")
 
@@ -336,7 +347,7 @@ QUERIES = [
     lines_explode, candidate_files, candidate_files_icase, range_union_gap0, range_union_gap1, range_end, excerpt_lines,
     case_style_terms, case_style_rejects, only_names, complete_prefix, language_by_extension, language_candidates, alias_lookup,
     skip_status, html_headings, html_fragments, fragment_definitions, json_keys, markdown_sections, front_matter_keys,
-    fenced_blocks, fence_context, notebook_markdown, indent_blocks, logical_lines, definition_index, lookup_term, lookup_batch,
+    fenced_blocks, fence_context, nested_fragments, unclosed_headings, notebook_markdown, indent_blocks, logical_lines, definition_index, lookup_term, lookup_batch,
     attached_context, ancestor_headers, calls_by_definition, single_callee_chain, import_pairs, import_ranking, rule_override,
     rule_extends,
 ]

@@ -55,6 +55,28 @@ def md_sql(engine: str) -> str:
     FROM documents"""
 
 
+LEVELS = 8  # of Markdown within Markdown
+
+
+def nested_sql(engine: str) -> str:
+    """``doc_id, content``: each text, then Markdown fences inside each other with a function in the innermost."""
+    doc = "CAST(doc_id AS varchar)" if engine != "spark" else "CAST(doc_id AS string)"
+    ticks = ["`" * (3 + LEVELS - k) for k in range(LEVELS)]
+    opened = ", ".join(f"'{t}md', {N}" for t in ticks)
+    closed = ", ".join(f"'{t}', {N}" for t in reversed(ticks))
+    return f"""
+    SELECT doc_id, concat(text, {N}, {opened}, '```python', {N}, 'def deep_', {doc}, '():', {N}, '    pass', {N}, '```', {N}, {closed}) AS content
+    FROM documents WHERE text IS NOT NULL"""
+
+
+def unclosed_sql(engine: str) -> str:
+    """``page_id, content``: each page behind headings of which one is never closed, and before a close tag too many."""
+    page = "CAST(page_id AS varchar)" if engine != "spark" else "CAST(page_id AS string)"
+    return f"""
+    SELECT page_id, concat('<h2>Lost ', {page}, '<p><h2>Kept ', {page}, '</h2><div>', html, '</div></h3><h2>Also ', {page}, '</h2>') AS content
+    FROM pages WHERE html IS NOT NULL"""
+
+
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> None:
     for name in names:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
@@ -75,6 +97,16 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select(F.col("page_id").cast("string").alias("file_id"), F.lit("HTML").alias("language"), F.col("html").alias("content"))
 
 
+def nested_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables(spark, sf_dir, "documents")
+    return spark.sql(nested_sql("spark")).select(F.col("doc_id").cast("string").alias("file_id"), F.lit("Markdown").alias("language"), "content")
+
+
+def unclosed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables(spark, sf_dir, "pages")
+    return spark.sql(unclosed_sql("spark")).select(F.col("page_id").cast("string").alias("file_id"), F.lit("HTML").alias("language"), "content")
+
+
 def notebook_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One notebook per conversation: code cells for the assistant, Markdown cells for others."""
     tables(spark, sf_dir, "conversations")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from derived_corpora import md_sql, py_sql
+from derived_corpora import LEVELS, md_sql, nested_sql, py_sql
 
 DOC_LINES = """l AS (
   SELECT doc_id, unnest(generate_series(0, len(s) - 1)) AS line_no, unnest(s) AS text FROM (
@@ -91,6 +91,13 @@ ORACLES: dict[str, str] = {
     "fenced_blocks": f"""WITH {MD_LINES} SELECT path AS file_id, 'python' AS hint, 'Python' AS language, line_no + 1 AS start_line,
           concat('def doc_', regexp_extract(path, 'doc_([0-9]+)', 1), '():', chr(10), '    return ', n_chars, chr(10)) AS content
           FROM ml JOIN documents ON path = concat('docs/', source, '/doc_', doc_id, '.md') WHERE ml.text = '```python'""",
+    "nested_fragments": f"""WITH n AS ({nested_sql('duckdb')})
+          SELECT doc_id, concat('deep_', doc_id) AS name, len(string_split(content, chr(10))) - 1 - {LEVELS} - 3 AS start_line FROM n""",
+    "unclosed_headings": f"""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '<(h[1-6])[^>]*>([^<]*)</h', 2)) AS t FROM pages),
+          s AS (SELECT page_id, trim(unnest(regexp_split_to_array(t, '{ENTITY}')), E' \\n\\t\\r') AS name FROM h)
+          SELECT page_id, name FROM s WHERE name <> ''
+          UNION ALL SELECT page_id, concat('Kept ', page_id) FROM pages WHERE html IS NOT NULL
+          UNION ALL SELECT page_id, concat('Also ', page_id) FROM pages WHERE html IS NOT NULL""",
     "fence_context": f"""WITH {MD_LINES}, r AS (
             SELECT path, line_no, unnest([line_no, line_no + 1, line_no + 2, line_no - 2]) AS row FROM ml WHERE text = '```python'
             UNION ALL SELECT path, line_no, 5 FROM ml WHERE text = '```python')

@@ -12,17 +12,19 @@ from .ranges import fill_gaps
 def excerpts(files: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     """Numbered rows of the merged ranges: ``keys, range_no, line_no`` (from 1) ``, text``.
 
-    Ranges join to files, not to rows: each range cuts its rows out of the text of its file, so
-    nothing is compared row by row.
+    All ranges of a file go to it as one row, so a text moves once, whatever the number of terms that
+    hit it, and only texts with hits are split.
     """
     merged = fill_gaps(found, keys)
     order = Window.partitionBy(*keys).orderBy("start_line")
     numbered = merged.withColumn("range_no", F.row_number().over(order))
-    per_file = numbered.groupBy(*keys).agg(F.collect_list(F.struct("range_no", "start_line", "end_line")).alias("_ranges"))
-    rows = files.select("file_id", T.split_lines(F.col("content")).alias("_rows")).join(per_file, "file_id")
-    cut = rows.select(*keys, "_rows", F.explode("_ranges").alias("_r"))
-    part = F.slice("_rows", F.col("_r.start_line") + 1, F.col("_r.end_line") - F.col("_r.start_line"))
-    return cut.select(*keys, "_r.range_no", "_r.start_line", F.posexplode(part).alias("_i", "text")).select(
+    asked = F.collect_list(F.struct(*[k for k in keys if k != "file_id"], "range_no", "start_line", "end_line"))
+    per_file = numbered.groupBy("file_id").agg(asked.alias("_ranges"))
+    rows = files.select("file_id", "content").join(per_file, "file_id")
+    rows = rows.select("file_id", T.split_lines(F.col("content")).alias("_rows"), "_ranges")
+    part = lambda r: F.slice("_rows", r["start_line"] + 1, r["end_line"] - r["start_line"])
+    cut = rows.select("file_id", F.explode(F.transform("_ranges", lambda r: F.struct(r.alias("r"), part(r).alias("part")))).alias("_c"))
+    return cut.select("file_id", "_c.r.*", F.posexplode("_c.part").alias("_i", "text")).select(
         *keys, "range_no", (F.col("start_line") + F.col("_i") + 1).alias("line_no"), "text"
     )
 

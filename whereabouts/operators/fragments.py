@@ -15,7 +15,7 @@ from .language import hinted_language
 _L, _R = chr(0xE300), chr(0xE301)
 _MARK = f"{_L}[0-9]+{_R}"
 CONTAINERS = ("Markdown", "HTML")
-MAX_DEPTH = 4
+FIRST_GUESS = 4  # levels tried first when the depth of a corpus is looked up
 
 FENCE = rf"(?m:^ {{0,3}}(`{{3,}}|~{{3,}})[^\n]*$)(?s:.*?)(?:(?m:^ {{0,3}}\1[`~]*[ \t]*(?:{_MARK})?$)|\z)"
 MATTER = rf"\A---[ \t]*{_MARK}\n(?s:.*?)\n---[ \t]*(?:{_MARK})?(?=\n|\z)"
@@ -77,10 +77,28 @@ def _one_argument(make, depth: int):
     return lambda parent: make(depth, parent)
 
 
-def with_fragments(files: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Units of a corpus: each file, then its fragments, theirs, and so on.
+def depth_of(files: DataFrame) -> int:
+    """Levels of fragments in a corpus, ``FIRST_GUESS`` at least; more levels are tried until the deepest holds no container.
 
-    Adds ``unit`` (empty for the file itself), ``start_line``, ``depth`` and ``hint``.
+    Runs a job per try, nearly always one. A container at level ``n`` lies within ``n`` openers, so only files with
+    enough rows that look like one are cut up; the others are scanned once for them.
+    """
+    opener = r"(?m:^ {0,3}(?:`{3,}|~{3,}))"
+    container = F.col("language").isin(*CONTAINERS)
+    many = F.size(F.regexp_extract_all("content", F.lit(opener), F.lit(0))) >= FIRST_GUESS
+    deep = files.where(container & many).select("file_id", "language", "content")
+    tried = FIRST_GUESS
+    while True:
+        top = with_fragments(deep, tried).where(container).agg(F.max("depth")).first()[0]
+        if top is None or top < tried:
+            return max(FIRST_GUESS, (top or 0) + 1)
+        tried *= 2
+
+
+def with_fragments(files: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Units of a corpus: each file, then its fragments, theirs, and so on, until none is left.
+
+    ``max_depth`` is the number of levels where it is known; otherwise it is looked up. Adds ``unit`` (empty for the file itself), ``start_line``, ``depth`` and ``hint``.
     ``unit`` of a fragment is its parent's with ``/`` and the row or the number of its opener.
     """
     shape = "array<struct<unit:string,parent:string,depth:int,line_no:int,start_line:int,language:string,hint:string,content:string>>"
@@ -102,6 +120,7 @@ def with_fragments(files: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
             ),
         )
 
+    max_depth = depth_of(files) if max_depth is None else max_depth
     host = F.array(
         F.struct(
             F.lit("").alias("unit"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.lit(0).alias("line_no"),

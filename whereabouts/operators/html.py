@@ -44,9 +44,20 @@ def pieces(units: DataFrame) -> DataFrame:
         F.when(~is_tag, F.when(piece.startswith("<!"), "note").otherwise("text"))
         .when(whole, "whole").when(closed, "close").when(alone, "void").otherwise("open"),
     )
-    per_tag = Window.partitionBy(*KEYS, "tag")
-    count = lambda k: F.sum((F.col("kind") == k).cast("int")).over(per_tag)
-    flat = flat.withColumn("paired", count("open") == count("close"))
+    # Tags of one name pair like brackets: a close takes the nearest open one before it. What stays without a
+    # partner, an open tag that nothing closes or a close tag too many, is left out by itself.
+    side = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
+    per_tag = Window.partitionBy(*KEYS, "tag").orderBy("pos")
+    upto = per_tag.rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(*KEYS, "tag").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)  # in one pass, from the end
+    flat = flat.withColumn("_run", F.sum(side).over(upto))
+    flat = flat.withColumn("_floor", F.least(F.lit(0), F.min("_run").over(upto)))
+    flat = flat.withColumns({"_open": F.col("_run") - F.col("_floor"), "_fell": F.col("_floor") < F.coalesce(F.lag("_floor").over(per_tag), F.lit(0))})
+    flat = flat.withColumn(
+        "paired",
+        F.when(F.col("kind") == "open", F.coalesce(F.min("_open").over(after) < F.col("_open"), F.lit(False)))
+        .when(F.col("kind") == "close", ~F.col("_fell")).otherwise(True),
+    )
     step = F.when(~F.col("paired"), 0).when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
     flat = flat.withColumn("_step", step)
     return flat.withColumns(

@@ -32,8 +32,17 @@ def _for_languages(languages: tuple[str, ...] | None, rules: list[Rule]):
     return kept_rules, kept_contexts, kept_lexis
 
 
+def _levels(files: DataFrame, languages: tuple[str, ...] | None, max_depth: int | None) -> int:
+    """Levels of fragments: as given, none without containers, one in pages alone, else as deep as the corpus goes."""
+    if languages is not None and not set(languages) & set(FR.CONTAINERS):
+        return 0
+    if languages is not None and "Markdown" not in languages:
+        return 1
+    return FR.depth_of(files) if max_depth is None else max_depth
+
+
 def units_of(
-    files: DataFrame, languages: tuple[str, ...] | None = None, max_depth: int = FR.MAX_DEPTH, partitions: int | None = None
+    files: DataFrame, languages: tuple[str, ...] | None = None, max_depth: int | None = None, partitions: int | None = None
 ) -> DataFrame:
     """Files and their fragments, placed by file: the one shuffle of an extraction.
 
@@ -50,7 +59,7 @@ def units_of(
             F.lit(0).alias("start_line"), "language", none.alias("hint"), "content",
         )
     else:
-        units = FR.with_fragments(placed, max_depth)
+        units = FR.with_fragments(placed, _levels(files, languages, max_depth))
     return units
 
 
@@ -60,7 +69,7 @@ def extract(
     rules: list[Rule] = RULES,
     keep: Callable[[Column], Column] | None = None,
     fragment_pattern: str | None = None,
-    max_depth: int = FR.MAX_DEPTH,
+    max_depth: int | None = None,
     references: bool = False,
     partitions: int | None = None,
 ) -> DataFrame:
@@ -69,9 +78,11 @@ def extract(
     With ``references`` the result also has rows of kind ``call``, ``import`` and ``dotted``.
 
     ``languages`` names the languages that the corpus can hold, fragments included.
+    Fragments are followed until none is left, unless ``max_depth`` says how many levels there are.
     ``fragment_pattern`` skips fragments in which the searched text does not occur.
     """
     kept_rules, contexts, lexis = _for_languages(languages, [*rules, *REFERENCES] if references else rules)
+    max_depth = _levels(files, languages, max_depth)
     units = units_of(files, languages, max_depth, partitions)
     if fragment_pattern is not None:
         units = units.where((F.col("depth") == 0) | F.col("content").rlike(fragment_pattern))

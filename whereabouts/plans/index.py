@@ -9,34 +9,41 @@ from ..operators.lookup import hits, named
 from ..session import cut
 from .extraction import extract
 
-BUCKETS = 32  # folders of an index, by name
-SPREAD = 8  # parts of a folder, by file: a name that a third of all files define still spreads
+BUCKETS = 32  # folders of an index, by name, unless more are asked for
 
 
-def _bucket(name: Column) -> Column:
-    return F.pmod(F.xxhash64(name), F.lit(BUCKETS)).cast("int")
+def _bucket(name: Column, buckets: Column) -> Column:
+    return F.pmod(F.xxhash64(name), buckets).cast("int")
 
 
-def save_index(definitions: DataFrame, path: str) -> None:
+def save_index(definitions: DataFrame, path: str, buckets: int = BUCKETS, partitions: int | None = None, rows_per_file: int = 0) -> None:
     """One row per name and definition, in folders by name, each file in name order.
 
     Placed by hash, so the extraction runs once; a placement by range would run it a second
-    time for its sample.
+    time for its sample. ``partitions`` (``spark.sql.shuffle.partitions`` unless given) is the number of
+    writing tasks: a name is spread over as many as its files need, so a name that a third of all files
+    define is no hot spot. ``rows_per_file`` splits files further. The number of buckets is kept in each row.
     """
     rows = named(definitions).select("name", "file_id", "unit", "language", "rule_id", "kind", "start_line", "end_line", "ranges")
-    rows = rows.withColumn("bucket", _bucket(F.col("name")))
-    spread = F.pmod(F.xxhash64("file_id"), F.lit(SPREAD))
-    placed = rows.repartition("bucket", spread).sortWithinPartitions("bucket", "name", "file_id")
-    placed.write.mode("overwrite").partitionBy("bucket").parquet(path)
+    rows = rows.withColumns({"buckets": F.lit(buckets), "bucket": _bucket(F.col("name"), F.lit(buckets))})
+    tasks = partitions or int(definitions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = F.pmod(F.xxhash64("file_id"), F.lit(max(8, -(-4 * tasks // buckets))))
+    placed = rows.repartition(tasks, "bucket", spread).sortWithinPartitions("bucket", "name", "file_id")
+    placed.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy("bucket").parquet(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def lookup_word(index: DataFrame, name: str) -> DataFrame:
-    """Ranges of one literal name: reads one folder, and of it the row groups with the name."""
-    found = index.where((F.col("bucket") == _bucket(F.lit(name))) & (F.col("name") == name))
+def lookup_word(index: DataFrame, name: str, buckets: int = BUCKETS) -> DataFrame:
+    """Ranges of one literal name: reads one folder, and of it the row groups with the name.
+
+    ``buckets`` is what the index was saved with; another number raises an error rather than miss rows.
+    """
+    if (row := index.select("buckets").first()) is not None and row["buckets"] != buckets:
+        raise ValueError(f"the index was saved with {row['buckets']} buckets, not {buckets}")
+    found = index.where((F.col("bucket") == _bucket(F.lit(name), F.lit(buckets))) & (F.col("name") == name))
     return found.select("file_id", F.explode("ranges").alias("r")).select("file_id", "r.start_line", "r.end_line")
 
 
