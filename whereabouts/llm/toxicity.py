@@ -49,7 +49,8 @@ def present(texts: list[bytes], place: np.ndarray | None, bits: int = BITS) -> t
 
 
 def chosen_terms(sample: DataFrame, least_z: float, most: int, bits: int) -> np.ndarray:
-    """Buckets whose share of toxic documents differs from the rest's by ``least_z`` standard errors; the ``most`` clearest.
+    """Buckets in five documents or more whose share of toxic ones differs from the rest's by ``least_z`` standard errors;
+    the ``most`` clearest.
 
     Document frequencies are counted by Spark over the sample; they come back one row a chosen bucket.
     """
@@ -64,7 +65,7 @@ def chosen_terms(sample: DataFrame, least_z: float, most: int, bits: int) -> np.
     rows, toxic = sample.agg(F.count("*"), F.sum("label")).first()
     share = toxic / rows
     df = sample.mapInPandas(count, "bucket int, n long, toxic long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    df = df.where("n >= 3").withColumn("z", (F.col("toxic") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share) + 0.25))
+    df = df.where("n >= 5").withColumn("z", (F.col("toxic") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share) + 1))
     top = df.where(F.abs("z") >= least_z).orderBy(F.abs("z").desc(), "bucket").limit(most).select("bucket").toPandas()
     return np.sort(top["bucket"].to_numpy(np.int64))
 
@@ -82,7 +83,7 @@ def margins(params: dict[str, np.ndarray], own: np.ndarray, term: np.ndarray, n:
     return params["b"][0] + linear + 0.5 * ((sums * sums).sum(axis=1) - squares), sums
 
 
-def fit(params: dict[str, np.ndarray], data: bytes, steps: int = 60, rate: float = 0.05, decay: float = 1e-4) -> dict[str, np.ndarray]:
+def fit(params: dict[str, np.ndarray], data: bytes, steps: int = 60, rate: float = 0.05, decay: float = 3e-3) -> dict[str, np.ndarray]:
     """Adam on the log loss of one shard."""
     own, term, y = pickle.loads(data)
     now = {k: v.astype(np.float64) for k, v in params.items()}
@@ -101,15 +102,18 @@ def fit(params: dict[str, np.ndarray], data: bytes, steps: int = 60, rate: float
     return {k: v.astype(np.float32) for k, v in now.items()}
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: int = 24000, terms_kept: int = 8192, least_z: float = 3.0, shards: int = 8, rounds: int = 4, bits: int = BITS) -> dict[str, np.ndarray] | None:
+def learn(docs: DataFrame, labels: DataFrame, most: int = 24000, terms_kept: int = 8192, least_z: float = 3.0, shards: int = 8, shard_rows: int = 3000, rounds: int = 4, bits: int = BITS) -> dict[str, np.ndarray] | None:
     """Parameters of the machine: ``place`` of each bucket (-1: none), ``b``, ``w``, ``v``; None if nothing can be learned.
 
-    Learns from at most ``most`` labelled rows that are not held out, in ``shards`` shards whose parameters are averaged
-    after each of ``rounds`` rounds.
+    Learns from at most ``most`` labelled rows that are not held out, in shards whose parameters are averaged after each
+    of ``rounds`` rounds: one shard per ``shard_rows`` rows, at most ``shards``. In smaller ones most terms are missing,
+    and averaging would hold their weights down.
     """
     sample = saved(learnable(docs, labels, "toxic", most))
-    if sample.isEmpty():
+    rows = sample.count()
+    if not rows:
         return None
+    shards = min(shards, -(-rows // shard_rows))
     chosen = chosen_terms(sample, least_z, terms_kept, bits)
     place = np.full(1 << bits, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
