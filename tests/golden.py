@@ -4,109 +4,77 @@ Rows are counted from 1, ends included; touching ranges are merged.
 """
 
 PYTHON = '''\
-import shop
-from shop.stock import shelf as rack, bin as bucket
-
-OPTIONS = {
-    "retries": 3,
-    "hosts": [
-        "north",
-    ],
-}
-# raised for slow links
-OPTIONS["timeout"] = 30
-
-
-def send(message, *parts, urgent=False, **rest):
-    with rack(message) as slot, open(message.path) as handle:
-        slot.put(handle)
-    async with bucket() as later:
-        pass
-
-
-# one stored parcel
-# (never empty)
-@shop.entity
-class Parcel(shop.Base):
-    grams: int = 250  # only about grams
-    owner: str
-
-    # checked on load
-    @property
-    # by the scale
-    def heavy(self, above=500):
-        return max(
-            self.grams, above)
-
-    # long signature
-    def route(
-        self,
-        stops: dict[str, int] = {
-            "depot": 0,
-        },
-        via: list = None,
-    ) -> None:
-        shop.maps.trace(self, stops)
-
-    def fill(self, box):
-        box.__setitem__("label", self.owner)
-        object.__setattr__(box, "label")
-        setattr("label", "sealed", True)
-        setattr(box, "label", None)
-
-
-def collect(source):
-    try:
-        # pairs of zone and rest
-        for zone, *_ in zip(
-            source, source[1:],
-        ):
-            yield zone
-    except KeyError as missing:
-        raise ValueError from missing
-
-left, right = 1, 2
-count = sum(item.size for item in OPTIONS)
-count += 1
-Parcel.limit = (
-    count
-)
+import math as angles
+
+LEVELS = {"low": 1, "high": 9}
+
+
+async def fetch(source, *, limit: int = 3):
+    # open first
+    async with source.open() as stream:
+        data, size = await stream.read()
+    return data
+
+
+class Sensor:
+    """Reads values."""
+    unit = "C"
+
+    @staticmethod
+    def convert(value, scale=(
+        1, 2,
+    )):
+        square = lambda side: side * side
+        return [cell for cell in value]
+
+    # back to nothing
+    def reset(self):
+        global total
+        total = 0
+        setattr(self, "state", None)
+
+
+for index, item in enumerate(
+    LEVELS
+):
+    first = second = item
+
+try:
+    pass
+except OSError as problem:
+    pass
+type Pair = tuple[int, int]
+words: list[str]
 '''
 
 JAVASCRIPT = '''\
-const {port: listenPort, host} = settings();
-var [head, tail] = queue;
-
-class Meter extends Gauge {
-  // current reading
-  get level() {
-    return this.raw / 10;
-  }
-  unit = "cm";
-}
+// routes by name
+const routes = new Map();
+let { theme, size: fontSize } = preferences;
 
-// make a report
-function report(meter) {
-  let text = "";
-  text = meter.level;
-  return text;
+async function load(url, retries = 2) {
+  var attempt = 0;
+  return fetch(url);
 }
 
-const scale = (low, high = 100, ...marks) => marks.map(m => m * high);
+export class Basket {
+  #lines = [];
+  static limit = 20;
 
-function Legacy() {}
+  // what it costs
+  async total(currency) {
+    return this.lines;
+  }
+}
 
-Legacy.prototype.reset = function hardReset(force) {
-  this.raw = 0;
+const [first, second] = words;
+const labels = {
+  open: "Open",
+  "shut down": "Close",
 };
-
-Legacy.prototype = {
-  "full name": "legacy",
-  start: function boot(speed) {
-    return speed;
-  },
+window.onload = function begin(event) {
+  load(event);
 };
-Legacy.protocol = 3;
 '''
 
 TYPED = '''\
@@ -119,38 +87,41 @@ export const clamp = (value: number, limit: number = 10, ...others: number[]) =>
 '''
 
 C = '''\
-#define BUFFER_SIZE 64
-#define SQUARE(v) ((v) * (v))
-extern int errors;
+/* a ring of samples */
+#include <stdint.h>
+#define RING_NEXT(n) ((n) + 1)
 
-struct Queue {
-	char *items[BUFFER_SIZE];
-	long size;
-};
+typedef int (*compare_fn)(const void *, const void *);
 
-typedef struct Node {
-	struct Node *next;
-	double weight;
-} ListNode;
-typedef struct Node *NodeRef;
-typedef char* Text;
+struct ring {
+    uint8_t data[32];
+    int head, tail;
+};
 
-static unsigned long **table = 0;
+static int depth = 0, width;
 
-Text walk(
-	Text (*visit)(struct Node *),
-	struct Node *first,
-	int limit
-)
+// adds one sample
+int ring_push(struct ring *target, uint8_t value)
 {
-	return visit(first);
+    int next;
+    next = RING_NEXT(target->head);
+    depth += value;
+    return next;
 }
 
-#  undef SQUARE
+typedef unsigned short port_t;
+'''
 
-void bump(long *counter, long step) {
-	step *= 2;
-	*counter = step;
+GLSL = '''\
+uniform vec3 light;
+struct Ray {
+  vec3 origin;
+};
+// brightness
+vec4 shade(Ray ray, float gain)
+{
+  float power = gain;
+  return vec4(power);
 }
 '''
 
@@ -172,35 +143,33 @@ int geo::count(int n)
 '''
 
 RUST = '''\
-pub use store::open as unlock;
+mod clock {
+    pub const TICKS: u64 = 60;
+}
 
-/// Anything with a price.
-trait Priced {
-    fn price(&self) -> u32;
+// keeps time
+#[derive(Debug)]
+pub struct Timer<'a> {
+    pub label: &'a str,
+    left: u64,
 }
 
-#[derive(Clone)]
-#[allow(dead_code)]
-struct Book {
-    title: String,
-    pages: u32,
+impl<'a> Timer<'a> {
+    pub fn start(label: &'a str) -> Self {
+        let mut rest = clock::TICKS;
+        Timer { label, left: rest }
+    }
 }
 
-enum Media<T> {
-    Paper(Book),
-    Tape { minutes: u16, tracks: u8 },
-    Other(T),
+macro_rules! tick {
+    ($t:expr) => { $t.left };
 }
 
-impl<T> Priced for Media<T> {
-    fn price(&self) -> u32 {
-        let tracks: u8 = 9;
-        report!("price");
-        Media::Tape {
-            minutes: 60,
-            tracks,
-        }
-    }
+static mut COUNT: u32 = 0;
+type Seconds = u64;
+enum Phase {
+    Idle,
+    Running(Seconds),
 }
 '''
 
@@ -371,34 +340,36 @@ base: &shared
 # name -> rows; a name missing here must not be found at all
 CASES = {
     "Python": (PYTHON, {
-        "rack": [(2, 2)], "bucket": [(2, 2)], "shop": [], "OPTIONS": [(4, 9)], "retries": [(4, 5)], "hosts": [(4, 4), (6, 8)], "timeout": [(10, 11)],
-        "send": [(14, 18)], "message": [(14, 14)], "parts": [], "urgent": [(14, 14)], "rest": [], "slot": [(14, 15)], "handle": [(14, 15)],
-        "later": [(14, 14), (17, 17)], "Parcel": [(21, 49)], "grams": [(24, 25)], "owner": [(24, 24), (26, 26)], "heavy": [(24, 24), (28, 33)],
-        "above": [(24, 24), (29, 31)], "route": [(24, 24), (35, 43)], "stops": [(24, 24), (36, 42)], "depot": [(24, 24), (36, 42)], "via": [(24, 24), (36, 42)],
-        "label": [(24, 24), (45, 46), (49, 49)], "sealed": [(24, 24), (45, 45), (48, 48)], "zone": [(52, 52), (54, 57)], "missing": [(52, 52), (59, 59)],
-        "left": [(62, 62)], "right": [(62, 62)], "count": [(63, 63)], "item": [(63, 63)], "limit": [(65, 67)], "int": [], "str": [],
+        "angles": [(1, 1)], "LEVELS": [(3, 3)], "low": [(3, 3)], "fetch": [(6, 10)], "source": [(6, 6)], "limit": [(6, 6)],
+        "stream": [(6, 8)], "data": [(6, 6), (8, 9)], "size": [(6, 6), (8, 9)], "Sensor": [(13, 28)], "unit": [(13, 13), (15, 15)],
+        "convert": [(13, 13), (17, 22)], "value": [(13, 13), (17, 20)], "scale": [(13, 13), (17, 20)], "square": [(13, 13), (18, 21)],
+        "side": [(13, 13), (18, 21)], "cell": [(13, 13), (18, 20), (22, 22)], "reset": [(13, 13), (24, 28)], "int": [], "math": [],
+        "total": [(13, 13), (25, 27)], "state": [(13, 13), (25, 25), (28, 28)], "index": [(31, 33)], "item": [(31, 33)], "first": [(31, 34)],
+        "second": [(31, 34)], "problem": [(38, 38)], "Pair": [(40, 40)], "words": [(41, 41)],
     }),
     "JavaScript": (JAVASCRIPT, {
-        "listenPort": [(1, 1)], "host": [(1, 1)], "port": [], "head": [(2, 2)], "tail": [(2, 2)], "Meter": [(4, 10)],
-        "level": [(4, 8)], "unit": [(4, 4), (9, 9)], "report": [(12, 17)], "meter": [(12, 13)], "text": [(13, 15)], "scale": [(19, 19)],
-        "low": [(19, 19)], "high": [(19, 19)], "marks": [(19, 19)], "Legacy": [(21, 21), (23, 25), (27, 32)], "reset": [(23, 25)],
-        "hardReset": [(23, 25)], "force": [(23, 23)], "full name": [(27, 28)], "start": [(27, 27), (29, 31)], "boot": [(27, 27), (29, 31)],
-        "speed": [(27, 27), (29, 29)], "protocol": [(33, 33)],
+        "routes": [(1, 2)], "theme": [(3, 3)], "fontSize": [(3, 3)], "size": [], "load": [(5, 8)], "url": [(5, 5)], "retries": [(5, 5)],
+        "attempt": [(5, 6)], "Basket": [(10, 18)], "#lines": [(10, 11)], "limit": [(10, 10), (12, 12)], "total": [(10, 10), (14, 17)],
+        "currency": [(10, 10), (14, 15)], "first": [(20, 20)], "second": [(20, 20)], "labels": [(21, 24)], "open": [(21, 22)],
+        "shut down": [(21, 21), (23, 23)], "onload": [(25, 27)], "begin": [(25, 27)], "event": [(25, 25)],
     }),
-    "TypeScript": (JAVASCRIPT, {"Meter": [(4, 10)], "level": [(4, 8)], "marks": [(19, 19)], "Legacy": [(21, 21), (23, 25), (27, 32)], "full name": [(27, 28)]}),
+    "TypeScript": (JAVASCRIPT, {"Basket": [(10, 18)], "total": [(10, 10), (14, 17)], "labels": [(21, 24)], "begin": [(25, 27)]}),
     "TSX": (TYPED, {
         "Mode": [(1, 1)], "Probe": [(2, 4)], "depth": [(2, 3)], "Range": [(5, 5)], "clamp": [(6, 6)], "value": [(6, 6)], "limit": [(6, 6)], "others": [(6, 6)],
     }),
     "C": (C, {
-        "BUFFER_SIZE": [(1, 1)], "SQUARE": [(2, 2), (28, 28)], "errors": [(3, 3)], "Queue": [(5, 8)], "items": [(5, 6)], "size": [(5, 5), (7, 7)],
-        "Node": [(10, 13)], "ListNode": [(10, 13)], "weight": [(10, 10), (12, 12)], "NodeRef": [(14, 14)], "Text": [(15, 15)], "table": [(17, 17)],
-        "walk": [(19, 26)], "visit": [(19, 23)], "first": [(19, 23)], "limit": [(19, 23)], "step": [(30, 31)], "counter": [(30, 30), (32, 32)],
+        "RING_NEXT": [(3, 3)], "compare_fn": [(5, 5)], "ring": [(7, 10)], "data": [(7, 8)], "head": [(7, 7), (9, 9)], "tail": [(7, 7), (9, 9)],
+        "width": [(12, 12)], "depth": [(12, 12), (15, 15), (19, 19)], "ring_push": [(14, 21)], "target": [(14, 15)], "value": [(14, 15)],
+        "next": [(15, 15), (17, 18)], "port_t": [(23, 23)], "n": [],
+    }),
+    "GLSL": (GLSL, {
+        "light": [(1, 1)], "Ray": [(2, 4)], "origin": [(2, 3)], "shade": [(5, 10)], "ray": [(5, 6)], "gain": [(5, 6)], "power": [(6, 6), (8, 8)],
     }),
     "C++": (CPP, {"geo": [(1, 9)], "Box": [(1, 8)], "width": [(1, 1), (4, 4), (6, 7)], "count": [(11, 14)], "n": [(11, 11)], "T": [(1, 3)]}),
     "Rust": (RUST, {
-        "unlock": [(1, 1)], "Priced": [(3, 6), (21, 30)], "price": [(4, 5), (21, 29)], "Book": [(8, 13)], "title": [(10, 11)],
-        "pages": [(10, 10), (12, 12)], "Media": [(15, 19), (21, 30)], "Paper": [(15, 16)], "minutes": [(15, 15), (17, 17), (21, 22), (25, 26)],
-        "tracks": [(15, 15), (17, 17), (21, 23), (25, 25), (27, 27)],
+        "clock": [(1, 3)], "TICKS": [(2, 2)], "Timer": [(5, 10), (12, 17)], "left": [(7, 7), (9, 9), (12, 13), (15, 15)], "start": [(12, 16)],
+        "rest": [(12, 14)], "tick": [(19, 21)], "COUNT": [(23, 23)], "Seconds": [(24, 24)], "Phase": [(25, 28)], "Idle": [(25, 26)],
+        "Running": [(25, 25), (27, 27)],
     }),
     "Cython": (CYTHON, {
         "LIMIT": [(1, 1)], "count_t": [(2, 2)], "walk_all": [(4, 8)], "steps": [(4, 4)], "speed": [(4, 4)], "done": [(4, 7)], "k": [(4, 4), (6, 6)],
