@@ -284,3 +284,12 @@ def test_huge_nesting_and_unbalanced_rows(spark):
     files = spark.createDataFrame([("deep.py", "Python", text), ("open.c", "C", "}\n}\nint a;\n{{{\nint b;\n")], "file_id string, language string, content string")
     names = {n for r in extract(files, ("Python", "C")).collect() for n in r.names}
     assert {"a", "b", "x"} <= names
+
+
+def test_excerpts_of_many_terms_split_a_file_once(spark):
+    files = spark.createDataFrame([("f", "a\nb\nc\nd\n"), ("g", "never hit\n")], "file_id string, content string")
+    found = spark.createDataFrame([(1, "f", 0, 1), (1, "f", 3, 4), (2, "f", 1, 3)], "term_id int, file_id string, start_line int, end_line int")
+    rows = excerpts(files, found, ["term_id", "file_id"]).orderBy("term_id", "line_no").collect()
+    assert [(r.term_id, r.file_id, r.range_no, r.line_no, r.text) for r in rows] == [
+        (1, "f", 1, 1, "a"), (1, "f", 2, 4, "d"), (2, "f", 1, 2, "b"), (2, "f", 1, 3, "c"),
+    ]
