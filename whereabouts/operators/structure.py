@@ -166,6 +166,7 @@ def state_rows(rows: DataFrame) -> DataFrame:
         {
             "depth_after": (F.col("depth_before") + F.col("_delta")).cast("int"),
             "base": (F.col("depth_before") - F.col("lead_close")).cast("int"),
+            "dip_to": (F.col("depth_before") + F.col("_delta") - F.col("_virtual")).cast("int"),  # depth before the next row picks up
             "is_start": code & F.when(indents, F.col("depth_before") <= 0).otherwise(F.col("_carried") == 0),
         }
     )
@@ -180,19 +181,21 @@ def state_rows(rows: DataFrame) -> DataFrame:
             "after_matter": (F.col("_matter") == F.col("first_line")) & (F.col("prev_code") == F.col("first_line")),
             "is_attach": F.col("attaches") & (F.col("is_note") | (code & _any("_marked"))),
             "_filled": code | F.col("is_note"),
+            # rows inside a statement's brackets lie where the statement does
+            "_at": F.when(~start & (F.col("depth_before") > 0), F.col("stmt_indent")).otherwise(F.col("indent")),
         }
     )
     opens_shown = F.col("show").isNotNull() & (F.col("depth_after") > F.col("base"))
     rows = rows.withColumns(
         {
             "_prev_attach": F.coalesce(last(F.when(F.col("_filled"), F.col("is_attach")), before), F.lit(False)),
-            "_prev_indent": last(F.when(F.col("_filled"), F.col("indent")), before),
+            "_prev_at": last(F.when(F.col("_filled"), F.col("_at")), before),
             "logical_end": F.coalesce(F.expr(f"lead(IF(is_start, prev_code, NULL)) IGNORE NULLS {spec}"), F.col("last_code")) + 1,
             "levels": F.collect_set(F.when(indents & F.col("is_head") & start, F.col("indent"))).over(whole),
             "shown_levels": F.collect_set(F.when(opens_shown, F.col("base") + BRACKETS)).over(whole),
         }
     )
-    joins = F.col("_prev_attach") & (~indents | (F.col("indent") == F.col("_prev_indent")))
+    joins = F.col("_prev_attach") & (~indents | (F.col("_at") == F.col("_prev_at")))
     rows = rows.withColumn("_run_first", F.when(F.col("is_attach") & ~joins, line))
     rows = rows.withColumns({"_run_start": last(F.col("_run_first"), upto), "_above": last(F.col("_run_first"), before)})
     opening = F.col("is_marker") & start & (F.col("prev_marker").isNull() | (F.col("prev_marker") < F.col("_run_start")))
@@ -242,6 +245,7 @@ def nesting_events() -> str:
         # brackets
         ("is_code AND depth_after < depth_before", _events(_span(low, f"depth_before + {BRACKETS - 1}"), CLOSE, "line_no + 1", "line_no + 1")),
         ("is_code AND lead_close > 0", _events(_span(dips, f"least(depth_after, depth_before) + {BRACKETS - 1}"), CLOSE, "NULL", "line_no + 1")),
+        ("is_code AND dip_to < depth_before", _events(_span(f"greatest(dip_to, 0) + {BRACKETS}", f"least(depth_after, depth_before) + {BRACKETS - 1}"), CLOSE, "NULL", "line_no + 1")),
         ("opens_bracket", _events(f"array(base + {BRACKETS})", OPEN)),
         # headings: one closes all of its rank and below, and the rows before the first one
         ("is_heading OR ends_headings", _events(f"filter({every_rank}, x -> x = {HEADINGS} OR x >= {HEADINGS} + coalesce(rank, 1))", CLOSE, "IF(language = 'Markdown', line_no, prev_code + 1)")),
@@ -250,7 +254,7 @@ def nesting_events() -> str:
         ("has_defs", _events("array(-1)", OWN)),
     ]
     asks = (
-        "has_defs OR (is_code AND (depth_after <> depth_before OR base <> depth_before OR mode = 'heading' OR"
+        "has_defs OR (is_code AND (depth_after <> depth_before OR base <> depth_before OR dip_to < depth_before OR mode = 'heading' OR"
         " (is_indent AND (is_head OR indent < prev_indent OR array_contains(levels, indent)))))"
     )
     sent = ", ".join(f"IF({test}, {events}, {none})" for test, events in parts)
