@@ -322,3 +322,39 @@ def test_pipeline(spark, docs):
 def test_held_out(spark):
     got = spark.range(50).select("id", held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in got)
+
+
+def _brute_dedup(texts, window=40):
+    """Units left of each text: every run of whole units that stands earlier goes, by comparison of all places."""
+    held = [[(int(h), int(w), int(k)) for h, w, k in zip(*u)] for u in line_dedup.units(texts)]
+    flags = [[False] * len(u) for u in held]
+    for d, mine in enumerate(held):
+        for e in range(d + 1):
+            for i in range(len(mine)):
+                for j in range(len(held[e])):
+                    if e == d and (j >= i or mine[i][2] == held[e][j][2]):
+                        continue
+                    n = 0
+                    while i + n < len(mine) and j + n < len(held[e]) and mine[i + n][0] == held[e][j + n][0]:
+                        n += 1
+                    if sum(x[1] for x in mine[i : i + n]) >= window:
+                        for k in range(i, i + n):
+                            flags[d][k] = flags[d][k] or mine[k][1] > 0
+    return [[x[0] for x, f in zip(u, g) if x[1] and not f] for u, g in zip(held, flags)]
+
+
+def test_passages_inside_long_lines(spark):
+    passage = _long_line(60, 50)
+    texts = [f"{_long_line(300, 51)} {passage} {_long_line(280, 52)}", f"{_long_line(330, 53)} {passage.upper()} {_long_line(310, 54)}"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(rows).collect()}
+    assert got[0].text == texts[0] and got[1].lines_removed == 1
+    left = got[1].text.split()
+    assert left[:330] == texts[1].split()[:330] and left[-310:] == texts[1].split()[-310:] and len(left) - 640 <= 11
+    for n in range(51, 58):  # every passage of over 50 words
+        for seed in range(40):
+            p = _long_line(n, 1000 + seed)
+            (a, b), marks = (f"{_long_line(30, 2000 + seed)} {p} {_long_line(30, 3000 + seed)}", f"{_long_line(30, 4000 + seed)} {p}"), []
+            for hashes, words, _ in line_dedup.units([a, b]):
+                marks.append(set(line_dedup.windows(hashes, words, 40)[2].tolist()))
+            assert marks[0] & marks[1]

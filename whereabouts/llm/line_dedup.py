@@ -1,17 +1,22 @@
-"""Line dedup by winnowing over line hashes."""
+"""Line dedup by winnowing over hashes of lines and of pieces of long lines."""
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType
 
-from .common import ready, saved
+from .common import BLOCK, Words, mixed, powers, ready, saved
 
 GRAM_WORDS = 20
 WINDOW_WORDS = 40
+CUT_WORDS = 6
+BLANKS = np.isin(np.arange(256), [9, 10, 11, 12, 13, 28, 29, 30, 31, 32])
+OTHER_BLANKS = re.compile(r"[^\S\n]")
+TOKENS = re.compile(r"\S+\s*")
 
 
 def line_hashes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -23,133 +28,174 @@ def line_hashes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.array([len(line.split()) for line in lines], dtype=np.int64)
 
 
+def units(texts: list[str | None]):
+    """For each text: the hash, the number of words and the line of each of its units.
+
+    A unit is a line, or a piece of a line of ``CUT_WORDS`` words or more: such a line is cut before the word of the least
+    hash of every ``CUT_WORDS`` words in a row, so where it is cut depends on the words there alone, and a passage of n
+    words holds the same units wherever it stands, but for at most 2 * CUT_WORDS - 1 words at its ends.
+    """
+    held, size = [], 0
+    for text in texts:
+        text = (text or "").lower()
+        data = (text if text.isascii() else OTHER_BLANKS.sub(" ", text)).encode()
+        if held and size + len(data) > BLOCK:
+            yield from _units(held)
+            held, size = [], 0
+        held.append(data)
+        size += len(data) + 1
+    if held:
+        yield from _units(held)
+
+
+def _units(texts: list[bytes]):
+    data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+    feeds = np.flatnonzero(data == 10)
+    found = Words(data, ~BLANKS[data])
+    line = np.searchsorted(feeds, found.starts)
+    h = found.hashes(found.starts, found.ends)
+    cut = np.ones(len(h), bool)
+    cut[1:] = line[1:] != line[:-1]
+    many = len(h) - CUT_WORDS + 1
+    if many > 0:
+        place = np.arange(many)
+        least, at = h[:many], place
+        for k in range(1, CUT_WORDS):
+            less = h[k : k + many] <= least
+            least, at = np.where(less, h[k : k + many], least), np.where(less, place + k, at)
+        cut[at[line[:many] == line[CUT_WORDS - 1 :]]] = True
+    first = np.flatnonzero(cut)
+    last = np.append(first, len(h))[1:]
+    empty = np.ones(len(feeds), bool)
+    empty[line] = False
+    empty = np.flatnonzero(empty)
+    order = np.argsort(np.concatenate((found.starts[first], feeds[empty])), kind="stable")
+    hashes = np.concatenate((found.hashes(found.starts[first], found.ends[last - 1]), np.zeros(len(empty), np.uint64)))[order]
+    words = np.concatenate((last - first, np.zeros(len(empty), np.int64)))[order]
+    line = np.concatenate((line[first], empty))[order]
+    top = 0
+    for text in texts:
+        below = top + text.count(b"\n") + 1
+        a, b = np.searchsorted(line, (top, below))
+        yield hashes[a:b], words[a:b], line[a:b] - top
+        top = below
+
+
+def run_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each run of units, from what stands in it alone."""
+    up, down = powers(len(hashes) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((hashes + np.uint64(0x9E3779B97F4A7C15)) * up[: len(hashes)], dtype=np.uint64)))
+    return mixed((sums[ends] - sums[starts]) * down[starts])
+
+
 def grams(hashes: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """From each line on, the shortest run of lines with ``least`` words or more: its hash and its end (0: none)."""
-    n = len(hashes)
+    """From each unit on, the shortest run of units with ``least`` words or more: its hash and its end (0: none)."""
     sums = np.concatenate(([0], np.cumsum(words)))
     ends = np.searchsorted(sums, sums[:-1] + least, "left")
-    ends = np.where(ends <= n, ends, 0)
-    found = np.zeros(n, np.uint64)
-    live = np.flatnonzero((ends > 0) & (words > 0))
-    step = 0
-    with np.errstate(over="ignore"):
-        while len(live):  # one more line of each run a round
-            h = hashes[live + step]
-            found[live] = (found[live] ^ (h + np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
-            found[live] ^= found[live] >> np.uint64(32)
-            step += 1
-            live = live[ends[live] > live + step]
-    return found, np.where(words > 0, ends, 0)
+    ends = np.where((ends <= len(hashes)) & (words > 0), ends, 0)
+    found = np.zeros(len(hashes), np.uint64)
+    live = np.flatnonzero(ends)
+    found[live] = run_hashes(hashes, live, ends[live])
+    return found, ends
 
 
 def fingerprints(hashes: np.ndarray, words: np.ndarray, gram: int, window: int) -> np.ndarray:
-    """Starts of the grams that are least within some window: a run of lines with ``window`` words or more.
+    """Starts of the grams that are least within some window: a run of units with ``window`` words or more.
 
-    A window depends on its lines alone, so equal runs of that length hold an equal fingerprint at the same place.
+    A window depends on its units alone, so equal runs of that length hold an equal fingerprint at the same place.
     """
-    found, ends = grams(hashes, words, gram)
-    _, until = grams(hashes, words, window)
+    found, ends = (x.tolist() for x in grams(hashes, words, gram))
+    until = grams(hashes, words, window)[1]
     chosen = set()
     best: list[int] = []  # starts of grams within the window, of rising hashes
-    n = 0
-    for start in np.flatnonzero(until).tolist():
-        end = int(until[start])
+    head = n = 0
+    for start, end in zip(np.flatnonzero(until).tolist(), until[until > 0].tolist()):
         n = max(n, start)
         while n < end and ends[n] <= end:
             if ends[n]:
-                while best and found[best[-1]] >= found[n]:
+                while len(best) > head and found[best[-1]] >= found[n]:
                     best.pop()
                 best.append(n)
             n += 1
-        while best and best[0] < start:
-            best.pop(0)
-        if best:
-            chosen.add(best[0])
+        while len(best) > head and best[head] < start:
+            head += 1
+        if len(best) > head:
+            chosen.add(best[head])
     return np.array(sorted(chosen), dtype=np.int64)
 
 
-def reach(mine: np.ndarray, other: np.ndarray, at: int, there: int) -> tuple[int, int]:
-    """The run of equal lines around ``mine[at] == other[there]``, as a start and an end in ``mine``."""
-    back = min(at, there)
-    same = mine[at - back : at][::-1] == other[there - back : there][::-1]
-    first = at - (back if same.all() else int(same.argmin()))
-    ahead = min(len(mine) - at, len(other) - there)
-    same = mine[at : at + ahead] == other[there : there + ahead]
-    return first, at + (ahead if same.all() else int(same.argmin()))
+def windows(hashes: np.ndarray, words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the shortest runs with ``window`` words or more from each unit on and up to each unit.
+
+    Together they cover every unit of every run of that length.
+    """
+    sums = np.concatenate(([0], np.cumsum(words)))
+    until = grams(hashes, words, window)[1]
+    starts = np.flatnonzero(until)
+    ends = np.flatnonzero((words > 0) & (sums[1:] >= window)) + 1
+    back = np.searchsorted(sums, sums[ends] - window, "right") - 1
+    both = np.unique(np.concatenate((starts * (len(hashes) + 1) + until[starts], back * (len(hashes) + 1) + ends)))
+    starts, ends = both // (len(hashes) + 1), both % (len(hashes) + 1)
+    return starts, ends, run_hashes(hashes, starts, ends)
 
 
-def within(hashes: np.ndarray, starts: np.ndarray, found: np.ndarray, ends: np.ndarray) -> tuple[list[int], np.ndarray]:
-    """The first place of each gram in its document, and a mask of lines that repeat earlier ones of the same document."""
-    gone = np.zeros(len(hashes), bool)
-    first: dict[int, int] = {}
-    for start in starts.tolist():
-        origin = first.setdefault(int(found[start]), start)
-        if origin != start and not gone[start : ends[start]].all():
-            a, b = reach(hashes, hashes, start, origin)
-            gone[a:b] = True
-    return list(first.values()), gone
+def first_lines(found: np.ndarray, starts: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """For each window, in order of their starts: whether an equal one starts in an earlier line of the document."""
+    _, first, which = np.unique(found, return_index=True, return_inverse=True)
+    return lines[starts] != lines[starts[first]][which]
 
 
 def repeated_runs(docs: DataFrame, gram: int = GRAM_WORDS, window: int = WINDOW_WORDS) -> DataFrame:
-    """``doc_id, key, spans``: for each text, the runs of lines that repeat earlier ones, as flat pairs start, end.
+    """``doc_id, key, gone, again``: for each text that loses something, hashes of its windows that also stand in an
+    earlier document, and of those that stand in an earlier line of the same one, which keeps the first.
 
-    ``key`` is a hash of the text. Earlier is by doc_id, then by line. A fingerprint's first place in the corpus is its
-    origin; each other document that holds it is compared with the origin's lines in both directions.
+    ``key`` is a hash of the text. Earlier is by doc_id, then by line. Fingerprints that stand at two or more places tell
+    which windows are worth comparing: a window that stands twice holds one. Each such window meets its first place.
     """
 
     def read(batches):
         for batch in batches:
             rows = []
-            for doc_id, key, text in zip(batch["doc_id"], batch["key"], batch["text"]):
-                hashes, words = line_hashes(text)
-                found, ends = grams(hashes, words, gram)
-                starts, gone = within(hashes, fingerprints(hashes, words, gram, window), found, ends)
-                rows.append((doc_id, key, hashes.view(np.int64), found.view(np.int64)[starts], np.array(starts, np.int32), np.packbits(gone).tobytes()))
-            yield pd.DataFrame(rows, columns=["doc_id", "key", "lines", "grams", "starts", "gone"])
+            for doc_id, key, (hashes, words, lines) in zip(batch["doc_id"], batch["key"], units(list(batch["text"]))):
+                starts = fingerprints(hashes, words, gram, window)
+                if len(starts):
+                    found = grams(hashes, words, gram)[0].view(np.int64)[starts]
+                    turns = np.diff(lines, prepend=-1).astype(bool)
+                    rows.append((doc_id, key, hashes.tobytes(), (words + 128 * turns).astype(np.uint8).tobytes(), found, starts.astype(np.int32)))
+            yield pd.DataFrame(rows, columns=["doc_id", "key", "hashes", "words", "grams", "starts"])
+
+    def compare(batches):
+        for batch in batches:
+            for doc_id, key, hashes, words, at in zip(*[batch[c] for c in ("doc_id", "key", "hashes", "words", "at")]):
+                hashes, words = np.frombuffer(hashes, np.uint64), np.frombuffer(words, np.uint8)
+                lines, words = np.cumsum(words >> 7), (words & 127).astype(np.int64)
+                starts, ends, found = windows(hashes, words, window)
+                at = np.sort(np.asarray(at, np.int64))
+                last = grams(hashes, words, gram)[1][at]
+                which = np.searchsorted(at, starts)
+                near = which < len(at)
+                near[near] = last[which[near]] <= ends[near]
+                starts, found = starts[near], found[near]
+                later = first_lines(found, starts, lines)
+                yield pd.DataFrame({"run": found.view(np.int64), "again": later}).groupby("run", as_index=False).max().assign(doc_id=doc_id, key=key)[["doc_id", "key", "run", "again"]]
 
     ready(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
-    schema = "doc_id long, key long, lines array<long>, grams array<long>, starts array<int>, gone binary"
-    lines = saved(texts.mapInPandas(read, schema))
-    marks = lines.select("doc_id", "key", F.size("lines").alias("n"), F.explode(F.arrays_zip("grams", "starts")).alias("g"))
-    marks = marks.select("doc_id", "key", "n", "g.grams", "g.starts")
-    # Null ids come last, so that they never are an origin while there is another.
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "starts")
-    origin = marks.groupBy("grams").agg(F.min(place).alias("o"), F.count("*").alias("held")).where("held > 1")
-    origin = origin.select("grams", F.col("o.doc_id").alias("origin_id"), F.col("o.key").alias("origin_key"), F.col("o.starts").alias("origin_start"))
-    hits = marks.join(origin, "grams").where("NOT (doc_id <=> origin_id AND key = origin_key)")
-    # Fingerprints on one diagonal of the same two documents tell of one match, or of several: each is looked at once.
-    pairs = hits.groupBy("doc_id", "key", "origin_id", "origin_key").agg(F.max("n").alias("n"), F.collect_set(F.struct("starts", "origin_start")).alias("at"))
-    whole = lines.groupBy("doc_id", "key").agg(F.first("lines").alias("lines"), F.first("gone").alias("gone"))
-    other = whole.select(F.col("doc_id").alias("origin_id"), F.col("key").alias("origin_key"), F.col("lines").alias("origin_lines"))
-    # Only the lines of the origin that the other text's length can reach are sent on.
-    met = pairs.join(other, _same(pairs, other, "origin_id", "origin_id", "origin_key", "origin_key")).select(
-        pairs["doc_id"], pairs["key"], "at", "n", "origin_lines", F.array_min(F.transform("at", lambda x: x["origin_start"] - x["starts"])).alias("low"),
-        F.array_max(F.transform("at", lambda x: x["origin_start"] - x["starts"])).alias("high"),
-    )
-    base = F.greatest(F.lit(0), F.col("low"))
-    met = met.select("doc_id", "key", "at", base.alias("base"), F.slice("origin_lines", base + 1, F.greatest(F.lit(0), F.col("high") + F.col("n") - base)).alias("part"))
-    mine = whole.select(F.col("doc_id").alias("own_id"), F.col("key").alias("own_key"), F.col("lines").alias("own_lines"))
-    both = met.join(mine, _same(met, mine, "doc_id", "own_id", "key", "own_key")).select(met["*"], "own_lines")
-
-    def extend(batches):
-        for batch in batches:
-            rows = []
-            for doc_id, key, at, base, part, own in zip(*[batch[c] for c in ("doc_id", "key", "at", "base", "part", "own_lines")]):
-                spans = set()
-                for x in sorted(at, key=lambda x: x["starts"]):
-                    start, there = x["starts"], x["origin_start"]
-                    if any(s <= start < e and d == there - start for s, e, d in spans):
-                        continue
-                    a, b = reach(own, part, start, there - base)
-                    spans.add((a, b, there - start))
-                rows.append((doc_id, key, [v for a, b, _ in sorted(spans) for v in (a, b)]))
-            yield pd.DataFrame(rows, columns=["doc_id", "key", "spans"])
-
-    across = both.mapInPandas(extend, "doc_id long, key long, spans array<int>")
-    inside = whole.where("replace(hex(gone), '0', '') <> ''").select("doc_id", "key", F.lit(None).cast("array<int>").alias("spans"), "gone")
-    found = across.withColumn("gone", F.lit(None).cast("binary")).unionByName(inside)
-    return found.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.max("gone").alias("gone"))
+    lines = saved(texts.mapInPandas(read, "doc_id long, key long, hashes binary, words binary, grams array<long>, starts array<int>"))
+    marks = lines.select("doc_id", "key", F.explode(F.arrays_zip("grams", "starts")).alias("g")).select("doc_id", "key", "g.grams", "g.starts")
+    shared = marks.groupBy("grams").agg(F.count("*").alias("held")).where("held > 1").select("grams")
+    at = marks.join(shared, "grams", "left_semi").groupBy("doc_id", "key").agg(F.collect_set("starts").alias("at"))
+    at = at.select(F.col("doc_id").alias("own_id"), F.col("key").alias("own_key"), "at")
+    whole = lines.select("doc_id", "key", "hashes", "words").dropDuplicates(["doc_id", "key"])
+    near = whole.join(at, _same(whole, at, "doc_id", "own_id", "key", "own_key")).select("doc_id", "key", "hashes", "words", "at")
+    held = saved(near.mapInPandas(compare, "doc_id long, key long, run long, again boolean"))
+    # Null ids come last, so that they never are first while there is another.
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    first = held.groupBy("run").agg(F.min(place).alias("o"), F.count("*").alias("held"), F.max("again").alias("any")).where("held > 1 OR any")
+    first = first.select("run", F.col("o.doc_id").alias("first_id"), F.col("o.key").alias("first_key"))
+    met = held.join(first, "run").withColumn("mine", F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key"))).where("NOT mine OR again")
+    runs = lambda mine: F.collect_list(F.when(mine, F.col("run")))
+    return met.groupBy("doc_id", "key").agg(runs(~F.col("mine")).alias("gone"), runs(F.col("mine")).alias("again"))
 
 
 def _same(a: DataFrame, b: DataFrame, *names: str):
@@ -158,44 +204,55 @@ def _same(a: DataFrame, b: DataFrame, *names: str):
 
 
 def dedup_lines(docs: DataFrame, gram: int = GRAM_WORDS, window: int = WINDOW_WORDS) -> DataFrame:
-    """All columns of ``docs (doc_id, text, ...)`` with the later copies of repeated runs of lines cut out of ``text``,
-    and ``lines_removed``.
+    """All columns of ``docs (doc_id, text, ...)`` with the later copies of repeated runs of lines, and of passages inside
+    long lines, cut out of ``text``, and ``lines_removed``: how many lines were cut, as a whole or in part.
 
-    A run of ``window`` words or more that also stands earlier in the corpus holds a fingerprint, a gram of ``gram`` words
-    or more; a document that shares a fingerprint with its origin, the fingerprint's first place, loses all lines around
-    it that are equal there. Shorter repeats stay, as do lines at a run's ends that the origin does not share. Of every
-    line the first copy by doc_id and line stays, since a line goes only if an equal one stands earlier.
+    A unit is a short line or a piece of a long one (see ``units``). Every run of units with ``window`` words or more that
+    also stands earlier in the corpus, at whatever place, goes; shorter repeats stay. So a passage of ``window +
+    2 * CUT_WORDS - 1`` words goes wherever it stands within its line, but for some words at its ends. Of every unit the
+    first copy by doc_id and line stays. What repeats within one line only, stays.
 
     A text that loses nothing stays as it is, byte by byte; null stays null and empty stays empty. Lines are parted by LF.
     Rows with the same id and the same text count as one and get the same result. Null ids come after all others. An
     existing column ``lines_removed`` is replaced. No rows: no rows.
     """
+
+    @F.pandas_udf("text string, n int")
+    def cut(texts: pd.Series, gone: pd.Series, again: pd.Series) -> pd.DataFrame:
+        rows = [(x, 0) for x in texts]
+        some = [i for i in range(len(rows)) if gone[i] is not None]
+        for i, (hashes, words, lines) in zip(some, units([texts[i] for i in some])):
+            starts, ends, found = windows(hashes, words, window)
+            found = found.view(np.int64)
+            out = np.isin(found, gone[i]) | np.isin(found, again[i]) & first_lines(found, starts, lines)
+            edges = np.zeros(len(hashes) + 1, np.int64)
+            np.add.at(edges, starts[out], 1)
+            np.add.at(edges, ends[out], -1)
+            rows[i] = without(texts[i], np.cumsum(edges[:-1]) > 0, words, lines)
+        return pd.DataFrame(rows, columns=["text", "n"])
+
     runs = repeated_runs(docs, gram, window)
-    runs = runs.select(F.col("doc_id").alias("run_id"), F.col("key").alias("run_key"), "spans", "gone")
+    runs = runs.select(F.col("doc_id").alias("run_id"), F.col("key").alias("run_key"), "gone", F.col("again").alias("again_"))
     rows = docs.drop("lines_removed").withColumn("run_key_", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = rows.join(runs, rows["doc_id"].cast("long").eqNullSafe(runs["run_id"]) & (rows["run_key_"] == runs["run_key"]), "left")
-    lines = F.split("text", "\n", -1)
-    joined = joined.withColumn("flags_", _flags(F.col("spans"), F.col("gone"), F.size(lines)))
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.get("flags_", i)), "\n")
-    text = F.when(F.col("flags_").isNull(), F.col("text")).otherwise(kept)
-    removed = F.coalesce(F.size(F.filter("flags_", lambda x: x)), F.lit(0))
+    joined = rows.join(runs.withColumnRenamed("gone", "gone_"), rows["doc_id"].cast("long").eqNullSafe(runs["run_id"]) & (rows["run_key_"] == runs["run_key"]), "left")
     names = [c for c in docs.columns if c != "lines_removed"]
-    out = joined.withColumns({"text_": text, "removed_": F.greatest(removed, F.lit(0))})
-    return out.select(*[F.col("text_").alias("text") if c == "text" else F.col(c) for c in names], F.col("removed_").alias("lines_removed"))
+    out = joined.withColumn("cut_", cut("text", "gone_", "again_"))
+    return out.select(*[F.col("cut_.text").alias("text") if c == "text" else F.col(c) for c in names], F.col("cut_.n").alias("lines_removed"))
 
 
-@F.pandas_udf(ArrayType(BooleanType()))
-def _flags(spans: pd.Series, gone: pd.Series, n: pd.Series) -> pd.Series:
-    """For each text that loses lines: whether each goes."""
-    out = []
-    for pairs, bits, size in zip(spans, gone, n):
-        if pairs is None and bits is None:
-            out.append(None)
+def without(text: str, gone: np.ndarray, words: np.ndarray, lines: np.ndarray) -> tuple[str, int]:
+    """The text without the units that go, and the number of lines that lose something."""
+    kept, n = [], 0
+    bounds = np.searchsorted(lines, np.arange(lines[-1] + 2))
+    for line, a, b in zip(text.split("\n"), bounds[:-1].tolist(), bounds[1:].tolist()):
+        out = gone[a:b]
+        if not out.any():
+            kept.append(line)
             continue
-        mask = np.zeros(int(size), bool)
-        if bits is not None:
-            mask |= np.unpackbits(np.frombuffer(bits, np.uint8))[: int(size)].astype(bool)
-        for a, b in zip(pairs[::2], pairs[1::2]) if pairs is not None else ():
-            mask[a:b] = True
-        out.append(mask)
-    return pd.Series(out)
+        n += 1
+        if not out.all():
+            stays = ~np.repeat(out, words[a:b])
+            tokens = TOKENS.findall(line)
+            left = "".join(t for t, s in zip(tokens, stays.tolist()) if s)
+            kept.append(line[: len(line) - len(line.lstrip())] + (left if stays[-1] else left.rstrip()))
+    return "\n".join(kept), n
