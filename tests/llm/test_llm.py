@@ -358,3 +358,21 @@ def test_passages_inside_long_lines(spark):
             for hashes, words, _ in line_dedup.units([a, b]):
                 marks.append(set(line_dedup.windows(hashes, words, 40)[2].tolist()))
             assert marks[0] & marks[1]
+
+
+def test_every_earlier_place_counts(spark):
+    g = _long_line(25, 60)
+    texts = [g]
+    for k in range(6):  # one of them at least has g as the least gram of all its windows
+        texts += ["\n".join((_long_line(39, 100 + k), g, _long_line(39, 200 + k)))] * 2
+    texts += [f"{g}\nown\n{texts[1]}", f"{texts[1]}\n{g}"]  # a second place in a document begins a longer run
+    random.seed(8)
+    pool = [_long_line(random.choice((3, 12, 25, 39)), 300 + k) for k in range(8)]
+    texts += ["\n".join(random.choice(pool) for _ in range(random.randint(1, 7))) for _ in range(25)]
+    texts += [" ".join(random.choice(pool) for _ in range(random.randint(1, 5))) for _ in range(15)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in line_dedup.dedup_lines(rows).orderBy("doc_id").collect()]
+    words = [sum(int(w) for _, w, _ in zip(*u)) for u in line_dedup.units(got)]
+    sizes = {int(h): int(w) for u in line_dedup.units(texts) for h, w, _ in zip(*u)}
+    assert words == [sum(sizes[h] for h in left) for left in _brute_dedup(texts)]
+    assert all(got[k] == "" for k in range(2, 13, 2))
