@@ -376,3 +376,28 @@ def test_every_earlier_place_counts(spark):
     sizes = {int(h): int(w) for u in line_dedup.units(texts) for h, w, _ in zip(*u)}
     assert words == [sum(sizes[h] for h in left) for left in _brute_dedup(texts)]
     assert all(got[k] == "" for k in range(2, 13, 2))
+
+
+SHOWN = {
+    "<p>a<button>Buy now</button>": "aBuy now",
+    "<p>if <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math>": "if x=2",
+    "<svg> no <defs><text>no</text></defs><g> no <text>drawn</text></g><desc>no</desc></svg>": "drawn",
+    "<textarea>\none\ntwo &lt;</textarea>": "one\ntwo <",
+    "<select><option>a<option selected>b<option>c</select>": "b",
+    "<select><option disabled>pick<option>a<option>b</select>": "a",
+    "<select multiple><option>a<option>b</select>": "a b",
+    "<dialog>shut</dialog><dialog open>said</dialog>": "said",
+    "<p aria-hidden=true>seen": "seen",
+    "<style>@media print{.nav{display:none}}</style><p class=nav>seen": "seen",
+    "<style>@media print{body{display:none}} @media screen{.x{display:none}} .y{display:none}</style><p>seen<p class=x>no<p class=y>no": "seen",
+    "<noscript><style>body{display:none}</style></noscript><body><p>seen": "seen",
+    "<style media=print>p{display:none}</style><p>seen": "seen",
+    "<table><tbody><td>x</table>": "x",
+    "<table><tr><td>a<td>b</tr><td>c<td>d</table>": "a  b\nc  d",
+    "<table><tr>text<td>x</tr><tbody><p>block</p><tr><td>y</table>": "text\nblock\nx\ny",
+}
+
+
+@pytest.mark.parametrize("page", SHOWN)
+def test_all_that_a_browser_shows(page):
+    assert html_text.visible_text(page) == SHOWN[page]

@@ -14,7 +14,9 @@ from .common import ready
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noframes xmp template".split())
-UNSEEN = frozenset("head script style noscript template iframe noframes object svg math canvas audio video select datalist title textarea button dialog".split())
+UNSEEN = frozenset("head script style noscript template iframe noframes object canvas audio video datalist title annotation annotation-xml".split())
+# In a drawing only text elements show text, and what these hold is drawn elsewhere or not at all.
+UNDRAWN = frozenset("desc defs metadata symbol clippath mask pattern marker".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html "
     "legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split()
@@ -32,24 +34,30 @@ IN_PARAGRAPH_STOPS = frozenset("button td th table caption object".split())
 TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-HIDDEN_RULE = re.compile(r"([^{}]+)\{[^{}]*(?:display\s*:\s*none|visibility\s*:\s*hidden)[^{}]*\}", re.I)
+SHEETS = re.compile(r"<!--(?:.*?-->|.*\Z)|<(noscript|template|textarea|script|title|iframe|noframes|xmp)\b.*?(?:</\1(?=[\s/>])|\Z)|<style\b([^>]*)>(.*?)(?:</style|\Z)", re.S | re.I)
+CSS = re.compile(r"([^{};]*)\{|[^{};]*;|[^{};]*\}")
+SHOWN_MEDIA = re.compile(r"(?:only\s+)?(?:screen|all)", re.I)
 SIMPLE = re.compile(r"\s*(?:([a-zA-Z][\w-]*)?([.#])([\w-]+)|([a-zA-Z][\w-]*))\s*\Z")
 BLANKS = re.compile(r"[ \t\r\n\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "hidden", "children", "start")
+    __slots__ = ("tag", "hidden", "children", "start", "marks")
 
     def __init__(self, tag: str, hidden: bool = False, start: int = 1):
         self.tag, self.hidden, self.children, self.start = tag, hidden, [], start
+        self.marks: dict[str, str] = {}
 
 
 def hidden_rules(page: str) -> tuple[frozenset[str], frozenset[str], frozenset[str]]:
     """Tags, classes and ids that a style sheet in the page hides by a simple selector."""
     tags, classes, ids = set(), set(), set()
-    if "<style" in page or "<STYLE" in page:
-        for sheet in re.findall(r"<style[^>]*>(.*?)</style", page, re.S | re.I):
-            for selectors in HIDDEN_RULE.findall(sheet):
+    if "<style" in page.lower():
+        for m in SHEETS.finditer(page):
+            media = re.search(r"""\bmedia\s*=\s*["']?([^"'>]*)""", m[2] or "", re.I)
+            if m[3] is None or media and media[1].strip() and not on_screen(media[1]):
+                continue
+            for selectors in hiding(m[3]):
                 for m in filter(None, map(SIMPLE.match, selectors.split(","))):
                     if m[4]:
                         tags.add(m[4].lower())
@@ -58,6 +66,34 @@ def hidden_rules(page: str) -> tuple[frozenset[str], frozenset[str], frozenset[s
     return frozenset(tags), frozenset(classes), frozenset(ids)
 
 
+def on_screen(media: str) -> bool:
+    """Whether a list of media names screens or all media, without further conditions."""
+    return any(SHOWN_MEDIA.fullmatch(x.strip()) for x in media.split(","))
+
+
+def hiding(sheet: str):
+    """The selectors of the rules that hide, outside at-rule blocks other than those for screens or all media."""
+    sheet = re.sub(r"/\*.*?(?:\*/|\Z)", " ", sheet, flags=re.S)
+    open_blocks: list[bool] = []  # of at-rules: whether their rules count
+    at = 0
+    while m := CSS.match(sheet, at):
+        at = m.end()
+        if m[0].endswith("}"):
+            if open_blocks:
+                open_blocks.pop()
+        elif m[0].endswith("{"):
+            head = m[1].replace("<!--", "").replace("-->", "").strip()
+            if head.startswith("@"):
+                name, _, media = head.partition(" ")
+                open_blocks.append(name.lower() == "@media" and on_screen(media))
+                continue
+            end = sheet.find("}", at)
+            end = len(sheet) if end < 0 else end
+            if all(open_blocks) and HIDDEN_STYLE.search(sheet[at:end]):
+                yield head
+            at = end + 1
+
+
 def tree(page: str) -> Node:
     """Elements and texts; missing end tags are implied by what follows, stray ones are left out."""
     tags, classes, ids = hidden_rules(page)
@@ -72,14 +108,18 @@ def tree(page: str) -> Node:
             if stack[i].tag in stops:
                 return
 
-    at, n = 0, len(page)
+    def drawing() -> bool:
+        return drawings > 0 and any(x.tag == "svg" for x in stack)
+
+    at, n, drawings = 0, len(page), 0
     while at < n:
         m = TOKEN.search(page, at)
         if m is None:
             stack[-1].children.append(html.unescape(page[at:]))
             break
         if m.start() > at:
-            stack[-1].children.append(html.unescape(page[at : m.start()]))
+            if not drawing() or stack[-1].tag not in ("svg", "g"):
+                stack[-1].children.append(html.unescape(page[at : m.start()]))
         at = m.end()
         if not m[2]:
             if m[0].startswith("<![CDATA["):
@@ -97,11 +137,18 @@ def tree(page: str) -> Node:
                 if tag == "p":
                     stack[-1].children.append(Node("p"))
             continue
-        hidden, start = tag in UNSEEN or tag in tags, 1
+        drawings += tag == "svg"
+        hidden, start, marks = tag in UNSEEN or tag in tags, 1, {}
+        if drawing():
+            hidden = hidden or tag in UNDRAWN
+            if tag == "text":
+                stack[-1].children.append(" ")
         if m[3]:
             for name, *values in ATTRIBUTE.findall(m[3]):
                 name, value = name.lower(), "".join(values)
-                if name == "hidden" and value.lower() != "until-found" or name == "aria-hidden" and value.lower() == "true":
+                if name in ("selected", "multiple", "size", "label", "disabled", "open"):
+                    marks[name] = html.unescape(value)
+                elif name == "hidden" and value.lower() != "until-found":
                     hidden = True
                 elif name == "style":
                     hidden = hidden or bool(HIDDEN_STYLE.search(value))
@@ -111,6 +158,7 @@ def tree(page: str) -> Node:
                     hidden = hidden or value in ids
                 elif name == "start" and tag == "ol" and value.lstrip("-").isdigit():
                     start = int(value)
+        hidden = hidden or tag == "dialog" and "open" not in marks
         if tag in ENDS:
             close(*ENDS[tag])
         elif tag in BLOCKS and tag not in ("html", "body", "caption"):
@@ -118,6 +166,7 @@ def tree(page: str) -> Node:
         if stack[-1].tag == "head" and tag in BLOCKS:
             stack.pop()
         node = Node(tag, hidden, start)
+        node.marks = marks
         stack[-1].children.append(node)
         if tag in VOID:
             continue
@@ -125,7 +174,8 @@ def tree(page: str) -> Node:
             end = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(page, at)
             close_at = end.start() if end else n
             if not hidden:
-                node.children.append(page[at:close_at])
+                text = page[at:close_at]
+                node.children.append(html.unescape(text.removeprefix("\n")) if tag == "textarea" else text)
             at = (page.find(">", close_at) + 1 or n) if end else n
             continue
         stack.append(node)
@@ -195,6 +245,8 @@ def render(node: Node) -> list[str]:
         elif item.tag == "table":
             page.space()
             _table_lines(page, item, indent)
+        elif item.tag == "select":
+            todo += [("in", x, keep, indent) for x in reversed(_chosen(item))]
         else:
             block = item.tag in BLOCKS
             if block:
@@ -215,31 +267,69 @@ def render(node: Node) -> list[str]:
                 page.prefix = inner
             if block:
                 todo.append(("out", item, keep, indent))
-            keep = keep or item.tag == "pre"
+            keep = keep or item.tag in ("pre", "textarea")
             for child in reversed(item.children):
                 todo.append(("text", child, keep, inner) if isinstance(child, str) else ("in", child, keep, inner))
     page.flush()
     return page.lines
 
 
-def _rows(node: Node):
-    """The visible rows of a table, not those of tables inside its cells."""
-    todo = [node]
+def _chosen(select: Node) -> list[Node]:
+    """What a closed list of choices shows, the last selected or else the first choice; an open one shows all."""
+    options, todo = [], [select]
     while todo:
         item = todo.pop()
-        for child in reversed(item.children):
-            if isinstance(child, Node) and not child.hidden and child.tag in ("tr", "tbody", "thead", "tfoot", "form"):
-                todo.append(child)
-        if item.tag == "tr":
-            yield [c for c in item.children if isinstance(c, Node) and not c.hidden and c.tag in ("td", "th")]
+        if item.tag == "option":
+            options.append(item)
+        else:
+            todo += [c for c in reversed(item.children) if isinstance(c, Node) and not c.hidden]
+    shown = []
+    if "multiple" not in select.marks and select.marks.get("size", "1").strip() in ("", "0", "1"):
+        picked = [x for x in options if "selected" in x.marks]
+        options = picked[-1:] or [x for x in options if "disabled" not in x.marks][:1]
+    for option in options:
+        text = Node("span")
+        text.children = [" ", *([option.marks["label"]] if option.marks.get("label") else option.children), " "]
+        shown.append(text)
+    return shown
+
+
+def _parts(table: Node) -> tuple[list[list[Node]], list]:
+    """The visible rows of a table, not those of tables inside its cells, and what else stands in it.
+
+    Cells outside a row make up one of their own; what may not stand between cells goes before the table.
+    """
+    rows: list[list[Node]] = []
+    loose: list = []
+    implied = None
+    todo = [(c, False) for c in reversed(table.children)]
+    while todo:
+        child, in_row = todo.pop()
+        if isinstance(child, str):
+            loose.append(child)
+        elif child.hidden or child.tag in ("colgroup", "col"):
+            continue
+        elif child.tag in ("td", "th"):
+            if not in_row and implied is None:
+                rows.append(implied := [])
+            rows[-1].append(child)
+        elif child.tag in ("tr", "tbody", "thead", "tfoot", "form"):
+            implied = None
+            if child.tag == "tr":
+                rows.append([])
+            todo += [(c, in_row or child.tag == "tr") for c in reversed(child.children)]
+        else:
+            loose.append(child)
+    return rows, loose
 
 
 def _table_lines(page: Page, item: Node, indent: str) -> None:
     """A table of short cells has its columns aligned; one with blocks in its cells is read cell by cell."""
+    rows, others = _parts(item)
     loose = Node("div")
-    loose.children = [c for c in item.children if not (isinstance(c, Node) and c.tag in ("tr", "tbody", "thead", "tfoot", "colgroup", "col"))]
+    loose.children = others
     before = [x for x in render(loose) if x.strip()]
-    grid = [[render(_inside(cell)) for cell in row] for row in _rows(item)]
+    grid = [[render(_inside(cell)) for cell in row] for row in rows]
     out = list(before)
     if grid and all(len(lines) <= 1 for row in grid for lines in row):
         cells = [[lines[0].strip() if lines else "" for lines in row] for row in grid]
@@ -275,8 +365,8 @@ def visible_text(page: str | None) -> str | None:
 def extracted(pages: DataFrame) -> DataFrame:
     """``page_id, text, n_chars`` of every row of ``pages (page_id, html)``.
 
-    Left out: comments, what is in the head, scripts, styles, forms' choices and buttons, embedded media, and elements hidden by an
-    attribute, by their style, or by a simple rule of a style sheet in the page. Unclosed and stray tags follow the
+    Left out: comments, what is in the head, scripts, styles, choices not selected, closed dialogs, embedded media, and elements
+    hidden by an attribute, by their style, or by a simple rule for screens of a style sheet in the page. Unclosed and stray tags follow the
     standard's implied tags; plain text without tags is itself. Null pages give a null text and null length, empty ones an empty text. Rows that
     repeat come back as often. No rows: no rows.
     """
