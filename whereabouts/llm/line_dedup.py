@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -166,6 +167,7 @@ def repeated_runs(docs: DataFrame, gram: int = GRAM_WORDS, window: int = WINDOW_
 
     def compare(batches):
         for batch in batches:
+            rows = []
             for doc_id, key, hashes, words, at in zip(*[batch[c] for c in ("doc_id", "key", "hashes", "words", "at")]):
                 hashes, words = np.frombuffer(hashes, np.uint64), np.frombuffer(words, np.uint8)
                 lines, words = np.cumsum(words >> 7), (words & 127).astype(np.int64)
@@ -177,7 +179,10 @@ def repeated_runs(docs: DataFrame, gram: int = GRAM_WORDS, window: int = WINDOW_
                 near[near] = last[which[near]] <= ends[near]
                 starts, found = starts[near], found[near]
                 later = first_lines(found, starts, lines)
-                yield pd.DataFrame({"run": found.view(np.int64), "again": later}).groupby("run", as_index=False).max().assign(doc_id=doc_id, key=key)[["doc_id", "key", "run", "again"]]
+                run, which = np.unique(found.view(np.int64), return_inverse=True)
+                again = np.bincount(which[later], minlength=len(run)) > 0
+                rows += zip(repeat(doc_id), repeat(key), run.tolist(), again.tolist())
+            yield pd.DataFrame(rows, columns=["doc_id", "key", "run", "again"])
 
     ready(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
