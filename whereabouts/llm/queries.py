@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann, fingerprint, html_text, language_id, line_dedup, packing, pieces, quality, simhash, toxicity
+from . import ann, divergence, fingerprint, html_text, id_store, language_id, line_dedup, negatives, packing, pieces, quality, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,8 +58,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings").withColumn("label", F.expr("IF(vec_id % 7 = 0, (label + 1) % 10, label)"))
+    return negatives.hard_negatives(rows.select("vec_id", "label", F.col("embedding").alias("vector")))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_read(spark, sf_dir, "documents"))
+
+
+def op13_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return id_store.round_trip(_read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_nearest, op3_line_dedup, op4_simhash, op5_language, op6_quality, op7_fingerprint, op8_html_text, op9_pieces, op10_toxicity)
-}
-ORACLES: dict[str, str] = {}
+    for f in (
+        op1_packing, op2_nearest, op3_line_dedup, op4_simhash, op5_language, op6_quality, op7_fingerprint, op8_html_text, op9_pieces, op10_toxicity,
+        op11_negatives, op12_divergence, op13_id_store,
+    )
+}
+ORACLES: dict[str, str] = {"op11_negatives": negatives.ORACLE, "op12_divergence": divergence.ORACLE}
