@@ -31,7 +31,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end: int = END, part_b
     ``place`` the document's in the file, ``offset`` the number of ids before it there. The ids are integers in run-length
     encoding; stripes hold about ``stripe`` bytes; a row index and a Bloom filter on doc_id stand for every thousand rows.
 
-    Files are ranges of (doc_id, hash of the text, row), so rows that share an id are parted too. Texts are shuffled
+    Files are ranges of (doc_id, row of the input), so rows that share an id are parted too. Texts are shuffled
     once; ranges are sampled from the ids alone. Null text is empty; null ids come last; repeated rows are written each.
     """
     spark = docs.sparkSession
@@ -39,8 +39,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end: int = END, part_b
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, min(MOST_PARTS, math.ceil(size / part_bytes)))
-    order = [F.col("doc_id").asc_nulls_last(), F.col("key"), F.col("row")]
-    rows = rows.withColumns({"key": F.xxhash64("text"), "row": F.monotonically_increasing_id()}).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    order = [F.col("doc_id").asc_nulls_last(), F.col("row")]
+    rows = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     last = np.array([end], dtype="<u4").tobytes()
 
     def run(batches):
@@ -76,6 +76,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end: int = END, part_b
 
     options = {
         "orc.stripe.size": stripe, "orc.create.index": "true", "orc.row.index.stride": STRIDE, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": 0.01,
+        "orc.rows.between.memory.checks": 256,
     }
     rows.select("doc_id", "text").mapInArrow(run, SCHEMA).write.options(**options).orc(path)
 

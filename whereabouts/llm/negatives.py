@@ -18,6 +18,7 @@ BLOCK = 128  # anchors of one label that are bounded together
 LANE = 65_536  # rows that one task holds
 FILE = 8192  # anchors that one task holds
 MOST = 1 << 62
+HUGE = 2.0**500
 SLACK = 1e-9  # of an angle and of a product of norms: far above what rounding can do to either
 
 ROW = "vec_id long, label long, tag long, d int, cell int, near double, norm double, angles binary, x binary"
@@ -50,25 +51,21 @@ def quantized(x: np.ndarray, scale: int) -> np.ndarray:
     return np.array([[int(v) * scale if abs(v) >= 2**60 else math.floor(scale * v) for v in row] for row in x.tolist()], dtype=object)
 
 
-def norms_of(q: np.ndarray) -> np.ndarray:
-    top = np.abs(q).max(axis=1, initial=0)
-    top = np.array([min(float(min(v, 1 << 1023)), 1e307) for v in top.tolist()]) if q.dtype == object else top
-    rest = np.array((q / np.where(top > 0, top, 1)[:, None]), dtype=float)
-    return top * np.sqrt((rest * rest).sum(axis=1))
-
-
-def angles_of(q: np.ndarray, norms: np.ndarray, refs: np.ndarray) -> np.ndarray:
-    """The angle of each row with each direction, by the half-angle form, which is exact at both ends."""
-    n, d = q.shape
-    unit = np.array(q / np.where(norms > 0, norms, 1)[:, None], dtype=float)
-    wide = np.zeros((n, max(d, refs.shape[1])))
-    wide[:, :d] = unit
-    out = np.empty((n, len(refs)))
+def measures(x: np.ndarray, refs: np.ndarray, scale: int) -> tuple[np.ndarray, np.ndarray]:
+    """The norm of each quantized row, infinite for huge ones, which thereby have no bounds, and its angle with each direction,
+    by the half-angle form, which is exact at both ends."""
+    tops = np.abs(x).max(axis=1, initial=0)
+    huge = (tops >= HUGE)[:, None]
+    q = np.where(huge, x / np.maximum(tops, 1e-300)[:, None], np.floor(scale * np.where(huge, 0, x)))
+    norms = np.sqrt((q * q).sum(axis=1))
+    unit = np.zeros((len(q), max(q.shape[1], refs.shape[1])))
+    unit[:, : q.shape[1]] = q / np.where(norms > 0, norms, 1)[:, None]
+    angles = np.empty((len(q), len(refs)))
     for at, ref in enumerate(refs):
-        r = np.zeros(wide.shape[1])
+        r = np.zeros(unit.shape[1])
         r[: len(ref)] = ref
-        out[:, at] = 2 * np.arctan2(np.linalg.norm(wide - r, axis=1), np.linalg.norm(wide + r, axis=1))
-    return out
+        angles[:, at] = 2 * np.arctan2(np.linalg.norm(unit - r, axis=1), np.linalg.norm(unit + r, axis=1))
+    return np.where(huge[:, 0], np.inf, norms), angles
 
 
 def cosine_gap(a_low, a_high, b_low, b_high) -> tuple[np.ndarray, np.ndarray]:
@@ -92,24 +89,24 @@ def scored(a: np.ndarray, a_norm: float, x: np.ndarray, x_norm: float) -> np.nda
     """Exact integer inner products, beyond 2**62 cut to it; where lengths differ, missing components count as zero."""
     common = min(a.shape[1], x.shape[1])
     a, x = a[:, :common], x[:, :common]
-    if a.dtype != object and x.dtype != object and a_norm * x_norm < 2.0**52:
+    if a_norm * x_norm < 2.0**52:
         return (a @ x.T).astype(np.int64)  # no partial sum leaves what a double holds exactly
+    if a_norm * x_norm < 2.0**62:
+        return a.astype(np.int64) @ x.astype(np.int64).T
     exact = [[sum(int(p) * int(q) for p, q in zip(left, right)) for right in x.tolist()] for left in a.tolist()]
     return np.array([[max(-MOST, min(MOST, v)) for v in row] for row in exact], dtype=np.int64).reshape(len(a), len(x))
 
 
 def measured(rows: DataFrame, refs: np.ndarray, scale: int) -> DataFrame:
-    """Each row with its norm and its angles to the directions; ``cell`` is the nearest direction."""
+    """Each row with its norm and its angles to the directions; ``cell`` is the nearest direction, -1 for a huge row."""
 
     def run(batches):
         for batch in batches:
             out = []
             for size, same in batch.groupby(batch["x"].map(len), sort=False):
                 x = np.stack([np.asarray(v, float) for v in same["x"]]) if size else np.zeros((len(same), 0))
-                q = quantized(x, scale)
-                norms = norms_of(q)
-                angles = angles_of(q, norms, refs)
-                cell = angles.argmin(axis=1) if len(refs) else np.zeros(len(x), int)
+                norms, angles = measures(x, refs, scale)
+                cell = np.where(np.isinf(norms), -1, angles.argmin(axis=1) if len(refs) else 0)
                 near = angles.min(axis=1, initial=np.pi)
                 out += zip(same["vec_id"], same["label"], same["tag"], [size] * len(x), cell, near, norms, map(bytes, angles), map(bytes, x))
             yield pd.DataFrame(out, columns=["vec_id", "label", "tag", "d", "cell", "near", "norm", "angles", "x"])
@@ -142,7 +139,7 @@ def packed(rows: DataFrame, parts: int, size: int) -> DataFrame:
                 if last == (row[4], row[5]):
                     continue
                 last = (row[4], row[5])
-                if held and (row[:2] != held[0][:2] or len(held) >= size or len(held) * row[1] >= 1 << 20):
+                if held and (row[:2] != held[0][:2] or min(row[2], 0) != min(held[0][2], 0) or len(held) >= size or len(held) * row[1] >= 1 << 20):
                     out.append(pack())
                     number, held = number + 1, []
                 held.append(row)
