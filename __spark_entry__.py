@@ -17,6 +17,7 @@ from whereabouts.functions import names as N  # noqa: E402
 from whereabouts.functions import text as T  # noqa: E402
 from whereabouts.operators import language as L  # noqa: E402
 from whereabouts.operators import lookup as Q  # noqa: E402
+from whereabouts.operators import recursion as RC  # noqa: E402
 from whereabouts.operators import references as R  # noqa: E402
 from whereabouts.operators import structure as S  # noqa: E402
 from whereabouts.operators.excerpt import excerpts  # noqa: E402
@@ -24,6 +25,7 @@ from whereabouts.operators.ranges import last_range_end, union_ranges  # noqa: E
 from whereabouts.plans import extraction as E  # noqa: E402
 from whereabouts.plans.index import lookup  # noqa: E402
 from whereabouts.rules import layers  # noqa: E402
+from whereabouts.session import cut  # noqa: E402
 from whereabouts.sources.corpus import quarantine, status_of  # noqa: E402
 from whereabouts.sources.notebooks import as_markdown  # noqa: E402
 
@@ -294,10 +296,49 @@ def calls_by_definition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def single_callee_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("term_id"), F.concat(F.lit("order_"), F.col("o_orderkey").cast("string")).alias("name"))
-    chains = R.single_callee_chains(_edges(spark, sf_dir), starts)
+    chains = RC.single_callee_chains(_edges(spark, sf_dir), starts)
     return chains.select("term_id", F.col("step").cast("bigint").alias("step"), "name")
 
 
+def recursive_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by name; orders with their one part as a pattern, in any case too; customers in another style. Each goes on
+    with what it alone calls."""
+    orders = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("k"))
+    single = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("k")).agg(F.min("l_partkey").alias("p"), F.max("l_partkey").alias("q")).where("p = q")
+    customers = _read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("k"))
+    kinds = [
+        (orders, "o:", "concat('order_', k)", False, False),
+        (single, "p:", "concat('order_', k, '|part_', CAST(p AS string))", False, False),
+        (single, "i:", "concat('(ORDER_', k, '|Part_', CAST(p AS string), ')')", True, False),
+        (customers, "c:", "concat('CUSTOMER-', k)", False, True),
+    ]
+    asked = lambda rows, mark, pattern, case, style: rows.select(
+        F.concat(F.lit(mark), "k").alias("term_id"), F.expr(pattern).alias("pattern"), F.lit(case).alias("ignore_case"), F.lit(style).alias("case_style")
+    )
+    terms = asked(*kinds[0])
+    for kind in kinds[1:]:
+        terms = terms.unionByName(asked(*kind))
+    found = cut(_py(spark, sf_dir, references=True))
+    index = Q.named(found.where(~F.col("kind").isin("call", "import", "dotted"))).select("name", "file_id", "ranges")
+    hits = RC.recursive_lookup(index, RC.call_edges(R.calls_by_definition(found)), terms)
+    return hits.select("term_id", F.col("round").cast("bigint").alias("round"), "file_id", F.col("start_line").cast("bigint").alias("start_line"), F.col("end_line").cast("bigint").alias("end_line"))
+
+
+def pattern_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern of its own per part and per order, and some that do not compile or have no literal, against all names."""
+    part, orders = _read(spark, sf_dir, "part"), _read(spark, sf_dir, "orders")
+    key = F.col("o_orderkey").cast("string")
+    terms = part.select(F.concat(F.lit("pa?r[st]{1}_0*"), F.col("p_partkey").cast("string"), F.lit("|unit_(?:x|"), F.col("p_size").cast("string"), F.lit(")")).alias("pattern"), F.lit(False).alias("ignore_case"))
+    terms = terms.unionByName(orders.select(F.concat(F.lit("ORDER_"), key, F.lit("[05]?")).alias("pattern"), F.lit(True).alias("ignore_case")))
+    terms = terms.unionByName(part.select(F.concat(F.lit("ba["), F.col("p_size").cast("string")).alias("pattern"), F.lit(False).alias("ignore_case")).distinct())
+    terms = terms.unionByName(part.select(F.concat(F.lit(".*_"), (F.col("p_size") % 10).cast("string"), F.lit("9")).alias("pattern"), F.lit(False).alias("ignore_case")).distinct())
+    ready = Q.prepared_terms(terms.withColumn("case_style", F.lit(False)).withColumn("term_id", F.col("pattern")))
+    names = part.select(F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("name"))
+    names = names.unionByName(part.select(F.concat(F.lit("unit_"), F.col("p_size").cast("string")).alias("name"))).unionByName(orders.select(F.concat(F.lit("order_"), key).alias("name")))
+    found = Q.matching_names(names.distinct(), ready).select("term_id", "name", F.lit("ok").alias("status"))
+    return found.unionByName(ready.where("status <> 'ok'").select("term_id", F.lit(None).cast("string").alias("name"), "status"))
+
+
 def import_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.imports(_py(spark, sf_dir, references=True)).groupBy("language", "origin", "name").agg(F.count("*").alias("n_files"))
 
@@ -349,7 +390,7 @@ QUERIES = [
     case_style_terms, case_style_rejects, only_names, complete_prefix, language_by_extension, language_candidates, alias_lookup,
     skip_status, html_headings, html_fragments, fragment_definitions, json_keys, markdown_sections, front_matter_keys,
     fenced_blocks, fence_context, nested_fragments, unclosed_headings, notebook_markdown, indent_blocks, logical_lines, definition_index, lookup_term, lookup_batch,
-    attached_context, ancestor_headers, calls_by_definition, single_callee_chain, import_pairs, import_ranking, rule_override,
+    attached_context, ancestor_headers, calls_by_definition, single_callee_chain, recursive_lookup, pattern_batch, import_pairs, import_ranking, rule_override,
     rule_extends,
 ]
 

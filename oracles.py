@@ -34,6 +34,15 @@ CALLED = "(SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)"
 STYLES = """w AS (SELECT DISTINCT lower(concat_ws(' ', p_name, p_type)) AS w FROM part),
   s AS (SELECT w, unnest([replace(w, ' ', '_'), replace(w, ' ', '-'),
     list_aggregate(list_transform(string_split(w, ' '), lambda x: concat(upper(left(x, 1)), substr(x, 2))), 'string_agg', '')]) AS name FROM w)"""
+# where each order, part, unit and customer of the Python corpus stands, and which orders call one part
+PLACES = f"""{PY_LINES}, od AS (
+    SELECT path, k, line_no - 2 AS a, line_no + 1 + greatest(1, (SELECT count(DISTINCT l_partkey) FROM lineitem WHERE l_orderkey = k)) AS b FROM (
+      SELECT path, line_no, CAST(regexp_extract(text, 'def order_([0-9]+)', 1) AS BIGINT) AS k FROM pl WHERE starts_with(text, '    def order_'))),
+  pr AS (SELECT p_partkey AS p, p_size, {BRAND_PATH} AS path, 3 * (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) AS a FROM part),
+  ur AS (SELECT p_size, 3 * (row_number() OVER (ORDER BY p_size) - 1) AS a FROM (SELECT DISTINCT p_size FROM part)),
+  cr AS (SELECT path, CAST(regexp_extract(path, 'customer_([0-9]+)', 1) AS BIGINT) AS c, max(line_no) + 1 AS b FROM pl WHERE starts_with(path, 'src/nation_') GROUP BY path),
+  co AS (SELECT o_custkey AS c, min(l_partkey) AS p FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey HAVING min(l_partkey) = max(l_partkey)),
+  oo AS (SELECT l_orderkey AS k, min(l_partkey) AS p FROM lineitem GROUP BY l_orderkey HAVING min(l_partkey) = max(l_partkey))"""
 ENTITY = "&(?:#(?:[xX][0-9a-fA-F]+|[0-9]+)|[A-Za-z][A-Za-z0-9]*);?"
 
 ORACLES: dict[str, str] = {
@@ -155,6 +164,28 @@ ORACLES: dict[str, str] = {
           SELECT o_orderkey AS term_id, CAST(0 AS BIGINT) AS step, concat('order_', o_orderkey) AS name FROM orders
           UNION ALL SELECT o_orderkey, 1, concat('part_', p) FROM c
           UNION ALL SELECT o_orderkey, 2, concat('unit_', p_size) FROM c JOIN part ON p_partkey = p""",
+    "recursive_lookup": f"""WITH {PLACES},
+          shown AS (SELECT 'order' AS kind, k, path, a, b FROM od UNION ALL SELECT 'order', k, path, 3, 4 FROM od
+            UNION ALL SELECT 'part', p, path, a, a + 2 FROM pr UNION ALL SELECT 'unit', p_size, 'src/parts/units.py', a, a + 2 FROM ur
+            UNION ALL SELECT 'customer', c, path, 2, b FROM cr),
+          asked AS (SELECT concat('o:', k) AS term_id, 1 AS round, 'order' AS kind, k FROM od
+            UNION ALL SELECT concat('o:', k), 2, 'part', p FROM oo JOIN od USING (k)
+            UNION ALL SELECT concat('o:', k), 3, 'unit', p_size FROM oo JOIN od USING (k) JOIN part ON p_partkey = p
+            UNION ALL SELECT concat(m, k), 1, 'order', k FROM oo CROSS JOIN (VALUES ('p:'), ('i:')) v(m)
+            UNION ALL SELECT concat(m, k), 1, 'part', p FROM oo CROSS JOIN (VALUES ('p:'), ('i:')) v(m)
+            UNION ALL SELECT concat(m, k), 2, 'unit', p_size FROM oo JOIN part ON p_partkey = p CROSS JOIN (VALUES ('p:'), ('i:')) v(m)
+            UNION ALL SELECT concat('c:', c), 1, 'customer', c FROM cr
+            UNION ALL SELECT concat('c:', c), 2, 'part', p FROM co JOIN cr USING (c)
+            UNION ALL SELECT concat('c:', c), 3, 'unit', p_size FROM co JOIN cr USING (c) JOIN part ON p_partkey = p)
+          SELECT term_id, CAST(round AS BIGINT) AS round, path AS file_id, CAST(a AS BIGINT) AS start_line, CAST(b AS BIGINT) AS end_line
+          FROM asked JOIN shown USING (kind, k)""",
+    "pattern_batch": """WITH names AS (SELECT concat('part_', p_partkey) AS name FROM part UNION SELECT concat('unit_', p_size) FROM part UNION SELECT concat('order_', o_orderkey) FROM orders)
+          SELECT term_id, unnest([concat('part_', p_partkey), concat('unit_', p_size)]) AS name, 'ok' AS status
+            FROM (SELECT *, concat('pa?r[st]{1}_0*', p_partkey, '|unit_(?:x|', p_size, ')') AS term_id FROM part)
+          UNION ALL SELECT concat('ORDER_', a.o_orderkey, '[05]?'), concat('order_', b.o_orderkey), 'ok' FROM orders a JOIN orders b
+            ON concat('', b.o_orderkey) IN (concat('', a.o_orderkey), concat(a.o_orderkey, '0'), concat(a.o_orderkey, '5'))
+          UNION ALL SELECT DISTINCT concat('ba[', p_size), NULL, 'bad_pattern' FROM part
+          UNION ALL SELECT t, name, 'ok' FROM (SELECT DISTINCT p_size % 10 AS d, concat('.*_', p_size % 10, '9') AS t FROM part) JOIN names ON regexp_matches(name, concat('^.*_', d, '9$'))""",
     "import_pairs": """SELECT 'Python' AS language, 'src.parts' AS origin, 'brands as brand_mod' AS name, count(*) AS n_files
           FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)""",
     "import_ranking": f"""SELECT DISTINCT concat('other.parts.', lower(replace(p_brand, '#', '_'))) AS origin, {BRAND_PATH} AS path, CAST(2 AS BIGINT) AS score FROM part""",

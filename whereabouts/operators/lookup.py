@@ -7,16 +7,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from ..functions import names as N
 from ..functions import text as T
-from ..functions.sql import literal
 from .ranges import union_ranges
 
-CHUNK = 200  # patterns in one array of tests; any number of arrays follow each other
-
-
 def has_row_matching(content: Column, pattern: str, ignore_case: bool = False) -> Column:
     """Candidate test: the pattern, not anchored, inside one row of the raw text.
 
@@ -38,30 +34,80 @@ def name_test(pattern: str, ignore_case: bool = False) -> Callable[[Column], Col
     return lambda names: F.exists(names, lambda x: x.rlike(whole))
 
 
+# Marks for what a pattern does not spell out, and for what this reader does not follow.
+GAP, LOST = "\ue200", "\ue201"
+GRAM = 3
+# ASCII in one case, and the other letters that a pattern without regard to case takes for ASCII ones.
+CASED, FOLDED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ\u0130\u0131\u017f\u212a", "abcdefghijklmnopqrstuvwxyziisk"
+NESTING = 6  # levels of groups that are looked through
+LANES = 64  # shares of the names that a pattern without literals is tried on
+
+
+def is_valid(pattern: Column) -> Column:
+    """Whether a pattern compiles."""
+    return F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), pattern).isNotNull()
+
+
+def required_literals(pattern: Column, ignore_case: Column) -> Column:
+    """Texts of ``GRAM`` characters or more, folded, of which every match holds one; NULL where no such set is seen.
+
+    The pattern is read from the outside: classes, escapes, groups and what may be missing leave a gap, and of every
+    alternative the longest text between gaps counts. Anything unusual (flags, quoting, look-around, classes in classes) is not read.
+    """
+    times = r"(?:[?*+]|\{[^}]*\})*"
+    known = pattern
+    for found, put in (
+        (rf"\\[dDwWsSbBzZA]{times}", GAP),
+        (r"(?s)\\[A-Za-z0-9].*", LOST),
+        (r"(?s)\\.", GAP),
+        (rf"\[\^?\]?[^\[\]&]*\]{times}", GAP),
+        (r"\(\?:", "("),
+        (r"(?s)\(\?.*", LOST),
+        *[(rf"\([^()]*\){times}", GAP)] * NESTING,
+    ):
+        known = F.regexp_replace(known, found, put)
+    known = F.regexp_replace(known, r"[^\\()\[\]](?:[?*][?+]?|\{[^}]*\}[?+]?)", GAP)
+    known = F.regexp_replace(known, r"[+.^$]", GAP)
+    unread = known.rlike(rf"[{LOST}()\[\]{{}}\\?*&]")
+    folded = F.when(ignore_case, F.regexp_replace(F.translate(known, CASED, FOLDED), r"[^\x00-\x7F|]", GAP)).otherwise(F.translate(known, CASED, FOLDED))
+    texts = F.transform(
+        F.split(folded, r"\|", -1),
+        lambda one: F.aggregate(F.split(one, GAP, -1), F.lit(""), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best)),
+    )
+    return F.when(~unread & ~F.exists(texts, lambda x: F.length(x) < GRAM), F.array_distinct(texts))
+
+
+def _grams(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - GRAM + 1), lambda i: F.substring(text, i, F.lit(GRAM))))
+
+
 def prepared_terms(terms: DataFrame) -> DataFrame:
-    """Patterns ready for use, and how each is looked up.
+    """Patterns ready for use, how each is looked up, and why not: ``not_recaseable``, ``bad_pattern`` or ``no_pattern``.
 
     ``terms`` has ``term_id, pattern, ignore_case, case_style``. Plain words go by equality,
     words in any case or style by an equal folded key with the pattern as the last test, and
-    only true patterns are tried on names one by one.
+    true patterns by a literal that they require (see ``matching_names``).
     """
-    styled = F.col("case_style")
-    cased = F.col("ignore_case") | styled
+    styled = F.coalesce("case_style", F.lit(False))
+    cased = F.coalesce("ignore_case", F.lit(False)) | styled
     bad = F.when(styled, N.bad_case_style_at(F.col("pattern")))
     pattern = F.when(styled, N.case_style_pattern(F.col("pattern"))).otherwise(F.col("pattern"))
     word = F.col("pattern").rlike(r"^[A-Za-z0-9_-]+\z")
-    how = (
-        F.when(bad.isNotNull(), "none").when(styled, "folded").when(word & cased, "folded").when(word, "equal").otherwise("pattern")
-    )
-    return terms.select(
+    how = F.when(styled, "folded").when(word & cased, "folded").when(word, "equal").otherwise("pattern")
+    status = F.when(F.col("pattern").isNull(), "no_pattern").when(bad.isNotNull(), "not_recaseable")
+    status = status.when((how == "pattern") & ~is_valid(F.col("pattern")), "bad_pattern").otherwise("ok")
+    ready = terms.withColumns({"_status": status, "_cased": cased, "_pattern": pattern, "_how": how, "_bad": bad})
+    ok = F.col("_status") == "ok"
+    return ready.select(
         "term_id",
         F.col("pattern").alias("asked"),
-        pattern.alias("pattern"),
-        N.whole_pattern(pattern, cased).alias("full_pattern"),
+        F.col("_pattern").alias("pattern"),
+        F.when(ok, N.whole_pattern(F.col("_pattern"), F.col("_cased"))).alias("full_pattern"),
         N.squeezed(F.col("pattern")).alias("folded"),
-        how.alias("how"),
-        F.when(bad.isNotNull(), "not_recaseable").otherwise("ok").alias("status"),
-        bad.alias("bad_at"),
+        F.when(ok, F.col("_how")).otherwise("none").alias("how"),
+        F.col("_cased").alias("cased"),
+        F.col("_status").alias("status"),
+        F.col("_bad").alias("bad_at"),
     )
 
 
@@ -75,18 +121,32 @@ def matching_names(names: DataFrame, terms: DataFrame) -> DataFrame:
         .where(F.expr("name RLIKE full_pattern"))
         .select("term_id", "name")
     )
-    patterns = ready.where("how = 'pattern'").select("term_id", "full_pattern")
-    found = equal.unionByName(folded)
-    asked = patterns.collect()  # what a user typed: settings of the plan, like rules
-    if not asked:
-        return found
-    # Constants of the plan: each pattern is compiled once per task, not once per name. Ids keep their type, null too.
-    tests = [f"IF(name RLIKE {literal(r.full_pattern)}, {i}, NULL)" for i, r in enumerate(asked)]
-    parts = ", ".join(f"array_compact(array({', '.join(tests[i : i + CHUNK])}))" for i in range(0, len(tests), CHUNK))
-    hit = names.select("name", F.explode(F.expr(f"flatten(array({parts}))")).alias("_at"))
-    schema = StructType([StructField("_at", IntegerType()), patterns.schema["term_id"]])
-    ids = names.sparkSession.createDataFrame([(i, r.term_id) for i, r in enumerate(asked)], schema)
-    return found.unionByName(hit.join(ids, "_at").select("term_id", "name"))
+    return equal.unionByName(folded).unionByName(_by_pattern(names.select("name"), ready.where("how = 'pattern'").select("term_id", "pattern", "full_pattern", "cased")))
+
+
+def _by_pattern(names: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``(term_id, name)`` of true patterns: names are indexed by their runs of ``GRAM`` characters, and of each literal that
+    a pattern requires the rarest run leads to the names that are tried. Equal patterns are tried once.
+
+    A pattern of which no literal is seen has to be tried on every name; the names are dealt over lanes for that.
+    """
+    if patterns.isEmpty():
+        return names.sparkSession.createDataFrame([], StructType([patterns.schema["term_id"], names.schema["name"]]))
+    tried = patterns.select("pattern", "full_pattern", "cased").distinct().withColumn("literals", required_literals(F.col("pattern"), F.col("cased")))
+    wanted = tried.where("literals IS NOT NULL").select("full_pattern", F.explode("literals").alias("literal"))
+    wanted = wanted.distinct().select("full_pattern", "literal", F.explode(_grams(F.col("literal"))).alias("gram"))
+    key = F.translate("name", CASED, FOLDED)
+    grams = names.where(F.length("name") >= GRAM).select("name", F.explode(_grams(key)).alias("gram"))
+    grams = grams.join(wanted.select("gram").distinct(), "gram", "left_semi")
+    held = grams.groupBy("gram").agg(F.count("*").alias("held"))
+    # a run that no name has: no match
+    rare = wanted.join(held, "gram", "left").groupBy("full_pattern", "literal").agg(F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "gram")).alias("r"))
+    rare = rare.where("r.held > 0").select("full_pattern", F.col("r.gram").alias("gram")).distinct()
+    met = grams.join(rare, "gram").where(F.expr("name RLIKE full_pattern")).select("full_pattern", "name").distinct()
+    free = tried.where("literals IS NULL").select("full_pattern", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))).alias("lane")).distinct()
+    dealt = names.withColumn("lane", F.pmod(F.xxhash64("name"), F.lit(LANES)).cast("int"))
+    found = met.unionByName(dealt.join(free, "lane").where(F.expr("name RLIKE full_pattern")).select("full_pattern", "name"))
+    return found.join(patterns.select("term_id", "full_pattern"), "full_pattern").select("term_id", "name")
 
 
 def named(definitions: DataFrame) -> DataFrame:
@@ -113,8 +173,3 @@ def complete(names: DataFrame, prefix: str, suffix: str = "") -> DataFrame:
     name = F.lower("name")
     long_enough = F.length("name") >= len(prefix) + len(suffix)
     return names.where(name.startswith(prefix.lower()) & name.endswith(suffix.lower()) & long_enough).select("name").distinct()
-
-
-def scope_of_round(files: DataFrame, round_no: int, has_input: bool) -> DataFrame:
-    """Round one of a search with in-memory input sees only that input; later rounds see all."""
-    return files.where(F.col("path").isNull()) if has_input and round_no == 1 else files
