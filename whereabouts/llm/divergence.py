@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from .common import ready, saved
 
 UNIT = 1_000_000_000
-HELD = 400_000  # entries that a task counts before it hands them on
+HELD = 400_000  # entries that a task counts, or rows that it gathers, before it hands them on or drops some
 PIECE = 1 << 20  # bytes of text that are cut into terms at a time
-BAND = 8192  # rows of a group that a task gathers before it drops the dominated ones
 SALTS = 16
 PAIRS = 1 << 21  # pairs of sources that numpy works on at a time
 # A term is a run of ASCII letters and of bytes from 128 on; A-Z become a-z, all else parts terms.
@@ -154,22 +153,25 @@ def _turns(rows: pd.DataFrame) -> np.ndarray:
     return np.concatenate(([True], (lang[1:] != lang[:-1]) | (term[1:] != term[:-1])))
 
 
-def skyband(count: np.ndarray, whole: np.ndarray, terms: list[bytes], k: int) -> np.ndarray:
-    """Numbers of the rows that fewer than ``k`` others dominate.
+def skyband(count: np.ndarray, whole: np.ndarray, k: int) -> np.ndarray:
+    """Numbers of the rows that fewer than ``k`` others dominate; rows come in the order of their terms.
 
     One row dominates another with a count as high or higher, a count in the language as low or lower, and an earlier term.
-    In order of falling counts every dominator comes first, and dominance carries over, so the rows kept so far decide.
+    Of rows with equal counts only the first ``k`` are left, all at once. In order of falling counts every dominator of the rest
+    comes first, and dominance carries over, so the rows kept so far decide.
     """
-    place = np.empty(len(terms), np.int64)
-    place[sorted(range(len(terms)), key=terms.__getitem__)] = np.arange(len(terms))
-    kept = np.empty(len(terms), np.int64)
-    low, early = np.empty(len(terms), np.int64), np.empty(len(terms), np.int64)
+    order = np.lexsort((whole, -count))
+    turns = np.flatnonzero(np.concatenate(([True], (np.diff(count[order]) != 0) | (np.diff(whole[order]) != 0)))[: len(order)])
+    within = np.arange(len(order)) - np.repeat(turns, np.diff(np.append(turns, len(order))))
+    order = order[within < k]
+    kept = np.empty(len(order), np.int64)
+    low = np.empty(len(order), np.int64)
     n = 0
-    for row in np.lexsort((place, whole, -count)).tolist():
-        if n < k or np.count_nonzero((low[:n] <= whole[row]) & (early[:n] < place[row])) < k:
-            kept[n], low[n], early[n] = row, whole[row], place[row]
+    for row, own in zip(order.tolist(), whole[order].tolist()):
+        if n < k or np.count_nonzero((low[:n] <= own) & (kept[:n] < row)) < k:
+            kept[n], low[n] = row, own
             n += 1
-    return kept[:n]
+    return np.sort(kept[:n])
 
 
 def skybands(rows: DataFrame, k: int) -> DataFrame:
@@ -178,39 +180,27 @@ def skybands(rows: DataFrame, k: int) -> DataFrame:
     kinds = "lang string, source string, term binary, c long, lc long, p long, q long"
 
     def run(batches):
-        held: dict[tuple[str, str], list[tuple]] = {}
-        limits: dict[tuple[str, str], int] = {}
-        size = 0
-
-        def drop(key) -> None:
-            rows = held[key]
-            band = skyband(np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), [r[0] for r in rows], k)
-            held[key] = [rows[i] for i in band.tolist()]
-            limits[key] = max(BAND, 2 * len(band))
-
-        def emit() -> pd.DataFrame:
-            for key in held:
-                drop(key)
-            return pd.DataFrame([(*key, *r) for key, rows in held.items() for r in rows], columns=names)
-
+        def reduced(parts: list[pd.DataFrame]) -> pd.DataFrame:
+            rows = pd.concat(parts, ignore_index=True)
+            count, whole = rows["c"].to_numpy(np.int64), rows["lc"].to_numpy(np.int64)
+            found = [own[skyband(count[own], whole[own], k)] for own in rows.groupby(["lang", "source"], sort=False).indices.values()]
+            return rows.iloc[np.sort(np.concatenate(found))] if found else rows
+
+        held: list[pd.DataFrame] = []
+        size = left = 0
         for batch in batches:
-            for lang, source, *row in batch.itertuples(index=False, name=None):
-                key = lang, source
-                own = held.setdefault(key, [])
-                own.append(tuple(row))
-                size += 1
-                if len(own) > limits.get(key, BAND):
-                    size -= len(own)
-                    drop(key)
-                    size += len(held[key])
-            if size > HELD:
-                yield emit()
-                held.clear()
-                limits.clear()
-                size = 0
-        yield emit()
-
-    return rows.select(*names).mapInPandas(run, kinds)
+            held.append(batch)
+            size += len(batch)
+            if size - left >= HELD:
+                held = [reduced(held)]
+                size = left = len(held[0])
+                if left >= HELD:  # very many groups: no more is kept of what came so far
+                    yield held.pop()
+                    size = left = 0
+        if held:
+            yield reduced(held)
+
+    return rows.select(*names).sortWithinPartitions("term").mapInPandas(run, kinds)
 
 
 def divergence(docs: DataFrame, least: int = 3, top: int = 200) -> DataFrame:
