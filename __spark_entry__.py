@@ -13,6 +13,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 import derived_corpora as C  # noqa: E402
 import language_corpora  # noqa: E402
+import rule_corpora  # noqa: E402
 from whereabouts.functions import names as N  # noqa: E402
 from whereabouts.functions import text as T  # noqa: E402
 from whereabouts.operators import language as L  # noqa: E402
@@ -237,7 +238,7 @@ def indent_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logical_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, contexts, lexis = E._for_languages(PY, E.RULES)
+    _, contexts, lexis, *_ = E._for_languages(PY, E.BUILTIN)
     units = E.units_of(C.py_files(spark, sf_dir), PY).select("file_id", "unit", "language", "start_line", "content")
     rows = S.state_rows(S.read_rows(S.masked_rows(units, lexis), lexis, contexts))
     return rows.groupBy("file_id").agg(F.sum(F.col("is_start").cast("bigint")).alias("n_statements"), F.max("depth_after").cast("bigint").alias("open_at_end"))
@@ -407,11 +408,11 @@ except ImportError:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = {q.__name__: q for q in QUERIES} | language_corpora.QUERIES | LLM_QUERIES
+    own = {q.__name__: q for q in QUERIES} | language_corpora.QUERIES | rule_corpora.QUERIES | LLM_QUERIES
     return own | ({"pipeline": corpus_pipeline.run} if corpus_pipeline else {})
 
 
 def oracle_sql() -> dict[str, str]:
     from oracles import ORACLES
 
-    return dict(ORACLES) | language_corpora.ORACLES | LLM_ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline and corpus_pipeline.ORACLE_SQL else {})
+    return dict(ORACLES) | language_corpora.ORACLES | rule_corpora.ORACLES | LLM_ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline and corpus_pipeline.ORACLE_SQL else {})

@@ -129,8 +129,7 @@ BLOCKS: dict[str, tuple[str, str, dict[str, list[tuple[int, int]]]]] = {
 }
 
 
-def files(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
-    language, block, _ = BLOCKS[query]
+def corpus(spark: SparkSession, sf_dir: str, language: str, block: str) -> DataFrame:
     code = F.lit(block.replace("|", "\n").replace("~", "\\"))
     for mark, column in (("{k}", "o_orderkey"), ("{p}", "o_orderpriority"), ("{s}", "o_orderstatus")):
         code = F.replace(code, F.lit(mark), F.col(column).cast("string"))
@@ -140,14 +139,22 @@ def files(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
     return parts.groupBy("file_id").agg(joined.alias("content")).withColumn("language", F.lit(language))
 
 
-def shown_rows(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
+def files(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
+    return corpus(spark, sf_dir, *BLOCKS[query][:2])
+
+
+def shown(found: DataFrame) -> DataFrame:
     """Merged rows shown for every name that carries an order's key."""
-    found = Q.named(extract(files(spark, sf_dir, query), (BLOCKS[query][0],))).where(r"name RLIKE '_[0-9]+$'")
-    flat = found.select("file_id", "name", F.explode("ranges").alias("r")).select("file_id", "name", "r.*")
+    named = Q.named(found).where(r"name RLIKE '_[0-9]+$'")
+    flat = named.select("file_id", "name", F.explode("ranges").alias("r")).select("file_id", "name", "r.*")
     rows = union_ranges(flat, ["file_id", "name"])
     return rows.select("file_id", "name", F.col("start_line").cast("bigint").alias("start_line"), F.col("end_line").cast("bigint").alias("end_line"))
 
 
+def shown_rows(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
+    return shown(extract(files(spark, sf_dir, query), (BLOCKS[query][0],)))
+
+
 def _query(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return shown_rows(spark, sf_dir, name)
@@ -157,8 +164,8 @@ def _query(name: str):
     return run
 
 
-def _oracle(name: str) -> str:
-    _, block, expected = BLOCKS[name]
+def expected_sql(block: str, expected: dict[str, list[tuple[int, int]]]) -> str:
+    """The expected rows of every order's block, in its place in the file."""
     height = block.count("|") + 1
     rows = ", ".join(f"('{n}', {a}, {b})" for n, ranges in expected.items() for a, b in ranges)
     return f"""
@@ -172,4 +179,4 @@ def _oracle(name: str) -> str:
 
 
 QUERIES = {name: _query(name) for name in BLOCKS}
-ORACLES = {name: _oracle(name) for name in BLOCKS}
+ORACLES = {name: expected_sql(*BLOCKS[name][1:]) for name in BLOCKS}

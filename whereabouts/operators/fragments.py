@@ -6,6 +6,8 @@ text is cut, so a fragment knows where it starts without any shuffle or window.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,10 +97,11 @@ def depth_of(files: DataFrame) -> int:
         tried *= 2
 
 
-def with_fragments(files: DataFrame, max_depth: int | None = None) -> DataFrame:
+def with_fragments(files: DataFrame, max_depth: int | None = None, ruled: Callable[[Column], Column] = lambda x: x) -> DataFrame:
     """Units of a corpus: each file, then its fragments, theirs, and so on, until none is left.
 
-    ``max_depth`` is the number of levels where it is known; otherwise it is looked up. Adds ``unit`` (empty for the file itself), ``start_line``, ``depth`` and ``hint``.
+    ``max_depth`` is the number of levels where it is known; otherwise it is looked up. ``ruled`` turns the language of a fragment
+    into the one whose rules apply. Adds ``unit`` (empty for the file itself), ``start_line``, ``depth`` and ``hint``.
     ``unit`` of a fragment is its parent's with ``/`` and the row or the number of its opener.
     """
     shape = "array<struct<unit:string,parent:string,depth:int,line_no:int,start_line:int,language:string,hint:string,content:string>>"
@@ -114,7 +117,7 @@ def with_fragments(files: DataFrame, max_depth: int | None = None) -> DataFrame:
                 F.lit(depth).alias("depth"),
                 f["line_no"].alias("line_no"),
                 f["start_line"].alias("start_line"),
-                hinted_language(f["hint"], f["body"]).alias("language"),
+                ruled(hinted_language(f["hint"], f["body"])).alias("language"),
                 f["hint"].alias("hint"),
                 f["body"].alias("content"),
             ),

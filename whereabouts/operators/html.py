@@ -102,7 +102,7 @@ def page_definitions(units: DataFrame, keep: Callable[[Column], Column] | None =
         ("has_defs AND depth > 0", _events(f"sequence({BRACKETS}, depth + {BRACKETS - 1})", PROBE)),
         ("has_defs", _events("array(-1)", OWN)),
     ]
-    none = "CAST(array() AS array<struct<level:int,ord:int,close_end:int,dip_end:int>>)"
+    none = "CAST(array() AS array<struct<level:bigint,ord:int,close_end:int,dip_end:int>>)"
     events = "concat(" + ", ".join(f"IF({test}, {sent}, {none})" for test, sent in parts) + ")"
     rows = rows.selectExpr(
         *KEYS, "pos", "has_defs", "kind", "paired", "depth", "language", "names", "first_row", "last_row", "ordinal",

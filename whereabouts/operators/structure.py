@@ -21,8 +21,10 @@ from ..functions.sql import literal
 from ..rules.model import Context, Lexis
 
 KEYS = ["file_id", "unit"]
-BRACKETS = 1000  # levels: indents below, brackets from here on,
-HEADINGS = 2000  # and headings of rank 1..6 above this one
+# Levels: indents below the first number, brackets from there on, headings of rank 1..6 above the second. A content cell
+# has less than 2**31 characters, of which a tab counts for eight columns, so no kind reaches the next one's numbers.
+BRACKETS = 1 << 40
+HEADINGS = 1 << 41
 RANKS = 6
 LAST_END = r"\\end\s*\{document\}"
 
@@ -64,6 +66,7 @@ def _indent(text: Column) -> Column:
 
 PLAIN_OPENERS = r"[(\[{]"
 PLAIN_CLOSERS = r"[)\]}]"
+LITERALS = r"""(["'])[^"']*\1"""
 
 
 def _any(flag: str) -> Column:
@@ -84,7 +87,9 @@ def read_rows(rows: DataFrame, lexis: dict[tuple[str, ...], Lexis], contexts: li
     def counted(kind: str, plain: str, cover: str) -> Callable[[Lexis], str | None]:
         def make(x: Lexis) -> str | None:
             pattern = getattr(x, kind)
-            return None if pattern == plain else f"regexp_count(masked, {literal(pattern)}) + {_count(cover)}"
+            # words open and close blocks here; those in literals, which keep their letters, do not
+            text = f"regexp_replace(masked, {literal(LITERALS)}, '')" if '"' in x.token else "masked"
+            return None if pattern == plain else f"regexp_count({text}, {literal(pattern)}) + {_count(cover)}"
 
         return make
 
@@ -215,7 +220,7 @@ CLOSE, PROBE, OPEN, OWN = 0, 1, 2, 3  # order of events of one row inside one le
 def _events(levels: str, order: int, close_end: str = "NULL", dip_end: str = "NULL") -> str:
     """SQL for an array of events, one per level of the given array."""
     return (
-        f"transform({levels}, x -> named_struct('level', CAST(x AS INT), 'ord', {order}, "
+        f"transform({levels}, x -> named_struct('level', CAST(x AS BIGINT), 'ord', {order}, "
         f"'close_end', CAST({close_end} AS INT), 'dip_end', CAST({dip_end} AS INT)))"
     )
 
@@ -226,7 +231,7 @@ def _span(low: str, high: str) -> str:
 
 def nesting_events() -> str:
     """SQL for the events that a row sends; ``has_defs`` rows also ask what lies around them."""
-    none = "CAST(array() AS array<struct<level:int,ord:int,close_end:int,dip_end:int>>)"
+    none = "CAST(array() AS array<struct<level:bigint,ord:int,close_end:int,dip_end:int>>)"
     low = f"greatest(depth_after, 0) + {BRACKETS}"
     dips = f"greatest(base, 0) + {BRACKETS}"
     every_rank = f"sequence({HEADINGS}, {HEADINGS + RANKS})"

@@ -10,26 +10,36 @@ from pyspark.sql import functions as F
 from ..operators import definitions as D
 from ..operators import fragments as FR
 from ..operators.html import page_definitions
-from ..rules.builtin import CONTEXTS, LEXIS, REFERENCES, RULES
-from ..rules.model import Context, Lexis, Rule
+from ..rules.builtin import BUILTIN, RULES
+from ..rules.model import Rule, RuleSet
 
 
 def ruled_languages(rules: list[Rule] = RULES) -> tuple[str, ...]:
     return (*sorted({x for r in rules for x in r.languages}), "HTML")
 
 
-def _for_languages(languages: tuple[str, ...] | None, rules: list[Rule]):
+def rule_language(rules: RuleSet, language: Column) -> Column:
+    """The language whose rules apply: its own, or its group's where it has none."""
+    ruled = set(ruled_languages(rules.rules))
+    served = sorted((x, group) for x, group in rules.groups.items() if x not in ruled and group in ruled)
+    for name, group in served:
+        language = F.when(language == name, group).otherwise(language)
+    return language
+
+
+def _for_languages(languages: tuple[str, ...] | None, rules: RuleSet) -> RuleSet:
     """Rules, contexts and settings of just these languages, so the plan stays small."""
-    if languages is None:
-        return rules, CONTEXTS, LEXIS
-    wanted = set(languages)
-    keep = lambda row: row._replace(languages=tuple(x for x in row.languages if x in wanted))
-    kept_rules = [keep(r) for r in rules if wanted & set(r.languages)]
-    kept_contexts: list[Context] = [keep(c) for c in CONTEXTS if wanted & set(c.languages)]
-    kept_lexis: dict[tuple[str, ...], Lexis] = {
-        tuple(x for x in names if x in wanted): settings for names, settings in LEXIS.items() if wanted & set(names)
-    }
-    return kept_rules, kept_contexts, kept_lexis
+    if languages is not None:
+        ruled = set(ruled_languages(rules.rules))
+        wanted = {x if x in ruled else rules.groups.get(x, x) for x in languages}
+        keep = lambda row: row._replace(languages=tuple(x for x in row.languages if x in wanted))
+        kept = lambda rows: [keep(r) for r in rows if wanted & set(r.languages)]
+        lexis = {tuple(x for x in names if x in wanted): settings for names, settings in rules.lexis.items() if wanted & set(names)}
+        rules = rules._replace(rules=kept(rules.rules), contexts=kept(rules.contexts), references=kept(rules.references), lexis=lexis)
+    lacking = {x for r in rules.rules for x in r.languages} - {x for names in rules.lexis for x in names}
+    if lacking:
+        raise ValueError(f"rules without lexical settings: {', '.join(sorted(lacking))}")
+    return rules
 
 
 def _levels(files: DataFrame, languages: tuple[str, ...] | None, max_depth: int | None) -> int:
@@ -42,7 +52,11 @@ def _levels(files: DataFrame, languages: tuple[str, ...] | None, max_depth: int
 
 
 def units_of(
-    files: DataFrame, languages: tuple[str, ...] | None = None, max_depth: int | None = None, partitions: int | None = None
+    files: DataFrame,
+    languages: tuple[str, ...] | None = None,
+    max_depth: int | None = None,
+    partitions: int | None = None,
+    rules: RuleSet = BUILTIN,
 ) -> DataFrame:
     """Files and their fragments, placed by file: the one shuffle of an extraction.
 
@@ -51,7 +65,7 @@ def units_of(
     work per byte is much larger than the adaptive size target assumes: aim at 16 MB each.
     """
     count = partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = files.select("file_id", "language", "content").repartition(count, "file_id")
+    placed = files.select("file_id", rule_language(rules, F.col("language")).alias("language"), "content").repartition(count, "file_id")
     if languages is not None and not set(languages) & set(FR.CONTAINERS):
         none = F.lit(None).cast("string")
         units = placed.select(
@@ -59,14 +73,14 @@ def units_of(
             F.lit(0).alias("start_line"), "language", none.alias("hint"), "content",
         )
     else:
-        units = FR.with_fragments(placed, _levels(files, languages, max_depth))
+        units = FR.with_fragments(placed, _levels(files, languages, max_depth), lambda x: rule_language(rules, x))
     return units
 
 
 def extract(
     files: DataFrame,
     languages: tuple[str, ...] | None = None,
-    rules: list[Rule] = RULES,
+    rules: RuleSet | list[Rule] = BUILTIN,
     keep: Callable[[Column], Column] | None = None,
     fragment_pattern: str | None = None,
     max_depth: int | None = None,
@@ -80,10 +94,15 @@ def extract(
     ``languages`` names the languages that the corpus can hold, fragments included.
     Fragments are followed until none is left, unless ``max_depth`` says how many levels there are.
     ``fragment_pattern`` skips fragments in which the searched text does not occur.
+    ``rules`` is a rule set, built in or compiled from rows, or a list of rules in place of the built-in ones. A language
+    without rules goes by those of its group; ``language`` of a result is the one whose rules found it.
     """
-    kept_rules, contexts, lexis = _for_languages(languages, [*rules, *REFERENCES] if references else rules)
+    whole = rules if isinstance(rules, RuleSet) else BUILTIN._replace(rules=rules)
+    kept = _for_languages(languages, whole)
+    kept_rules = [*kept.rules, *kept.references] if references else kept.rules
+    contexts, lexis = kept.contexts, kept.lexis
     max_depth = _levels(files, languages, max_depth)
-    units = units_of(files, languages, max_depth, partitions)
+    units = units_of(files, languages, max_depth, partitions, whole)
     if fragment_pattern is not None:
         units = units.where((F.col("depth") == 0) | F.col("content").rlike(fragment_pattern))
     shaped = units.select("file_id", "unit", "language", "start_line", "content")

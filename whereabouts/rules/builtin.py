@@ -1,8 +1,8 @@
-"""Built-in rules. A user changes or adds languages with more rows, not with code."""
+"""Built-in rules. Users change them and add languages with rows of their own; see ``layers``."""
 
 from __future__ import annotations
 
-from .model import Context, Lexis, Rule
+from .model import Context, Lexis, Rule, RuleSet
 
 PY = ("Python", "Cython")
 CY = ("Cython",)
@@ -328,3 +328,8 @@ REFERENCES: list[Rule] = [
     Rule(PY, "py_from_row", "import", r"^\s*([^()]*?)\s*$", parent=r"^\(\s*from\b"),
     Rule(PY, "py_dotted", "dotted", r"(?<![\w.])([A-Za-z_\u0080-\uDFFF]\w*+(?:\.\w++)++)", needs=".", gate=r"^(?!\s*(?:from|import)\b)"),
 ]
+
+# Languages that go by the rules of another one where they have none.
+GROUPS = {"Cython": "Python", "TSX": "TypeScript", "GLSL": "C", "Sage": "Python", "OpenCL": "C", "JSON5": "JavaScript"}
+
+BUILTIN = RuleSet(RULES, CONTEXTS, LEXIS, REFERENCES, GROUPS)

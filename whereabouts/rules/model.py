@@ -64,3 +64,13 @@ class Lexis(NamedTuple):
     level: tuple[str, ...] = ()  # heading mode: one pattern per level
     attaches: bool = False  # comments above belong to what follows
     shows_first: bool = False  # the first row of a hidden span stays visible
+
+
+class RuleSet(NamedTuple):
+    """All that an extraction goes by. ``groups`` names the language whose rules serve one that has none."""
+
+    rules: list[Rule]
+    contexts: list[Context]
+    lexis: dict[tuple[str, ...], Lexis]
+    references: list[Rule]
+    groups: dict[str, str]
