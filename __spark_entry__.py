@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 import derived_corpora as C  # noqa: E402
+import derived_queries  # noqa: E402
 import language_corpora  # noqa: E402
 import rule_corpora  # noqa: E402
 from whereabouts.functions import names as N  # noqa: E402
@@ -408,11 +409,11 @@ except ImportError:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = {q.__name__: q for q in QUERIES} | language_corpora.QUERIES | rule_corpora.QUERIES | LLM_QUERIES
+    own = {q.__name__: q for q in QUERIES} | language_corpora.QUERIES | rule_corpora.QUERIES | derived_queries.QUERIES | LLM_QUERIES
     return own | ({"pipeline": corpus_pipeline.run} if corpus_pipeline else {})
 
 
 def oracle_sql() -> dict[str, str]:
     from oracles import ORACLES
 
-    return dict(ORACLES) | language_corpora.ORACLES | rule_corpora.ORACLES | LLM_ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline and corpus_pipeline.ORACLE_SQL else {})
+    return dict(ORACLES) | language_corpora.ORACLES | rule_corpora.ORACLES | derived_queries.ORACLES | LLM_ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline and corpus_pipeline.ORACLE_SQL else {})

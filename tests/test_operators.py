@@ -114,13 +114,6 @@ def test_language(spark):
     assert [(r.language, r.preferred) for r in table] == [("GCC Machine Description", False), ("Markdown", True)]
 
 
-def test_group_language(spark):
-    files = spark.createDataFrame([("TSX",), ("Cython",), ("Lua",)], "language string")
-    ruled = spark.createDataFrame([("TypeScript",), ("Lua",)], "language string")
-    got = {r.language: r.rule_language for r in L.with_rules_or_group(files, L.languages(spark), ruled).collect()}
-    assert got == {"TSX": "TypeScript", "Cython": None, "Lua": "Lua"}
-
-
 def test_source_files(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "a.py").write_bytes(b"x = 1\n")
@@ -225,8 +218,6 @@ def test_import_scores(spark):
     assert exact == {("x/b/c", 2)}
     loose = R.import_scores(origins, paths, "strip_ext")
     assert {(r.path, r.score) for r in loose.collect()} == {("x/b/c", 2), ("x/a/b/c.py", 3)}
-    order = R.reading_order(paths, loose.withColumn("seq", F.lit(1)))
-    assert [r.path for r in order.collect()] == ["x/a/b/c.py", "x/b/c", "x/d.py"]
 
 
 def test_excerpts(spark):

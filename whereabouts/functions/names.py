@@ -14,13 +14,6 @@ def whole_pattern(pattern: Column, ignore_case: Column | None = None) -> Column:
     return F.when(ignore_case, F.concat(F.lit("(?iu)"), whole)).otherwise(whole)
 
 
-def line_pattern(pattern: Column, ignore_case: Column | None = None) -> Column:
-    """The pattern as it is put to one row of raw text."""
-    if ignore_case is None:
-        return pattern
-    return F.when(ignore_case, F.concat(F.lit("(?iu)"), pattern)).otherwise(pattern)
-
-
 def bad_case_style_at(identifier: Column) -> Column:
     """Byte offset of the first character that a case-style term may not hold, else NULL."""
     head = F.regexp_extract(identifier, r"^[\p{IsAlphabetic}\p{N}_-]*", 0)

@@ -74,6 +74,12 @@ def fragments_of(content: Column, language: Column, first: Column) -> Column:
     return F.when(language == "Markdown", fences).when(language == "HTML", pages).otherwise(empty)
 
 
+def _cut(f: Column) -> Column:
+    """The step that takes a fragment out of the text around it: its rows in the file, from 0, the end left out."""
+    rows = T.count_chars(f["body"], "\n") + F.when(f["body"].endswith("\n"), 0).otherwise(1)
+    return F.concat(F.lit("rows "), f["start_line"].cast("string"), F.lit("-"), (f["start_line"] + rows).cast("string"))
+
+
 def _one_argument(make, depth: int):
     """A one-argument function, as ``transform`` asks for; a default would be taken as the index."""
     return lambda parent: make(depth, parent)
@@ -102,9 +108,10 @@ def with_fragments(files: DataFrame, max_depth: int | None = None, ruled: Callab
 
     ``max_depth`` is the number of levels where it is known; otherwise it is looked up. ``ruled`` turns the language of a fragment
     into the one whose rules apply. Adds ``unit`` (empty for the file itself), ``start_line``, ``depth`` and ``hint``.
-    ``unit`` of a fragment is its parent's with ``/`` and the row or the number of its opener.
+    ``unit`` of a fragment is its parent's with ``/`` and the row or the number of its opener. ``recipe`` tells how to come by
+    the text: that of the file, then the rows taken at each level.
     """
-    shape = "array<struct<unit:string,parent:string,depth:int,line_no:int,start_line:int,language:string,hint:string,content:string>>"
+    shape = "array<struct<unit:string,parent:string,depth:int,line_no:int,start_line:int,language:string,hint:string,recipe:array<string>,content:string>>"
 
     def inside(depth: int, parent: Column) -> Column:
         is_page = parent["language"] == "HTML"
@@ -119,16 +126,18 @@ def with_fragments(files: DataFrame, max_depth: int | None = None, ruled: Callab
                 f["start_line"].alias("start_line"),
                 ruled(hinted_language(f["hint"], f["body"])).alias("language"),
                 f["hint"].alias("hint"),
+                F.array_append(parent["recipe"], _cut(f)).alias("recipe"),
                 f["body"].alias("content"),
             ),
         )
 
+    recipe = F.col("recipe") if "recipe" in files.columns else F.array(F.concat(F.lit("cat "), F.col("file_id").cast("string")))
     max_depth = depth_of(files) if max_depth is None else max_depth
     host = F.array(
         F.struct(
             F.lit("").alias("unit"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.lit(0).alias("line_no"),
             F.lit(0).alias("start_line"), F.col("language").alias("language"), F.lit(None).cast("string").alias("hint"),
-            F.col("content").alias("content"),
+            recipe.alias("recipe"), F.col("content").alias("content"),
         )
     ).cast(shape)
     units = files.withColumn("_u0", host)
@@ -138,5 +147,5 @@ def with_fragments(files: DataFrame, max_depth: int | None = None, ruled: Callab
         found = F.flatten(F.transform(above, _one_argument(inside, depth))).cast(shape)
         units = units.withColumn(f"_u{depth}", F.when(is_container & (F.size(above) > 0), found).otherwise(F.array().cast(shape)))
     every = F.concat(*[F.col(f"_u{d}") for d in range(max_depth + 1)])
-    others = [c for c in files.columns if c not in ("content", "language")]
+    others = [c for c in files.columns if c not in ("content", "language", "recipe")]
     return units.select(*others, F.explode(every).alias("_u")).select(*others, "_u.*")

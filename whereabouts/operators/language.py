@@ -33,6 +33,18 @@ LANGUAGES: list[tuple[str, str | None, list[str], list[str], list[str], list[str
     ("RenderScript", None, [], ["rs", "rsh"], [], []),
     ("XML", None, ["rss", "xsd", "wsdl"], ["xml", "ts", "tsx", "rss"], [], []),
     ("Objective-C", None, ["obj-c", "objc"], ["m", "h"], [], []),
+    ("MATLAB", None, ["octave"], ["m"], [], []),
+    ("Java", None, [], ["java", "jav", "jsh"], [], []),
+    ("Ruby", None, ["rb", "jruby"], ["rb", "rake", "gemspec"], ["Gemfile", "Rakefile"], ["ruby"]),
+    ("PHP", None, ["inc"], ["php", "phtml"], [], ["php"]),
+    ("C#", None, ["csharp"], ["cs", "csx"], [], []),
+    ("Kotlin", None, [], ["kt", "kts"], [], []),
+    ("Swift", None, [], ["swift"], [], []),
+    ("Scala", None, [], ["scala", "sbt"], [], ["scala"]),
+    ("Perl", None, [], ["pl", "pm"], [], ["perl"]),
+    ("Sage", "Python", [], ["sage", "sagews"], [], []),
+    ("OpenCL", "C", [], ["cl", "opencl"], [], []),
+    ("JSON5", "JavaScript", [], ["json5"], [], []),
     ("JSON", None, ["geojson", "jsonl", "topojson"], ["json", "geojson", "jsonl", "topojson", "webmanifest"], [], []),
 ]
 
@@ -43,9 +55,17 @@ LEGACY = {"js": "JavaScript", "ts": "TypeScript", "cplusplus": "C++"}
 PREFERRED = {"md": "Markdown", "rs": "Rust", "ts": "TypeScript", "tsx": "TSX", "h": "C", "tcc": "C++"}
 
 
+GROUPS = {row[0]: row[1] for row in LANGUAGES if row[1]}
+SCHEMA = "language string, group_language string, aliases array<string>, extensions array<string>, filenames array<string>, interpreters array<string>"
+
+
 def languages(spark: SparkSession, extra: list[tuple] = ()) -> DataFrame:
-    schema = "language string, group_language string, aliases array<string>, extensions array<string>, filenames array<string>, interpreters array<string>"
-    return spark.createDataFrame([*LANGUAGES, *extra], schema)
+    return spark.createDataFrame([*LANGUAGES, *extra], SCHEMA)
+
+
+def read_languages(spark: SparkSession, path: str) -> DataFrame:
+    """A public list of languages as rows of JSON, in place of the rows above, or beside them."""
+    return spark.read.schema(SCHEMA).json(path)
 
 
 def aliases(table: DataFrame) -> DataFrame:
@@ -112,13 +132,3 @@ def narrow(old: Column, new: Column) -> Column:
     else the old ones. The order is that of ``new``."""
     both = F.array_intersect(new, old)
     return F.when(F.size(old) == 0, new).when(F.size(both) == 0, old).otherwise(both)
-
-
-def with_rules_or_group(files: DataFrame, table: DataFrame, ruled: DataFrame) -> DataFrame:
-    """The language whose rules apply: its own, or its group's when it has none."""
-    have = ruled.select(F.col("language").alias("_have")).distinct()
-    groups = table.select(F.col("language").alias("_lang"), F.col("group_language").alias("_group")).distinct()
-    joined = files.join(groups, F.col("language") == F.col("_lang"), "left").drop("_lang")
-    own = joined.join(have, F.col("language") == F.col("_have"), "left").withColumnRenamed("_have", "_own")
-    both = own.join(have, F.col("_group") == F.col("_have"), "left")
-    return both.withColumn("rule_language", F.coalesce("_own", "_have")).drop("_own", "_have", "_group")

@@ -65,12 +65,13 @@ def units_of(
     work per byte is much larger than the adaptive size target assumes: aim at 16 MB each.
     """
     count = partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = files.select("file_id", rule_language(rules, F.col("language")).alias("language"), "content").repartition(count, "file_id")
+    recipe = [F.col("recipe")] if "recipe" in files.columns else []
+    placed = files.select("file_id", rule_language(rules, F.col("language")).alias("language"), *recipe, "content").repartition(count, "file_id")
     if languages is not None and not set(languages) & set(FR.CONTAINERS):
         none = F.lit(None).cast("string")
         units = placed.select(
             "file_id", F.lit("").alias("unit"), none.alias("parent"), F.lit(0).alias("depth"), F.lit(0).alias("line_no"),
-            F.lit(0).alias("start_line"), "language", none.alias("hint"), "content",
+            F.lit(0).alias("start_line"), "language", none.alias("hint"), *recipe, "content",
         )
     else:
         units = FR.with_fragments(placed, _levels(files, languages, max_depth), lambda x: rule_language(rules, x))

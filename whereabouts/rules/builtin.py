@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators.language import GROUPS
 from .model import Context, Lexis, Rule, RuleSet
 
 PY = ("Python", "Cython")
@@ -329,7 +330,4 @@ REFERENCES: list[Rule] = [
     Rule(PY, "py_dotted", "dotted", r"(?<![\w.])([A-Za-z_\u0080-\uDFFF]\w*+(?:\.\w++)++)", needs=".", gate=r"^(?!\s*(?:from|import)\b)"),
 ]
 
-# Languages that go by the rules of another one where they have none.
-GROUPS = {"Cython": "Python", "TSX": "TypeScript", "GLSL": "C", "Sage": "Python", "OpenCL": "C", "JSON5": "JavaScript"}
-
 BUILTIN = RuleSet(RULES, CONTEXTS, LEXIS, REFERENCES, GROUPS)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.detection import with_language
 from ..operators.language import language_of_path, language_of_shebang
 
 
@@ -29,12 +30,14 @@ def source_files(
     content: str = "content",
     ruled: tuple[str, ...] | None = None,
     unique: bool = True,
+    languages: DataFrame | None = None,
 ) -> DataFrame:
     """One row per file: ``file_id, path, recipe, language, status, status_detail, content``.
 
     With ``unique=False`` the table may repeat paths: the key then holds a hash of the content,
     so that different contents of one path spread out, and equal copies fold into one row.
-    ``path=None`` is for texts that have no path; their language comes from the content.
+    ``path=None`` is for texts that have no path; their language comes from the content. With ``languages``, a table of languages of
+    any size, all evidence on a language is weighed (see ``detection``) and kept, and ``ambiguous_language`` is one more status.
     """
     text = F.col(content)
     where = F.col(path) if path else F.lit(None).cast("string")
@@ -51,7 +54,13 @@ def source_files(
         error.alias("_error"),
         text.alias("content"),
     )
-    files = files.withColumn("status", status_of(F.col("_error"), F.col("language"), known, F.length("content"))).drop("_error")
+    if languages is not None:
+        files = with_language(files, languages, None if ruled is None else (*ruled, "Jupyter Notebook"))
+        known = F.col("language_status") != "unsupported_language"
+    status = status_of(F.col("_error"), F.col("language"), known, F.length("content"))
+    if languages is not None:
+        status = F.when(status == "unknown_language", F.col("language_status")).otherwise(status)
+    files = files.withColumn("status", status).drop("_error", "language_status")
     return files if unique and path else files.dropDuplicates(["file_id"])
 
 
