@@ -14,8 +14,50 @@ from whereabouts.operators import lookup as Q
 from whereabouts.operators.ranges import union_ranges
 from whereabouts.plans.extraction import extract
 
+Rows = dict[str, list[tuple[int, int]]]
+
+TYPED = (
+    'import { read as pull_{k} } from "fs";|import {|  write as push_{k},|} from "fs";|namespace Geo_{k} {|  export type Pair_{k} = [number, number];|}|'
+    'abstract class Base_{k} {|  abstract area_{k}(): number;|}|interface Opts_{k} {|  "depth_{k}"?: number;|  run_{k}(): void;|}|enum Level_{k} {|  Low_{k} = 1,|  High_{k},|}'
+)
+TYPED_ROWS: Rows = {
+    "pull_{k}": [(1, 1)], "push_{k}": [(3, 3)], "Geo_{k}": [(5, 7)], "Pair_{k}": [(6, 6)], "Base_{k}": [(8, 10)], "area_{k}": [(9, 9)], "Opts_{k}": [(11, 14)],
+    "depth_{k}": [(11, 12)], "run_{k}": [(11, 11), (13, 13)], "Level_{k}": [(15, 18)], "Low_{k}": [(15, 16)], "High_{k}": [(15, 15), (17, 17)],
+}
+WIDE_PYTHON = (
+    "import csv as table_{k}|from math import (|    pi as pie_{k},|)|type Pair_{k} = tuple[int, int]|words_{k}: list[str]|first_{k} = second_{k} = 0|"
+    'setattr(words, "state_{k}", None)|words.__setitem__("slot_{k}", 1)|for row_{k} in rows:|    pass|rates_{k} = {|    "low_{k}": 1,|}|flat_{k} = {"mid_{k}": 2}|'
+    "twice_{k} = lambda side_{k}: side_{k} * 2|cells_{k} = [cell_{k} for cell_{k} in rows]|with open(path) as stream_{k}:|    pass|with (|    open(path) as other_{k},|):|"
+    "    pass|def reset_{k}(by_{k}):|    global total_{k}|    total_{k} = 0|"
+    "def spread_{k}(|    upto_{k},|):|    pass"
+)
+WIDE_PYTHON_ROWS: Rows = {
+    "table_{k}": [(1, 1)], "pie_{k}": [(2, 4)], "Pair_{k}": [(5, 5)], "words_{k}": [(6, 6)], "first_{k}": [(7, 7)], "second_{k}": [(7, 7)], "state_{k}": [(8, 8)], "slot_{k}": [(9, 9)],
+    "row_{k}": [(10, 10)], "rates_{k}": [(12, 14)], "low_{k}": [(12, 13)], "flat_{k}": [(15, 15)], "mid_{k}": [(15, 15)], "twice_{k}": [(16, 16)], "side_{k}": [(16, 16)],
+    "cells_{k}": [(17, 17)], "cell_{k}": [(17, 17)], "stream_{k}": [(18, 18)], "other_{k}": [(20, 22)], "reset_{k}": [(24, 26)], "total_{k}": [(24, 26)],
+    "by_{k}": [(24, 24)], "spread_{k}": [(27, 30)], "upto_{k}": [(27, 29)],
+}
+SCRIPT = (
+    "class Cart_{k} {|  limit_{k} = 5;|  add_{k}(|    item|  ) {|    return item;|  }|  size_{k}(unit_{k}) {|    return 1;|  }|}|function long_{k}(|  deep_{k},|) {|}|"
+    "const [left_{k}, right_{k}] = pair;|let one_{k} = 1, two_{k} = 2;|window.title_{k} = function open_{k}(event_{k}) {|  close();|};|const modes_{k} = {|  plain_{k}: 1,|"
+    '  "quoted_{k}": 2,|};|call({ inline_{k}: 3 });|const by_{k} = (n_{k}) => n_{k};|const { theme_{k} } = prefs;'
+)
+SCRIPT_ROWS: Rows = {
+    "Cart_{k}": [(1, 11)], "limit_{k}": [(1, 2)], "add_{k}": [(1, 1), (3, 7)], "size_{k}": [(1, 1), (8, 10)], "unit_{k}": [(1, 1), (8, 8)], "long_{k}": [(12, 15)], "deep_{k}": [(12, 14)],
+    "left_{k}": [(16, 16)], "right_{k}": [(16, 16)], "one_{k}": [(17, 17)], "two_{k}": [(17, 17)], "window.title_{k}": [(18, 20)], "title_{k}": [(18, 20)], "open_{k}": [(18, 20)], "event_{k}": [(18, 18)],
+    "modes_{k}": [(21, 24)], "plain_{k}": [(21, 22)], "quoted_{k}": [(21, 21), (23, 23)], "inline_{k}": [(25, 25)], "by_{k}": [(26, 26)], "n_{k}": [(26, 26)], "theme_{k}": [(27, 27)],
+}
+DECLARED = (
+    "typedef int (*visit_{k})(void *, int);|typedef struct {|  int size_{k};|} box_{k};|int walk_{k}(int (*each_{k})(int), int from_{k})|{|  int one_{k} = 1, two_{k};|"
+    "  two_{k} = one_{k};|  return two_{k};|}|long spread_{k}(|  long base_{k}|);|typedef unsigned char byte_{k};|#define TWICE_{k}(n) ((n) + (n))|struct ring_{k} {|  int head_{k};|};"
+)
+DECLARED_ROWS: Rows = {
+    "visit_{k}": [(1, 1)], "box_{k}": [(2, 4)], "size_{k}": [(2, 3)], "walk_{k}": [(5, 10)], "each_{k}": [(5, 5)], "from_{k}": [(5, 5)], "one_{k}": [(5, 5), (7, 7)], "two_{k}": [(5, 5), (7, 8)],
+    "spread_{k}": [(11, 13)], "base_{k}": [(11, 13)], "byte_{k}": [(14, 14)], "TWICE_{k}": [(15, 15)], "ring_{k}": [(16, 18)], "head_{k}": [(16, 17)],
+}
+
 # query -> (language, block, {name: rows})
-BLOCKS: dict[str, tuple[str, str, dict[str, list[tuple[int, int]]]]] = {
+BLOCKS: dict[str, tuple[str, str, Rows]] = {
     "rows_python": (
         "Python",
         "# {p}|@wrap(|    1,|)|def run_{k}(|    by_{k},|    upto_{k}=(1,|              2),|):|    total_{k} = (by_{k} +|"
@@ -24,12 +66,13 @@ BLOCKS: dict[str, tuple[str, str, dict[str, list[tuple[int, int]]]]] = {
     ),
     "rows_cython": (
         "Cython",
-        "# {p}|cdef int walk_{k}(int steps_{k}, double speed_{k}=1.0):|    cdef int done_{k}|    for i_{k} from 1 <= i_{k} < steps_{k}:|"
-        "        done_{k} = i_{k}|    return done_{k}|cdef class Track_{k}:|    cdef readonly double points_{k}[8]|    property length_{k}:|"
-        "        def __get__(self):|            return 1",
+        "DEF SIZE_{k} = 4|ctypedef double real_{k}|# {p}|cpdef real mix_{k}(real left_{k}, int at_{k}):|    cdef real out_{k}, rest_{k}|"
+        "    for step_{k} from 0 <= step_{k} < at_{k}:|        out_{k} = left_{k}|    return out_{k}|cdef struct Pixel_{k}:|    int red_{k}|"
+        "    unsigned char alpha_{k}|cdef class Canvas_{k}:|    property width_{k}:|        def __get__(self):|            return 1",
         {
-            "walk_{k}": [(1, 6)], "steps_{k}": [(1, 2)], "speed_{k}": [(1, 2)], "done_{k}": [(2, 5)], "i_{k}": [(2, 2), (4, 4)],
-            "Track_{k}": [(7, 11)], "points_{k}": [(7, 8)], "length_{k}": [(7, 7), (9, 11)],
+            "SIZE_{k}": [(1, 1)], "real_{k}": [(2, 2)], "mix_{k}": [(3, 8)], "left_{k}": [(3, 4)], "at_{k}": [(3, 4)], "out_{k}": [(4, 7)],
+            "rest_{k}": [(4, 5)], "step_{k}": [(4, 4), (6, 6)], "Pixel_{k}": [(9, 11)], "red_{k}": [(9, 10)], "alpha_{k}": [(9, 9), (11, 11)],
+            "Canvas_{k}": [(12, 15)], "width_{k}": [(12, 15)],
         },
     ),
     "rows_javascript": (
@@ -41,15 +84,7 @@ BLOCKS: dict[str, tuple[str, str, dict[str, list[tuple[int, int]]]]] = {
             "total_{k}": [(6, 10)], "rate_{k}": [(6, 8)], "theme_{k}": [(12, 12)], "font_{k}": [(12, 12)],
         },
     ),
-    "rows_typescript": (
-        "TypeScript",
-        "export enum Mode_{k} { A, B }|// {p}|interface Probe_{k} {|  depth_{k}: number;|}|type Range_{k} = [number, number];|"
-        "const clamp_{k} = (value_{k}: number, limit_{k}: number = 10) => value_{k};",
-        {
-            "Mode_{k}": [(1, 1)], "Probe_{k}": [(2, 5)], "depth_{k}": [(3, 4)], "Range_{k}": [(6, 6)], "clamp_{k}": [(7, 7)],
-            "value_{k}": [(7, 7)], "limit_{k}": [(7, 7)],
-        },
-    ),
+    "rows_typescript": ("TypeScript", TYPED, TYPED_ROWS),
     "rows_tsx": (
         "TSX",
         '// {p}|export function Panel_{k}(props_{k}: Props) {|  const [open_{k}, setOpen_{k}] = useState(false);|  return (|'
@@ -123,8 +158,67 @@ BLOCKS: dict[str, tuple[str, str, dict[str, list[tuple[int, int]]]]] = {
     ),
     "rows_tex": (
         "TeX",
-        "~section{Methods_{k}}|~subsection{Data_{k}}~label{data_{k}}|Rows of {p}.||~begin{claim}|~label{claim_{k}}|True.|~end{claim}",
-        {"Methods_{k}": [(1, 8)], "Data_{k}": [(1, 8)], "data_{k}": [(1, 8)], "claim_{k}": [(1, 2), (5, 8)]},
+        "~chapter{Part_{k}}~label{part_{k}}|~newcommand{~shout}[1]{#1!}|~renewcommand{~quiet}{.}|~newenvironment{aside_{k}}{}{}|~newtheorem{law_{k}}{Law}|"
+        "~newacronym{acr_{k}}{A}{B}|~paragraph{Note_{k}} text {p}|~begin{figure}|  ~includegraphics{x}|  ~label{fig_{k}}|~end{figure}",
+        {
+            "Part_{k}": [(1, 11)], "part_{k}": [(1, 11)], "shout": [(1, 2)], "quiet": [(1, 1), (3, 3)], "aside_{k}": [(1, 1), (4, 4)], "law_{k}": [(1, 1), (5, 5)],
+            "acr_{k}": [(1, 1), (6, 6)], "Note_{k}": [(1, 1), (7, 11)], "fig_{k}": [(1, 1), (7, 11)],
+        },
+    ),
+    # what the blocks above leave out, so that every rule of every language finds something
+    "more_python": ("Python", WIDE_PYTHON, WIDE_PYTHON_ROWS),
+    "more_cython": ("Cython", WIDE_PYTHON, WIDE_PYTHON_ROWS),
+    "more_javascript": ("JavaScript", SCRIPT, SCRIPT_ROWS),
+    "more_typescript": ("TypeScript", SCRIPT, SCRIPT_ROWS),
+    "more_tsx": ("TSX", SCRIPT, SCRIPT_ROWS),
+    "typed_tsx": (
+        "TSX",
+        TYPED + '|const page_{k} = <Page wide_{k}={1} mark_{k}="{s}" />;',
+        TYPED_ROWS | {"page_{k}": [(19, 19)], "wide_{k}": [(19, 19)], "mark_{k}": [(19, 19)]},
+    ),
+    "more_c": ("C", DECLARED, DECLARED_ROWS),
+    "more_glsl": ("GLSL", DECLARED, DECLARED_ROWS),
+    "declared_cpp": ("C++", DECLARED, DECLARED_ROWS),
+    "more_cpp": (
+        "C++",
+        "namespace geo_{k} {|template <class T_{k}>|class Ring_{k} {|  Ring_{k}(int n) : size_{k}(n) {|    this->top_{k} = n;|  }|};|}",
+        {
+            "geo_{k}": [(1, 8)], "T_{k}": [(1, 2)], "Ring_{k}": [(1, 7)], "size_{k}": [(1, 1), (3, 4)], "this->top_{k}": [(1, 1), (3, 5)], "top_{k}": [(1, 1), (3, 5)],
+        },
+    ),
+    "more_go": (
+        "Go",
+        "type (|  Ids_{k} []int|)|func Run_{k}(|  src_{k} string,|) {|  dst_{k} = src_{k}|}",
+        {"Ids_{k}": [(2, 2)], "Run_{k}": [(4, 8)], "src_{k}": [(4, 6)], "dst_{k}": [(4, 7)]},
+    ),
+    "more_rust": (
+        "Rust",
+        "use std::fmt as form_{k};|use std::{|    io as inout_{k},|};|macro_rules! twice_{k} {|    ($x:expr) => { $x };|}|enum Phase_{k} {|    Idle_{k},|"
+        "    Busy_{k}(u32),|}|struct Tick_{k} { left_{k}: u32 }|impl Clone for Tick_{k} {|    fn make_{k}() -> u32 {|        let more_{k} = Wide {|"
+        "            depth_{k},|        };|        1|    }|}",
+        {
+            "form_{k}": [(1, 1)], "inout_{k}": [(3, 3)], "twice_{k}": [(5, 7)], "Phase_{k}": [(8, 11)], "Idle_{k}": [(8, 9)], "Busy_{k}": [(8, 8), (10, 10)],
+            "Tick_{k}": [(12, 20)], "left_{k}": [(12, 12)], "make_{k}": [(13, 19)], "more_{k}": [(13, 17)], "depth_{k}": [(13, 16)],
+        },
+    ),
+    "more_lua": (
+        "Lua",
+        'local seen_{k}, left_{k}|for at_{k} = 1, 3 do|  ::again_{k}::|  say("the end of {s}")|end|local opts_{k} = {|  wide_{k} = 1,|}',
+        {"seen_{k}": [(1, 1)], "left_{k}": [(1, 1)], "at_{k}": [(2, 2)], "again_{k}": [(2, 3)], "opts_{k}": [(6, 8)], "wide_{k}": [(6, 7)]},
+    ),
+    "more_shell": ("Shell", "readonly one_{k} two_{k}|echo 'done if {s}'", {"one_{k}": [(1, 1)], "two_{k}": [(1, 1)]}),
+    "more_markdown": ("Markdown", "# Part_{k}||Under_{k}|-----||text {p}", {"Part_{k}": [(1, 6)], "Under_{k}": [(1, 6)]}),
+    "more_yaml": (
+        "YAML",
+        'base_{k}: &shared_{k}|  host_{k}: a|flow_{k}: {|  inner_{k}: 1,|  "odd_{k}": {low_{k}: 2}}',
+        {
+            "base_{k}": [(1, 2)], "shared_{k}": [(1, 1)], "host_{k}": [(2, 2)], "flow_{k}": [(3, 5)], "inner_{k}": [(4, 4)], "odd_{k}": [(5, 5)], "low_{k}": [(5, 5)],
+        },
+    ),
+    "more_html": (
+        "HTML",
+        '<div id="box_{k}">|<ul name="stops_{k}">|<li>{p}</li>|</ul>|<h3>Head_{k}</h3>|</div>',
+        {"box_{k}": [(1, 6)], "stops_{k}": [(1, 4)], "Head_{k}": [(1, 1), (5, 5)]},
     ),
 }
 
@@ -143,16 +237,16 @@ def files(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
     return corpus(spark, sf_dir, *BLOCKS[query][:2])
 
 
-def shown(found: DataFrame) -> DataFrame:
-    """Merged rows shown for every name that carries an order's key."""
-    named = Q.named(found).where(r"name RLIKE '_[0-9]+$'")
+def shown(found: DataFrame, *others: str) -> DataFrame:
+    """Merged rows shown for every name that carries an order's key, and some others."""
+    named = Q.named(found).where(F.col("name").rlike("_[0-9]+$") | F.col("name").isin(*others))
     flat = named.select("file_id", "name", F.explode("ranges").alias("r")).select("file_id", "name", "r.*")
     rows = union_ranges(flat, ["file_id", "name"])
     return rows.select("file_id", "name", F.col("start_line").cast("bigint").alias("start_line"), F.col("end_line").cast("bigint").alias("end_line"))
 
 
 def shown_rows(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
-    return shown(extract(files(spark, sf_dir, query), (BLOCKS[query][0],)))
+    return shown(extract(files(spark, sf_dir, query), (BLOCKS[query][0],)), *[n for n in BLOCKS[query][2] if "{k}" not in n])
 
 
 def _query(name: str):
@@ -164,7 +258,7 @@ def _query(name: str):
     return run
 
 
-def expected_sql(block: str, expected: dict[str, list[tuple[int, int]]]) -> str:
+def expected_sql(block: str, expected: Rows) -> str:
     """The expected rows of every order's block, in its place in the file."""
     height = block.count("|") + 1
     rows = ", ".join(f"('{n}', {a}, {b})" for n, ranges in expected.items() for a, b in ranges)

@@ -78,12 +78,31 @@ window.onload = function begin(event) {
 '''
 
 TYPED = '''\
-export enum Mode { Off, On }
-interface Probe {
-  depth: number;
+type Unit = "cm" | "in";
+
+/* what a ruler can do */
+interface Ruler<T extends Unit> {
+  readonly marks: number[];
+  "read out"(at: number): string;
+}
+
+const enum Edge {
+  Near,
+  Far = 7,
 }
-type Range = [number, number];
-export const clamp = (value: number, limit: number = 10, ...others: number[]) => value;
+
+function measure(
+  from: Ruler<Unit>,
+): Edge {
+  const gap = Edge.Far;
+  return gap;
+}
+
+export const Label = ({ text, colour: ink }: Props) => (
+  <span title={text} data-ink="dark">
+    {text}
+  </span>
+);
 '''
 
 C = '''\
@@ -174,21 +193,31 @@ enum Phase {
 '''
 
 CYTHON = '''\
-DEF LIMIT = 10
-ctypedef unsigned int count_t
+from libc.math cimport sqrt as root
+
+ctypedef fused number:
+    int
+    double
 
-cdef int walk_all(int steps, double speed=1.0):
-    cdef int done
-    for k from 1 <= k < steps:
-        done = k
-    return done
+cdef enum Shade:
+    DARK
 
-cdef class Track:
-    cdef readonly double points[8]
+# distance from the middle
+cpdef double reach(number across, number down=0) except -1:
+    cdef double square = across * across
+    return root(square + down)
 
-    property length:
+cdef class Lens:
+    cdef public object frame
+
+    def __init__(self, frame):
+        self.frame = frame
+
+    property curve:
+        # never flat
         def __get__(self):
-            return LIMIT
+            bend = 2
+            return bend
 '''
 
 GO = '''\
@@ -245,37 +274,41 @@ CSS = '''\
 '''
 
 MARKDOWN = '''\
----
-tags: notes
-'kind': draft
----
-Cover
------
-
-# Tools
+Preface without a heading.
 
-## Generated
+# Garden ##
 
-~~~rust
-build_types! {
-    struct Hammer {
-        handle: u8,
-    }
-}
-~~~
+## Beds
 
-# Snippets
+- peas
 
-```cpp
-int anvil = 1;
-```
-```Py
-anvil = 2
+```yaml
+soil:
+  depth: 3
 ```
+
+### Herbs
+
+| mint | thyme |
+
+Paths
+=====
+
+## Tools #
+
+    # not a heading, but code
+
+<!-- # nor this -->
+
+````md
+# Inner
+
+```lua
+local spade = 1
 ```
-#! /usr/bin/env bash
-anvil=3
-```
+````
+
+# Pond
 '''
 
 HTML = '''\
@@ -307,23 +340,28 @@ function zoomIn(step) {
 '''
 
 TEX = '''\
-% a note about pages
-\\newcommand{\\page}[1]{p.~#1}
-\\newenvironment{remark}{\\begin{quote}}{\\end{quote}}
-\\newtheorem{claim}{Claim}
-
+\\documentclass{book}
+\\DeclareMathOperator{\\rank}{rk}
+\\def\\half{1/2}
+\\newacronym[type=x]{pde}{PDE}{equation}
 \\begin{document}
-\\section{Methods}
-\\subsection{Data}\\label{data}
-Rows.
-
-\\begin{claim}
-\\label{main_claim}
-True.
-\\end{claim}
 
-\\section{Results}
-Good.
+\\chapter{Heat} \\label{ch:heat}
+% warm
+\\section*{Rods}
+\\begin{figure}
+  \\begin{center} A \\end{center}
+  \\caption{B}\\label{fig:rod}
+\\end{figure}
+\\paragraph{Ends} cold
+\\begin{equation}\\label{eq:one}
+  x = 50\\% y
+\\end{equation}
+
+\\chapter[Short]{Waves}
+\\begin{verbatim}
+\\section{None}
+\\end{verbatim}
 \\end{document}
 '''
 
@@ -355,7 +393,9 @@ CASES = {
     }),
     "TypeScript": (JAVASCRIPT, {"Basket": [(10, 18)], "total": [(10, 10), (14, 17)], "labels": [(21, 24)], "begin": [(25, 27)]}),
     "TSX": (TYPED, {
-        "Mode": [(1, 1)], "Probe": [(2, 4)], "depth": [(2, 3)], "Range": [(5, 5)], "clamp": [(6, 6)], "value": [(6, 6)], "limit": [(6, 6)], "others": [(6, 6)],
+        "Unit": [(1, 1)], "Ruler": [(3, 7)], "marks": [(4, 5)], "read out": [(4, 4), (6, 6)], "Edge": [(9, 12)], "Near": [(9, 10)], "Far": [(9, 9), (11, 11)],
+        "measure": [(14, 19)], "from": [(14, 16)], "gap": [(14, 17)], "Label": [(21, 25)], "text": [], "ink": [], "title": [(21, 22)],
+        "data-ink": [(21, 22)], "colour": [], "Props": [],
     }),
     "C": (C, {
         "RING_NEXT": [(3, 3)], "compare_fn": [(5, 5)], "ring": [(7, 10)], "data": [(7, 8)], "head": [(7, 7), (9, 9)], "tail": [(7, 7), (9, 9)],
@@ -372,24 +412,25 @@ CASES = {
         "Running": [(25, 25), (27, 27)],
     }),
     "Cython": (CYTHON, {
-        "LIMIT": [(1, 1)], "count_t": [(2, 2)], "walk_all": [(4, 8)], "steps": [(4, 4)], "speed": [(4, 4)], "done": [(4, 7)], "k": [(4, 4), (6, 6)],
-        "Track": [(10, 15)], "points": [(10, 11)], "readonly": [], "length": [(10, 10), (13, 15)],
+        "root": [(1, 1)], "sqrt": [], "number": [(3, 5)], "Shade": [(7, 8)], "reach": [(10, 13)], "across": [(10, 11)], "down": [(10, 11)],
+        "square": [(11, 12)], "Lens": [(15, 25)], "frame": [(15, 16), (18, 19)], "self": [(15, 15), (18, 18), (21, 23)], "curve": [(15, 15), (21, 25)], "bend": [(15, 15), (21, 21), (23, 24)],
     }),
     "Go": (GO, {"Point": [(3, 6)], "Norm": [(8, 12)], "scale": [(8, 8)], "X": [(4, 5)], "t": [(8, 8), (10, 10)], "main": [(14, 15)]}),
     "Lua": (LUA, {"base": [(1, 2), (4, 4)], "Mod.run": [(2, 7)], "a": [(2, 2)], "key": [(2, 2), (6, 6)], "i": [(8, 8)]}),
     "Shell": (SHELL, {"greet": [(2, 7)], "who": [(2, 3)], "COLOR": [(8, 8)], "item": [(9, 9)]}),
     "CSS": (CSS, {"card": [(1, 4)], "title": [(1, 4)], "main": [(5, 5)]}),
     "Markdown": (MARKDOWN, {
-        "tags": [(2, 2)], "kind": [(3, 3)], "Cover": [(5, 7)], "Tools": [(8, 19)], "Generated": [(8, 8), (10, 19)],
-        "handle": [(8, 8), (10, 10), (12, 15)], "Snippets": [(20, 31)], "anvil": [(20, 20), (22, 23), (25, 26), (28, 28), (30, 30)],
+        "Garden": [(3, 34)], "Beds": [(3, 3), (5, 20)], "soil": [(3, 3), (5, 5), (9, 11)], "depth": [(3, 3), (5, 5), (9, 9), (11, 11)], "Herbs": [(3, 3), (5, 5), (14, 20)],
+        "Paths": [(3, 3), (5, 5), (14, 20)], "Tools": [(3, 3), (21, 34)], "Inner": [(3, 3), (21, 21), (27, 32)], "spade": [(3, 3), (21, 21), (27, 28), (30, 31)],
+        "Pond": [(35, 35)], "not a heading, but code": [], "nor this -->": [],
     }),
     "HTML": (HTML, {
         "Opening": [], "Opening\nhours": [(1, 4)], "map": [(1, 2), (5, 10), (17, 19)], "stops": [(1, 2), (5, 9)], "zoom": [(1, 2), (11, 12)],
         "zoomIn": [(1, 2), (11, 11), (13, 15)], "step": [(1, 2), (11, 11), (13, 13)], "omap": [(1, 2), (17, 19)], "hint": [(1, 2), (17, 17), (20, 22)],
     }),
     "TeX": (TEX, {
-        "page": [(1, 2)], "remark": [(3, 3)], "claim": [(4, 4)], "Methods": [(6, 14)], "Data": [(6, 14)], "data": [(6, 14)],
-        "main_claim": [(6, 8), (11, 14)], "Results": [(6, 6), (16, 17)],
+        "rank": [(2, 2)], "half": [(3, 3)], "pde": [(4, 4)], "Heat": [(5, 5), (7, 17)], "ch:heat": [(5, 5), (7, 17)], "Rods": [(5, 5), (7, 17)],
+        "fig:rod": [(5, 5), (7, 7), (9, 13)], "Ends": [(5, 5), (7, 7), (9, 9), (14, 17)], "eq:one": [(5, 5), (7, 7), (9, 9), (14, 17)], "Waves": [(5, 5), (19, 22)], "None": [], "Short": [],
     }),
     "YAML": (YAML, {"base": [(1, 6)], "shared": [(1, 1)], "host": [(2, 2)], "ports": [(3, 6)], "one": [(4, 4), (6, 6)], "two": [(5, 5)], "quoted": [(7, 7)], "inner": [(7, 7)], "odd key": [(7, 7)]}),
 }

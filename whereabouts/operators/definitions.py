@@ -220,14 +220,15 @@ def _ranges(placed: DataFrame, rules: list[Rule]) -> DataFrame:
         }
     )
     policy = F.col("policy")
+    own_end = F.coalesce("bracket_end", "block_end")  # what a row opens is around what stands on it
     one = one.withColumns(
         {
             "start_line": F.when(policy == "CLOSES", F.col("_closed.start_line"))
-            .when(policy == "INSIDE", F.col("_inside.s"))
+            .when(policy == "INSIDE", F.when(own_end.isNotNull(), line).otherwise(F.col("_inside.s")))
             .when(policy == "SECTION", F.coalesce("_section.s", F.when(F.col("block_end").isNotNull(), line)))
             .otherwise(line),
             "end_line": F.when(policy == "CLOSES", F.col("_closed.end_line"))
-            .when(policy == "INSIDE", F.col("_inside.e"))
+            .when(policy == "INSIDE", F.coalesce(own_end, "_inside.e"))
             .when(policy == "SECTION", F.coalesce("_section.e", "block_end"))
             .when(policy == "BLOCK", F.coalesce("block_end", "bracket_end", line + 1))
             .when(policy == "LOGICAL", F.coalesce("bracket_end", line + 1))

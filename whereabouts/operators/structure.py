@@ -277,6 +277,7 @@ def placed_rows(rows: DataFrame) -> DataFrame:
                 "mode = 'heading' AND is_code AND rank IS NULL AND NOT is_matter AND (prev_code IS NULL OR after_matter)"
             ),
             "opens_bracket": F.expr("is_code AND depth_after > base AND base >= 0"),
+            "goes_on_from": F.expr(f"is_code AND depth_after > base AND lead_close > 0 AND masked RLIKE {literal(r'^\s*\)')}"),
         }
     )
     return rows.withColumns(
@@ -296,13 +297,15 @@ def nest(rows: DataFrame, place: str, events: str, own: list[str]) -> DataFrame:
     """Answer the events: per asking row its own block ends and the blocks around it.
 
     Block ends come from the next close, blocks around from the last open, each inside one
-    level. The ``own`` columns come back with the answer. The events are written inside the
+    level. A row that closes a parenthesis and opens a body goes on with the header that the parenthesis is part of, so the
+    body's block starts where that one did. The ``own`` columns come back with the answer. The events are written inside the
     generator: a filter on a column of them would be pushed down, and compute them twice.
     """
     carried = ", ".join(f"'{c}', {c}" for c in own)
-    flat = rows.selectExpr(*KEYS, f"{place} AS place", "has_defs", *own, "eof_end", "head_end", "shown", "opener", f"inline({events})")
+    resumes = "goes_on_from" if "goes_on_from" in rows.columns else "false AS goes_on_from"
+    flat = rows.selectExpr(*KEYS, f"{place} AS place", "has_defs", *own, "eof_end", "head_end", "shown", "opener", resumes, f"inline({events})")
     flat = flat.selectExpr(
-        *KEYS, "place", "has_defs", "level", "ord", "close_end", "dip_end", "eof_end", "head_end", "shown",
+        *KEYS, "place", "has_defs", "level", "ord", "close_end", "dip_end", "eof_end", "head_end", "shown", "goes_on_from",
         f"IF(ord = {OPEN}, opener, NULL) AS opener", f"IF(ord = {OWN}, named_struct({carried}), NULL) AS own",
     )
     spec = "OVER (PARTITION BY file_id, unit, level ORDER BY place, ord)"
@@ -310,10 +313,13 @@ def nest(rows: DataFrame, place: str, events: str, own: list[str]) -> DataFrame:
         "*",
         f"coalesce(lead(close_end) IGNORE NULLS {spec}, eof_end) AS end_line",
         f"coalesce(head_end, lead(dip_end) IGNORE NULLS {spec}, eof_end) AS shown_end",
+        f"IF(ord = {OPEN} AND goes_on_from, last(IF(ord = {OPEN} AND NOT goes_on_from, named_struct('place', place, 'shown', shown), NULL))"
+        f" IGNORE NULLS {spec[:-1]} ROWS UNBOUNDED PRECEDING), NULL) AS from_",
     )
     opened = (
-        f"IF(ord = {OPEN}, named_struct('level', level, 'start_line', place, 'end_line', end_line,"
-        " 'head_end', shown_end, 'show', shown, 'opener', opener), NULL)"
+        f"IF(ord = {OPEN}, named_struct('level', level, 'start_line', IF(from_.shown IS NULL, place, from_.place), 'end_line', end_line,"
+        " 'head_end', CASE WHEN from_.shown IS NULL THEN shown_end WHEN from_.shown = 'ROW' THEN from_.place + 1 ELSE place + 1 END,"
+        " 'show', coalesce(from_.shown, shown), 'opener', opener), NULL)"
     )
     around = ended.selectExpr("*", f"last({opened}) IGNORE NULLS {spec[:-1]} ROWS UNBOUNDED PRECEDING) AS around_it")
     bracket = f"ord = {OPEN} AND level BETWEEN {BRACKETS} AND {HEADINGS - 1}"

@@ -125,6 +125,7 @@ PY_DEF = r"^\s*(?:async\s+)?(?:def|cp?def)\b"
 JS_MOD = r"""(?:(?:public|private|protected|static|async|get|set|readonly|override|abstract|declare|accessor|export|default)\s+(?=["'*#\w$]))*+"""
 JS_KEY = r"(?!(?:if|for|while|switch|catch|return|function|with|else|do|new|throw|await|typeof|case|super)\b)"
 JS_METHOD = rf"^\s*{JS_MOD}\*?\s*{JS_KEY}(#?[\w$]+)\s*(?:<[^>]*>)?\([^()]*\)\s*(?::[^{{]+)?\{{"
+TS_NAME = r"""["']?((?<=["'])[^"'\n]+(?=["'])|[\w$]+)["']?"""
 JS_OBJECT = r"^\{.*(?:(?:^\{|[=(:,\[?&|])\s*|\breturn\s+|\bdefault\s+)\{\s*$"
 
 C_NOT = r"(?!\s*(?:return|goto|else|case|typedef|using|delete|throw|new|if|for|while|switch|do|namespace|public|private|protected)\b)"
@@ -159,7 +160,7 @@ RULES: list[Rule] = [
     Rule(CY, "cy_constant", "variable", r"^\s*DEF\s+(\w+)", "LOGICAL", start=True),
     Rule(CY, "cy_function", "block", r"^\s*(?:cdef|cpdef)\s+(?!class\b|struct\b|enum\b|union\b|cppclass\b)[^=(]*?(\w+)\s*\((?:.*:\s*$|[^)]*$)", "BLOCK", start=True),
     Rule(CY, "cy_class", "block", r"^\s*(?:cdef|cpdef|ctypedef)\s+(?:(?:public|packed|api|extern)\s+)*+(?:class|cppclass|enum|fused|struct|union)\s+(\w+)", "BLOCK", start=True),
-    Rule(CY, "cy_variable", "variable", r"(?:[\s*&,])(\w+)\s*(?:\[[^\]]*+\])*+\s*(?==(?!=)|,|$)", "LOGICAL", start=True, gate=r"^\s*(?:cdef|cpdef)\s+(?!class\b|struct\b|enum\b|union\b|cppclass\b)[^():]*(?:=.*)?$"),
+    Rule(CY, "cy_variable", "variable", r"(?:^\s*(?:cdef|cpdef)\b[^=,]*?[\s*&]|,[\s*&]*+)(\w+)\s*(?:\[[^\]]*+\])*+\s*(?==(?!=)|,|$)", "LOGICAL", start=True, gate=r"^\s*(?:cdef|cpdef)\s+(?!class\b|struct\b|enum\b|union\b|cppclass\b)[^():]*(?:=.*)?$"),
     Rule(CY, "cy_field", "variable", r"(?:[\s*&])(\w+)\s*(?:\[[^\]]*+\])*+\s*$", "LOGICAL", start=True, gate=r"^\s+(?!(?:return|yield|import|from|raise|assert|del|global|nonlocal|cdef|cpdef|ctypedef|not|print|include|type|pass|break|continue)\b)[\w.]+(?:\s+[\w.]+)*[\s*&]+\w+\s*(?:\[[^\]]*+\])*+\s*$"),
     Rule(CY, "cy_typedef", "type", r"^\s*ctypedef\s+(?!class\b|struct\b|enum\b|union\b|fused\b)[^()]*?[\s*](\w+)\s*$", "LOGICAL", start=True),
     Rule(CY, "cy_param", "parameter", r"[(,]\s*(?:[\w.\[\]:]++[\s*&]++(?=\w))++(\w+)\s*(?==|,|\)|not\b|or\b|$)", gate=PY_DEF),
@@ -180,13 +181,13 @@ RULES: list[Rule] = [
     Rule(JS, "js_assign", "variable", r"^\s*((?:this|[\w$]+)(?:\.#?[\w$]++|\[[^\]]*+\])*+)\s*=(?![=>])", "LOGICAL", expand="member"),
     Rule(JS, "js_key", "key", r"""^\s*["']([^"']+)["']\s*:""", "LOGICAL", parent=JS_OBJECT),
     Rule(JS, "js_key_bare", "key", r"^\s*([\w$]+)\s*:(?!:)", "LOGICAL", parent=JS_OBJECT),
-    Rule(JS, "js_key_inline", "key", r"""[{,]\s*["']?([\w$]+)["']?\s*:(?!:)""", gate=r"(?:[=(:,\[]|\breturn)\s*\{[^{}]*:"),
+    Rule(JS, "js_key_inline", "key", r"""[{,]\s*["']?([\w$]+)["']?\s*:(?!:)""", gate=r"^(?!.*\(\s*\{[^{}]*\}[^()]*\)\s*(?::[^=]+)?(?:=>|\{)).*(?:[=(:,\[]|\breturn)\s*\{[^{}]*:"),
     Rule(JS, "js_class", "block", r"\bclass\s+(?!extends\b)([\w$]+)", "LOGICAL"),
     Rule(JS, "js_field", "field", rf"^\s*{JS_MOD}(#?[\w$]+)\s*[?!]?\s*(?::[^()=]*)?(?:=(?![=>]).*|;?\s*)$", "LOGICAL", parent=r"^\{.*\bclass\b"),
     Rule(TS, "ts_block", "block", r"^\s*(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:const\s+)?(?:interface|enum|namespace|module)\s+([\w$.]+)", "LOGICAL"),
     Rule(TS, "ts_type", "type", r"^\s*(?:export\s+)?(?:declare\s+)?type\s+([\w$]+)[^=]*=", "LOGICAL"),
-    Rule(TS, "ts_signature", "field", rf"""^\s*{JS_MOD}["']?([\w$]+)["']?\s*\??\s*(?:<[^>]*>)?[(:]""", "LOGICAL", parent=r"^\{.*\b(?:interface|type)\b"),
-    Rule(TS, "ts_enum_member", "field", r"""^\s*["']?([\w$]+)["']?\s*(?:=|,|$)""", parent=r"^\{.*\benum\b"),
+    Rule(TS, "ts_signature", "field", rf"""^\s*{JS_MOD}{TS_NAME}\s*\??\s*(?:<[^>]*>)?[(:]""", "LOGICAL", parent=r"^\{.*\b(?:interface|type)\b"),
+    Rule(TS, "ts_enum_member", "field", rf"""^\s*{TS_NAME}\s*(?:=|,|$)""", parent=r"^\{.*\benum\b"),
     Rule(TS, "ts_abstract", "block", r"^\s*(?:(?:public|private|protected)\s+)?abstract\s+(?!class\b)([\w$]+)\s*\(", "LOGICAL"),
     Rule(TS, "ts_alias", "alias", r"\bas\s+([\w$]+)", gate=r"^\s*(?:import|export)\b.*\{"),
     Rule(TS, "ts_alias_row", "alias", r"\bas\s+([\w$]+)", parent=r"^\{\s*(?:import|export)\b"),
@@ -298,7 +299,7 @@ CONTEXTS: list[Context] = [
     Context(PY, r"^\s*(?:async\s+)?(?:def|class|with|for|cdef|cpdef|ctypedef\s+(?:class|struct|enum|union|fused)|property)\b", "HEADER"),
     Context(PY, r"^\s*from\b.*\bimport\b", "WHOLE"),
     Context(PY, rf"^\s*{PY_TL}\s*(?::[^=]*)?=(?!=)", "ROW"),
-    Context(JS, rf"\bfunction\b|\bclass\b|=>\s*\{{?\s*$|{JS_METHOD}|=\s*(?:async\s*)?\(\s*$", "HEADER"),
+    Context(JS, rf"\bfunction\b|(?<!\babstract\s)\bclass\b|=>\s*\{{?\s*$|{JS_METHOD}|=\s*(?:async\s*)?\(\s*$", "HEADER"),
     Context(JS, r"\b(?:let|const|var)\b|^\s*(?:this|[\w$]+)(?:\.#?[\w$]++|\[[^\]]*+\])*+\s*=(?![=>])", "ROW"),
     Context(TS, r"""\b(?:interface|enum)\b|^\s*(?:export\s+)?type\b|^\s*["']?[\w$]+["']?\s*\??\s*:""", "ROW"),
     Context(TSX, r"^\s*<[A-Za-z][\w.]*(?:\s|$)", "ROW"),
@@ -307,7 +308,7 @@ CONTEXTS: list[Context] = [
     Context(CXX, r"^\s*(?:inline\s+)?namespace\b|\bclass\b", "ROW"),
     Context(CXX, r"^\s*(?:explicit\s+)?(?!(?:if|for|while|switch|catch)\b)(?:\w++::)*+~?\w+\s*\([^;]*\)\s*(?::[^;]*)?\{", "HEADER"),
     Context(GO, r"\bfunc\b", "HEADER"),
-    Context(GO, r"^\s*type\b", "ROW"),
+    Context(GO, r"^\s*type\b(?!\s*\()|^\s*\w+\s+(?:struct|interface)\s*\{\s*$", "ROW"),
     Context(RS, r"\bfn\b", "HEADER"),
     Context(RS, r"\b(?:impl|struct|enum|trait)\b|^\s*(?:\w++::)*+\w+!\s*[({\[]|(?:^\s*|[=(,]\s*|\breturn\s+)(?:\w++::)*+[A-Z]\w*\s*\{\s*$", "ROW"),
     Context(LUA, r"\bfunction\b|^\s*for\b", "HEADER"),
