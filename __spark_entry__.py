@@ -245,6 +245,16 @@ def logical_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("file_id").agg(F.sum(F.col("is_start").cast("bigint")).alias("n_statements"), F.max("depth_after").cast("bigint").alias("open_at_end"))
 
 
+def bracketed_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements that go over several rows, brackets within brackets, and how deep they go."""
+    _, contexts, lexis, *_ = E._for_languages(PY, E.BUILTIN)
+    units = E.units_of(language_corpora.files(spark, sf_dir, "rows_python"), PY).select("file_id", "unit", "language", "start_line", "content")
+    rows = S.state_rows(S.read_rows(S.masked_rows(units, lexis), lexis, contexts))
+    return rows.groupBy("file_id").agg(
+        F.sum(F.col("is_start").cast("bigint")).alias("n_statements"), F.max("depth_after").cast("bigint").alias("deepest"), F.max_by("depth_after", "line_no").cast("bigint").alias("open_at_end")
+    )
+
+
 def definition_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _py(spark, sf_dir).select(F.explode("names").alias("name"), "file_id", "kind").groupBy("name", "file_id", "kind").agg(F.count("*").alias("n_definitions"))
 
@@ -345,6 +355,13 @@ def import_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.imports(_py(spark, sf_dir, references=True)).groupBy("language", "origin", "name").agg(F.count("*").alias("n_files"))
 
 
+def import_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names from imports of several names, over several rows, and the parts of dotted names."""
+    block = "from lib_{k}.sub import one_{k} as uno_{k}, two_{k}|from deep_{k} import (|    three_{k},|    four_{k} as vier_{k},|)|call(pkg_{k}.mod.fn)"
+    found = E.extract(language_corpora.corpus(spark, sf_dir, "Python", block), PY, references=True)
+    return R.imports(found).select("language", "origin", "name").distinct()
+
+
 def import_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = C.py_files(spark, sf_dir).select(F.col("file_id").alias("path"))
     part = _read(spark, sf_dir, "part")
@@ -358,7 +375,8 @@ def import_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rule_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _read(spark, sf_dir, "part")
     builtin = part.groupBy(F.col("p_brand").alias("language"), F.col("p_type").alias("field")).agg(F.max("p_name").alias("value"))
-    user = part.where("p_size > 45").groupBy(F.col("p_brand").alias("language"), F.col("p_type").alias("field")).agg(F.min("p_name").alias("value"))
+    said = F.when(F.col("p_size") > 45, F.col("p_name"))  # fields that the user leaves unset are null
+    user = part.groupBy(F.col("p_brand").alias("language"), F.col("p_type").alias("field")).agg(F.min(said).alias("value"))
     return layers.override(builtin, user)
 
 
@@ -391,8 +409,8 @@ QUERIES = [
     lines_explode, candidate_files, candidate_files_icase, range_union_gap0, range_union_gap1, range_end, excerpt_lines,
     case_style_terms, case_style_rejects, only_names, complete_prefix, language_by_extension, language_candidates, alias_lookup,
     skip_status, html_headings, html_fragments, fragment_definitions, json_keys, markdown_sections, front_matter_keys,
-    fenced_blocks, fence_context, nested_fragments, unclosed_headings, notebook_markdown, indent_blocks, logical_lines, definition_index, lookup_term, lookup_batch,
-    attached_context, ancestor_headers, calls_by_definition, single_callee_chain, recursive_lookup, pattern_batch, import_pairs, import_ranking, rule_override,
+    fenced_blocks, fence_context, nested_fragments, unclosed_headings, notebook_markdown, indent_blocks, logical_lines, bracketed_statements, definition_index, lookup_term, lookup_batch,
+    attached_context, ancestor_headers, calls_by_definition, single_callee_chain, recursive_lookup, pattern_batch, import_pairs, import_names, import_ranking, rule_override,
     rule_extends,
 ]
 

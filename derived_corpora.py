@@ -19,14 +19,14 @@ def _agg(engine: str, value: str, by: str, order: str) -> str:
 
 
 def py_sql(engine: str) -> str:
-    """``path, content``: one Python module per customer with orders, per brand, and one for units."""
+    """``path, content``: one Python module per customer, per brand, and one for units."""
     s = lambda x: f"CAST({x} AS varchar)" if engine != "spark" else f"CAST({x} AS string)"
     return f"""
     SELECT concat('src/nation_', {s('c_nationkey')}, '/customer_', {s('c_custkey')}, '.py') AS path,
       concat('from src.parts import brands as brand_mod', {N}, {N}, '# ', c_mktsegment, {N},
         'class Customer_', {s('c_custkey')}, ':', {N}, '    segment = "', c_mktsegment, '"', {N}, {N},
-        {_agg(engine, 'm', f'concat({N}, {N})', 'o_orderkey')}, {N}) AS content
-    FROM customer JOIN (
+        coalesce({_agg(engine, 'm', f'concat({N}, {N})', 'o_orderkey')}, ''), {N}) AS content
+    FROM customer LEFT JOIN (
       SELECT o_custkey, o_orderkey, concat('    # order ', {s('o_orderkey')}, {N}, '    @audited', {N},
         '    def order_', {s('o_orderkey')}, '(self, qty=1):', {N}, coalesce(body, '        pass')) AS m
       FROM orders LEFT JOIN (

@@ -60,13 +60,13 @@ ORACLES: dict[str, str] = {
     "case_style_rejects": "SELECT DISTINCT p_name AS term, CASE WHEN contains(p_name, ' ') THEN 'not_recaseable' ELSE 'ok' END AS status, "
     "CASE WHEN contains(p_name, ' ') THEN strlen(split_part(p_name, ' ', 1)) END AS bad_at FROM part",
     "only_names": f"""SELECT concat('order_', o_orderkey) AS name FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)
-        UNION SELECT concat('Customer_', c_custkey) FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)
+        UNION SELECT concat('Customer_', c_custkey) FROM customer
         UNION SELECT concat('part_', p_partkey) FROM part UNION SELECT concat('unit_', p_size) FROM part
         UNION SELECT unnest(['self', 'qty', 'n', 'segment', 'brand_mod'])""",
-    "complete_prefix": "SELECT concat('Customer_', c_custkey) AS name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) AND starts_with(CAST(c_custkey AS varchar), '1')",
+    "complete_prefix": "SELECT concat('Customer_', c_custkey) AS name FROM customer WHERE starts_with(CAST(c_custkey AS varchar), '1')",
     "language_by_extension": f"""SELECT language, count(*) AS n_files FROM (
           SELECT CASE WHEN regexp_matches(url, '^[^?#]*\\.html([?#]|$)') THEN 'HTML' ELSE 'unknown' END AS language FROM pages
-          UNION ALL SELECT 'Python' FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)
+          UNION ALL SELECT 'Python' FROM customer
           UNION ALL SELECT 'Python' FROM (SELECT DISTINCT p_brand FROM part)
           UNION ALL SELECT 'Python') GROUP BY language""",
     "language_candidates": """WITH b AS (SELECT p_partkey, p_size % 8 AS o, p_partkey % 8 AS n, ['C', 'C++', 'Objective-C'] AS c FROM part),
@@ -129,9 +129,9 @@ ORACLES: dict[str, str] = {
     "definition_index": f"""WITH o AS (SELECT {CUSTOMER_PATH} AS p, c_custkey, o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey)
           SELECT concat('order_', o_orderkey) AS name, p AS file_id, 'block' AS kind, count(*) AS n_definitions FROM o GROUP BY ALL
           UNION ALL SELECT unnest(['self', 'qty']), p, 'parameter', count(*) FROM o GROUP BY p
-          UNION ALL SELECT DISTINCT concat('Customer_', c_custkey), p, 'block', 1 FROM o
-          UNION ALL SELECT DISTINCT 'segment', p, 'variable', 1 FROM o
-          UNION ALL SELECT DISTINCT 'brand_mod', p, 'alias', 1 FROM o
+          UNION ALL SELECT concat('Customer_', c_custkey), {CUSTOMER_PATH}, 'block', 1 FROM customer
+          UNION ALL SELECT 'segment', {CUSTOMER_PATH}, 'variable', 1 FROM customer
+          UNION ALL SELECT 'brand_mod', {CUSTOMER_PATH}, 'alias', 1 FROM customer
           UNION ALL SELECT concat('part_', p_partkey), {BRAND_PATH}, 'block', 1 FROM part
           UNION ALL SELECT 'n', {BRAND_PATH}, 'parameter', count(*) FROM part GROUP BY 2
           UNION ALL SELECT DISTINCT concat('unit_', p_size), 'src/parts/units.py', 'block', 1 FROM part
@@ -187,7 +187,11 @@ ORACLES: dict[str, str] = {
           UNION ALL SELECT DISTINCT concat('ba[', p_size), NULL, 'bad_pattern' FROM part
           UNION ALL SELECT t, name, 'ok' FROM (SELECT DISTINCT p_size % 10 AS d, concat('.*_', p_size % 10, '9') AS t FROM part) JOIN names ON regexp_matches(name, concat('^.*_', d, '9$'))""",
     "import_pairs": """SELECT 'Python' AS language, 'src.parts' AS origin, 'brands as brand_mod' AS name, count(*) AS n_files
-          FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)""",
+          FROM customer""",
+    "bracketed_statements": """SELECT CAST(CAST(floor(o_orderkey / 64) AS bigint) AS varchar) AS file_id, 4 * count(*) AS n_statements, 2 AS deepest, 0 AS open_at_end FROM orders GROUP BY 1""",
+    "import_names": """WITH k AS (SELECT CAST(o_orderkey AS varchar) AS k FROM orders), v(o, n) AS (VALUES ('lib_{k}.sub', 'one_{k} as uno_{k}'), ('lib_{k}.sub', 'two_{k}'),
+            ('deep_{k}', 'three_{k}'), ('deep_{k}', 'four_{k} as vier_{k}'), ('pkg_{k}', 'mod'), ('pkg_{k}.mod', 'fn'))
+          SELECT 'Python' AS language, replace(o, '{k}', k) AS origin, replace(n, '{k}', k) AS name FROM k CROSS JOIN v""",
     "import_ranking": f"""SELECT DISTINCT concat('other.parts.', lower(replace(p_brand, '#', '_'))) AS origin, {BRAND_PATH} AS path, CAST(2 AS BIGINT) AS score FROM part""",
     "rule_override": """WITH b AS (SELECT p_brand AS language, p_type AS field, max(p_name) AS v FROM part GROUP BY ALL),
           u AS (SELECT p_brand AS language, p_type AS field, min(p_name) AS v FROM part WHERE p_size > 45 GROUP BY ALL)

@@ -13,15 +13,26 @@ from ..functions import names as N
 from ..functions import text as T
 from .ranges import union_ranges
 
+# What makes a match depend on more than the characters it takes up, and what can take up a row end.
+ANCHORED = re.compile(r"\^|\$|\\[AbBGzZQE]|\(\?(?!:)")
+CROSSING = re.compile(r"\[\^|\\[^wdS.\\\[\](){}|?*+^$/_-]")
+
+
 def has_row_matching(content: Column, pattern: str, ignore_case: bool = False) -> Column:
     """Candidate test: the pattern, not anchored, inside one row of the raw text.
 
-    A plain word is sought in the whole text first, since it can't reach over a row end.
+    Unless it has anchors or looks around, a match in a row is one in the text, so texts without any are not cut into
+    rows; and where it can't take up a row end, nor is there a CR that would be dropped from one, no text is.
     """
     flags = "(?iud)" if ignore_case else "(?d)"
-    if re.fullmatch(r"\w+", pattern):
-        return content.rlike(flags + pattern)
-    return F.exists(T.split_lines(content), lambda x: x.rlike(flags + pattern))
+    loose = flags + pattern
+    rows = F.exists(T.split_lines(content), lambda x: x.rlike(loose))
+    if ANCHORED.search(pattern):
+        return rows
+    whole = content.rlike(loose)
+    if CROSSING.search(pattern):
+        return F.when(whole, rows).otherwise(whole)
+    return F.when(whole & (F.instr(content, "\r") > 0), rows).otherwise(whole)
 
 
 def candidate_files(files: DataFrame, pattern: str, ignore_case: bool = False) -> DataFrame:

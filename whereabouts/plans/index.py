@@ -22,10 +22,10 @@ def save_index(definitions: DataFrame, path: str, buckets: int = BUCKETS, partit
     Placed by hash, so the extraction runs once; a placement by range would run it a second
     time for its sample. ``partitions`` (``spark.sql.shuffle.partitions`` unless given) is the number of
     writing tasks: a name is spread over as many as its files need, so a name that a third of all files
-    define is no hot spot. ``rows_per_file`` splits files further. The number of buckets is kept in each row.
+    define is no hot spot. ``rows_per_file`` splits files further. The number of buckets is kept with the schema.
     """
     rows = named(definitions).select("name", "file_id", "unit", "language", "rule_id", "kind", "start_line", "end_line", "ranges")
-    rows = rows.withColumns({"buckets": F.lit(buckets), "bucket": _bucket(F.col("name"), F.lit(buckets))})
+    rows = rows.withColumn("name", F.col("name").alias("name", metadata={"buckets": buckets})).withColumn("bucket", _bucket(F.col("name"), F.lit(buckets)))
     tasks = partitions or int(definitions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = F.pmod(F.xxhash64("file_id"), F.lit(max(8, -(-4 * tasks // buckets))))
     placed = rows.repartition(tasks, "bucket", spread).sortWithinPartitions("bucket", "name", "file_id")
@@ -36,13 +36,11 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def lookup_word(index: DataFrame, name: str, buckets: int = BUCKETS) -> DataFrame:
-    """Ranges of one literal name: reads one folder, and of it the row groups with the name.
-
-    ``buckets`` is what the index was saved with; another number raises an error rather than miss rows.
-    """
-    if (row := index.select("buckets").first()) is not None and row["buckets"] != buckets:
-        raise ValueError(f"the index was saved with {row['buckets']} buckets, not {buckets}")
+def lookup_word(index: DataFrame, name: str) -> DataFrame:
+    """Ranges of one literal name: reads one folder, and of it the row groups with the name."""
+    buckets = index.schema["name"].metadata.get("buckets")
+    if buckets is None:
+        raise ValueError("no index as save_index writes it")
     found = index.where((F.col("bucket") == _bucket(F.lit(name), F.lit(buckets))) & (F.col("name") == name))
     return found.select("file_id", F.explode("ranges").alias("r")).select("file_id", "r.start_line", "r.end_line")
 
