@@ -401,3 +401,26 @@ SHOWN = {
 @pytest.mark.parametrize("page", SHOWN)
 def test_all_that_a_browser_shows(page):
     assert html_text.visible_text(page) == SHOWN[page]
+
+
+BIG = 2**53 + 1  # an id that a double does not hold
+
+
+def test_line_dedup_ids_and_columns(spark):
+    p = _long_line(60, 400)
+    names = ["own_id", "own_key", "row", "run_id", "run_key", "gone", "again", "cut", "gone_", "cut_", "mark", "held"]
+    rows = [(BIG, f"a\n{p}"), (BIG + 2, f"b\n{p}"), (None, f"c\n{p}"), (None, "short"), (BIG + 2, "again"), (1, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({n: F.lit(n) for n in names})
+    got = line_dedup.dedup_lines(df)
+    assert got.columns == ["doc_id", "text", *names, "lines_removed"]
+    back = got.collect()
+    assert {(r.doc_id, r.text) for r in back} == {(BIG, f"a\n{p}"), (BIG + 2, "b"), (None, "c"), (None, "short"), (BIG + 2, "again"), (1, None)}
+    assert all(r[n] == n for r in back for n in names)
+
+
+def test_marks_that_stand_often(spark, monkeypatch):
+    """The broadcast of frequent marks and the join of all others tell the same."""
+    rows = spark.createDataFrame([(i, m) for i, m in enumerate([1] * 50 + [2] * 3 + [3] * 2 + [4, 5])], "n int, mark long")
+    for least in (1, 10, 4096):
+        monkeypatch.setattr(line_dedup, "LEAST_HEAVY", least)
+        assert sorted(r.n for r in line_dedup.standing_twice(rows, 0).collect()) == list(range(55))

@@ -15,6 +15,8 @@ from .common import BLOCK, Words, mixed, powers, ready, saved
 GRAM_WORDS = 20
 WINDOW_WORDS = 40
 CUT_WORDS = 6
+HEAVY = 16_384  # marks at most that go to all tasks, since they stand often
+LEAST_HEAVY = 4096
 BLANKS = np.isin(np.arange(256), [9, 10, 11, 12, 13, 28, 29, 30, 31, 32])
 OTHER_BLANKS = re.compile(r"[^\S\n]")
 TOKENS = re.compile(r"\S+\s*")
@@ -89,40 +91,63 @@ def run_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mixed((sums[ends] - sums[starts]) * down[starts])
 
 
-def grams(hashes: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """From each unit on, the shortest run of units with ``least`` words or more: its hash and its end (0: none)."""
+def grams(hashes: np.ndarray, words: np.ndarray, least: int, stops: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """From each unit on, the shortest run of units with ``least`` words or more: its hash and its end (0: none).
+
+    ``stops`` has the end of each unit's text, where there are several.
+    """
     sums = np.concatenate(([0], np.cumsum(words)))
     ends = np.searchsorted(sums, sums[:-1] + least, "left")
-    ends = np.where((ends <= len(hashes)) & (words > 0), ends, 0)
+    ends = np.where((ends <= (len(hashes) if stops is None else stops)) & (words > 0), ends, 0)
     found = np.zeros(len(hashes), np.uint64)
     live = np.flatnonzero(ends)
     found[live] = run_hashes(hashes, live, ends[live])
     return found, ends
 
 
-def fingerprints(hashes: np.ndarray, words: np.ndarray, gram: int, window: int) -> np.ndarray:
+def fingerprints(hashes: np.ndarray, words: np.ndarray, gram: int, window: int, stops: np.ndarray | None = None) -> np.ndarray:
     """Starts of the grams that are least within some window: a run of units with ``window`` words or more.
 
-    A window depends on its units alone, so equal runs of that length hold an equal fingerprint at the same place.
+    A window depends on its units alone, so equal runs of that length hold an equal fingerprint at the same place. The least of
+    all windows at once comes from the least of spans of 1, 2, 4, ... grams, two of which cover a window; the later of equals counts.
     """
-    found, ends = (x.tolist() for x in grams(hashes, words, gram))
-    until = grams(hashes, words, window)[1]
-    chosen = set()
-    best: list[int] = []  # starts of grams within the window, of rising hashes
-    head = n = 0
-    for start, end in zip(np.flatnonzero(until).tolist(), until[until > 0].tolist()):
-        n = max(n, start)
-        while n < end and ends[n] <= end:
-            if ends[n]:
-                while len(best) > head and found[best[-1]] >= found[n]:
-                    best.pop()
-                best.append(n)
-            n += 1
-        while len(best) > head and best[head] < start:
-            head += 1
-        if len(best) > head:
-            chosen.add(best[head])
-    return np.array(sorted(chosen), dtype=np.int64)
+    found, ends = grams(hashes, words, gram, stops)
+    until = grams(hashes, words, window, stops)[1]
+    live = np.flatnonzero(ends)
+    starts = np.flatnonzero(until)
+    if not len(starts):
+        return starts
+    value, last = found[live], ends[live]
+    low, high = np.searchsorted(live, starts), np.searchsorted(last, until[starts], "right")
+    step = np.frexp((high - low).astype(float))[1] - 1  # the largest power of two that fits
+    least = np.arange(len(live))
+    chosen = np.empty(len(starts), np.int64)
+    for k in range(int(step.max()) + 1):
+        now = np.flatnonzero(step == k)
+        left, right = least[low[now]], least[high[now] - (1 << k)]
+        chosen[now] = np.where(value[right] <= value[left], right, left)
+        if len(least) <= 1 << k:
+            break
+        left, right = least[: -(1 << k)], least[1 << k :]
+        least = np.where(value[right] <= value[left], right, left)
+    return live[np.unique(chosen)]
+
+
+def extended(hashes: np.ndarray, words: np.ndarray, at: np.ndarray, gram: int, window: int, first: np.ndarray, stops: np.ndarray):
+    """Fingerprints extended to each side by half of what they lack of a window: ``(fingerprint, start, end, hash)``.
+
+    A window around a fingerprint has that much on one side at least, so it holds one of both.
+    """
+    sums = np.concatenate(([0], np.cumsum(words)))
+    ends = grams(hashes, words, gram, stops)[1][at]
+    need = np.maximum(0, (window - (sums[ends] - sums[at]) + 1) // 2)
+    left = np.where(need > 0, np.searchsorted(sums, sums[at] - need, "right") - 1, at)
+    right = np.where(need > 0, np.searchsorted(sums, sums[ends] + need, "left"), ends)
+    to_left, to_right = left >= first[at], (right <= stops[at]) & (need > 0)
+    which = np.concatenate((np.flatnonzero(to_left), np.flatnonzero(to_right)))
+    starts = np.concatenate((left[to_left], at[to_right]))
+    ends = np.concatenate((ends[to_left], right[to_right]))
+    return which, starts, ends, run_hashes(hashes, starts, ends)
 
 
 def windows(hashes: np.ndarray, words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,37 +171,70 @@ def first_lines(found: np.ndarray, starts: np.ndarray, lines: np.ndarray) -> np.
     return lines[starts] != lines[starts[first]][which]
 
 
+def marked(texts: list[str | None], gram: int, window: int):
+    """``(text, hashes, words, lines, starts, ends, marks)`` of each text that has fingerprints: its units, and its fingerprints
+    extended to either side."""
+    many = list(units(texts))
+    sizes = np.array([len(h) for h, _, _ in many], np.int64)
+    if not sizes.sum():
+        return
+    hashes, words = (np.concatenate([u[k] for u in many]) for k in (0, 1))
+    edges = np.concatenate(([0], np.cumsum(sizes)))
+    first, stops = np.repeat(edges[:-1], sizes), np.repeat(edges[1:], sizes)
+    at = fingerprints(hashes, words, gram, window, stops)
+    _, starts, ends, found = extended(hashes, words, at, gram, window, first, stops)
+    owner = np.searchsorted(edges, starts, "right") - 1
+    order = np.argsort(owner, kind="stable")
+    starts, ends, found, owner = starts[order], ends[order], found[order].view(np.int64), owner[order]
+    bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
+    for text in np.flatnonzero(np.diff(bounds)).tolist():
+        own = slice(bounds[text], bounds[text + 1])
+        yield text, *many[text], (starts[own] - edges[text]).astype(np.int32), (ends[own] - edges[text]).astype(np.int32), found[own]
+
+
+def standing_twice(marks: DataFrame, total: int) -> DataFrame:
+    """The rows of ``marks`` whose ``mark`` stands in two rows or more.
+
+    Marks are counted with map-side combine. Those that stand very often are few, ``HEAVY`` at most by what there are of rows, and
+    reach the rows as a broadcast, so no mark that a third of all rows have goes to one task; the rest meet by a join.
+    """
+    counts = saved(marks.groupBy("mark").agg(F.count("*").alias("held")).where("held > 1"))
+    often = F.lit(max(LEAST_HEAVY, total // HEAVY))
+    heavy = counts.where(F.col("held") > often).select("mark", F.lit(True).alias("heavy"))
+    rows = marks.join(F.broadcast(heavy), "mark", "left")
+    light = rows.where("heavy IS NULL").join(counts.where(F.col("held") <= often).select("mark"), "mark", "left_semi")
+    return rows.where("heavy").unionByName(light).drop("heavy")
+
+
 def repeated_runs(docs: DataFrame, gram: int = GRAM_WORDS, window: int = WINDOW_WORDS) -> DataFrame:
     """``doc_id, key, gone, again``: for each text that loses something, hashes of its windows that also stand in an
     earlier document, and of those that stand in an earlier line of the same one, which keeps the first.
 
-    ``key`` is a hash of the text. Earlier is by doc_id, then by line. Fingerprints that stand at two or more places tell
-    which windows are worth comparing: a window that stands twice holds one. Each such window meets its first place.
+    ``key`` is a hash of the text. Earlier is by doc_id, then by line. Positions of fingerprints, extended to either side, are joined
+    by what they hold; those that stand twice tell which windows may: a window that stands twice holds one. Each such window meets its
+    first place, so a run is followed as far as any earlier place has it.
     """
 
     def read(batches):
         for batch in batches:
+            ids, keys = batch["doc_id"].tolist(), batch["key"].tolist()
             rows = []
-            for doc_id, key, (hashes, words, lines) in zip(batch["doc_id"], batch["key"], units(list(batch["text"]))):
-                starts = fingerprints(hashes, words, gram, window)
-                if len(starts):
-                    found = grams(hashes, words, gram)[0].view(np.int64)[starts]
-                    turns = np.diff(lines, prepend=-1).astype(bool)
-                    rows.append((doc_id, key, hashes.tobytes(), (words + 128 * turns).astype(np.uint8).tobytes(), found, starts.astype(np.int32)))
-            yield pd.DataFrame(rows, columns=["doc_id", "key", "hashes", "words", "grams", "starts"])
+            for text, hashes, words, lines, starts, ends, marks in marked(batch["text"].tolist(), gram, window):
+                turns = np.diff(lines, prepend=-1).astype(bool)
+                rows.append((ids[text], keys[text], hashes.tobytes(), (words + 128 * turns).astype(np.uint8).tobytes(), marks, starts, ends))
+            yield pd.DataFrame(rows, columns=["doc_id", "key", "hashes", "words", "marks", "starts", "ends"])
 
     def compare(batches):
         for batch in batches:
             rows = []
-            for doc_id, key, hashes, words, at in zip(*[batch[c] for c in ("doc_id", "key", "hashes", "words", "at")]):
+            for doc_id, key, hashes, words, at in zip(*[batch[c].tolist() for c in ("doc_id", "key", "hashes", "words", "at")]):
                 hashes, words = np.frombuffer(hashes, np.uint64), np.frombuffer(words, np.uint8)
                 lines, words = np.cumsum(words >> 7), (words & 127).astype(np.int64)
                 starts, ends, found = windows(hashes, words, window)
-                at = np.sort(np.asarray(at, np.int64))
-                last = grams(hashes, words, gram)[1][at]
-                which = np.searchsorted(at, starts)
-                near = which < len(at)
-                near[near] = last[which[near]] <= ends[near]
+                spans = np.array([(x["starts"], x["ends"]) for x in at], np.int64)
+                spans = spans[np.argsort(spans[:, 0])]
+                nearest = np.append(np.minimum.accumulate(spans[::-1, 1])[::-1], len(hashes) + 1)  # least end of the spans from each one on
+                near = nearest[np.searchsorted(spans[:, 0], starts)] <= ends
                 starts, found = starts[near], found[near]
                 later = first_lines(found, starts, lines)
                 run, which = np.unique(found.view(np.int64), return_inverse=True)
@@ -185,15 +243,17 @@ def repeated_runs(docs: DataFrame, gram: int = GRAM_WORDS, window: int = WINDOW_
             yield pd.DataFrame(rows, columns=["doc_id", "key", "run", "again"])
 
     ready(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
-    lines = saved(texts.mapInPandas(read, "doc_id long, key long, hashes binary, words binary, grams array<long>, starts array<int>"))
-    marks = lines.select("doc_id", "key", F.explode(F.arrays_zip("grams", "starts")).alias("g")).select("doc_id", "key", "g.grams", "g.starts")
-    shared = marks.groupBy("grams").agg(F.count("*").alias("held")).where("held > 1").select("grams")
-    at = marks.join(shared, "grams", "left_semi").groupBy("doc_id", "key").agg(F.collect_set("starts").alias("at"))
+    # ids travel as text, since a null among numbers would turn all of a batch into doubles
+    texts = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
+    lines = saved(texts.mapInPandas(read, "doc_id string, key long, hashes binary, words binary, marks array<long>, starts array<int>, ends array<int>"))
+    total = lines.agg(F.sum(F.size("marks"))).first()[0] or 0
+    marks = lines.select("doc_id", "key", F.explode(F.arrays_zip(F.col("marks").alias("mark"), "starts", "ends")).alias("g")).select("doc_id", "key", "g.mark", "g.starts", "g.ends")
+    at = standing_twice(marks, total).groupBy("doc_id", "key").agg(F.collect_set(F.struct("starts", "ends")).alias("at"))
     at = at.select(F.col("doc_id").alias("own_id"), F.col("key").alias("own_key"), "at")
     whole = lines.select("doc_id", "key", "hashes", "words").dropDuplicates(["doc_id", "key"])
     near = whole.join(at, _same(whole, at, "doc_id", "own_id", "key", "own_key")).select("doc_id", "key", "hashes", "words", "at")
-    held = saved(near.mapInPandas(compare, "doc_id long, key long, run long, again boolean"))
+    held = near.mapInPandas(compare, "doc_id string, key long, run long, again boolean")
+    held = saved(held.withColumn("doc_id", F.col("doc_id").cast("long")))
     # Null ids come last, so that they never are first while there is another.
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     first = held.groupBy("run").agg(F.min(place).alias("o"), F.count("*").alias("held"), F.max("again").alias("any")).where("held > 1 OR any")
@@ -236,13 +296,15 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM_WORDS, window: int = WINDOW_WO
             rows[i] = without(texts[i], np.cumsum(edges[:-1]) > 0, words, lines)
         return pd.DataFrame(rows, columns=["text", "n"])
 
-    runs = repeated_runs(docs, gram, window)
-    runs = runs.select(F.col("doc_id").alias("run_id"), F.col("key").alias("run_key"), "gone", F.col("again").alias("again_"))
-    rows = docs.drop("lines_removed").withColumn("run_key_", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = rows.join(runs.withColumnRenamed("gone", "gone_"), rows["doc_id"].cast("long").eqNullSafe(runs["run_id"]) & (rows["run_key_"] == runs["run_key"]), "left")
+    runs = repeated_runs(docs.select("doc_id", "text"), gram, window)
+    runs = runs.select(F.col("doc_id").alias("run_id"), F.col("key").alias("run_key"), "gone", "again")
+    # the caller's columns go along in one struct, so none of them can clash with one of ours
+    rows = docs.drop("lines_removed").select(F.struct("*").alias("row"))
+    rows = rows.withColumns({"own_id": F.col("row.doc_id").cast("long"), "own_key": F.xxhash64(F.coalesce("row.text", F.lit("")))})
+    joined = rows.join(runs, rows["own_id"].eqNullSafe(runs["run_id"]) & (rows["own_key"] == runs["run_key"]), "left")
+    out = joined.withColumn("cut", cut("row.text", "gone", "again"))
     names = [c for c in docs.columns if c != "lines_removed"]
-    out = joined.withColumn("cut_", cut("text", "gone_", "again_"))
-    return out.select(*[F.col("cut_.text").alias("text") if c == "text" else F.col(c) for c in names], F.col("cut_.n").alias("lines_removed"))
+    return out.select(*[(F.col("cut.text") if c == "text" else F.col("row").getField(c)).alias(c) for c in names], F.col("cut.n").alias("lines_removed"))
 
 
 def without(text: str, gone: np.ndarray, words: np.ndarray, lines: np.ndarray) -> tuple[str, int]:
