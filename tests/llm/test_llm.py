@@ -424,3 +424,28 @@ def test_marks_that_stand_often(spark, monkeypatch):
     for least in (1, 10, 4096):
         monkeypatch.setattr(line_dedup, "LEAST_HEAVY", least)
         assert sorted(r.n for r in line_dedup.standing_twice(rows, 0).collect()) == list(range(55))
+
+
+def test_ids_beside_null(spark):
+    """A null id in a batch leaves all others as they are."""
+    ids = [BIG, BIG + 2, None]
+    docs = spark.createDataFrame([(i, "some words of a text here", "en") for i in ids], "doc_id long, text string, lang string").coalesce(1)
+    labels = spark.createDataFrame([(BIG, 1, 1)], "doc_id long, toxic int, quality int")
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.col("text").alias("html"))
+    runs = {
+        "op1": packing.packed(docs, BPE), "op4": simhash.near_duplicates(docs), "op5": language_id.identify(docs), "op6": quality.quality(docs, labels), "op7": fingerprint.with_next(docs),
+        "op9": pieces.round_trip(docs, PIECES), "op9e": pieces.decoded(pieces.encoded(docs, PIECES), PIECES), "op10": toxicity.toxic(docs, labels), "op8": html_text.extracted(pages).withColumnRenamed("page_id", "doc_id"),
+    }
+    for name, found in runs.items():
+        got = [r.doc_id for r in found.collect()]
+        assert sorted(got, key=str) == sorted(ids, key=str), name
+    kept = toxicity.toxic(docs.withColumn("score", F.lit("x")), labels, keep=("doc_id", "score", "lang"))
+    assert kept.columns == ["doc_id", "lang", "held_out", "score", "predicted"]
+
+
+def test_keep_one_keeps_one_row(spark):
+    rows = [(None, "a b c d e", 1), (None, "a b c d e", 1), (7, "own text that stays here", 2), (7, "own text that stays here", 2), (7, "a b c d e", 3), (1, "a b c d e", 4), (1, "a b c d e", 5), (None, None, 6), (3, "", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_ int").withColumn("place_", F.lit(1))
+    got = simhash.keep_one(docs).collect()
+    assert len(got) == 3 and {(r.doc_id, r.text) for r in got} == {(1, "a b c d e"), (7, "own text that stays here"), (3, "")}
+    assert simhash.keep_one(docs.limit(0)).count() == 0 and got[0].asDict().keys() == {"doc_id", "text", "row_", "place_"}

@@ -6,9 +6,10 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,11 +45,42 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def on_texts(text: Column, run: Callable[[list], "pd.Series | pd.DataFrame"], kind: str) -> Column:
+    """A column that ``run`` makes of the texts of one Arrow batch at a time (a list; null is None).
+
+    Only texts go to Python, so ids, which pandas would turn into doubles beside a null, and all other columns stay as they are.
+    Not to be moved or repeated by the optimizer: it is the costly step.
+    """
+    if kind.startswith("struct"):
+
+        @F.pandas_udf(kind)
+        def made(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for texts in batches:
+                yield run(texts.tolist())
+
+    else:
+
+        @F.pandas_udf(kind)
+        def made(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for texts in batches:
+                yield run(texts.tolist())
+
+    return made.asNondeterministic()(text)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that no model may learn from: crc32 of the id as text, mod 4, is 2."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+def judged(docs: DataFrame, run: Callable[[list], pd.Series], cut: float, keep: tuple[str, ...]) -> DataFrame:
+    """``keep`` columns, then ``held_out, score, predicted``; columns of the same name are left out of ``keep``."""
+    made = on_texts(F.col("text"), run, "double")
+    kept = [c for c in keep if c not in ("held_out", "score", "predicted")]
+    rows = docs.select(*kept, held_out(F.col("doc_id")).alias("held_out"), made.alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= cut).cast("int"))
+
+
 def learnable(docs: DataFrame, labels: DataFrame, column: str, most: int) -> DataFrame:
     """``doc_id, text, label`` (0/1) of at most ``most`` labelled rows, chosen by a hash of the id.
 

@@ -164,15 +164,16 @@ def with_next(docs: DataFrame, size: int = 2000) -> DataFrame:
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             none = batch["doc_id"].isna()
-            run = np.searchsorted(falling, -batch["doc_id"].fillna(0).to_numpy(np.float64), "right")
+            run = np.searchsorted(falling, -pd.to_numeric(batch["doc_id"]).astype(float).fillna(0).to_numpy(), "right")
             run = np.where(none, len(edges) + 1, run)
             texts = [t or "" for t in batch["text"]]
             yield pd.DataFrame(
                 {"run": run, "doc_id": batch["doc_id"], "mark": [fingerprint(codes_of(t)) for t in texts], "text": [press.compress(t.encode()) for t in texts]}
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(mark, "run int, doc_id long, mark binary, text binary")
-    dealt = rows.repartition(max(1, (runs + 1) // 4), "run").sortWithinPartitions("run", F.col("doc_id").desc_nulls_last(), "text")
+    # ids travel as text, since a null among numbers would turn all of a batch into doubles
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").mapInPandas(mark, "run int, doc_id string, mark binary, text binary")
+    dealt = rows.repartition(max(1, (runs + 1) // 4), "run").sortWithinPartitions("run", F.col("doc_id").cast("long").desc_nulls_last(), "text")
 
     def pair(batches):
         opened = zstandard.ZstdDecompressor()
@@ -193,9 +194,9 @@ def with_next(docs: DataFrame, size: int = 2000) -> DataFrame:
             yield frame([(held[0], "tail", held[1], *[None] * 7, held[3], held[4])])
 
     def frame(rows):
-        return pd.DataFrame(rows, columns=["run", "part", "doc_id", *FIELDS, "own", "text"]).astype({"doc_id": "Int64", "n_chars": "Int64", "shared_prefix": "Int64"})
+        return pd.DataFrame(rows, columns=["run", "part", "doc_id", *FIELDS, "own", "text"]).astype({"n_chars": "Int64", "shared_prefix": "Int64"})
 
-    found = saved(dealt.mapInPandas(pair, f"run int, part string, doc_id long, {RESULT}, own binary, text binary"))
+    found = saved(dealt.mapInPandas(pair, f"run int, part string, doc_id string, {RESULT}, own binary, text binary"))
     heads = found.where("part = 'head'").select("run", F.col("own").alias("next_own"), F.col("text").alias("next_text"))
     known = sorted(r[0] for r in heads.select("run").collect())
     after = dict(zip(known, known[1:] + known[:1]))
@@ -207,12 +208,12 @@ def with_next(docs: DataFrame, size: int = 2000) -> DataFrame:
         read = lambda x: codes_of(opened.decompress(x).decode())
         for batch in batches:
             out = [(d, *_compare(read(t), o, read(u), p)) for d, o, t, p, u in zip(*[batch[c] for c in ("doc_id", "own", "text", "next_own", "next_text")])]
-            yield pd.DataFrame(out, columns=["doc_id", *FIELDS]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", *FIELDS])
 
-    ends = tails.select("doc_id", "own", "text", "next_own", "next_text").mapInPandas(last, f"doc_id long, {RESULT}")
+    ends = tails.select("doc_id", "own", "text", "next_own", "next_text").mapInPandas(last, f"doc_id string, {RESULT}")
     both = found.where("part = 'row'").select("doc_id", *FIELDS).unionByName(ends)
     low = lambda c: F.lower(F.hex(c))
     return both.select(
-        "doc_id", "n_chars", low("sha").alias("edited_sha256"), low("mark").alias("fingerprint"), low("new_mark").alias("edited_fingerprint"),
+        F.col("doc_id").cast("long").alias("doc_id"), "n_chars", low("sha").alias("edited_sha256"), low("mark").alias("fingerprint"), low("new_mark").alias("edited_fingerprint"),
         "near_edited", "near_next", "shared_prefix",
     )

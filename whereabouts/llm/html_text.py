@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready
+from .common import on_texts, ready
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -371,11 +371,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     repeat come back as often. No rows: no rows.
     """
 
-    def run(batches):
-        for batch in batches:
-            texts = [visible_text(x) for x in batch["html"]]
-            yield pd.DataFrame({"page_id": batch["page_id"], "text": texts})
-
     ready(pages.sparkSession)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInPandas(run, "page_id long, text string")
+    made = on_texts(F.col("html"), lambda texts: pd.Series([visible_text(x) for x in texts], dtype=object), "string")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), made.alias("text"))
     return rows.withColumn("n_chars", F.length("text").cast("long"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, held_out, learnable, mixed, powers, ready
+from .common import blocks, held_out, learnable, mixed, on_texts, powers, ready
 
 ORDERS = (1, 2, 3, 4)
 BITS = 16
@@ -105,11 +105,11 @@ def identify(docs: DataFrame, most: int = 8000, bits: int = BITS) -> DataFrame:
     ready(spark)
     model = spark.sparkContext.broadcast(learn(docs, most, bits))
 
-    def run(batches):
+    def run(texts):
         codes, logs = model.value
-        for batch in batches:
-            names, sure = score(list(batch["text"]), codes, logs, bits)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "lang_pred": names, "score": sure})
+        names, sure = score(texts, codes, logs, bits)
+        return pd.DataFrame({"lang_pred": names, "score": sure})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    made = on_texts(F.col("text"), run, "struct<lang_pred:string,score:double>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), made.alias("made"))
+    return rows.select("doc_id", "held_out", "made.lang_pred", "made.score")

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready
+from .common import on_texts, ready
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -66,22 +66,21 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator:
     """
     end = np.array([separator], dtype="<u4").tobytes()
 
-    def run(batches):
+    def run(texts):
         library = encoder(tokenizer)
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = library.ids(text or "") + end
-                n = len(ids) // 4
-                at, size = 0, n if n <= capacity else n % capacity or capacity
-                piece = 0
-                while at < n:
-                    rows.append((doc_id, piece, at, size, zlib.crc32(memoryview(ids)[4 * at : 4 * (at + size)])))
-                    at, size, piece = at + size, capacity, piece + 1
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+        rows = []
+        for text in texts:
+            ids = library.ids(text or "") + end
+            n = len(ids) // 4
+            first = n if n <= capacity else n % capacity or capacity
+            cuts = [0, *range(first, n, capacity), n]
+            rows.append((cuts[:-1], [b - a for a, b in zip(cuts, cuts[1:])], [zlib.crc32(memoryview(ids)[4 * a : 4 * b]) for a, b in zip(cuts, cuts[1:])]))
+        return pd.DataFrame(rows, columns=["start", "length", "ids_crc32"])
 
     ready(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    made = on_texts(F.col("text"), run, "struct<start:array<bigint>,length:array<bigint>,ids_crc32:array<bigint>>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), made.alias("made"))
+    return rows.select("doc_id", F.posexplode(F.arrays_zip("made.start", "made.length", "made.ids_crc32")).alias("piece", "x")).select("doc_id", "piece", "x.*")
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -191,5 +190,7 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator:
         group["offset"] = offset
         return group.drop(columns=["shard"])
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return rows.groupBy("shard").applyInPandas(run, schema)
+    # ids travel as text, since a null among numbers would turn all of a group into doubles
+    rows = rows.withColumn("doc_id", F.col("doc_id").cast("string"))
+    schema = "doc_id string, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    return rows.groupBy("shard").applyInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast("long"))

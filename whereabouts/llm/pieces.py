@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready
+from .common import on_texts, ready
 
 SPACE = "▁"
 TAIL = ",.!?%*&#$|;:"
@@ -245,26 +245,24 @@ def coder(path: str) -> Coder:
 def encoded(docs: DataFrame, model: str, end: bool = True) -> DataFrame:
     """``doc_id, ids`` of every row of ``docs (doc_id, text)``, with the model's end id last."""
 
-    def run(batches):
+    def run(texts):
         library = coder(model)
-        for batch in batches:
-            ids = [x.astype(np.int32) for x in library.encode(batch["text"].fillna("").tolist())]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": [np.append(x, np.int32(library.end)) if end else x for x in ids]})
+        ids = [x.astype(np.int32) for x in library.encode([t or "" for t in texts])]
+        return pd.Series([np.append(x, np.int32(library.end)) if end else x for x in ids], dtype=object)
 
     ready(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), on_texts(F.col("text"), run, "array<int>").alias("ids"))
 
 
 def decoded(rows: DataFrame, model: str) -> DataFrame:
     """``doc_id, text`` of rows ``(doc_id, ids)``; null ids give a null text, no ids an empty one."""
 
-    def run(batches):
+    def run(ids):
         library = coder(model)
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [None if x is None else library.decode(np.asarray(x, dtype=np.int64)) for x in batch["ids"]]})
+        return pd.Series([None if x is None else library.decode(np.asarray(x, dtype=np.int64)) for x in ids], dtype=object)
 
     ready(rows.sparkSession)
-    return rows.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
+    return rows.select("doc_id", on_texts(F.col("ids"), run, "string").alias("text"))
 
 
 def round_trip(docs: DataFrame, model: str) -> DataFrame:
@@ -274,16 +272,16 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
     rows come back as often. A literal U+2581 decodes to a blank, as in the library. No rows: no rows.
     """
 
-    def run(batches):
+    def run(texts):
         library = coder(model)
         end = np.array([library.end], dtype=library.kind)
-        for batch in batches:
-            rows = []
-            for doc_id, ids in zip(batch["doc_id"], library.encode(batch["text"].fillna("").tolist())):
-                ids = np.concatenate((ids, end))
-                written = hashlib.sha256(library.digits.joined(ids)[1:]).hexdigest()
-                rows.append((doc_id, len(ids), written, hashlib.sha256(library.decode(ids).encode()).hexdigest()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        rows = []
+        for ids in library.encode([t or "" for t in texts]):
+            ids = np.concatenate((ids, end))
+            written = hashlib.sha256(library.digits.joined(ids)[1:]).hexdigest()
+            rows.append((len(ids), written, hashlib.sha256(library.decode(ids).encode()).hexdigest()))
+        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     ready(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    made = on_texts(F.col("text"), run, "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), made.alias("made")).select("doc_id", "made.*")

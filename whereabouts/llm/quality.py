@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, averaged, blocks, held_out, learnable, ready, saved, sigmoid
+from .common import Words, averaged, blocks, judged, learnable, ready, saved, sigmoid
 
 PASSAGE = 1024  # bytes
 HIDDEN = 24
@@ -145,18 +145,12 @@ def quality(docs: DataFrame, labels: DataFrame, cut: float = CUT, keep: tuple[st
     ready(spark)
     model = spark.sparkContext.broadcast(learn(docs, labels, **how))
 
-    def run(batches):
+    def run(texts):
         params = model.value
-        for batch in batches:
-            chance = np.ones(len(batch))
-            if params is not None and len(batch):
-                own, x = passages(list(batch["text"]))
-                chance = sigmoid(forward(params, own, x)["logit"])
-            out = batch[[*keep, "held_out"]].copy()
-            out["score"], out["predicted"] = chance.astype(np.float64), (chance >= cut).astype(np.int32)
-            yield out
-
-    rows = docs.select(*dict.fromkeys((*keep, "text")), held_out(F.col("doc_id")).alias("held_out"))
-    kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", held_out boolean, score double, predicted int"
-    return rows.mapInPandas(run, schema)
+        chance = np.ones(len(texts))
+        if params is not None and len(texts):
+            own, x = passages(texts)
+            chance = sigmoid(forward(params, own, x)["logit"])
+        return pd.Series(chance.astype(np.float64))
+
+    return judged(docs, run, cut, keep)

@@ -6,10 +6,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, saved
+from .common import on_texts, ready, saved
 from .components import components
 
 SHINGLE = 4
@@ -46,16 +46,14 @@ def majority(hashes: np.ndarray) -> int:
     return int(sum(1 << i for i in np.flatnonzero(2 * ones > len(hashes)).tolist()))
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp``: the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, *more: Column) -> DataFrame:
+    """``doc_id``, more columns, and ``fp``, the fingerprint as a signed long."""
 
-    def run(batches):
-        for batch in batches:
-            found = np.array([fingerprint(t, shingle) for t in batch["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": found})
+    def run(texts):
+        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
 
     ready(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more, on_texts(F.col("text"), run, "bigint").alias("fp"))
 
 
 def _counts(fps: np.ndarray) -> np.ndarray:
@@ -152,20 +150,37 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     Null and empty texts, and texts of blanks, have fingerprint zero and link like any other. Repeated rows come back as
     often. A null doc_id keeps its row and never becomes a component's name unless it has no other. No rows: no rows.
     """
-    ready(docs.sparkSession)
     marks = saved(fingerprints(docs, shingle))
+    reps, roots = grouped(marks, radius, tile)
+    named = reps.join(roots, "fp")
+    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = named.join(least, "root").select("fp", "component_id")
+    return marks.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def grouped(marks: DataFrame, radius: int, tile: int) -> tuple[DataFrame, DataFrame]:
+    """``fp, rep`` with the smallest id of each fingerprint, and ``fp, root``, the component of each."""
     reps = saved(marks.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     n = reps.count()
     number = max(1, math.ceil(n / max(tile, 16 * math.sqrt(n + 1))))
     roots = components(links(reps.select("fp"), number, radius))
-    grouped = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = grouped.join(least, "root").select("fp", "component_id")
-    return marks.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return reps, reps.select("fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` whose id names its component: one document of each group, with all their columns."""
-    groups = near_duplicates(docs, **how)
-    kept = groups.where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile: int = 1024) -> DataFrame:
+    """One row of each component of ``docs (doc_id, text, ...)``, with all its columns: that of the smallest id.
+
+    Null ids come last. Of rows that share the id, the one of the least hash of its columns stays; of rows equal in all
+    columns, one. Null and empty texts are one component. No rows: no rows.
+    """
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    whole = F.xxhash64(*hashed)
+    marks = saved(fingerprints(docs, shingle, whole.alias("own")))
+    _, roots = grouped(marks, radius, tile)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), "own")
+    rows = marks.groupBy("fp", place.alias("place")).agg(F.count("*").alias("copies"))
+    best = rows.join(roots, "fp").groupBy("root").agg(F.min(F.struct("place", "copies")).alias("b")).select(F.col("b.place").alias("place_"), F.col("b.copies").alias("copies_"))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("id"), whole.alias("own"))
+    kept = docs.select(F.struct("*").alias("row_"), row.alias("place_")).join(best, "place_")
+    single = kept.where("copies_ = 1").select("row_.*")
+    return single.unionByName(kept.where("copies_ > 1").dropDuplicates(["place_"]).select("row_.*"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, averaged, blocks, held_out, learnable, ready, saved, sigmoid
+from .common import Words, averaged, blocks, judged, learnable, ready, saved, sigmoid
 
 BITS = 20
 PREFIXES = (4, 5, 6)
@@ -143,19 +143,11 @@ def toxic(docs: DataFrame, labels: DataFrame, cut: float = CUT, bits: int = BITS
     ready(spark)
     model = spark.sparkContext.broadcast(learn(docs, labels, bits=bits, **how))
 
-    def run(batches):
+    def run(texts):
         params = model.value
-        for batch in batches:
-            if params is None:
-                chance = np.zeros(len(batch))
-            else:
-                own, term = present([fold(t) for t in batch["text"]], params["place"], bits)
-                chance = sigmoid(margins(params, own, term, len(batch))[0])
-            out = batch[[*keep, "held_out"]].copy()
-            out["score"], out["predicted"] = chance, (chance >= cut).astype(np.int32)
-            yield out
-
-    rows = docs.select(*dict.fromkeys((*keep, "text")), held_out(F.col("doc_id")).alias("held_out"))
-    kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", held_out boolean, score double, predicted int"
-    return rows.mapInPandas(run, schema)
+        if params is None:
+            return pd.Series(np.zeros(len(texts)))
+        own, term = present([fold(t) for t in texts], params["place"], bits)
+        return pd.Series(sigmoid(margins(params, own, term, len(texts))[0]))
+
+    return judged(docs, run, cut, keep)
