@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 from .common import BLOCK, Words, mixed, powers, ready, saved
 
-GRAM_WORDS = 20
+GRAM_WORDS = 8
 WINDOW_WORDS = 40
 CUT_WORDS = 6
 HEAVY = 16_384  # marks at most that go to all tasks, since they stand often
 LEAST_HEAVY = 4096
 BLANKS = np.isin(np.arange(256), [9, 10, 11, 12, 13, 28, 29, 30, 31, 32])
-OTHER_BLANKS = re.compile(r"[^\S\n]")
+OTHER_BLANKS = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")  # fixed values: blanks beyond ASCII
 TOKENS = re.compile(r"\S+\s*")
 
 
@@ -76,12 +76,10 @@ def _units(texts: list[bytes]):
     hashes = np.concatenate((found.hashes(found.starts[first], found.ends[last - 1]), np.zeros(len(empty), np.uint64)))[order]
     words = np.concatenate((last - first, np.zeros(len(empty), np.int64)))[order]
     line = np.concatenate((line[first], empty))[order]
-    top = 0
-    for text in texts:
-        below = top + text.count(b"\n") + 1
-        a, b = np.searchsorted(line, (top, below))
+    tops = np.concatenate(([0], np.cumsum([t.count(b"\n") + 1 for t in texts])))
+    bounds = np.searchsorted(line, tops)
+    for top, a, b in zip(tops.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
         yield hashes[a:b], words[a:b], line[a:b] - top
-        top = below
 
 
 def run_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -217,24 +215,24 @@ def repeated_runs(docs: DataFrame, gram: int = GRAM_WORDS, window: int = WINDOW_
 
     def read(batches):
         for batch in batches:
-            ids, keys = batch["doc_id"].tolist(), batch["key"].tolist()
+            ids, keys, n = batch["doc_id"].tolist(), batch["key"].tolist(), batch["n"].tolist()
             rows = []
             for text, hashes, words, lines, starts, ends, marks in marked(batch["text"].tolist(), gram, window):
                 turns = np.diff(lines, prepend=-1).astype(bool)
-                rows.append((ids[text], keys[text], hashes.tobytes(), (words + 128 * turns).astype(np.uint8).tobytes(), marks, starts, ends))
-            yield pd.DataFrame(rows, columns=["doc_id", "key", "hashes", "words", "marks", "starts", "ends"])
+                rows.append((n[text], ids[text], keys[text], hashes.tobytes(), (words + 128 * turns).astype(np.uint8).tobytes(), marks, starts, ends))
+            yield pd.DataFrame(rows, columns=["n", "doc_id", "key", "hashes", "words", "marks", "starts", "ends"])
 
     def compare(batches):
         for batch in batches:
             rows = []
-            for doc_id, key, hashes, words, at in zip(*[batch[c].tolist() for c in ("doc_id", "key", "hashes", "words", "at")]):
+            for doc_id, key, hashes, words, own_starts, own_ends, at in zip(*[batch[c].tolist() for c in ("doc_id", "key", "hashes", "words", "starts", "ends", "at")]):
                 hashes, words = np.frombuffer(hashes, np.uint64), np.frombuffer(words, np.uint8)
                 lines, words = np.cumsum(words >> 7), (words & 127).astype(np.int64)
                 starts, ends, found = windows(hashes, words, window)
-                spans = np.array([(x["starts"], x["ends"]) for x in at], np.int64)
-                spans = spans[np.argsort(spans[:, 0])]
-                nearest = np.append(np.minimum.accumulate(spans[::-1, 1])[::-1], len(hashes) + 1)  # least end of the spans from each one on
-                near = nearest[np.searchsorted(spans[:, 0], starts)] <= ends
+                first, last = own_starts[at], own_ends[at]
+                order = np.argsort(first)
+                nearest = np.append(np.minimum.accumulate(last[order][::-1])[::-1], len(hashes) + 1)  # least end of the spans from each one on
+                near = nearest[np.searchsorted(first[order], starts)] <= ends
                 starts, found = starts[near], found[near]
                 later = first_lines(found, starts, lines)
                 run, which = np.unique(found.view(np.int64), return_inverse=True)
@@ -245,13 +243,12 @@ def repeated_runs(docs: DataFrame, gram: int = GRAM_WORDS, window: int = WINDOW_
     ready(docs.sparkSession)
     # ids travel as text, since a null among numbers would turn all of a batch into doubles
     texts = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
-    lines = saved(texts.mapInPandas(read, "doc_id string, key long, hashes binary, words binary, marks array<long>, starts array<int>, ends array<int>"))
+    texts = texts.withColumn("n", F.monotonically_increasing_id())
+    lines = saved(texts.mapInPandas(read, "n long, doc_id string, key long, hashes binary, words binary, marks array<long>, starts array<int>, ends array<int>"))
     total = lines.agg(F.sum(F.size("marks"))).first()[0] or 0
-    marks = lines.select("doc_id", "key", F.explode(F.arrays_zip(F.col("marks").alias("mark"), "starts", "ends")).alias("g")).select("doc_id", "key", "g.mark", "g.starts", "g.ends")
-    at = standing_twice(marks, total).groupBy("doc_id", "key").agg(F.collect_set(F.struct("starts", "ends")).alias("at"))
-    at = at.select(F.col("doc_id").alias("own_id"), F.col("key").alias("own_key"), "at")
-    whole = lines.select("doc_id", "key", "hashes", "words").dropDuplicates(["doc_id", "key"])
-    near = whole.join(at, _same(whole, at, "doc_id", "own_id", "key", "own_key")).select("doc_id", "key", "hashes", "words", "at")
+    marks = lines.select("n", F.posexplode("marks").alias("i", "mark"))
+    at = standing_twice(marks, total).groupBy("n").agg(F.collect_list("i").alias("at"))
+    near = lines.drop("marks").join(at, "n")
     held = near.mapInPandas(compare, "doc_id string, key long, run long, again boolean")
     held = saved(held.withColumn("doc_id", F.col("doc_id").cast("long")))
     # Null ids come last, so that they never are first while there is another.
