@@ -449,3 +449,17 @@ def test_keep_one_keeps_one_row(spark):
     got = simhash.keep_one(docs).collect()
     assert len(got) == 3 and {(r.doc_id, r.text) for r in got} == {(1, "a b c d e"), (7, "own text that stays here"), (3, "")}
     assert simhash.keep_one(docs.limit(0)).count() == 0 and got[0].asDict().keys() == {"doc_id", "text", "row_", "place_"}
+
+
+def test_pairs_of_neutral_terms(spark):
+    """Labels that depend on a pair of terms, each of which is neutral alone, are learned from texts."""
+    random.seed(12)
+    rows = []
+    for i in range(1600):
+        a, b = random.random() < 0.5, random.random() < 0.5
+        words = [random.choice(["river", "stone", "cloud", "grass", "light", "field"]) + str(random.randrange(30)) for _ in range(12)]
+        rows.append((i, " ".join(words + ["zork"] * a + ["blim"] * b), int(a == b)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = toxicity.toxic(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), cut=0.5).toPandas().merge(pd.DataFrame(rows, columns=["doc_id", "text", "toxic"]), on="doc_id")
+    mine = got[got.held_out]
+    assert (mine.predicted == mine.toxic).mean() > 0.97

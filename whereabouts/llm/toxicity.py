@@ -70,6 +70,60 @@ def chosen_terms(sample: DataFrame, least_z: float, most: int, bits: int) -> np.
     return np.sort(top["bucket"].to_numpy(np.int64))
 
 
+def paired_terms(sample: DataFrame, least_z: float, most: int, bits: int) -> np.ndarray:
+    """Buckets of terms that tell something only beside another one: of the ``most`` terms in the most documents, those of a pair
+    whose share of toxic documents differs from either term's own share by ``least_z`` standard errors, both to one side.
+
+    Each task counts its documents' pairs in one matrix of ``most`` times ``most``, a parameter and not the data's size;
+    Spark adds up what the matrices hold.
+    """
+
+    def count(batches):
+        held = []
+        for batch in batches:
+            own, bucket = present([fold(t) for t in batch["text"]], place.value, bits)
+            held.append((own + sum(h[2] for h in held), bucket, len(batch), batch["label"].to_numpy(np.float32)))
+        if not held:
+            return
+        n = sum(h[2] for h in held)
+        label = np.concatenate([h[3] for h in held])
+        both, toxic = np.zeros((most, most), np.float32), np.zeros((most, most), np.float32)
+        own, term = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+        order = np.argsort(own, kind="stable")
+        own, term = own[order], term[order]
+        for top in range(0, n, 1024):
+            a, b = np.searchsorted(own, (top, top + 1024))
+            x = np.zeros((min(1024, n - top), most), np.float32)
+            x[own[a:b] - top, term[a:b]] = 1
+            both += x.T @ x
+            toxic += (x * label[top : top + 1024, None]).T @ x
+        i, j = np.nonzero(np.triu(both))
+        yield pd.DataFrame({"i": i, "j": j, "n": both[i, j].astype(np.int64), "toxic": toxic[i, j].astype(np.int64)})
+
+    rows = sample.count()
+    df = sample.select("text").mapInPandas(lambda batches: _frequencies(batches, bits), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    top = df.where((F.col("n") >= 5) & (F.col("n") <= 0.9 * rows)).orderBy(F.desc("n"), "bucket").limit(most).select("bucket").toPandas()
+    buckets = np.sort(top["bucket"].to_numpy(np.int64))
+    of = np.full(1 << bits, -1, np.int32)
+    of[buckets] = np.arange(len(buckets))
+    place = sample.sparkSession.sparkContext.broadcast(of)
+    pairs = sample.mapInPandas(count, "i int, j int, n long, toxic long").groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    pairs = saved(pairs.where("n >= 5"))
+    single = pairs.where("i = j").select("i", (F.col("toxic") / F.col("n")).alias("share"))
+    met = pairs.where("i <> j").join(single.withColumnsRenamed({"share": "si"}), "i").join(single.select(F.col("i").alias("j"), F.col("share").alias("sj")), "j")
+    off = lambda s: (F.col("toxic") - F.col("n") * F.col(s)) / F.sqrt(F.col("n") * F.col(s) * (1 - F.col(s)) + 1)
+    met = met.withColumns({"zi": off("si"), "zj": off("sj")}).where((F.least("zi", "zj") >= least_z) | (F.greatest("zi", "zj") <= -least_z))
+    found = met.select(F.explode(F.array("i", "j")).alias("i")).distinct().toPandas()  # ``most`` rows at most
+    return buckets[np.sort(found["i"].to_numpy(np.int64))]
+
+
+def _frequencies(batches, bits: int):
+    for batch in batches:
+        _, bucket = present([fold(t) for t in batch["text"]], None, bits)
+        seen, n = np.unique(bucket, return_counts=True)
+        yield pd.DataFrame({"bucket": seen, "n": n})
+
+
 def margins(params: dict[str, np.ndarray], own: np.ndarray, term: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Bias, weights and half of (square of the sum - sum of squares) of the factors of the terms present."""
     v = params["v"][term]
@@ -102,19 +156,20 @@ def fit(params: dict[str, np.ndarray], data: bytes, steps: int = 60, rate: float
     return {k: v.astype(np.float32) for k, v in now.items()}
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: int = 24000, terms_kept: int = 8192, least_z: float = 3.0, shards: int = 8, shard_rows: int = 3000, rounds: int = 4, bits: int = BITS) -> dict[str, np.ndarray] | None:
+def learn(docs: DataFrame, labels: DataFrame, most: int = 24000, terms_kept: int = 8192, least_z: float = 3.0, paired: int = 1024, least_pair_z: float = 6.0, shards: int = 8, shard_rows: int = 3000, rounds: int = 4, bits: int = BITS) -> dict[str, np.ndarray] | None:
     """Parameters of the machine: ``place`` of each bucket (-1: none), ``b``, ``w``, ``v``; None if nothing can be learned.
 
     Learns from at most ``most`` labelled rows that are not held out, in shards whose parameters are averaged after each
     of ``rounds`` rounds: one shard per ``shard_rows`` rows, at most ``shards``. In smaller ones most terms are missing,
-    and averaging would hold their weights down.
+    and averaging would hold their weights down. A term takes part if it tells something on its own (``chosen_terms``) or beside
+    another one (``paired_terms``).
     """
     sample = saved(learnable(docs, labels, "toxic", most))
     rows = sample.count()
     if not rows:
         return None
     shards = min(shards, -(-rows // shard_rows))
-    chosen = chosen_terms(sample, least_z, terms_kept, bits)
+    chosen = np.union1d(chosen_terms(sample, least_z, terms_kept, bits), paired_terms(sample, least_pair_z, paired, bits))
     place = np.full(1 << bits, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     sent = docs.sparkSession.sparkContext.broadcast(place)
