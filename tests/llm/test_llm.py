@@ -463,3 +463,34 @@ def test_pairs_of_neutral_terms(spark):
     got = toxicity.toxic(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), cut=0.5).toPandas().merge(pd.DataFrame(rows, columns=["doc_id", "text", "toxic"]), on="doc_id")
     mine = got[got.held_out]
     assert (mine.predicted == mine.toxic).mean() > 0.97
+
+
+def test_deep_and_wide_pages():
+    import time
+
+    began = time.time()
+    assert html_text.visible_text("<table><tr><td>" * 5000 + "x").strip() == "x"
+    assert html_text.visible_text("<div>" * 100_000 + "x") == "x"
+    assert html_text.visible_text("<b>" * 100_000 + "</i>" * 100_000 + "x") == "x"
+    assert html_text.visible_text("<p>" * 50_000 + "x") == "x" and html_text.visible_text("<ul><li>" * 3000 + "x").strip().endswith("x")
+    assert time.time() - began < 60
+    assert html_text.visible_text("<table><tr><td colspan=2>ab<td>c<tr><td>d<td>e<td>f</table>") == "ab    c\nd  e  f"
+    assert html_text.visible_text("<table><tr><td colspan=x>a<td>b<tr><td>cc<td colspan=0>d</table>") == "a   b\ncc  d"
+
+
+def test_pieces_of_long_words(monkeypatch):
+    """Text without blanks in linear time, and a cache that holds no more than it may, with equal ids."""
+    import time
+
+    monkeypatch.setattr(pieces, "KEPT_CHARS", 2000)
+    library, mine = sentencepiece.SentencePieceProcessor(model_file=PIECES), pieces.Coder(PIECES)
+    random.seed(21)
+    texts = ["".join(random.choice("abcdeé日本") for _ in range(random.choice((3, 40, 900)))) + " end" for _ in range(400)]
+    for _ in range(2):
+        for text, ids in zip(texts, mine.encode(texts)):
+            assert ids.tolist() == library.encode(text)
+    assert max(map(len, mine.words)) <= pieces.LONG + 1
+    began, sizes = time.time(), []
+    for n in (500_000, 2_000_000):
+        sizes.append(len(mine.encode(["".join(random.choice("abcde") for _ in range(n))])[0]))
+    assert time.time() - began < 60 and sizes[1] > 3 * sizes[0]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -99,19 +100,24 @@ def tree(page: str) -> Node:
     tags, classes, ids = hidden_rules(page)
     root = Node("#root")
     stack = [root]
+    opened: Counter[str] = Counter()  # how many of each tag are open, so that the stack is not searched for what is not there
+
+    def cut(i: int) -> None:
+        opened.subtract(x.tag for x in stack[i:])
+        del stack[i:]
 
     def close(names: set[str], stops) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in names:
-                del stack[i:]
-                return close(names, stops)
-            if stack[i].tag in stops:
-                return
+        i = len(stack) - 1
+        while i > 0 and any(opened[x] for x in names) and stack[i].tag not in stops | names:
+            i -= 1
+        if i > 0 and stack[i].tag in names:
+            cut(i)
+            close(names, stops)
 
     def drawing() -> bool:
-        return drawings > 0 and any(x.tag == "svg" for x in stack)
+        return opened["svg"] > 0
 
-    at, n, drawings = 0, len(page), 0
+    at, n = 0, len(page)
     while at < n:
         m = TOKEN.search(page, at)
         if m is None:
@@ -127,17 +133,17 @@ def tree(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
+            if not opened[tag]:
+                if tag == "p" and not (opened["td"] or opened["th"] or opened["table"]):
+                    stack[-1].children.append(Node("p"))
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    cut(i)
                     break
                 if tag not in ("table", "body", "html") and stack[i].tag in ("td", "th", "table") and tag not in ("tr", "tbody", "thead", "tfoot"):
                     break
-            else:
-                if tag == "p":
-                    stack[-1].children.append(Node("p"))
             continue
-        drawings += tag == "svg"
         hidden, start, marks = tag in UNSEEN or tag in tags, 1, {}
         if drawing():
             hidden = hidden or tag in UNDRAWN
@@ -146,7 +152,7 @@ def tree(page: str) -> Node:
         if m[3]:
             for name, *values in ATTRIBUTE.findall(m[3]):
                 name, value = name.lower(), "".join(values)
-                if name in ("selected", "multiple", "size", "label", "disabled", "open"):
+                if name in ("selected", "multiple", "size", "label", "disabled", "open", "colspan"):
                     marks[name] = html.unescape(value)
                 elif name == "hidden" and value.lower() != "until-found":
                     hidden = True
@@ -164,7 +170,7 @@ def tree(page: str) -> Node:
         elif tag in BLOCKS and tag not in ("html", "body", "caption"):
             close({"p"}, IN_PARAGRAPH_STOPS)
         if stack[-1].tag == "head" and tag in BLOCKS:
-            stack.pop()
+            cut(len(stack) - 1)
         node = Node(tag, hidden, start)
         node.marks = marks
         stack[-1].children.append(node)
@@ -179,6 +185,7 @@ def tree(page: str) -> Node:
             at = (page.find(">", close_at) + 1 or n) if end else n
             continue
         stack.append(node)
+        opened[tag] += 1
     return root
 
 
@@ -217,8 +224,8 @@ class Page:
         self.gap = True
 
 
-def render(node: Node) -> list[str]:
-    """The visible text of a tree, block by block, without recursion over depth."""
+def render(node: Node, tables: dict[int, list[str]]) -> list[str]:
+    """The visible text of a tree, block by block, without recursion over depth; the lines of its tables are known."""
     page = Page()
     todo: list[tuple] = [("in", node, False, "")]
     counts: list[list] = []
@@ -244,7 +251,7 @@ def render(node: Node) -> list[str]:
             page.space()
         elif item.tag == "table":
             page.space()
-            _table_lines(page, item, indent)
+            _put(page, tables[id(item)], indent)
         elif item.tag == "select":
             todo += [("in", x, keep, indent) for x in reversed(_chosen(item))]
         else:
@@ -323,24 +330,55 @@ def _parts(table: Node) -> tuple[list[list[Node]], list]:
     return rows, loose
 
 
-def _table_lines(page: Page, item: Node, indent: str) -> None:
-    """A table of short cells has its columns aligned; one with blocks in its cells is read cell by cell."""
+def _all_tables(root: Node) -> list[Node]:
+    """Every table, each before those inside it."""
+    found, todo = [], [root]
+    while todo:
+        item = todo.pop()
+        if item.tag == "table":
+            found.append(item)
+        todo += [c for c in item.children if not isinstance(c, str) and not c.hidden]
+    return found
+
+
+def _span(cell: Node) -> int:
+    said = cell.marks.get("colspan", "").strip()
+    return min(max(int(said), 1), 1000) if said.isascii() and said.isdigit() else 1
+
+
+def _table_lines(item: Node, tables: dict[int, list[str]]) -> list[str]:
+    """A table of short cells has its columns aligned, over as many as a cell spans; one with blocks in its cells is read
+    cell by cell."""
     rows, others = _parts(item)
     loose = Node("div")
     loose.children = others
-    before = [x for x in render(loose) if x.strip()]
-    grid = [[render(_inside(cell)) for cell in row] for row in rows]
-    out = list(before)
-    if grid and all(len(lines) <= 1 for row in grid for lines in row):
-        cells = [[lines[0].strip() if lines else "" for lines in row] for row in grid]
-        width = [max(len(row[i]) for row in cells if i < len(row)) for i in range(max(map(len, cells), default=0))]
-        out += ["  ".join(x.ljust(w) for x, w in zip(row, width)).rstrip() for row in cells if any(row)]
-    else:
-        out += [line for row in grid for lines in row for line in lines]
-    if out:
+    out = [x for x in render(loose, tables) if x.strip()]
+    grid = [[(render(_inside(cell), tables), _span(cell)) for cell in row] for row in rows]
+    if not grid or any(len(lines) > 1 for row in grid for lines, _ in row):
+        return out + [line for row in grid for lines, _ in row for line in lines]
+    width: dict[int, int] = {}
+    placed = []
+    for row in grid:
+        at, line = 0, []
+        for lines, span in row:
+            text = lines[0].strip() if lines else ""
+            line.append((at, span, text))
+            if span == 1:
+                width[at] = max(width.get(at, 0), len(text))
+            at += span
+        placed.append(line)
+    for line in placed:
+        if any(text for *_, text in line):
+            wide = lambda at, span: sum(width.get(k, 0) for k in range(at, at + span)) + 2 * (span - 1)
+            out.append("  ".join(text.ljust(wide(at, span)) for at, span, text in line).rstrip())
+    return out
+
+
+def _put(page: Page, lines: list[str], indent: str) -> None:
+    if lines:
         if page.gap and page.lines:
             page.lines.append("")
-        page.lines += [page.prefix + out[0], *[indent + x for x in out[1:]]]
+        page.lines += [page.prefix + lines[0], *[indent + x for x in lines[1:]]]
         page.prefix = indent
         page.gap = True
 
@@ -356,7 +394,11 @@ def visible_text(page: str | None) -> str | None:
     list marks, columns of cells aligned; null stays null."""
     if page is None:
         return None
-    lines = render(tree(page))
+    root = tree(page)
+    tables: dict[int, list[str]] = {}
+    for table in reversed(_all_tables(root)):  # those inside come first
+        tables[id(table)] = _table_lines(table, tables)
+    lines = render(root, tables)
     while lines and not lines[-1].strip():
         lines.pop()
     return "\n".join(lines)

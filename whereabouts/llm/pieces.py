@@ -18,6 +18,8 @@ from .common import on_texts, ready
 SPACE = "▁"
 TAIL = ",.!?%*&#$|;:"
 KEPT = 650_000  # words whose ids a worker keeps, in each of two generations
+KEPT_CHARS = 1 << 25  # and the characters that they have in all
+LONG = 256  # longer words are not kept
 RUNS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _coders: dict[str, "Coder"] = {}
 
@@ -61,6 +63,7 @@ class Coder:
         self.known_pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.held = 0
         texts = [model.id_to_piece(i).replace(SPACE, " ").encode() for i in ids]
         for i in ids:
             if model.is_byte(i):
@@ -130,12 +133,12 @@ class Coder:
         length, shorter, known = self.length, self.shorter, self.known_pairs
         for end, r in self.automaton.iter(text):
             longest[end + 1 - length[r]] = r
-        open_ = (1 << (n + 1)) - 1
+        failed = bytearray((n >> 3) + 1)  # a bit for each place
         out: list[int] = []
         at, last, now = 0, -1, longest[0]
         while True:
             end = at + length[now]
-            if open_ >> end & 1 and (last < 0 or known.get(last << 32 | now) or self.compatible(last, now)):
+            if not failed[end >> 3] >> (end & 7) & 1 and (last < 0 or known.get(last << 32 | now) or self.compatible(last, now)):
                 out.append(now)
                 at, last = end, now
                 if at == n:
@@ -144,7 +147,7 @@ class Coder:
                 continue
             now = shorter[now]
             while now < 0:
-                open_ &= ~(1 << at)
+                failed[at >> 3] |= 1 << (at & 7)
                 now = out.pop()
                 at -= length[now]
                 last = out[-1] if out else -1
@@ -160,10 +163,11 @@ class Coder:
             out += [self.id[r] for r in self.backtrack(run)] if known else [self.byte[b] for b in run.encode()]
         return array(self.code, out).tobytes()
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: set[str], fresh: bool = True) -> None:
         """Keeps the ids of words. Characters that no piece holds side by side part a word further."""
-        if len(self.words) > KEPT:
-            self.older, self.words = self.words, {}
+        self.held += sum(map(len, words))
+        if fresh and (len(self.words) > KEPT or self.held > KEPT_CHARS):
+            self.older, self.words, self.held = self.words, {}, 0
         for w in words:
             ids = self.older.get(w)
             if ids is None:
@@ -204,9 +208,12 @@ class Coder:
             if new:
                 self.learn(new)
                 if self.words is not known:
-                    self.learn({w for s in part for w in s if w not in self.words})
+                    self.learn({w for s in part for w in s if w not in self.words}, False)
             known = self.words
             out += [np.frombuffer(b"".join(map(known.__getitem__, s)) if t else b"", dtype=self.kind) for t, s in zip(texts[at : at + 100], part)]
+            for w in new:
+                if len(w) > LONG:  # hardly ever met again
+                    known.pop(w, None)
         return out
 
     def decode(self, ids: np.ndarray) -> str:
