@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import BLOCK, Words, mixed, powers, ready, saved
 
-GRAM_WORDS = 8
+GRAM_WORDS = 4
 WINDOW_WORDS = 40
 CUT_WORDS = 6
 HEAVY = 16_384  # marks at most that go to all tasks, since they stand often
@@ -148,17 +147,19 @@ def extended(hashes: np.ndarray, words: np.ndarray, at: np.ndarray, gram: int, w
     return which, starts, ends, run_hashes(hashes, starts, ends)
 
 
-def windows(hashes: np.ndarray, words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(hashes: np.ndarray, words: np.ndarray, window: int, first: np.ndarray | None = None, stops: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and hashes of the shortest runs with ``window`` words or more from each unit on and up to each unit.
 
-    Together they cover every unit of every run of that length.
+    Together they cover every unit of every run of that length. ``first`` and ``stops`` have the bounds of each unit's text, where there
+    are several.
     """
     sums = np.concatenate(([0], np.cumsum(words)))
-    until = grams(hashes, words, window)[1]
+    until = grams(hashes, words, window, stops)[1]
     starts = np.flatnonzero(until)
-    ends = np.flatnonzero((words > 0) & (sums[1:] >= window)) + 1
-    back = np.searchsorted(sums, sums[ends] - window, "right") - 1
-    both = np.unique(np.concatenate((starts * (len(hashes) + 1) + until[starts], back * (len(hashes) + 1) + ends)))
+    low = np.zeros(len(hashes), np.int64) if first is None else first
+    last = np.flatnonzero((words > 0) & (sums[1:] - sums[low] >= window))
+    back = np.searchsorted(sums, sums[last + 1] - window, "right") - 1
+    both = np.unique(np.concatenate((starts * (len(hashes) + 1) + until[starts], back * (len(hashes) + 1) + last + 1)))
     starts, ends = both // (len(hashes) + 1), both % (len(hashes) + 1)
     return starts, ends, run_hashes(hashes, starts, ends)
 
@@ -169,25 +170,20 @@ def first_lines(found: np.ndarray, starts: np.ndarray, lines: np.ndarray) -> np.
     return lines[starts] != lines[starts[first]][which]
 
 
-def marked(texts: list[str | None], gram: int, window: int):
-    """``(text, hashes, words, lines, starts, ends, marks)`` of each text that has fingerprints: its units, and its fingerprints
-    extended to either side."""
-    many = list(units(texts))
-    sizes = np.array([len(h) for h, _, _ in many], np.int64)
-    if not sizes.sum():
-        return
-    hashes, words = (np.concatenate([u[k] for u in many]) for k in (0, 1))
+def joined(many: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and words of the units of several texts in one piece, the bounds of each unit's text, and where texts begin."""
+    sizes = np.array([len(u[0]) for u in many], np.int64)
     edges = np.concatenate(([0], np.cumsum(sizes)))
-    first, stops = np.repeat(edges[:-1], sizes), np.repeat(edges[1:], sizes)
+    hashes, words = (np.concatenate([u[k] for u in many]) for k in (0, 1))
+    return hashes, words.astype(np.int64), np.repeat(edges[:-1], sizes), np.repeat(edges[1:], sizes), edges
+
+
+def marks_of(hashes, words, first, stops, gram: int, window: int):
+    """Starts, ends and hashes of the fingerprints of all texts, extended to either side, in order of their starts."""
     at = fingerprints(hashes, words, gram, window, stops)
     _, starts, ends, found = extended(hashes, words, at, gram, window, first, stops)
-    owner = np.searchsorted(edges, starts, "right") - 1
-    order = np.argsort(owner, kind="stable")
-    starts, ends, found, owner = starts[order], ends[order], found[order].view(np.int64), owner[order]
-    bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
-    for text in np.flatnonzero(np.diff(bounds)).tolist():
-        own = slice(bounds[text], bounds[text + 1])
-        yield text, *many[text], (starts[own] - edges[text]).astype(np.int32), (ends[own] - edges[text]).astype(np.int32), found[own]
+    order = np.argsort(starts, kind="stable")
+    return starts[order], ends[order], found[order].view(np.int64)
 
 
 def standing_twice(marks: DataFrame, total: int) -> DataFrame:
@@ -215,36 +211,48 @@ def repeated_runs(docs: DataFrame, gram: int = GRAM_WORDS, window: int = WINDOW_
 
     def read(batches):
         for batch in batches:
-            ids, keys, n = batch["doc_id"].tolist(), batch["key"].tolist(), batch["n"].tolist()
+            many = list(units(batch["text"].tolist()))
             rows = []
-            for text, hashes, words, lines, starts, ends, marks in marked(batch["text"].tolist(), gram, window):
-                turns = np.diff(lines, prepend=-1).astype(bool)
-                rows.append((n[text], ids[text], keys[text], hashes.tobytes(), (words + 128 * turns).astype(np.uint8).tobytes(), marks, starts, ends))
-            yield pd.DataFrame(rows, columns=["n", "doc_id", "key", "hashes", "words", "marks", "starts", "ends"])
+            if sum(len(u[0]) for u in many):
+                hashes, words, first, stops, edges = joined(many)
+                starts, _, marks = marks_of(hashes, words, first, stops, gram, window)
+                bounds = np.searchsorted(starts, edges)
+                ids, keys, n = batch["doc_id"].tolist(), batch["key"].tolist(), batch["n"].tolist()
+                for text in np.flatnonzero(np.diff(bounds)).tolist():
+                    own, size, lines = many[text]
+                    turns = np.diff(lines, prepend=-1).astype(bool)
+                    rows.append((n[text], ids[text], keys[text], own.tobytes(), (size + 128 * turns).astype(np.uint8).tobytes(), marks[bounds[text] : bounds[text + 1]]))
+            yield pd.DataFrame(rows, columns=["n", "doc_id", "key", "hashes", "words", "marks"])
 
     def compare(batches):
         for batch in batches:
-            rows = []
-            for doc_id, key, hashes, words, own_starts, own_ends, at in zip(*[batch[c].tolist() for c in ("doc_id", "key", "hashes", "words", "starts", "ends", "at")]):
-                hashes, words = np.frombuffer(hashes, np.uint64), np.frombuffer(words, np.uint8)
-                lines, words = np.cumsum(words >> 7), (words & 127).astype(np.int64)
-                starts, ends, found = windows(hashes, words, window)
-                first, last = own_starts[at], own_ends[at]
-                order = np.argsort(first)
-                nearest = np.append(np.minimum.accumulate(last[order][::-1])[::-1], len(hashes) + 1)  # least end of the spans from each one on
-                near = nearest[np.searchsorted(first[order], starts)] <= ends
-                starts, found = starts[near], found[near]
-                later = first_lines(found, starts, lines)
-                run, which = np.unique(found.view(np.int64), return_inverse=True)
-                again = np.bincount(which[later], minlength=len(run)) > 0
-                rows += zip(repeat(doc_id), repeat(key), run.tolist(), again.tolist())
-            yield pd.DataFrame(rows, columns=["doc_id", "key", "run", "again"])
+            if not len(batch):
+                continue
+            many = [(np.frombuffer(h, np.uint64), np.frombuffer(w, np.uint8)) for h, w in zip(batch["hashes"], batch["words"])]
+            hashes, words, first, stops, edges = joined(many)
+            lines, words = np.cumsum(words >> 7), words & 127  # a line has a number of its own among those of all texts
+            starts, ends, _ = marks_of(hashes, words, first, stops, gram, window)
+            held = np.concatenate([np.asarray(a, np.int64) + b for a, b in zip(batch["at"], np.searchsorted(starts, edges[:-1]).tolist())])
+            held.sort()
+            starts, ends = starts[held], ends[held]
+            nearest = np.append(np.minimum.accumulate(ends[::-1])[::-1], len(hashes) + 1)  # least end of the marks from each one on
+            begin, end, run = windows(hashes, words, window, first, stops)
+            near = nearest[np.searchsorted(starts, begin)] <= end
+            begin, run = begin[near], run[near].view(np.int64)
+            own = np.searchsorted(edges, begin, "right") - 1
+            order = np.lexsort((begin, run, own))
+            begin, run, own = begin[order], run[order], own[order]
+            fresh = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (run[1:] != run[:-1])))[: len(run)])
+            which = np.repeat(np.arange(len(fresh)), np.diff(np.append(fresh, len(run))))
+            again = np.bincount(which[lines[begin] != lines[begin[fresh]][which]], minlength=len(fresh)) > 0
+            own = own[fresh]
+            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(object)[own], "key": batch["key"].to_numpy()[own], "run": run[fresh], "again": again})
 
     ready(docs.sparkSession)
     # ids travel as text, since a null among numbers would turn all of a batch into doubles
     texts = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
     texts = texts.withColumn("n", F.monotonically_increasing_id())
-    lines = saved(texts.mapInPandas(read, "n long, doc_id string, key long, hashes binary, words binary, marks array<long>, starts array<int>, ends array<int>"))
+    lines = saved(texts.mapInPandas(read, "n long, doc_id string, key long, hashes binary, words binary, marks array<long>"))
     total = lines.agg(F.sum(F.size("marks"))).first()[0] or 0
     marks = lines.select("n", F.posexplode("marks").alias("i", "mark"))
     at = standing_twice(marks, total).groupBy("n").agg(F.collect_list("i").alias("at"))
@@ -298,10 +306,12 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM_WORDS, window: int = WINDOW_WO
     # the caller's columns go along in one struct, so none of them can clash with one of ours
     rows = docs.drop("lines_removed").select(F.struct("*").alias("row"))
     rows = rows.withColumns({"own_id": F.col("row.doc_id").cast("long"), "own_key": F.xxhash64(F.coalesce("row.text", F.lit("")))})
-    joined = rows.join(runs, rows["own_id"].eqNullSafe(runs["run_id"]) & (rows["own_key"] == runs["run_key"]), "left")
-    out = joined.withColumn("cut", cut("row.text", "gone", "again"))
+    both = rows.join(runs, rows["own_id"].eqNullSafe(runs["run_id"]) & (rows["own_key"] == runs["run_key"]), "left")
+    changed = F.col("gone").isNotNull()
+    out = both.withColumn("cut", cut(F.when(changed, F.col("row.text")), "gone", "again"))  # texts that stay as they are don't go to Python
     names = [c for c in docs.columns if c != "lines_removed"]
-    return out.select(*[(F.col("cut.text") if c == "text" else F.col("row").getField(c)).alias(c) for c in names], F.col("cut.n").alias("lines_removed"))
+    text = F.when(changed, F.col("cut.text")).otherwise(F.col("row.text"))
+    return out.select(*[(text if c == "text" else F.col("row").getField(c)).alias(c) for c in names], F.when(changed, F.col("cut.n")).otherwise(0).alias("lines_removed"))
 
 
 def without(text: str, gone: np.ndarray, words: np.ndarray, lines: np.ndarray) -> tuple[str, int]:
