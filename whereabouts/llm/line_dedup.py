@@ -103,7 +103,12 @@ def grams(hashes: np.ndarray, words: np.ndarray, least: int, stops: np.ndarray |
 
 
 def fingerprints(hashes: np.ndarray, words: np.ndarray, gram: int, window: int, stops: np.ndarray | None = None) -> np.ndarray:
-    """Starts of the grams that are least within some window: a run of units with ``window`` words or more.
+    """Starts of the grams that are least within some window."""
+    return np.unique(minima(hashes, words, gram, window, stops)[1])
+
+
+def minima(hashes: np.ndarray, words: np.ndarray, gram: int, window: int, stops: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of all windows, the shortest runs of units with ``window`` words or more, and of the least gram in each.
 
     A window depends on its units alone, so equal runs of that length hold an equal fingerprint at the same place. The least of
     all windows at once comes from the least of spans of 1, 2, 4, ... grams, two of which cover a window; the later of equals counts.
@@ -113,7 +118,7 @@ def fingerprints(hashes: np.ndarray, words: np.ndarray, gram: int, window: int,
     live = np.flatnonzero(ends)
     starts = np.flatnonzero(until)
     if not len(starts):
-        return starts
+        return starts, starts
     value, last = found[live], ends[live]
     low, high = np.searchsorted(live, starts), np.searchsorted(last, until[starts], "right")
     step = np.frexp((high - low).astype(float))[1] - 1  # the largest power of two that fits
@@ -127,11 +132,11 @@ def fingerprints(hashes: np.ndarray, words: np.ndarray, gram: int, window: int,
             break
         left, right = least[: -(1 << k)], least[1 << k :]
         least = np.where(value[right] <= value[left], right, left)
-    return live[np.unique(chosen)]
+    return starts, live[chosen]
 
 
 def extended(hashes: np.ndarray, words: np.ndarray, at: np.ndarray, gram: int, window: int, first: np.ndarray, stops: np.ndarray):
-    """Fingerprints extended to each side by half of what they lack of a window: ``(fingerprint, start, end, hash)``.
+    """Fingerprints extended to each side by half of what they lack of a window: ``(fingerprint, to the right, start, end, hash)``.
 
     A window around a fingerprint has that much on one side at least, so it holds one of both.
     """
@@ -144,7 +149,7 @@ def extended(hashes: np.ndarray, words: np.ndarray, at: np.ndarray, gram: int, w
     which = np.concatenate((np.flatnonzero(to_left), np.flatnonzero(to_right)))
     starts = np.concatenate((left[to_left], at[to_right]))
     ends = np.concatenate((ends[to_left], right[to_right]))
-    return which, starts, ends, run_hashes(hashes, starts, ends)
+    return which, np.arange(len(which)) >= to_left.sum(), starts, ends, run_hashes(hashes, starts, ends)
 
 
 def windows(hashes: np.ndarray, words: np.ndarray, window: int, first: np.ndarray | None = None, stops: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,11 +184,11 @@ def joined(many: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 def marks_of(hashes, words, first, stops, gram: int, window: int):
-    """Starts, ends and hashes of the fingerprints of all texts, extended to either side, in order of their starts."""
+    """Starts and hashes of the fingerprints of all texts, extended to either side, in order of their starts."""
     at = fingerprints(hashes, words, gram, window, stops)
-    _, starts, ends, found = extended(hashes, words, at, gram, window, first, stops)
+    _, _, starts, _, found = extended(hashes, words, at, gram, window, first, stops)
     order = np.argsort(starts, kind="stable")
-    return starts[order], ends[order], found[order].view(np.int64)
+    return starts[order], found[order].view(np.int64)
 
 
 def standing_twice(marks: DataFrame, total: int) -> DataFrame:
@@ -205,7 +210,7 @@ def repeated_runs(docs: DataFrame, gram: int = GRAM_WORDS, window: int = WINDOW_
     earlier document, and of those that stand in an earlier line of the same one, which keeps the first.
 
     ``key`` is a hash of the text. Earlier is by doc_id, then by line. Positions of fingerprints, extended to either side, are joined
-    by what they hold; those that stand twice tell which windows may: a window that stands twice holds one. Each such window meets its
+    by what they hold; those that stand twice tell which windows may. Each such window meets its
     first place, so a run is followed as far as any earlier place has it.
     """
 
@@ -215,7 +220,7 @@ def repeated_runs(docs: DataFrame, gram: int = GRAM_WORDS, window: int = WINDOW_
             rows = []
             if sum(len(u[0]) for u in many):
                 hashes, words, first, stops, edges = joined(many)
-                starts, _, marks = marks_of(hashes, words, first, stops, gram, window)
+                starts, marks = marks_of(hashes, words, first, stops, gram, window)
                 bounds = np.searchsorted(starts, edges)
                 ids, keys, n = batch["doc_id"].tolist(), batch["key"].tolist(), batch["n"].tolist()
                 for text in np.flatnonzero(np.diff(bounds)).tolist():
@@ -231,13 +236,22 @@ def repeated_runs(docs: DataFrame, gram: int = GRAM_WORDS, window: int = WINDOW_
             many = [(np.frombuffer(h, np.uint64), np.frombuffer(w, np.uint8)) for h, w in zip(batch["hashes"], batch["words"])]
             hashes, words, first, stops, edges = joined(many)
             lines, words = np.cumsum(words >> 7), words & 127  # a line has a number of its own among those of all texts
-            starts, ends, _ = marks_of(hashes, words, first, stops, gram, window)
-            held = np.concatenate([np.asarray(a, np.int64) + b for a, b in zip(batch["at"], np.searchsorted(starts, edges[:-1]).tolist())])
-            held.sort()
-            starts, ends = starts[held], ends[held]
-            nearest = np.append(np.minimum.accumulate(ends[::-1])[::-1], len(hashes) + 1)  # least end of the marks from each one on
+            heads, least = minima(hashes, words, gram, window, stops)
+            at = np.unique(least)
+            which, right, starts, ends, _ = extended(hashes, words, at, gram, window, first, stops)
+            order = np.argsort(starts, kind="stable")
+            alive = np.zeros(len(order), bool)
+            alive[order[np.concatenate([np.asarray(a, np.int64) + b for a, b in zip(batch["at"], np.searchsorted(starts[order], edges[:-1]).tolist())])]] = True
+            # how far each fingerprint is extended (out of reach: not at all), and whether that stands twice
+            low, high = np.full(len(at), -1), np.full(len(at), len(hashes) + 1)
+            left_twice, right_twice = np.zeros(len(at), bool), np.zeros(len(at), bool)
+            low[which[~right]], left_twice[which[~right]] = starts[~right], alive[~right]
+            high[which[right]], right_twice[which[right]] = ends[right], alive[right]
+            # A window that stands twice has the same fingerprint there, and what it holds of the extended one stands twice.
             begin, end, run = windows(hashes, words, window, first, stops)
-            near = nearest[np.searchsorted(starts, begin)] <= end
+            own = np.searchsorted(at, least[np.searchsorted(heads, begin)])
+            has_left, has_right = low[own] >= begin, high[own] <= end
+            near = (has_left | has_right) & (~has_left | left_twice[own]) & (~has_right | right_twice[own])
             begin, run = begin[near], run[near].view(np.int64)
             own = np.searchsorted(edges, begin, "right") - 1
             order = np.lexsort((begin, run, own))
