@@ -16,6 +16,7 @@ WINDOW_WORDS = 40
 CUT_WORDS = 6
 HEAVY = 16_384  # marks at most that go to all tasks, since they stand often
 LEAST_HEAVY = 4096
+SKETCH_BITS = 1 << 27  # of the sketch of texts that lose something: 16 MB at most, whatever the number of texts
 BLANKS = np.isin(np.arange(256), [9, 10, 11, 12, 13, 28, 29, 30, 31, 32])
 OTHER_BLANKS = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")  # fixed values: blanks beyond ASCII
 TOKENS = re.compile(r"\S+\s*")
@@ -206,12 +207,13 @@ def standing_twice(marks: DataFrame, total: int) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, gram: int = GRAM_WORDS, window: int = WINDOW_WORDS) -> DataFrame:
-    """``doc_id, key, gone, again``: for each text that loses something, hashes of its windows that also stand in an
-    earlier document, and of those that stand in an earlier line of the same one, which keeps the first.
+    """``doc_id, key, gone, again, whole``: for each text that loses something, hashes of its windows that also stand in an
+    earlier document, and of those that stand in an earlier line of the same one, which keeps the first; or ``whole``, if
+    an earlier document has the same text, so that all windows go.
 
-    ``key`` is a hash of the text. Earlier is by doc_id, then by line. Positions of fingerprints, extended to either side, are joined
-    by what they hold; those that stand twice tell which windows may. Each such window meets its
-    first place, so a run is followed as far as any earlier place has it.
+    ``key`` is a hash of the text. Earlier is by doc_id, then by line; ``r`` is a text's number in that order. Positions of
+    fingerprints, extended to either side, are joined by what they hold; those that stand twice tell which windows may. Each
+    such window of the first copy of a text meets its first place, so a run is followed as far as any earlier place has it.
     """
 
     def read(batches):
@@ -259,8 +261,7 @@ def repeated_runs(docs: DataFrame, gram: int = GRAM_WORDS, window: int = WINDOW_
             fresh = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (run[1:] != run[:-1])))[: len(run)])
             which = np.repeat(np.arange(len(fresh)), np.diff(np.append(fresh, len(run))))
             again = np.bincount(which[lines[begin] != lines[begin[fresh]][which]], minlength=len(fresh)) > 0
-            own = own[fresh]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(object)[own], "key": batch["key"].to_numpy()[own], "run": run[fresh], "again": again})
+            yield pd.DataFrame({"r": batch["r"].to_numpy()[own[fresh]], "run": run[fresh], "again": again})
 
     ready(docs.sparkSession)
     # ids travel as text, since a null among numbers would turn all of a batch into doubles
@@ -269,22 +270,37 @@ def repeated_runs(docs: DataFrame, gram: int = GRAM_WORDS, window: int = WINDOW_
     lines = saved(texts.mapInPandas(read, "n long, doc_id string, key long, hashes binary, words binary, marks array<long>"))
     total = lines.agg(F.sum(F.size("marks"))).first()[0] or 0
     marks = lines.select("n", F.posexplode("marks").alias("i", "mark"))
+    # Rows with the same id and the same text count as one. Null ids come last, so that they never are first while there is another.
+    places = lines.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "key").agg(F.min("n").alias("n"))
+    places = saved(places.orderBy(F.col("doc_id").asc_nulls_last(), "key").withColumn("r", F.monotonically_increasing_id()))
+    firsts = places.groupBy("key").agg(F.min("r").alias("r"), F.min_by("n", "r").alias("n")).select("r", "n")
     at = standing_twice(marks, total).groupBy("n").agg(F.collect_list("i").alias("at"))
-    near = lines.drop("marks").join(at, "n")
-    held = near.mapInPandas(compare, "doc_id string, key long, run long, again boolean")
-    held = saved(held.withColumn("doc_id", F.col("doc_id").cast("long")))
-    # Null ids come last, so that they never are first while there is another.
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    first = held.groupBy("run").agg(F.min(place).alias("o"), F.count("*").alias("held"), F.max("again").alias("any")).where("held > 1 OR any")
-    first = first.select("run", F.col("o.doc_id").alias("first_id"), F.col("o.key").alias("first_key"))
-    met = held.join(first, "run").withColumn("mine", F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key"))).where("NOT mine OR again")
+    near = lines.select("n", "hashes", "words").join(at.join(firsts, "n"), "n")
+    held = saved(near.mapInPandas(compare, "r long, run long, again boolean"))
+    first = held.groupBy("run").agg(F.min("r").alias("first"), F.count("*").alias("held"), F.max("again").alias("any")).where("held > 1 OR any")
+    met = held.join(first.select("run", "first"), "run").withColumn("mine", F.col("r") == F.col("first")).where("NOT mine OR again")
     runs = lambda mine: F.collect_list(F.when(mine, F.col("run")))
-    return met.groupBy("doc_id", "key").agg(runs(~F.col("mine")).alias("gone"), runs(F.col("mine")).alias("again"))
+    some = met.groupBy("r").agg(runs(~F.col("mine")).alias("gone"), runs(F.col("mine")).alias("again"))
+    some = places.join(some, "r").select("doc_id", "key", "gone", "again", F.lit(False).alias("whole"))
+    none = F.array().cast("array<long>")
+    copies = places.join(firsts, "r", "left_anti").select("doc_id", "key", none.alias("gone"), none.alias("again"), F.lit(True).alias("whole"))
+    return some.unionByName(copies)
 
 
-def _same(a: DataFrame, b: DataFrame, *names: str):
-    """Equal pairs of columns, nulls too."""
-    return a[names[0]].eqNullSafe(b[names[1]]) & (a[names[2]] == b[names[3]])
+def sketched(rows: DataFrame, held: DataFrame, names: list[str]) -> DataFrame:
+    """``rows`` with ``may``: false only for rows whose ``names`` stand in no row of ``held``.
+
+    One bit tells for all rows with the same hash. The bits are added up in bitmaps of 4096 bytes, ``SKETCH_BITS`` in all, so
+    what is broadcast has a size of its own; beyond some hundred million rows of ``held`` it tells little, and most rows are true.
+    """
+
+    def bit(df):
+        return df.withColumn("bit", F.pmod(F.xxhash64(*names), F.lit(SKETCH_BITS)) + 1).withColumns({"part": F.bitmap_bucket_number("bit"), "bit": F.bitmap_bit_position("bit")})
+
+    bits = bit(held.select(*names)).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    may = F.coalesce(F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1, F.lit(False))
+    return bit(rows).join(F.broadcast(bits), "part", "left").withColumn("may", may).drop("part", "bit", "bits")
 
 
 def dedup_lines(docs: DataFrame, gram: int = GRAM_WORDS, window: int = WINDOW_WORDS) -> DataFrame:
@@ -302,30 +318,36 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM_WORDS, window: int = WINDOW_WO
     """
 
     @F.pandas_udf("text string, n int")
-    def cut(texts: pd.Series, gone: pd.Series, again: pd.Series) -> pd.DataFrame:
+    def cut(texts: pd.Series, gone: pd.Series, again: pd.Series, whole: pd.Series) -> pd.DataFrame:
         rows = [(x, 0) for x in texts]
         some = [i for i in range(len(rows)) if gone[i] is not None]
         for i, (hashes, words, lines) in zip(some, units([texts[i] for i in some])):
             starts, ends, found = windows(hashes, words, window)
             found = found.view(np.int64)
-            out = np.isin(found, gone[i]) | np.isin(found, again[i]) & first_lines(found, starts, lines)
+            out = np.ones(len(found), bool) if whole[i] else np.isin(found, gone[i]) | np.isin(found, again[i]) & first_lines(found, starts, lines)
             edges = np.zeros(len(hashes) + 1, np.int64)
             np.add.at(edges, starts[out], 1)
             np.add.at(edges, ends[out], -1)
             rows[i] = without(texts[i], np.cumsum(edges[:-1]) > 0, words, lines)
         return pd.DataFrame(rows, columns=["text", "n"])
 
-    runs = repeated_runs(docs.select("doc_id", "text"), gram, window)
-    runs = runs.select(F.col("doc_id").alias("run_id"), F.col("key").alias("run_key"), "gone", "again")
+    runs = saved(repeated_runs(docs.select("doc_id", "text"), gram, window))
     # the caller's columns go along in one struct, so none of them can clash with one of ours
     rows = docs.drop("lines_removed").select(F.struct("*").alias("row"))
     rows = rows.withColumns({"own_id": F.col("row.doc_id").cast("long"), "own_key": F.xxhash64(F.coalesce("row.text", F.lit("")))})
-    both = rows.join(runs, rows["own_id"].eqNullSafe(runs["run_id"]) & (rows["own_key"] == runs["run_key"]), "left")
-    changed = F.col("gone").isNotNull()
-    out = both.withColumn("cut", cut(F.when(changed, F.col("row.text")), "gone", "again"))  # texts that stay as they are don't go to Python
+    runs = runs.withColumnsRenamed({"doc_id": "run_id", "key": "run_key"})
+    rows = sketched(rows, runs.select(F.col("run_id").alias("own_id"), F.col("run_key").alias("own_key")), ["own_id", "own_key"])
     names = [c for c in docs.columns if c != "lines_removed"]
-    text = F.when(changed, F.col("cut.text")).otherwise(F.col("row.text"))
-    return out.select(*[(text if c == "text" else F.col("row").getField(c)).alias(c) for c in names], F.when(changed, F.col("cut.n")).otherwise(0).alias("lines_removed"))
+
+    def shown(df, text, n):
+        return df.select(*[(text if c == "text" else F.col("row").getField(c)).alias(c) for c in names], n.alias("lines_removed"))
+
+    # only texts that may lose something are shuffled, and only those that do go to Python
+    both = rows.where("may").join(runs, F.col("own_id").eqNullSafe(F.col("run_id")) & (F.col("own_key") == F.col("run_key")), "left")
+    changed = F.col("gone").isNotNull()
+    out = both.withColumn("cut", cut(F.when(changed, F.col("row.text")), "gone", "again", "whole"))
+    out = shown(out, F.when(changed, F.col("cut.text")).otherwise(F.col("row.text")), F.when(changed, F.col("cut.n")).otherwise(0))
+    return shown(rows.where("NOT may"), F.col("row.text"), F.lit(0)).unionByName(out)
 
 
 def without(text: str, gone: np.ndarray, words: np.ndarray, lines: np.ndarray) -> tuple[str, int]:
