@@ -418,6 +418,30 @@ def test_line_dedup_ids_and_columns(spark):
     assert all(r[n] == n for r in back for n in names)
 
 
+def test_copies_go_as_a_whole():
+    """All windows of a text cover what lies between its first and its last word."""
+    for text in (_long_line(60, 401), f"\n \u3000\n{_long_line(30, 402)}\n\n\x1c\n {_long_line(5, 403)}  \n{_long_line(20, 404)}\n\t\n", "\n".join(_long_line(3, 405 + k) for k in range(20))):
+        hashes, words, lines = next(line_dedup.units([text]))
+        edges = np.zeros(len(hashes) + 1, np.int64)
+        starts, ends, _ = line_dedup.windows(hashes, words, 40)
+        np.add.at(edges, starts, 1)
+        np.add.at(edges, ends, -1)
+        assert line_dedup.without_words(text) == line_dedup.without(text, np.cumsum(edges[:-1]) > 0, words, lines)
+
+
+def test_sketch_misses_no_row(spark, monkeypatch):
+    """Rows of the table are always true, nulls too; of the others, few are while the sketch is large, and all may be when it is full."""
+    rows = spark.range(3000).select(F.when(F.col("id") > 0, F.col("id")).alias("a"), (F.col("id") * 7).alias("b"))
+    held = rows.where("coalesce(a, 0) % 3 = 0")
+    for bits in (1 << 27, 64):
+        monkeypatch.setattr(line_dedup, "SKETCH_BITS", bits)
+        got = line_dedup.sketched(rows, held, ["a", "b"])
+        assert got.columns == ["a", "b", "may"] and got.count() == 3000
+        assert got.where("coalesce(a, 0) % 3 = 0 AND NOT may").count() == 0
+        assert bits == 64 or got.where("may").count() < 1010
+    assert line_dedup.sketched(rows, held.limit(0), ["a", "b"]).where("may").count() == 0
+
+
 def test_marks_that_stand_often(spark, monkeypatch):
     """The broadcast of frequent marks and the join of all others tell the same."""
     rows = spark.createDataFrame([(i, m) for i, m in enumerate([1] * 50 + [2] * 3 + [3] * 2 + [4, 5])], "n int, mark long")

@@ -320,11 +320,13 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM_WORDS, window: int = WINDOW_WO
     @F.pandas_udf("text string, n int")
     def cut(texts: pd.Series, gone: pd.Series, again: pd.Series, whole: pd.Series) -> pd.DataFrame:
         rows = [(x, 0) for x in texts]
-        some = [i for i in range(len(rows)) if gone[i] is not None]
+        for i in np.flatnonzero(whole.eq(True)).tolist():
+            rows[i] = without_words(texts[i])
+        some = [i for i in range(len(rows)) if gone[i] is not None and not whole[i]]
         for i, (hashes, words, lines) in zip(some, units([texts[i] for i in some])):
             starts, ends, found = windows(hashes, words, window)
             found = found.view(np.int64)
-            out = np.ones(len(found), bool) if whole[i] else np.isin(found, gone[i]) | np.isin(found, again[i]) & first_lines(found, starts, lines)
+            out = np.isin(found, gone[i]) | np.isin(found, again[i]) & first_lines(found, starts, lines)
             edges = np.zeros(len(hashes) + 1, np.int64)
             np.add.at(edges, starts[out], 1)
             np.add.at(edges, ends[out], -1)
@@ -366,3 +368,10 @@ def without(text: str, gone: np.ndarray, words: np.ndarray, lines: np.ndarray) -
             left = "".join(t for t, s in zip(tokens, stays.tolist()) if s)
             kept.append(line[: len(line) - len(line.lstrip())] + (left if stays[-1] else left.rstrip()))
     return "\n".join(kept), n
+
+
+def without_words(text: str) -> tuple[str, int]:
+    """The text without all of its units, as ``without`` leaves it: blank lines at its ends, and the number of lines that went."""
+    lines = text.split("\n")
+    worded = [k for k, line in enumerate(lines) if line.strip()]
+    return "\n".join(lines[: worded[0]] + lines[worded[-1] + 1 :]), worded[-1] + 1 - worded[0]
