@@ -109,3 +109,28 @@ def test_scope_of_rounds(spark):
     assert sorted((r.round, r.file_id or "") for r in scoped) == [(1, ""), (2, "lib")]
     everything = RC.recursive_lookup(index.drop("first"), RC.call_edges(calls), term).collect()
     assert sorted((r.round, r.file_id or "") for r in everything) == [(1, ""), (1, "other")]
+
+
+def test_literals_of_whole_groups(spark):
+    """A group that is all of an alternative is looked into, so its pattern is not tried on every name."""
+    rows = [("(ORDER_1|Part_2)", ["order_1", "part_2"]), ("(?:abc|(def|ghi))", ["abc", "def", "ghi"]), ("xyz|((abc))", ["xyz", "abc"]), ("(abc|de)", None), ("(abc|)", None), ("((abc))?", None), ("(abc)def", ["def"])]
+    df = spark.createDataFrame([(p,) for p, _ in rows], "p string").withColumn("got", Q.required_literals(F.col("p"), F.lit(True)))
+    assert {r.p: r.got for r in df.collect()} == dict(rows)
+
+
+def test_long_literals_lead_to_few_names(spark):
+    """A literal goes by the longest run that names are indexed by, so few names are tried for each of many patterns."""
+    ids = spark.range(1000, 4000)
+    names = ids.selectExpr("concat('order_', id) AS name")
+    terms = ids.selectExpr("id AS term_id", "concat('(ORDER_', id, '|part_', id, ')[05]?') AS pattern", "true AS ignore_case", "false AS case_style")
+    assert Q.matching_names(names, Q.prepared_terms(terms)).count() == 3000
+    longest = ids.limit(1).select(Q._longest_grams(F.lit("order_1234")).alias("g")).first()["g"]
+    assert longest == ["order_12", "rder_123", "der_1234"]
+
+
+def test_many_terms_are_not_broadcast(spark):
+    """A large table of terms is shuffled; none of it goes through the driver."""
+    many = spark.range(Q.FEW + 1).selectExpr("id AS term_id", "concat('name_', id) AS pattern", "false AS ignore_case", "false AS case_style")
+    names = spark.range(50).selectExpr("concat('name_', id) AS name")
+    found = Q.matching_names(names, Q.prepared_terms(many))
+    assert found.count() == 50 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()

@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import names as N
 from ..functions import text as T
+from ..session import cut
 from .ranges import union_ranges
 
 # What makes a match depend on more than the characters it takes up, and what can take up a row end.
@@ -48,8 +49,11 @@ def name_test(pattern: str, ignore_case: bool = False) -> Callable[[Column], Col
 # Marks for what a pattern does not spell out, and for what this reader does not follow.
 GAP, LOST = "\ue200", "\ue201"
 GRAM = 3
+SIZES = (GRAM, 4, 6, 8, 12, 16, 24, 32)  # of runs that names are indexed by; a literal goes by the longest that it has
+FEW = 10_000  # rows of a table that may be sent to every task, by way of the driver
 # ASCII in one case, and the other letters that a pattern without regard to case takes for ASCII ones.
 CASED, FOLDED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ\u0130\u0131\u017f\u212a", "abcdefghijklmnopqrstuvwxyziisk"
+WHOLE_GROUP = r"(?<=^|[(|])\(([^()]*)\)(?=\z|[|)])"  # a group that is all of an alternative, so its own ones count as the outer's
 NESTING = 6  # levels of groups that are looked through
 LANES = 64  # shares of the names that a pattern without literals is tried on
 
@@ -63,7 +67,7 @@ def required_literals(pattern: Column, ignore_case: Column) -> Column:
     """Texts of ``GRAM`` characters or more, folded, of which every match holds one; NULL where no such set is seen.
 
     The pattern is read from the outside: classes, escapes, groups and what may be missing leave a gap, and of every
-    alternative the longest text between gaps counts. Anything unusual (flags, quoting, look-around, classes in classes) is not read.
+    alternative the longest text between gaps counts; a group that is all of one is read like the outside. Anything unusual (flags, quoting, look-around, classes in classes) is not read.
     """
     times = r"(?:[?*+]|\{[^}]*\})*"
     known = pattern
@@ -74,7 +78,7 @@ def required_literals(pattern: Column, ignore_case: Column) -> Column:
         (rf"\[\^?\]?[^\[\]&]*\]{times}", GAP),
         (r"\(\?:", "("),
         (r"(?s)\(\?.*", LOST),
-        *[(rf"\([^()]*\){times}", GAP)] * NESTING,
+        *[(WHOLE_GROUP, "$1"), (rf"(?<!^)(?<![(|])\([^()]*\){times}|\([^()]*\)(?!\z|[|)]){times}", GAP)] * NESTING,
     ):
         known = F.regexp_replace(known, found, put)
     known = F.regexp_replace(known, r"[^\\()\[\]](?:[?*][?+]?|\{[^}]*\}[?+]?)", GAP)
@@ -88,8 +92,27 @@ def required_literals(pattern: Column, ignore_case: Column) -> Column:
     return F.when(~unread & ~F.exists(texts, lambda x: F.length(x) < GRAM), F.array_distinct(texts))
 
 
-def _grams(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - GRAM + 1), lambda i: F.substring(text, i, F.lit(GRAM))))
+def _grams(text: Column, size: int) -> Column:
+    """The runs of ``size`` characters of a text, none of a shorter one."""
+    runs = F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, F.lit(size)))
+    return F.when(F.length(text) >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+
+def _longest_grams(text: Column) -> Column:
+    """The runs of the longest of ``SIZES`` that the text has."""
+    of = _grams(text, SIZES[0])
+    for size in SIZES[1:]:
+        of = F.when(F.length(text) >= size, _grams(text, size)).otherwise(of)
+    return of
+
+
+def unsent(df: DataFrame, many: bool) -> DataFrame:
+    """A side of a join; where there are many rows, both sides are shuffled, so none goes through the driver."""
+    return df.hint("merge") if many else df
+
+
+def is_many(df: DataFrame) -> bool:
+    return df.limit(FEW + 1).count() > FEW
 
 
 def prepared_terms(terms: DataFrame) -> DataFrame:
@@ -124,40 +147,44 @@ def prepared_terms(terms: DataFrame) -> DataFrame:
 
 def matching_names(names: DataFrame, terms: DataFrame) -> DataFrame:
     """``(term_id, name)`` for distinct ``names`` and prepared ``terms``."""
-    ready = terms.where("status = 'ok'")
-    equal = names.join(ready.where("how = 'equal'").select("term_id", F.col("asked").alias("name")), "name").select("term_id", "name")
+    ready = cut(terms.where("status = 'ok'").select("term_id", "asked", "pattern", "full_pattern", "folded", "cased", "how"))
+    many = is_many(ready)
+    equal = names.join(unsent(ready.where("how = 'equal'").select("term_id", F.col("asked").alias("name")), many), "name").select("term_id", "name")
     folded = (
         names.withColumn("folded", N.squeezed(F.col("name")))
-        .join(ready.where("how = 'folded'").select("term_id", "folded", "full_pattern"), "folded")
+        .join(unsent(ready.where("how = 'folded'").select("term_id", "folded", "full_pattern"), many), "folded")
         .where(F.expr("name RLIKE full_pattern"))
         .select("term_id", "name")
     )
-    return equal.unionByName(folded).unionByName(_by_pattern(names.select("name"), ready.where("how = 'pattern'").select("term_id", "pattern", "full_pattern", "cased")))
+    return equal.unionByName(folded).unionByName(_by_pattern(names.select("name"), ready.where("how = 'pattern'").select("term_id", "pattern", "full_pattern", "cased"), many))
 
 
-def _by_pattern(names: DataFrame, patterns: DataFrame) -> DataFrame:
-    """``(term_id, name)`` of true patterns: names are indexed by their runs of ``GRAM`` characters, and of each literal that
-    a pattern requires the rarest run leads to the names that are tried. Equal patterns are tried once.
+def _by_pattern(names: DataFrame, patterns: DataFrame, many: bool = False) -> DataFrame:
+    """``(term_id, name)`` of true patterns: names are indexed by their runs of ``SIZES`` characters, and of each literal that
+    a pattern requires the rarest of its longest runs leads to the names that are tried. Equal patterns are tried once.
 
     A pattern of which no literal is seen has to be tried on every name; the names are dealt over lanes for that.
     """
     if patterns.isEmpty():
         return names.sparkSession.createDataFrame([], StructType([patterns.schema["term_id"], names.schema["name"]]))
     tried = patterns.select("pattern", "full_pattern", "cased").distinct().withColumn("literals", required_literals(F.col("pattern"), F.col("cased")))
+    tried = cut(tried.select("full_pattern", "literals"))
     wanted = tried.where("literals IS NOT NULL").select("full_pattern", F.explode("literals").alias("literal"))
-    wanted = wanted.distinct().select("full_pattern", "literal", F.explode(_grams(F.col("literal"))).alias("gram"))
+    wanted = cut(wanted.distinct().select("full_pattern", "literal", F.explode(_longest_grams(F.col("literal"))).alias("gram")))
+    sizes = sorted(r.size for r in wanted.select(F.length("gram").alias("size")).distinct().collect())
     key = F.translate("name", CASED, FOLDED)
-    grams = names.where(F.length("name") >= GRAM).select("name", F.explode(_grams(key)).alias("gram"))
-    grams = grams.join(wanted.select("gram").distinct(), "gram", "left_semi")
+    runs = F.flatten(F.array(*[_grams(key, size) for size in sizes])) if sizes else F.array().cast("array<string>")
+    grams = names.select("name", F.explode(runs).alias("gram"))
+    grams = grams.join(unsent(wanted.select("gram").distinct(), many), "gram", "left_semi")
     held = grams.groupBy("gram").agg(F.count("*").alias("held"))
     # a run that no name has: no match
-    rare = wanted.join(held, "gram", "left").groupBy("full_pattern", "literal").agg(F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "gram")).alias("r"))
+    rare = unsent(wanted, many).join(held, "gram", "left").groupBy("full_pattern", "literal").agg(F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "gram")).alias("r"))
     rare = rare.where("r.held > 0").select("full_pattern", F.col("r.gram").alias("gram")).distinct()
-    met = grams.join(rare, "gram").where(F.expr("name RLIKE full_pattern")).select("full_pattern", "name").distinct()
+    met = grams.join(unsent(rare, many), "gram").where(F.expr("name RLIKE full_pattern")).select("full_pattern", "name").distinct()
     free = tried.where("literals IS NULL").select("full_pattern", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))).alias("lane")).distinct()
     dealt = names.withColumn("lane", F.pmod(F.xxhash64("name"), F.lit(LANES)).cast("int"))
-    found = met.unionByName(dealt.join(free, "lane").where(F.expr("name RLIKE full_pattern")).select("full_pattern", "name"))
-    return found.join(patterns.select("term_id", "full_pattern"), "full_pattern").select("term_id", "name")
+    found = met.unionByName(dealt.join(unsent(free, many), "lane").where(F.expr("name RLIKE full_pattern")).select("full_pattern", "name"))
+    return found.join(unsent(patterns.select("term_id", "full_pattern"), many), "full_pattern").select("term_id", "name")
 
 
 def named(definitions: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .lookup import matching_names, prepared_terms
+from .lookup import is_many, matching_names, prepared_terms, unsent
 from .ranges import union_ranges
 
 HELD = 16  # callees of a caller that are looked at without the table of all calls
@@ -39,12 +39,13 @@ def only_callee(front: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFra
     the shuffle. A caller of very many is decided by its first callees, two of which nearly always are left; only where they
     are not, the table of calls is asked.
     """
-    met = front.join(nodes, front["name"] == nodes["caller"]).withColumn("left", _left("callees"))
+    many = is_many(front)
+    met = front.join(unsent(nodes, many), front["name"] == nodes["caller"]).withColumn("left", _left("callees"))
     decided = (F.size("callees") <= HELD) | (F.size("left") > 1)
     found = met.where(decided).select("term_id", *STATE, F.explode(F.slice("left", 1, 2)).alias("callee"))
     open_ = cut(met.where(~decided).select("term_id", *STATE, "caller"))
     if not open_.isEmpty():
-        full = open_.join(edges.select("caller", "callee"), "caller").select("term_id", *STATE, "callee")
+        full = unsent(open_, many).join(edges.select("caller", "callee"), "caller").select("term_id", *STATE, "callee")
         found = found.unionByName(full.withColumn("left", _left("array(callee)")).where(F.size("left") > 0).drop("left"))
     one = found.groupBy("term_id").agg(F.min("callee").alias("name"), F.max("callee").alias("_last"), F.first(F.struct(*STATE)).alias("_state"))
     return one.where("name = _last").select("term_id", "_state.*", "name")
@@ -89,10 +90,11 @@ def recursive_lookup(index: DataFrame, edges: DataFrame, terms: DataFrame, gap:
     ready = cut(prepared_terms(terms))
     matched = cut(matching_names(here.select("name").distinct(), ready))
     state = ready.where("status = 'ok'").select("term_id", "how", "asked", "full_pattern", F.array().cast("array<string>").alias("seen"))
-    later = followed(matched.join(state, "term_id"), edges, edges.where("first") if scoped else None)
+    many = is_many(ready)
+    later = followed(cut(matched.join(unsent(state, many), "term_id")), edges, edges.where("first") if scoped else None)
 
     def shown(rows: DataFrame, found: DataFrame) -> DataFrame:
-        both = rows.select("name", "file_id", "ranges").join(found, "name")
+        both = rows.select("name", "file_id", "ranges").join(unsent(found, many), "name")
         return both.select("term_id", "round", "file_id", F.explode("ranges").alias("r")).select("term_id", "round", "file_id", "r.start_line", "r.end_line")
 
     first = matched.withColumn("round", F.lit(1))
