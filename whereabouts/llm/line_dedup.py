@@ -196,14 +196,14 @@ def standing_twice(marks: DataFrame, total: int) -> DataFrame:
     """The rows of ``marks`` whose ``mark`` stands in two rows or more.
 
     Marks are counted with map-side combine. Those that stand very often are few, ``HEAVY`` at most by what there are of rows, and
-    reach the rows as a broadcast, so no mark that a third of all rows have goes to one task; the rest meet by a join.
+    reach the rows as a broadcast, so no mark that a third of all rows have goes to one task; the rest meet by a join. All of these
+    joins keep or drop a row, none makes more of it.
     """
     counts = saved(marks.groupBy("mark").agg(F.count("*").alias("held")).where("held > 1"))
     often = F.lit(max(LEAST_HEAVY, total // HEAVY))
-    heavy = counts.where(F.col("held") > often).select("mark", F.lit(True).alias("heavy"))
-    rows = marks.join(F.broadcast(heavy), "mark", "left")
-    light = rows.where("heavy IS NULL").join(counts.where(F.col("held") <= often).select("mark"), "mark", "left_semi")
-    return rows.where("heavy").unionByName(light).drop("heavy")
+    heavy = counts.where(F.col("held") > often).select("mark")
+    light = marks.join(F.broadcast(heavy), "mark", "left_anti").join(counts.where(F.col("held") <= often).select("mark"), "mark", "left_semi")
+    return marks.join(F.broadcast(heavy), "mark", "left_semi").unionByName(light)
 
 
 def repeated_runs(docs: DataFrame, gram: int = GRAM_WORDS, window: int = WINDOW_WORDS) -> DataFrame:
