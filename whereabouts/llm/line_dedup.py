@@ -55,17 +55,19 @@ def _units(texts: list[bytes]):
     data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
     feeds = np.flatnonzero(data == 10)
     found = Words(data, ~BLANKS[data])
-    line = np.searchsorted(feeds, found.starts)
+    line = np.cumsum(data == 10)[found.starts]
     h = found.hashes(found.starts, found.ends)
     cut = np.ones(len(h), bool)
     cut[1:] = line[1:] != line[:-1]
     many = len(h) - CUT_WORDS + 1
     if many > 0:
-        place = np.arange(many)
-        least, at = h[:many], place
-        for k in range(1, CUT_WORDS):
-            less = h[k : k + many] <= least
-            least, at = np.where(less, h[k : k + many], least), np.where(less, place + k, at)
+        # the least of spans of 1, 2, 4, ... words, two of which cover the words asked for; the later of equals counts
+        least, at, size = h, np.arange(len(h)), 1
+        while size < CUT_WORDS:
+            step = min(size, CUT_WORDS - size)
+            less = least[step:] <= least[:-step]
+            least, at = np.where(less, least[step:], least[:-step]), np.where(less, at[step:], at[:-step])
+            size += step
         cut[at[line[:many] == line[CUT_WORDS - 1 :]]] = True
     first = np.flatnonzero(cut)
     last = np.append(first, len(h))[1:]
