@@ -54,9 +54,10 @@ def only_callee(front: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFra
 def followed(front: DataFrame, edges: DataFrame, first_edges: DataFrame | None = None) -> DataFrame:
     """``term_id, round, name``: the name that each term goes on with in each round from the second on.
 
-    Rounds end when no term has one left. A round joins what is at hand with one row per caller, and only what is at hand is written.
+    Rounds end when no term has one left. A round joins what is at hand with one row per caller, and only what is at hand is written
+    and moved: callers stay where they were put together.
     """
-    nodes = cut(callers(edges))
+    nodes = cut(callers(edges), placed=True)
     rounds = []
     now = front
     while True:
